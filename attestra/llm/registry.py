@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op6_decontamination
 from .neardup import op7_neardup
 from .packing import op4_packing
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_neardup": op7_neardup,
     "op9_toxicity": op9_toxicity,
 }
