@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op6_decontamination
 from .neardup import op7_neardup
 from .packing import op4_packing
+from .pii import op10_pii
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_neardup": op7_neardup,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
