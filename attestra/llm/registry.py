@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op6_decontamination
+from .fingerprint import op1_fingerprint
 from .neardup import op7_neardup
 from .packing import op4_packing
 from .pii import op10_pii
+from .secrets import op5_secrets
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op4_packing": op4_packing,
+    "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_neardup": op7_neardup,
     "op9_toxicity": op9_toxicity,
