@@ -15,7 +15,7 @@ The order by doc_id that op1 needs is dealt into ranges by quantiles of doc_id;
 each range also gets the first row of the next, so no task sees all rows.
 
 Cases: null text is empty; a text without words has the empty fingerprint, which
-is like itself (1) and unlike all others (0); texts of one to three words have one anchor, all their words;
+is like itself (1) and unlike all others (0); texts of one to three words have one word anchor, all their words, beside those of their characters;
 rows of one doc_id stand in the order of a hash of their text, null ids last;
 a single document is its own next; other columns are ignored.
 """
@@ -29,6 +29,9 @@ from .common import WORD_GAP, documents, width
 
 K = 4
 SKETCH = 128
+#: Texts of fewer characters have too few words for anchors; their overlapping grams of GRAM characters give anchors too.
+SHORT = 200
+GRAM = 5
 #: Most ranges by doc_id.
 MAX_RANGES = 4000
 
@@ -60,19 +63,28 @@ def anchors(text: Column) -> Column:
     return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", empty).otherwise(let(word_hashes(text), of))
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchors, ascending."""
+def _closed(units: Column) -> Column:
+    """Anchors among hashed units; of fewer than K, one for all of them."""
 
     def closed(m: Column) -> Column:
         edge = lambda x, i: F.when(F.least(x, m[i + 2]) <= m[i + 1], F.xxhash64(x, m[i + 2]))
-        return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.transform(F.slice(m, F.lit(1), F.size(m) - 2), edge)))), 1, SKETCH)
+        return F.array_compact(F.transform(F.slice(m, F.lit(1), F.size(m) - 2), edge))
 
     def of(h: Column) -> Column:
         n = F.size(h)
         pairs = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
         return F.when(n >= K, let(pairs, closed)).otherwise(F.array(F.aggregate(h, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x))))
 
-    return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.array().cast("array<bigint>")).otherwise(let(word_hashes(text), of))
+    return let(units, of)
+
+
+def sketch(text: Column) -> Column:
+    """The SKETCH smallest distinct anchors, ascending; short texts have anchors over character grams besides."""
+    grams = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1), lambda g: F.xxhash64(F.lit("gram"), g))
+    words = _closed(word_hashes(text))
+    found = F.when(F.char_length(text) < SHORT, F.concat(words, _closed(grams))).otherwise(words)
+    empty = F.btrim(text, F.lit(" \t\n\x0b\f\r")) == ""
+    return F.when(empty, F.array().cast("array<bigint>")).otherwise(F.slice(F.array_sort(F.array_distinct(found)), 1, SKETCH))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -13,15 +13,22 @@ from .packing import op4_packing
 from .pii import op10_pii
 from .secrets import op5_secrets
 from .toxicity import op9_toxicity
+from .urlfilter import op2_urlfilter
+from .warc import ORACLE as WARC_ORACLE
+from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_urlfilter": op2_urlfilter,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_neardup": op7_neardup,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": WARC_ORACLE,
+}
