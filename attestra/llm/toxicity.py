@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ASCII_LOWER, documents, mix, tune
 
@@ -227,7 +228,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # one number per n-gram: 1 MB whatever the corpus
     at = docs.columns.index("text")
-    schema = docs.schema.add(column, "double")
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value

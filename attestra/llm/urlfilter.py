@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import tune
 
@@ -194,7 +195,7 @@ def score(pages: DataFrame, model: Trees, column: str = "block_score") -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shipped.value.score(b.column(at).to_pylist()), pa.float64())], names=[*b.schema.names, column])
 
-    return pages.mapInArrow(run, pages.schema.add(column, "double"))
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField(column, DoubleType())]))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
