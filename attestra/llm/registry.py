@@ -12,6 +12,7 @@ from .neardup import op7_neardup
 from .packing import op4_packing
 from .pii import op10_pii
 from .secrets import op5_secrets
+from .substrings import op3_substrings
 from .toxicity import op9_toxicity
 from .urlfilter import op2_urlfilter
 from .warc import ORACLE as WARC_ORACLE
@@ -20,6 +21,7 @@ from .warc import op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_urlfilter": op2_urlfilter,
+    "op3_substrings": op3_substrings,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
