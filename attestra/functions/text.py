@@ -29,7 +29,8 @@ SYNONYMS = {
 }
 REPORTER = r"\b(?:AIR\s+\d{4}\s+[A-Z]{1,4}\s+\d+|\(\d{4}\)\s+\d+\s+[A-Z]{2,10}\s+\d+)\b"
 SENTENCE_END = r"(?<=[.!?])\s+"
-GROUNDING_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "was", "with"]
+GROUNDING_STOPWORDS = ["a", "an", "and", "any", "as", "at", "by", "for", "from", "held", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "was", "were"]
+NEGATIONS = ["cannot", "denied", "fails", "never", "no", "none", "not", "without"]
 
 
 def squeeze(c: Column) -> Column:

@@ -15,8 +15,9 @@ def embedding(text: Column, dimension: int = DIMENSION) -> Column:
     zero = F.array_repeat(F.lit(0.0), dimension)
     byte = lambda h, i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5
     total = F.aggregate(F.transform(words, lambda w: F.sha2(w, 256)), zero, lambda s, h: F.zip_with(s, at, lambda x, i: x + byte(h, i)))
-    unit = lambda v: F.transform(v, lambda x: F.round(x / norm(v), 8))
-    return F.element_at(F.transform(F.array(total), lambda v: F.when(norm(v) == 0, v).otherwise(unit(v))), 1)
+    unit = lambda v, n: F.transform(v, lambda x: F.round(x / F.when(n == 0, 1.0).otherwise(n), 8))
+    sized = F.transform(F.array(total), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.element_at(F.transform(sized, lambda s: unit(s["v"], s["n"])), 1)
 
 
 def dot(a: Column, b: Column) -> Column:

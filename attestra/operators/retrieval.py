@@ -52,7 +52,7 @@ def ranked(rows: DataFrame, by: str, order: list[Column], top_k: int | None = No
 
 def dense(queries: DataFrame, points: DataFrame, top_k: int = 20) -> DataFrame:
     """query_id, point_id, score, rank by cosine; (query_id, vector) against (point_id, vector), the query set in one block."""
-    unit = lambda v: F.transform(F.col(v), lambda x: x.cast("double") / F.when(norm(F.col(v)) == 0, 1.0).otherwise(norm(F.col(v))))
+    unit = lambda v: F.element_at(F.transform(F.array(norm(F.col(v))), lambda n: F.transform(F.col(v), lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), 1)
     q = queries.select("query_id", unit("vector").alias("q"))
     block = q.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
     p = points.select("point_id", unit("vector").alias("p"))
