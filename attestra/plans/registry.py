@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import document_queries, relational_queries, retrieval_queries
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = [retrieval_queries, document_queries, relational_queries]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
