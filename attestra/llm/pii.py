@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import documents, split_for, written
 
 KEY = "attestra-demonstration-key"
+#: Texts with entities of later attempts are broadcast up to so many; beyond, they are joined by shuffle.
+BROADCAST_TEXTS = 20_000
 
 #: Each pattern starts only where a run starts, so long runs of word characters are read once.
 PATTERNS = {
@@ -189,14 +191,16 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     again = assigned(docs, key).where("attempt > 0").select("kind", "canonical", "attempt")
     columns = docs.columns
     cut, tries, same = (split_for(docs, c) for c in ("_cut", "_attempts", "_text_hash"))
-    rows = docs.withColumn(cut, pieces(F.col("text")))
-    if not again.isEmpty():
-        # texts with such an entity, named by their hash
-        found = entities(docs.select("text")).select(F.xxhash64("text").alias(same), "kind", "canonical").distinct().join(again, ["kind", "canonical"])
-        found = found.groupBy(same).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias(tries))
-        rows = rows.withColumn(same, F.when(F.col(cut).isNotNull(), F.xxhash64("text"))).join(found, same, "left")
-    else:
+    rows = docs
+    if again.isEmpty():
         rows = rows.withColumn(tries, F.lit(None).cast("map<string,int>"))
+    else:
+        # texts with such an entity, named by their hash: few, but joined by shuffle if they are not
+        found = entities(docs.select("text")).select(F.xxhash64("text").alias(same), "kind", "canonical").distinct().join(again, ["kind", "canonical"])
+        found = written(found.groupBy(same).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias(tries)), "attempts")
+        few = found.count() <= BROADCAST_TEXTS
+        rows = rows.withColumn(same, F.xxhash64("text")).join(F.broadcast(found) if few else found, same, "left")
+    rows = rows.withColumn(cut, pieces(F.col("text")))
 
     def replaced(m: Column, i: Column) -> Column:
         kind = kind_of(m)
