@@ -35,7 +35,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ASCII_LOWER, documents, mix, tune
 
-WINDOW = 16
+WINDOW = 32
 BITS = 18
 DIM = 4
 NGRAMS = (3, 4, 5)
@@ -152,8 +152,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     share = 1.0 / per_word[index]
 
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (len(used), DIM))
-    weight, bias = rng.normal(0, 1.0, DIM), np.zeros(1)
+    table = rng.normal(0, 0.02, (len(used), DIM))
+    weight, bias = rng.normal(0, 1.0, DIM), np.array([-3.0])  # most passages are clean: the bias says so, not every word
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, weight, bias)]
     y = y_doc[owner]
     toxic_docs = np.flatnonzero(y_doc > 0)
