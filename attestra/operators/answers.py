@@ -68,7 +68,7 @@ def sources(answers: DataFrame) -> DataFrame:
     """Distinct sources (doc_id, chunk_id, citation) of an answer in the order of first mention."""
     at = Window.partitionBy("answer_id", "doc_id", "chunk_id", "citation").orderBy("position")
     first = answers.withColumn("n", F.row_number().over(at)).where("n = 1")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("answer_id").orderBy("position"))).drop("n")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("answer_id").orderBy("position", "doc_id", "chunk_id"))).drop("n")
 
 
 def answer_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
