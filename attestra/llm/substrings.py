@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, gram_hashes, tune, width, written
+from .common import WordHashes, documents, mix, tune, width, written
 from .fmindex import FMIndex
 
 WINDOW = 35
@@ -40,6 +41,8 @@ HOT = 200
 #: Words of a shard, about; and of a segment, at most.
 SHARD_WORDS = 300_000
 SEGMENT_WORDS = 256
+#: Segments that a task remembers having sent.
+SEEN = 400_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,21 +53,38 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def runs(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first word, end word, places of the anchor) of each run of neighbouring windows with one anchor."""
+def eight_grams(h: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM = 8 elements from each on, by doubling."""
+    with np.errstate(over="ignore"):
+        for k, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
+            h = h[:-k] * np.uint64(factor) + h[k:]
+            h ^= h >> np.uint64(31)
+    return mix(h)
+
+
+def runs(h: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents laid end to end: (document, anchor, first word, end word, places of the anchor) of each run of neighbouring windows with one anchor."""
+    none = np.empty(0, np.int64)
     if len(h) < window:
-        return (np.empty(0, np.int64),) * 4
-    grams = gram_hashes(h, gram)
-    low = sliding_min(grams, window - gram + 1)
-    at = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    end = np.concatenate([at[1:], [len(low)]]) + window - 1
-    places = np.ones(len(at), np.int64)
-    ordered = np.sort(grams)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if len(twice):  # a gram that repeats may be an anchor at two places of one run
-        for r in np.flatnonzero(np.isin(low[at], twice)):
-            places[r] = (grams[at[r] : end[r] - gram + 1] == low[at[r]]).sum()
-    return low[at].view(np.int64), at, end, places
+        return (none,) * 5
+    grams = eight_grams(h)
+    low = sliding_min(grams, window - GRAM + 1)
+    ends = np.cumsum(sizes)
+    counts = np.maximum(sizes - window + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    start = np.repeat(ends - sizes, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(start):
+        return (none,) * 5
+    low = low[start]
+    at = np.concatenate([[0], np.flatnonzero((low[1:] != low[:-1]) | (owner[1:] != owner[:-1])) + 1])
+    end = start[np.concatenate([at[1:], [len(low)]]) - 1] + window
+    first, anchor, owner = start[at], low[at], owner[at]
+    # how often the anchor stands in its run: twice only where words repeat
+    n = end - first - GRAM + 1
+    place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    places = np.add.reduceat((grams[place] == np.repeat(anchor, n)).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+    base = (ends - sizes)[owner]
+    return owner, anchor.view(np.int64), first - base, end - base, places
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -73,47 +93,68 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"))
 
 
-def anchor_runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+def anchor_runs(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 250):
-                b = whole.slice(i, 250)
-                found = [runs(hashes.of(t.as_py().encode().split()), window, gram) for t in b.column(2)]
-                n = [len(f[0]) for f in found]
-                anchor, lo, hi, places = (np.concatenate([f[j] for f in found]) for j in range(4))
+            for i in range(0, whole.num_rows, 100):
+                b = whole.slice(i, 100)
+                split = [t.as_py().encode().split() for t in b.column(2)]
+                owner, anchor, lo, hi, places = runs(hashes.of([w for ws in split for w in ws]), np.array([len(ws) for ws in split], np.int64), window)
+                take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(anchor), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(places.astype(np.int32))],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(anchor), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(places.astype(np.int32))],
                     names=["k", "h", "anchor", "lo", "hi", "places"],
                 )
 
     return keyed.select("k", "h", "text").mapInArrow(run, "k long, h long, anchor long, lo int, hi int, places int")
 
 
-PARTS = "is_document boolean, doc_id long, k long, h long, n_words long, kept_sha256 string, text string, sid binary, anchor long, lo int, n int, words binary"
-_PARTS = pa.schema([("is_document", pa.bool_()), ("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("sid", pa.binary()), ("anchor", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+def packed_texts(keyed: DataFrame) -> DataFrame:
+    """Texts compressed, so that they take less room where they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([squeeze(t.as_py().encode()) for t in b.column(3)], pa.binary())], names=["doc_id", "k", "h", "text"])
+
+    return keyed.select("doc_id", "k", "h", "text").mapInArrow(run, "doc_id long, k long, h long, text binary")
+
+
+PARTS = "is_document boolean, doc_id long, k long, h long, n_words long, kept_sha256 string, text binary, sid binary, anchor long, lo int, n int, words binary"
+_PARTS = pa.schema([("is_document", pa.bool_()), ("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("sid", pa.binary()), ("anchor", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 
 
 def _parts(window: int):
-    """Documents without candidates are done; others keep their text, and yield segments. A segment's words go with its first mention in a batch."""
+    """Documents without candidates are done; others keep their text, and yield segments. A segment's words go with its first mention in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
-                rows, seen = [], set()
-                for doc_id, text, k, h, found in zip(*(c.to_pylist() for c in whole.slice(i, 250).columns)):
-                    words = text.encode().split()
+                rows = []
+                b = whole.slice(i, 250)
+                doc_ids, texts, ks, hs = (b.column(j).to_pylist() for j in range(4))
+                lists = b.column(4)
+                offsets, flat = lists.offsets.to_pylist(), lists.values
+                los, his, anchors = (flat.field(n).to_pylist() for n in ("lo", "hi", "anchor"))
+                for j, (doc_id, packed, k, h) in enumerate(zip(doc_ids, texts, ks, hs)):
+                    words = unpack(packed).split() if packed else []
+                    found = range(offsets[j], offsets[j + 1]) if lists[j].is_valid else ()
                     if not found:
                         rows.append((True, doc_id, k, h, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None, None))
                         continue
-                    rows.append((True, doc_id, k, h, len(words), None, text, None, None, None, None, None))
+                    rows.append((True, doc_id, k, h, len(words), None, packed, None, None, None, None, None))
                     for f in found:
-                        for lo in range(f["lo"], f["hi"] - window + 1, SEGMENT_WORDS - window + 1):
-                            hi = min(lo + SEGMENT_WORDS, f["hi"])
+                        for lo in range(los[f], his[f] - window + 1, SEGMENT_WORDS - window + 1):
+                            hi = min(lo + SEGMENT_WORDS, his[f])
                             joined = b" ".join(words[lo:hi])
                             sid = hashlib.blake2b(joined, digest_size=16).digest()
-                            rows.append((False, doc_id, k, h, None, None, None, sid, f["anchor"], lo, hi - lo, None if sid in seen else joined))
+                            rows.append((False, doc_id, k, h, None, None, None, sid, anchors[f], lo, hi - lo, None if sid in seen else joined))
                             seen.add(sid)
+                if len(seen) > SEEN:
+                    seen.clear()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS)], schema=_PARTS)
 
@@ -127,15 +168,20 @@ def _ranges(marks: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+#: A worker's word hashes, kept from shard to shard.
+HASHES = WordHashes()
+
+
 def _searched(window: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("sid")
         split = [bytes(w).split() for w in shard["words"]]
-        number: dict[bytes, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number) + 1) for ws in split for w in (*ws, b"")), np.int64)
-        end_mark = number[b""]
-        flat = np.where(flat == end_mark, 0, np.where(flat > end_mark, flat - 1, flat))
         sizes = np.array([len(ws) for ws in split])
+        hashed = HASHES.of([w for ws in split for w in ws])
+        flat = np.zeros(sizes.sum() + len(sizes), np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        flat[inside] = np.unique(hashed, return_inverse=True)[1] + 1
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         copies = shard["copies"].to_numpy()
         alone = copies < 2
@@ -174,10 +220,11 @@ REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             ids, total, gone, sha = [], [], [], []
             for doc_id, text, spans in zip(*(c.to_pylist() for c in b.columns)):
-                words = text.encode().split()
+                words = unpack(text).split()
                 cover = np.zeros(len(words) + 1, np.int64)
                 for s in spans or ():
                     for first, last in zip(s["ranges"][::2], s["ranges"][1::2]):
@@ -193,15 +240,15 @@ def _cut(window: int):
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by a space)."""
     spark = docs.sparkSession
     tune(spark)
     keyed = _keyed(docs)
-    all_runs = anchor_runs(keyed, window, gram)
+    all_runs = anchor_runs(keyed, window)
     again = all_runs.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor")
     candidates = all_runs.join(again, "anchor").groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi", "anchor")).alias("found"))
-    parts = written(keyed.join(candidates, ["k", "h"], "left").select("doc_id", "text", "k", "h", "found").mapInArrow(_parts(window), PARTS), "parts")
+    parts = written(packed_texts(keyed).join(candidates, ["k", "h"], "left").select("doc_id", "text", "k", "h", "found").mapInArrow(_parts(window), PARTS), "parts")
 
     mentions = parts.where("not is_document")
     distinct = mentions.groupBy("sid").agg(F.count("*").alias("copies"), F.max("words").alias("words"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
