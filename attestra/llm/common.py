@@ -65,19 +65,26 @@ def split_for(df: DataFrame, name: str) -> str:
 
 
 class WordHashes(dict):
-    """bytes of a word -> its 64-bit hash as a signed integer; forgets all when too many words are held."""
+    """bytes of a word -> its 64-bit hash; forgets all when too many words are held."""
 
     LIMIT = 1_000_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        h = xxhash.xxh64_intdigest(word, 0x5EED)
-        h = self[word] = h - (1 << 64) if h >= 1 << 63 else h
+        h = self[word] = xxhash.xxh64_intdigest(word, 0x5EED)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """The worker's own, kept from task to task. (A global named in a task's function would travel with it.)"""
+    return _HASHES
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -32,12 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, mix, tune, width, written
+from .common import documents, mix, tune, width, word_hashes, written
 from .fmindex import FMIndex
 
 WINDOW = 35
 GRAM = 8
-HOT = 200
+#: Distinct segments (of 50 words on average) that one anchor may put into a shard.
+HOT = 2000
 #: Words of a shard, about; and of a segment, at most.
 SHARD_WORDS = 300_000
 SEGMENT_WORDS = 256
@@ -95,12 +96,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def anchor_runs(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 100):
                 b = whole.slice(i, 100)
                 split = [t.as_py().encode().split() for t in b.column(2)]
-                owner, anchor, lo, hi, places = runs(hashes.of([w for ws in split for w in ws]), np.array([len(ws) for ws in split], np.int64), window)
+                owner, anchor, lo, hi, places = runs(word_hashes().of([w for ws in split for w in ws]), np.array([len(ws) for ws in split], np.int64), window)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(anchor), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(places.astype(np.int32))],
@@ -168,16 +168,12 @@ def _ranges(marks: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-#: A worker's word hashes, kept from shard to shard.
-HASHES = WordHashes()
-
-
 def _searched(window: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("sid")
         split = [bytes(w).split() for w in shard["words"]]
         sizes = np.array([len(ws) for ws in split])
-        hashed = HASHES.of([w for ws in split for w in ws])
+        hashed = word_hashes().of([w for ws in split for w in ws])
         flat = np.zeros(sizes.sum() + len(sizes), np.int64)
         inside = np.ones(len(flat), bool)
         inside[np.cumsum(sizes + 1) - 1] = False
