@@ -7,12 +7,13 @@ are the buckets: a pair of similarity 0.8 shares none with probability
 (1 - 0.8**3)**24 = 3e-8.
 
 Documents with equal shingle sets are one class, found by grouping; only classes
-go on. In a bucket each class is compared with two leaders (the first and the
-last in an order of the bucket's own), never with all others. What comes close
+go on. In a bucket each class is compared with one leader (the first in an order of
+the bucket's own), never with all others. What comes close
 by its signature is confirmed on full sets, first one edge a class, then those
 edges whose ends are not yet connected. Pairs of a bucket that are still in
 different components afterwards are compared each, so no link is lost to the
-leaders. Tables between steps are written to the shared folder.
+leaders; for that, classes of a bucket of more than HOT (a passage that many
+documents share) are first dealt anew by longer bands. Tables between steps are written to the shared folder.
 
 Cases: null or empty texts and texts without words have no shingles and link
 with nothing; rows with a null doc_id link with nothing unless a row of equal
@@ -30,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, documents, gram_hashes, mix, tune, written
+from .common import ASCII_LOWER, documents, gram_hashes, mix, tune, word_hashes, written
 from .components import connected
 
 HASHES = 36
 BANDS = 24
 ROWS = 3
+#: Buckets of more classes are not paired but dealt anew by longer bands, (bands, rows) at each level: a pair of similarity 0.8 shares none with probability (1 - 0.8**6)**64 = 4e-9 and (1 - 0.8**12)**200 = 7e-7.
+HOT = 12
+LEVELS = [(64, 6), (200, 12)]
 #: Signature values of 2 * HASHES that must agree before sets are compared; a pair of similarity 0.8 agrees in 58 of 72 on average, in fewer than 38 once in ten million.
 AGREE = 38
 
@@ -78,6 +82,25 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
+def long_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, sid) of longer bands, from the signatures' bytes."""
+    all_places = [np.random.default_rng([rows, b]).permutation(2 * HASHES)[:rows] for b in range(bands)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, 2 * HASHES).astype(np.uint64)
+            keys = np.empty((len(sig), bands), np.uint64)
+            with np.errstate(over="ignore"):
+                for i, places in enumerate(all_places):
+                    k = np.full(len(sig), 1000 * rows + i, np.uint64)
+                    for p in places:
+                        k = mix(k * np.uint64(257) + sig[:, p])
+                    keys[:, i] = k
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), bands)))], names=["key", "sid"])
+
+    return classes.select("sid", "sig").mapInArrow(run, "key long, sid binary")
+
+
 def _words(text: str | None) -> list[bytes]:
     return text.encode().translate(ASCII_LOWER).split() if text else []
 
@@ -90,11 +113,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
                 b = whole.slice(i, 250)
-                sets = [shingle_set(hashes.of(_words(t.as_py())), words) for t in b.column(1)]
+                sets = [shingle_set(word_hashes().of(_words(t.as_py())), words) for t in b.column(1)]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sid, bands, sig = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if full:
@@ -113,10 +135,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
-                sets = [s for t in whole.slice(i, 250).column(0) if len(s := shingle_set(hashes.of(_words(t.as_py())), words))]
+                sets = [s for t in whole.slice(i, 250).column(0) if len(s := shingle_set(word_hashes().of(_words(t.as_py())), words))]
                 sid = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
@@ -145,10 +166,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (the smallest doc_id of its group), kept."""
     t = written(sketches(docs, words), "sketches")
     classes = written(t.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    buckets = classes.select("sid", F.explode("bands").alias("key")).withColumn("order", F.xxhash64("sid", "key"))
-    leads = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("order", "sid")).sid.alias("first"), F.max(F.struct("order", "sid")).sid.alias("last")).where("members > 1")
-    shared = written(buckets.select("key", "sid").join(leads.select("key", "first", "last"), "key"), "buckets")
-    star = shared.select("sid", F.explode(F.array("first", "last")).alias("lead")).where("sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    order = lambda: F.struct(F.xxhash64("sid", "key").alias("order"), "sid")
+    leading = lambda buckets: buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(order()).sid.alias("first")).where("members > 1")
+    buckets = classes.select(F.explode("bands").alias("key"), "sid")
+    levels = [written(buckets.join(leading(buckets), "key"), "buckets")]
+    for bands, rows in LEVELS:
+        hot = levels[-1].where(F.col("members") > HOT).select("sid").distinct()
+        longer = written(long_keys(classes.join(hot, "sid", "left_semi"), bands, rows), "long")
+        levels.append(written(longer.join(leading(longer), "key"), "buckets"))
+    paired = levels[0].where(F.col("members") <= HOT).unionByName(levels[1].where(F.col("members") <= HOT)).unionByName(levels[2]).select("key", "sid")
+    star = levels[0].where("sid <> first").select(F.least("sid", "first").alias("a"), F.greatest("sid", "first").alias("b")).distinct()
     star = written(_agreeing(star, classes, percent), "star")
 
     # sets of the classes that some close pair needs; more are added if the last step finds any
@@ -161,21 +188,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = written(_confirmed(best, sets, percent), "links")
     label = connected(links)
 
+    def component(of: str) -> DataFrame:
+        return label.select(F.col("node").alias(of), F.col("component").alias(f"c_{of}"))
+
     def apart(pairs: DataFrame) -> DataFrame:
-        of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+        """Pairs whose ends are in different components so far, with c_a and c_b."""
+        p = pairs.join(component("a"), "a", "left").join(component("b"), "b", "left")
+        return p.withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b")).where("c_a <> c_b")
+
+    def joined_by(more: DataFrame) -> DataFrame:
+        """label after more links: only components are connected, their nodes follow."""
+        moved = connected(apart(more).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        both = label.unionByName(moved.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        return written(both.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
     tried = best.select("a", "b")
     rest = apart(star).join(tried, ["a", "b"], "left_anti").select("a", "b", "n_a", "n_b")
     more = written(_confirmed(rest, sets, percent), "links")
-    links = links.union(more)
     if not more.isEmpty():
-        label = connected(links)
+        label = joined_by(more)
 
     # what shares a bucket and is still apart: compared pair by pair
-    inside = shared.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).join(classes.select("sid", "n"), "sid")
+    inside = paired.join(component("sid"), "sid", "left").withColumn("component", F.coalesce("c_sid", "sid")).join(classes.select("sid", "n"), "sid")
     split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("key")
-    inside = inside.join(split, "key").select("key", "sid", "component", "n")
+    inside = inside.join(split, "key")
     other = inside.select("key", F.col("sid").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
     cross = inside.select("key", F.col("sid").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a")).join(other, "key").where((F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     cross = _agreeing(cross.select("a", "b").distinct(), classes, percent)
@@ -185,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sets = sets.unionByName(sets_of(needed))
         more = written(_confirmed(cross, sets, percent), "links")
         if not more.isEmpty():
-            label = connected(links.union(more))
+            label = joined_by(more)
 
     grouped = classes.select("sid", F.col("doc_id").alias("first_id")).join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
