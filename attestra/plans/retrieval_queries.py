@@ -31,6 +31,13 @@ def lexical(d: Domain, top_k: int = 20) -> DataFrame:
     return R.bm25(q, d.document_tokens(), top_k)
 
 
+def dense(d: Domain, top_k: int = 20) -> DataFrame:
+    """All documents by their hashed embeddings."""
+    vectors = lambda t, key: t.select(key, embedding(F.col("text")).alias("vector"))
+    points = vectors(d.table("documents").withColumnRenamed("doc_id", "point_id"), "point_id")
+    return R.dense(vectors(d.benchmark_queries(), "query_id"), points, top_k).withColumnRenamed("point_id", "doc_id")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(Domain(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
@@ -93,11 +100,7 @@ def filtered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid(d: Domain) -> DataFrame:
     """Lexical and hashed-embedding lists fused, reranked, ranked by authority."""
-    lex = lexical(d)
-    docs = d.table("documents")
-    q = d.benchmark_queries().select("query_id", embedding(F.col("text")).alias("vector"))
-    den = R.dense(q, docs.where("doc_id % 10 = 0 or lang = 'en'").where(F.length("text") < 2000).select(F.col("doc_id").alias("point_id"), embedding(F.col("text")).alias("vector")), 20).withColumnRenamed("point_id", "doc_id")
-    return R.fused(lex, den)
+    return R.fused(lexical(d), dense(d))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
