@@ -5,6 +5,7 @@ import math
 
 import pytest
 
+from attestra.plans import case_queries as K
 from attestra.plans import retrieval_queries as Q
 from attestra.plans.domain import Domain
 
@@ -34,3 +35,22 @@ def test_dense_list_searches_all_documents(spark, tmp_path):
         assert len(mine) == 20 and mine[0][1] == own
         assert [s for _, _, s in mine] == pytest.approx(best, abs=2e-6)
         assert all(score[d] == pytest.approx(s, abs=2e-6) for _, d, s in mine)
+
+
+def windows(sizes, most=220):
+    out, i = [], 0
+    while i < len(sizes):
+        e = i + 1
+        while e < len(sizes) and sum(sizes[i : e + 1]) <= most:
+            e += 1
+        out.append((i, e))
+        i = len(sizes) if e == len(sizes) else max(i + 1, e - 1)
+    return out
+
+
+def test_report_windows_of_all_documents(spark, tmp_path):
+    sizes = {i: [(i * k * 37) % 130 + 1 for k in range(i % 9)] + [300] * (i % 2) for i in range(40)}
+    rows = [(i, "\n".join(" ".join(["w"] * n) for n in s) + "\n \n") for i, s in sizes.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["chunk_index"], r["first"], r["end"]) for r in K.report_windows(spark, str(tmp_path)).collect())
+    assert got == [(i, n, a, b) for i, s in sizes.items() for n, (a, b) in enumerate(windows(s))]
