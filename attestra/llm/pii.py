@@ -5,7 +5,7 @@ security numbers, telephone numbers, and names after an honorific. Each gets a
 replacement of its own kind, drawn by a keyed hash of its canonical form: letters for
 letters, digits for digits, separators as they stand, upper case kept, card
 numbers that pass the Luhn check replaced by such, names by names of the
-honorific's gender and of their script. Mentions of one entity, in whatever
+honorific's gender and of their script, a given name as an entity of its own beside the surname. Mentions of one entity, in whatever
 format or document, get the same replacement (coreference).
 
 Distinctness: all distinct entities are listed once; those that share a replacement, or
@@ -54,7 +54,7 @@ GIVEN = {
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Олег", "Павел", "Роман", "Сергей", "Тимур", "Юрий"],
     ("cyrillic", "n"): ["Саша", "Женя", "Валя", "Слава", "Паша", "Никита", "Шура", "Миша", "Витя", "Ася", "Тоня", "Лёня", "Сева", "Тася", "Стася", "Митя"],
 }
-#: Surnames are made of syllables; more attempts, more syllables.
+#: Surnames are made of syllables, as are the endings of given names of later attempts; more attempts, more syllables.
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "za"],
     "cyrillic": ["ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "лу", "за"],
@@ -81,6 +81,17 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def gender_of(m: Column) -> Column:
+    bare = F.regexp_substr(m, F.lit(r"^\p{L}+"))
+    return F.when(bare.isin(FEMALE_TITLES), "f").when(bare.isin(MALE_TITLES), "m").otherwise("n")
+
+
+def given_of(m: Column) -> Column:
+    """The canonical form of a name's given name: its gender and the lower-case name; null without one."""
+    given = F.regexp_extract(m, r"^\p{L}+\.?\x20(\p{L}+)\x20", 1)
+    return F.when(given != "", F.concat(gender_of(m), F.lit(":"), F.lower(given)))
+
+
 def canonical_of(m: Column, kind: Column) -> Column:
     """What all mentions of an entity have in common: lower-case address, digits (the last ten of a telephone number), surname."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -127,28 +138,30 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     own = (_luhn_rest(canonical) + check) % 10  # keeps the original's remainder, 0 if it is valid
     card = F.concat(head, own.cast("string"))
     script = lambda s: F.array(*map(F.lit, SYLLABLES[s]))
-    places = F.sequence(F.lit(0), F.least(attempt, F.lit(60)) + (SURNAME_SYLLABLES - 1))
-    syllables = F.when(canonical.rlike(r"^\p{IsCyrillic}"), script("cyrillic")).otherwise(script("latin"))
-    name = F.array_join(F.transform(places, lambda i: F.element_at(syllables, F.conv(F.substr(h, i + 1, F.lit(1)), 16, 10).cast("int") + 1)), "")
-    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "card", card).when(kind == "name", name).otherwise(digits)
+    own_name = F.regexp_replace(canonical, "^[fmn]:", "")
+    cyrillic = F.when(kind == "given", own_name).otherwise(canonical).rlike(r"^\p{IsCyrillic}")
+    syllables = F.when(cyrillic, script("cyrillic")).otherwise(script("latin"))
+    nibble = lambda i: F.conv(F.substr(h, i + 1, F.lit(1)), 16, 10).cast("int")
+    spelt = lambda first, n: F.array_join(F.transform(F.sequence(first, first + n - 1), lambda i: F.element_at(syllables, nibble(i) + 1)), "")
+    name = spelt(F.lit(0), F.least(attempt, F.lit(60)) + SURNAME_SYLLABLES)
+    pick = lambda names: F.element_at(F.array(*[F.lit(n.lower()) for n in names]), nibble(F.lit(0)) + 1)
+    first = F.lit(None).cast("string")
+    for (s_, g_), names in GIVEN.items():
+        first = F.when(F.startswith(canonical, F.lit(g_)) & (cyrillic == F.lit(s_ == "cyrillic")), pick(names)).otherwise(first)
+    ending = F.when(attempt > 0, spelt(F.lit(1), F.least(attempt, F.lit(60)) + (SURNAME_SYLLABLES - 1))).otherwise("")
+    given = F.concat(F.substr(canonical, F.lit(1), F.lit(2)), first, ending)
+    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "card", card).when(kind == "name", name).when(kind == "given", given).otherwise(digits)
 
 
-def rendered(m: Column, kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
+def rendered(m: Column, kind: Column, canonical: Column, attempt: Column, given_attempt: Column, key: str) -> Column:
     """The replacement in the mention's own format."""
     s = surrogate(kind, canonical, attempt, key)
     digits_before = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i), "[^0-9]", ""))
     lead = F.length(F.regexp_replace(m, "[^0-9]", "")) - F.length(canonical)  # digits of a country code stay
     filled = lambda s: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]") & (digits_before(i) >= lead), F.substr(s, digits_before(i) - lead + 1, F.lit(1))).otherwise(c)), "")
     title = F.regexp_substr(m, F.lit(r"^\p{L}+\.?"))
-    bare = F.regexp_replace(title, r"\.", "")
-    gender = F.when(bare.isin(FEMALE_TITLES), "f").when(bare.isin(MALE_TITLES), "m").otherwise("n")
-    given = F.regexp_extract(m, r"^\p{L}+\.?\x20(\p{L}+)\x20", 1)
-    h = _hex(key, "given", F.lower(given), F.lit(0))
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), F.conv(F.substr(h, F.lit(1), F.lit(1)), 16, 10).cast("int") + 1)
-    named = F.lit(None).cast("string")
-    for (s_, g_), names in GIVEN.items():
-        named = F.when((gender == g_) & (canonical.rlike(r"^\p{IsCyrillic}") == F.lit(s_ == "cyrillic")), pick(names)).otherwise(named)
-    full = F.concat(title, F.lit(" "), F.when(given != "", F.concat(named, F.lit(" "))).otherwise(""), F.initcap(s))
+    given = F.substr(surrogate(F.lit("given"), given_of(m), given_attempt, key), F.lit(3))
+    full = F.concat(title, F.lit(" "), F.coalesce(F.concat(F.initcap(given), F.lit(" ")), F.lit("")), F.initcap(s))
     upper = (m == F.upper(m)) & (m != F.lower(m))
     email = F.when(upper, F.upper(s)).otherwise(s)
     return F.when(kind == "email", email).when(kind == "name", full).when(kind == "ip", s).otherwise(filled(s))
@@ -162,10 +175,14 @@ def pieces(text: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Every mention: kind, canonical, with the document's columns."""
+    """Every mention: kind, canonical, with the document's columns; a name with a given name once more for that, as kind given."""
     cut = docs.withColumn("_cut", pieces(F.col("text"))).where("_cut is not null")
     odd = F.filter("_cut", lambda _, i: i % 2 == 1)
-    return cut.withColumn("mention", F.explode(odd)).withColumn("kind", kind_of(F.col("mention"))).withColumn("canonical", canonical_of(F.col("mention"), F.col("kind"))).drop("_cut")
+    found = cut.withColumn("mention", F.explode(odd)).withColumn("kind", kind_of(F.col("mention")))
+    own = F.struct("kind", canonical_of(F.col("mention"), F.col("kind")).alias("canonical"))
+    given = F.when(F.col("kind") == "name", F.struct(F.lit("given").alias("kind"), given_of(F.col("mention")).alias("canonical")))
+    found = found.withColumn("_entity", F.explode(F.array(own, given))).where("_entity.canonical is not null")
+    return found.withColumn("kind", F.col("_entity.kind")).withColumn("canonical", F.col("_entity.canonical")).drop("_cut", "_entity")
 
 
 def assigned(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -205,8 +222,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     def replaced(m: Column, i: Column) -> Column:
         kind = kind_of(m)
         canonical = canonical_of(m, kind)
-        attempt = F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", kind, canonical)), F.lit(0))
-        return F.when(i % 2 == 1, rendered(m, kind, canonical, attempt, key)).otherwise(m)
+        attempt = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", k, c)), F.lit(0))
+        return F.when(i % 2 == 1, rendered(m, kind, canonical, attempt(kind, canonical), attempt(F.lit("given"), given_of(m)), key)).otherwise(m)
 
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.col(cut), replaced), ""))
     return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns])

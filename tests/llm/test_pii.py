@@ -47,3 +47,15 @@ def test_key_and_empty(docs):
     d = docs([(1, "a@b.co")])
     assert P.pseudonymised(d, "k1").first()["text"] != P.pseudonymised(d, "k2").first()["text"]
     assert P.pseudonymised(docs([])).count() == 0
+
+
+def test_given_names_stay_distinct(docs):
+    # more given names than there are first draws, on either script and for one surname
+    names = [f"{a}{b}n" for a in "BCDFGHJK" for b in ("a", "e", "i", "o", "u")]
+    rows = [f"Mr {n} Smith" for n in names] + [f"Frau {n} Smith" for n in names] + [f"Господин {n} Иванов" for n in ("Адам", "Пётр", "Антон", "Борис")] + ["Mr Adam Smith", "Dr. Adam Smith", "Mr Smith"]
+    d = docs(list(enumerate(rows * 2)))
+    out = {r["doc_id"]: r["text"] for r in P.pseudonymised(d).collect()}
+    assert all(out[i] == out[i + len(rows)] for i in range(len(rows)))
+    assert len({out[i] for i in range(len(rows))}) == len(rows)
+    assert len({out[i].split()[-1] for i in range(len(rows)) if rows[i].endswith("Smith")}) == 1
+    assert not {out[i].split()[1] for i in range(len(rows)) if rows[i].count(" ") == 2} & {r.split()[1] for r in rows}
