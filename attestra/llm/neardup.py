@@ -37,15 +37,20 @@ from .components import connected
 HASHES = 36
 BANDS = 24
 ROWS = 3
-#: Buckets of more classes are not paired but dealt anew by longer bands, (bands, rows) at each level: a pair of similarity 0.8 shares none with probability (1 - 0.8**6)**64 = 4e-9 and (1 - 0.8**12)**200 = 7e-7.
+#: Buckets of more classes are not paired but dealt anew by longer bands, (bands, rows) at each level. No two bands share a value and
+#: each level has hash functions of its own, so a pair of similarity 0.8 shares none with probability (1 - 0.8**6)**64 = 4e-9 and (1 - 0.8**12)**200 = 7e-7.
 HOT = 12
 LEVELS = [(64, 6), (200, 12)]
 #: Signature values of 2 * HASHES that must agree before sets are compared; a pair of similarity 0.8 agrees in 58 of 72 on average, in fewer than 38 once in ten million.
 AGREE = 38
 
-_rng = np.random.default_rng(20_11)
-FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64)
+def functions(n: int, seed: int | list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of n hash functions."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+
+
+FACTORS, SHIFTS = functions(HASHES, 20_11)
 
 
 def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
@@ -55,18 +60,19 @@ def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
     return np.unique(gram_hashes(h, min(words, len(h)))) if len(h) >= words else gram_hashes(h, len(h)) ^ np.uint64(len(h))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Per set 2 * HASHES values: minimum and maximum under each hash function. Sets must not be empty."""
+def signatures(sets: list[np.ndarray], factors: np.ndarray = FACTORS, shifts: np.ndarray = SHIFTS) -> np.ndarray:
+    """Per set its minimum under each hash function, then its maximum under each. Sets must not be empty."""
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), 2 * HASHES), np.uint64)
+    n = len(factors)
+    out = np.empty((len(sets), 2 * n), np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(HASHES):
-            x = (flat ^ SHIFTS[i]) * FACTORS[i]
+        for i in range(n):
+            x = (flat ^ shifts[i]) * factors[i]
             x ^= x >> np.uint64(32)
-            x *= FACTORS[-1 - i]
+            x *= factors[-1 - i]
             out[:, i] = np.minimum.reduceat(x, at)
-            out[:, HASHES + i] = np.maximum.reduceat(x, at)
+            out[:, n + i] = np.maximum.reduceat(x, at)
     return out
 
 
@@ -82,23 +88,34 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
-def long_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, sid) of longer bands, from the signatures' bytes."""
-    all_places = [np.random.default_rng([rows, b]).permutation(2 * HASHES)[:rows] for b in range(bands)]
+def long_band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Bands of `rows` (even) values of fresh functions: half minima, half maxima, all of different functions, none in two bands."""
+    half = rows // 2
+    n = bands * half
+    sig = signatures(sets, *functions(n, [rows, bands]))
+    keys = np.empty((len(sets), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(bands):
+            k = np.full(len(sets), 1000 * rows + b, np.uint64)
+            for r in range(half):
+                k = mix(k * np.uint64(257) + sig[:, b + r * bands])
+                k = mix(k * np.uint64(257) + sig[:, n + (b + 1) % bands + r * bands])
+            keys[:, b] = k
+    return keys
+
+
+def long_keys(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """sid and its keys of longer bands, for each text with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, 2 * HASHES).astype(np.uint64)
-            keys = np.empty((len(sig), bands), np.uint64)
-            with np.errstate(over="ignore"):
-                for i, places in enumerate(all_places):
-                    k = np.full(len(sig), 1000 * rows + i, np.uint64)
-                    for p in places:
-                        k = mix(k * np.uint64(257) + sig[:, p])
-                    keys[:, i] = k
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), bands)))], names=["key", "sid"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 250):
+                sets = [s for t in whole.slice(i, 250).column(0) if len(s := shingle_set(word_hashes().of(_words(t.as_py())), words))]
+                if sets:
+                    sid = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(list(long_band_keys(sets, bands, rows).view(np.int64)), pa.list_(pa.int64()))], names=["sid", "keys"])
 
-    return classes.select("sid", "sig").mapInArrow(run, "key long, sid binary")
+    return docs.select("text").mapInArrow(run, "sid binary, keys array<long>")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -172,7 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     levels = [written(buckets.join(leading(buckets), "key"), "buckets")]
     for bands, rows in LEVELS:
         hot = levels[-1].where(F.col("members") > HOT).select("sid").distinct()
-        longer = written(long_keys(classes.join(hot, "sid", "left_semi"), bands, rows), "long")
+        texts = docs.join(classes.join(hot, "sid", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+        keys = long_keys(texts, words, bands, rows).join(hot, "sid", "left_semi").dropDuplicates(["sid"])
+        longer = written(keys.select(F.explode("keys").alias("key"), "sid"), "long")
         levels.append(written(longer.join(leading(longer), "key"), "buckets"))
     paired = levels[0].where(F.col("members") <= HOT).unionByName(levels[1].where(F.col("members") <= HOT)).unionByName(levels[2]).select("key", "sid")
     star = levels[0].where("sid <> first").select(F.least("sid", "first").alias("a"), F.greatest("sid", "first").alias("b")).distinct()
