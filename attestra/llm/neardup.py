@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         keys = long_keys(texts, words, bands, rows).join(hot, "sid", "left_semi").dropDuplicates(["sid"])
         longer = written(keys.select(F.explode("keys").alias("key"), "sid"), "long")
         levels.append(written(longer.join(leading(longer), "key"), "buckets"))
-    paired = levels[0].where(F.col("members") <= HOT).unionByName(levels[1].where(F.col("members") <= HOT)).unionByName(levels[2]).select("key", "sid")
+    of_level = lambda buckets, longer: buckets.select("key", "sid", F.lit(longer).alias("longer"))
+    paired = of_level(levels[0].where(F.col("members") <= HOT), False).unionByName(of_level(levels[1].where(F.col("members") <= HOT), True)).unionByName(of_level(levels[2], True))
     star = levels[0].where("sid <> first").select(F.least("sid", "first").alias("a"), F.greatest("sid", "first").alias("b")).distinct()
     star = written(_agreeing(star, classes, percent), "star")
 
@@ -228,9 +229,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not more.isEmpty():
         label = joined_by(more)
 
-    # what shares a bucket and is still apart: compared pair by pair
+    # what shares a bucket and is still apart: compared pair by pair; two alone in a first bucket have been, as member and leader
     inside = paired.join(component("sid"), "sid", "left").withColumn("component", F.coalesce("c_sid", "sid")).join(classes.select("sid", "n"), "sid")
-    split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("key")
+    split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.first("longer").alias("longer")).where("low <> high and (members > 2 or longer)").select("key")
     inside = inside.join(split, "key")
     other = inside.select("key", F.col("sid").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
     cross = inside.select("key", F.col("sid").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a")).join(other, "key").where((F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))

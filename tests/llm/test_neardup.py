@@ -81,3 +81,21 @@ def test_longer_bands_find_pairs_at_the_threshold(bands, rows):
         keys = N.long_band_keys(sets, bands, rows)
         missed += int((keys[::2] != keys[1::2]).all(axis=1).sum())
     assert missed == 0
+
+
+def test_pairs_alone_in_longer_bands_are_compared(docs, monkeypatch):
+    # 100 texts share the passage that makes two shorter ones near-copies: early buckets are hot, the last ones hold the two alone
+    monkeypatch.setattr(N, "HOT", 2)
+    monkeypatch.setattr(N, "LEVELS", [(64, 6), (150, 16)])
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    rows, want = [], {}
+    for g in range(8):
+        passage = [word() for _ in range(100)]
+        texts = [[word() for _ in range(10 if k < 2 else 63)] + passage for k in range(102)]
+        for k, t in enumerate(texts):
+            rows.append((1000 * g + k, " ".join(t)))
+            want[1000 * g + k] = 1000 * g + (0 if k < 2 else k)
+    r.shuffle(rows)
+    got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(docs(rows), words=4).collect()}
+    assert got == want
