@@ -4,7 +4,8 @@ A text's words are hashed; s-mers are pairs of neighbouring words, k-mers runs o
 four. A k-mer is an anchor if the smallest of its three s-mers stands at either
 edge: that depends on the k-mer alone, so a passage keeps its anchors wherever it stands, and
 two documents can be matched by the places of the anchors they share. About two
-k-mers in three are anchors.
+k-mers in three are anchors. The same is done with overlapping grams of GRAM characters,
+in texts of any length, so texts without spaces have anchors and all texts compare alike.
 
 The fingerprint holds the SKETCH smallest distinct anchors as hexadecimal
 numbers; the likeness of two fingerprints is the share they have in common of the smallest
@@ -29,8 +30,7 @@ from .common import WORD_GAP, documents, width
 
 K = 4
 SKETCH = 128
-#: Texts of fewer characters have too few words for anchors; their overlapping grams of GRAM characters give anchors too.
-SHORT = 200
+#: Overlapping grams of so many characters give anchors beside those of words, in texts of any length.
 GRAM = 5
 #: Most ranges by doc_id.
 MAX_RANGES = 4000
@@ -79,10 +79,9 @@ def _closed(units: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchors, ascending; short texts have anchors over character grams besides."""
+    """The SKETCH smallest distinct anchors over words and over character grams, ascending."""
     grams = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1), lambda g: F.xxhash64(F.lit("gram"), g))
-    words = _closed(word_hashes(text))
-    found = F.when(F.char_length(text) < SHORT, F.concat(words, _closed(grams))).otherwise(words)
+    found = F.concat(_closed(word_hashes(text)), _closed(grams))
     empty = F.btrim(text, F.lit(" \t\n\x0b\f\r")) == ""
     return F.when(empty, F.array().cast("array<bigint>")).otherwise(F.slice(F.array_sort(F.array_distinct(found)), 1, SKETCH))
 

@@ -30,3 +30,12 @@ def test_empty_single_and_repeated(docs):
     one = edited_fingerprints(docs([(1, "just one text here")])).first()
     assert one["near_next"] == 1.0
     assert edited_fingerprints(docs([(1, "a b c d e"), (1, "a b c d e"), (None, "x")])).count() == 3
+
+
+def test_likeness_does_not_hang_on_length_or_spaces(docs):
+    text = prose(4, 60)
+    solid = prose(6, 200).replace(" ", "")
+    rows = [(9, text[:195]), (8, text[:205]), (5, solid[:400]), (4, prose(7, 90).replace(" ", "")[:400])]
+    got = {r["doc_id"]: r for r in edited_fingerprints(docs(rows)).collect()}
+    assert got[9]["near_next"] > 0.8
+    assert got[5]["near_edited"] > 0.2 > got[5]["near_next"]
