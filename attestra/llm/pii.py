@@ -30,14 +30,18 @@ KEY = "attestra-demonstration-key"
 #: Texts with entities of later attempts are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 20_000
 
+#: Telephone numbers of ten digits in groups, with or without a country code; all their mentions agree in the last ten digits.
+NATIONAL = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
+#: A capital word of a name: McDonald, O'Brien, Smith-Jones.
+WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{L}++(?:-\p{L}++|['’]\p{Lu}\p{L}++)*"
 #: Each pattern starts only where a run starts, so long runs of word characters are read once.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._+-])[._+-]*+[A-Za-z0-9][A-Za-z0-9._+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "card": r"(?<![\w+])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\w+])\d{13,19}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа)\.?\x20(?:\p{Lu}\p{Ll}++\x20)?\p{Lu}\p{Ll}++(?![\p{L}\p{N}])",
+    "phone": NATIONAL + r"|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,14}+)++|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?!\w)|(?<![\w+./=-])[2-9]\d{9}(?!\w)",
+    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа)\.?\x20(?:\p{Lu}\.[\x20-]?|\p{Lu}\x20|" + WORD + r"\x20){0,3}" + WORD + r"(?![\p{L}\p{N}])",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What any entity holds.
@@ -88,18 +92,18 @@ def gender_of(m: Column) -> Column:
 
 def given_of(m: Column) -> Column:
     """The canonical form of a name's given name: its gender and the lower-case name; null without one."""
-    given = F.regexp_extract(m, r"^\p{L}+\.?\x20(\p{L}+)\x20", 1)
+    given = F.trim(F.regexp_extract(m, r"^\p{L}+\.?\x20(.*[\x20.]-?)[^\x20.]+$", 1))
     return F.when(given != "", F.concat(gender_of(m), F.lit(":"), F.lower(given)))
 
 
 def canonical_of(m: Column, kind: Column) -> Column:
-    """What all mentions of an entity have in common: lower-case address, digits (the last ten of a telephone number), surname."""
+    """What all mentions of an entity have in common: lower-case address, digits (the last ten of a telephone number in groups of 3, 3 and 4), surname."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(m))
+        F.when(kind == "email", F.regexp_replace(F.lower(m), "^[._+-]+", ""))
         .when(kind == "ip", m)
-        .when(kind == "phone", F.right(digits, F.lit(10)))
-        .when(kind == "name", F.lower(F.regexp_substr(m, F.lit(r"\p{L}+$"))))
+        .when((kind == "phone") & m.rlike(rf"^(?:{NATIONAL})$"), F.right(digits, F.lit(10)))
+        .when(kind == "name", F.translate(F.lower(F.regexp_substr(m, F.lit(r"[^\x20.]+$"))), "’", "'"))
         .otherwise(digits)
     )
 
@@ -163,7 +167,7 @@ def rendered(m: Column, kind: Column, canonical: Column, attempt: Column, given_
     given = F.substr(surrogate(F.lit("given"), given_of(m), given_attempt, key), F.lit(3))
     full = F.concat(title, F.lit(" "), F.coalesce(F.concat(F.initcap(given), F.lit(" ")), F.lit("")), F.initcap(s))
     upper = (m == F.upper(m)) & (m != F.lower(m))
-    email = F.when(upper, F.upper(s)).otherwise(s)
+    email = F.concat(F.regexp_extract(m, "^[._+-]*", 0), F.when(upper, F.upper(s)).otherwise(s))
     return F.when(kind == "email", email).when(kind == "name", full).when(kind == "ip", s).otherwise(filled(s))
 
 

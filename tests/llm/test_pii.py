@@ -59,3 +59,12 @@ def test_given_names_stay_distinct(docs):
     assert len({out[i] for i in range(len(rows))}) == len(rows)
     assert len({out[i].split()[-1] for i in range(len(rows)) if rows[i].endswith("Smith")}) == 1
     assert not {out[i].split()[1] for i in range(len(rows)) if rows[i].count(" ") == 2} & {r.split()[1] for r in rows}
+
+
+def test_further_forms_are_replaced(docs):
+    rows = ["_john@example.com", "-john@example.com", "+44 20 7946 0958", "+49 30 1234567", "01 23 45 67 89", "+34 612 345 678", "5551234567", "Mr. McDonald", "Mr O'Brien", "Dr. J. Smith", "Mr John Paul Smith", "Mrs Smith-Jones", "Dr J.-P. Smith"]
+    out = [r["text"] for r in P.pseudonymised(docs([(i, f"see {t}, ok") for i, t in enumerate(rows)])).orderBy("doc_id").collect()]
+    for t, o in zip(rows, out):
+        assert o.startswith("see ") and o.endswith(", ok") and not {w for w in t.replace("-", " ").split()[1:] if len(w) > 2} & set(o[4:-4].replace("-", " ").split()) and t not in o, (t, o)
+    assert out[0][4] == "_" and out[1][4] == "-" and "john" not in "".join(out).lower() and out[9].split()[-2] == out[10].split()[-2]
+    assert len(set(out)) == len(rows)
