@@ -18,7 +18,8 @@ into one number per n-gram; scoring adds numbers and is a map over documents.
 
 Cases: null or empty text scores as a passage without words (the bias alone);
 labels that are null or missing are not learned from, repeated labels count as
-often as they stand; without any label of one class every text scores 0.
+often as they stand; without labels, or with clean ones alone, every text scores near 0, with toxic
+ones alone near 1; rows with a null doc_id are scored, and held_out is null for them.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ASCII_LOWER, documents, mix, tune
+from .common import ASCII_LOWER, documents, mix, split_for, tune
 
 WINDOW = 32
 BITS = 18
@@ -46,7 +48,7 @@ MAX_BYTES = 10_000_000
 MIN_DOCS = 3
 STEPS = 60
 CACHE_WORDS = 500_000
-#: Longer words are read by their first and last so many characters' n-grams only where they are scored in one go.
+#: Letters, digits and ' @ $ belong to words.
 SEPARATORS = bytes(c if chr(c).isalnum() or c >= 128 or c in b"'@$" else 32 for c in range(256))
 
 
@@ -119,15 +121,17 @@ def passage_means(values: np.ndarray, window: int) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7) -> Model:
     """Embeddings and softmax together, by full-batch Adam."""
-    docs = [words_of(t) for t in texts]
     y_doc = np.array(labels, float)
     if not len(y_doc) or y_doc.min() == y_doc.max():
         return Model(np.zeros(1 << BITS, np.float32), -50.0 if not len(y_doc) or y_doc.max() == 0 else 50.0)
     vocabulary: dict[bytes, int] = {}
-    tokens = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in docs for w in ws), np.int64)
-    sizes = np.array([len(ws) for ws in docs])
+    ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int32) for t in texts]
+    sizes = np.array([len(x) for x in ids])
+    tokens = np.concatenate(ids)
+    del ids
     index, bucket = bags(list(vocabulary))
-    per_word = np.bincount(index, minlength=len(vocabulary)).astype(float)
+    n_words = len(vocabulary)
+    per_word = np.bincount(index, minlength=n_words).astype(float)
 
     # passages: half-overlapping windows
     starts, ends, owner, at = [], [], [], 0
@@ -141,12 +145,11 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     count = np.maximum(ends - starts, 1).astype(float)
 
     # buckets seen in enough documents
-    doc_of = np.repeat(np.arange(len(docs)), sizes)
-    pairs = np.unique(doc_of * np.int64(len(vocabulary)) + tokens)
-    word_docs = np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+    pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * np.int64(n_words) + tokens)
+    word_docs = np.bincount(pairs % n_words, minlength=n_words)
+    del pairs
     bucket_docs = np.bincount(bucket, word_docs[index], 1 << BITS)
-    kept = bucket_docs >= MIN_DOCS
-    learned = kept[bucket]
+    learned = bucket_docs[bucket] >= MIN_DOCS
     index, bucket = index[learned], bucket[learned]
     used, column = np.unique(bucket, return_inverse=True)
     share = 1.0 / per_word[index]
@@ -156,33 +159,30 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     weight, bias = rng.normal(0, 1.0, DIM), np.array([-3.0])  # most passages are clean: the bias says so, not every word
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, weight, bias)]
     y = y_doc[owner]
-    toxic_docs = np.flatnonzero(y_doc > 0)
-    n_clean = (y == 0).sum()
-    first = np.searchsorted(owner, np.arange(len(docs)))
+    n_docs, n_toxic, n_clean = len(sizes), (y_doc > 0).sum(), (y == 0).sum()
+    first = np.searchsorted(owner, np.arange(n_docs))
+    mean = np.empty((len(owner), DIM))
+    run = np.zeros(len(tokens) + 1)
     for step in range(1, steps + 1):
-        word = np.stack([np.bincount(index, table[column, j] * share, len(vocabulary)) for j in range(DIM)], 1)
-        run = np.concatenate([np.zeros((1, DIM)), np.cumsum(word[tokens], 0)])
-        mean = (run[ends] - run[starts]) / count[:, None]
+        # one dimension at a time: what is held grows with the tokens, not with tokens times dimensions
+        for j in range(DIM):
+            np.cumsum(np.bincount(index, table[column, j] * share, n_words)[tokens], out=run[1:])
+            mean[:, j] = (run[ends] - run[starts]) / count
         logit = mean @ weight * 10 + bias
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         # the worst passages of each toxic document carry its label: many at first, one in the end
         worst = np.maximum.reduceat(logit, first)
         slack = 4.0 * max(0.0, 1 - 2 * step / steps)
         w = np.where(y == 0, 1.0, (logit >= worst[owner] - slack).astype(float))
-        per_doc = np.bincount(owner, w, len(docs))
-        w = np.where(y == 0, len(docs) / n_clean, w / np.maximum(per_doc[owner], 1) * len(docs) / len(toxic_docs) * 0.25)
-        g = w * (p - y) / len(docs)
-        g_mean = g[:, None] * weight * 10
+        per_doc = np.bincount(owner, w, n_docs)
+        w = np.where(y == 0, n_docs / n_clean, w / np.maximum(per_doc[owner], 1) * n_docs / n_toxic * 0.25)
+        g = w * (p - y) / n_docs
         grads_w, grads_b = (g[:, None] * mean * 10).sum(0), np.array([g.sum()])
-        step_in = g_mean / count[:, None]
-        delta = np.zeros((len(tokens) + 1, DIM))
-        for j in range(DIM):
-            delta[:, j] = np.bincount(starts, step_in[:, j], len(tokens) + 1) - np.bincount(ends, step_in[:, j], len(tokens) + 1)
-        g_token = np.cumsum(delta[:-1], 0)
-        g_table = np.empty_like(table)
-        for j in range(DIM):
-            g_word = np.bincount(tokens, g_token[:, j], len(vocabulary))
-            g_table[:, j] = np.bincount(column, g_word[index] * share, len(used)) + 2e-5 * table[:, j]
+        # a passage's gradient reaches each of its tokens alike: once for all dimensions, which differ by their weight alone
+        g_token = np.cumsum(np.bincount(starts, g / count, len(tokens) + 1) - np.bincount(ends, g / count, len(tokens) + 1))[:-1]
+        g_word = np.bincount(tokens, g_token, n_words)
+        g_column = np.bincount(column, g_word[index] * share, len(used))
+        g_table = g_column[:, None] * weight * 10 + 2e-5 * table
         for p_, g_, (m, v), rate in zip((table, weight, bias), (g_table, grads_w, grads_b), slots, (0.15, 0.05, 0.1)):
             m += 0.1 * (g_ - m)
             v += 0.01 * (g_ * g_ - v)
@@ -196,8 +196,8 @@ def held_out(c: str = "doc_id"):
     return (F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[int]]:
-    """The labelled rows to learn from, never held-out ones: bounded, the same for the same tables."""
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, text, toxic of the labelled rows to learn from, never held-out ones: bounded, the same for the same tables."""
     rows = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -205,26 +205,41 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_byt
         .limit(max_docs)
     )
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null")
-    found = found.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic", F.octet_length("text").alias("n"))
-    # texts until max_bytes, decided on sizes alone, so that no more is sent
-    sizes = sorted((r.h, r.doc_id, r.n) for r in found.select("h", "doc_id", "n").collect())
+    key = ["h", "doc_id", "t", "toxic"]
+    found = found.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), "toxic", "text", F.octet_length("text").alias("n"))
+    # texts until max_bytes, decided on hashes and sizes alone: documents may repeat an id, so this too is bounded
+    sizes = found.select(*key, "n").orderBy(*key).limit(max_docs).collect()
     total, last = 0, None
-    for h, _, n in sizes:
-        if total + n > max_bytes and last is not None:
+    for r in sizes:
+        if total + r.n > max_bytes and last is not None:
             break
-        total, last = total + n, h
+        total, last = total + r.n, r
     if last is None:
-        return [], []
-    got = sorted((r.h, r.doc_id, r.text, r.toxic) for r in found.where(F.col("h") <= last).select("h", "doc_id", "text", "toxic").collect())
-    return [g[2] for g in got], [g[3] for g in got]
+        return found.where("false").select("doc_id", "text", "toxic")
+    upto = F.struct(*key) <= F.struct(*[F.lit(last[k]).cast(found.schema[k].dataType) for k in key])
+    # equal rows beyond the bound would all pass the last key: they count once
+    return found.where(upto).dropDuplicates(key).select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels))
+    """The model of the sample's rows, fitted in one executor task; the driver gets the folded table alone."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts), ignore_index=True)
+        rows = rows.sort_values(["doc_id", "text", "toxic"], kind="stable")
+        model = fit(rows.pop("text").tolist(), rows["toxic"].tolist())
+        yield pd.DataFrame({"folded": [model.folded.tobytes()], "bias": [model.bias]})
+
+    # one task on purpose: the whole sample, at most MAX_DOCS rows and MAX_BYTES beside its last text
+    got = sample(docs, labels).repartition(1).mapInPandas(run, "folded binary, bias double").collect()
+    if not got:
+        return fit([], [])
+    return Model(np.frombuffer(got[0].folded, np.float32), got[0].bias)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with the probability that a reader would call the text toxic."""
+    """docs with the probability that a reader would call the text toxic, in a column named `column` (with underscores behind it where docs has that name)."""
+    column = split_for(docs, column)
     tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # one number per n-gram: 1 MB whatever the corpus
     at = docs.columns.index("text")
