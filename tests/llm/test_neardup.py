@@ -1,7 +1,6 @@
 import itertools
 import random
 
-import numpy as np
 import pytest
 
 from attestra.llm import neardup as N
@@ -32,6 +31,10 @@ def brute(rows, n):
     return sorted((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
+def found(got):
+    return sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect())
+
+
 def corpus():
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
@@ -54,14 +57,13 @@ def corpus():
 def test_equals_brute_force(docs, hot, monkeypatch):
     monkeypatch.setattr(N, "HOT", hot)
     rows = corpus()
-    got = sorted(tuple(r) for r in N.near_duplicates(docs(rows), words=4).collect())
-    assert got == brute(rows, 4)
+    assert found(N.near_duplicates(docs(rows), words=4)) == brute(rows, 4)
 
 
 def test_empty_null_and_repeated(docs):
     assert N.near_duplicates(docs([])).count() == 0
     got = N.near_duplicates(docs([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)])).collect()
-    assert sorted(r["component_id"] for r in got if r["component_id"] is not None) == [3, 3, 3]
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 3, False), (3, 3, True), (3, 3, True)]
 
 
 def test_long_paths_connect(spark):
@@ -71,22 +73,45 @@ def test_long_paths_connect(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("bands, rows", N.LEVELS)
-def test_longer_bands_find_pairs_at_the_threshold(bands, rows):
-    # 80 of 100 shingles in common: bands drawn from 72 values alone miss one such pair in 75 at the last level
-    r = np.random.default_rng(5)
-    missed, pairs = 0, 1500
-    for _ in range(0, pairs, 250):
-        sets = [np.unique(x) for _ in range(250) for x in (lambda s: (s[:90], s[10:]))(r.integers(0, 1 << 63, 100).astype(np.uint64))]
-        keys = N.long_band_keys(sets, bands, rows)
-        missed += int((keys[::2] != keys[1::2]).all(axis=1).sum())
-    assert missed == 0
+def group(r, size, length, edits, vocabulary):
+    """Near copies of one text, each with up to `edits` words exchanged, put in or left out."""
+    base = [r.choice(vocabulary) for _ in range(length)]
+    for _ in range(size):
+        w = list(base)
+        for _ in range(r.randint(0, edits)):
+            at, how = r.randrange(len(w)), r.random()
+            w[at : at + 1] = [] if how < 0.15 else [r.choice(vocabulary)] if how < 0.8 else [w[at], r.choice(vocabulary)]
+        yield " ".join(w)
 
 
-def test_pairs_alone_in_longer_bands_are_compared(docs, monkeypatch):
-    # 100 texts share the passage that makes two shorter ones near-copies: early buckets are hot, the last ones hold the two alone
+@pytest.mark.parametrize("hot, rare", [(2, 4), (12, 8), (12, 64)])
+def test_large_groups_around_the_threshold(docs, hot, rare, monkeypatch):
+    # most pairs of a group lie between 0.5 and 0.95, and many texts are just short of all others
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "RARE", rare)
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    texts = [t for size, length, edits in ((250, 140, 14), (120, 60, 6), (60, 30, 3)) for t in group(r, size, length, edits, words)]
+    passage = " ".join(r.choice(words) for _ in range(60))
+    texts += [passage + " " + " ".join(r.choice(words) for _ in range(r.randint(2, 60))) for _ in range(150)]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert found(N.near_duplicates(docs(rows), words=4)) == brute(rows, 4)
+
+
+def test_a_group_without_an_origin_just_below_the_threshold(docs, monkeypatch):
+    # texts of the same 40 parts, each without 6: no two reach the similarity but the planted ones
+    monkeypatch.setattr(N, "HOT", 4)
+    r = random.Random(9)
+    parts = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(40)]
+    rows = [(i, " ".join(p for k, p in enumerate(parts) if k not in out)) for i, out in enumerate(set(r.sample(range(40), 6)) for _ in range(80))]
+    rows += [(900 + i, t + " a few more") for i, t in rows[:5]]
+    assert found(N.near_duplicates(docs(rows), words=4)) == brute(rows, 4)
+
+
+def test_pairs_in_buckets_that_a_passage_fills_are_compared(docs, monkeypatch):
+    # 100 texts share the passage that makes two shorter ones near-copies
     monkeypatch.setattr(N, "HOT", 2)
-    monkeypatch.setattr(N, "LEVELS", [(64, 6), (150, 16)])
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
     rows, want = [], {}
@@ -99,3 +124,10 @@ def test_pairs_alone_in_longer_bands_are_compared(docs, monkeypatch):
     r.shuffle(rows)
     got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(docs(rows), words=4).collect()}
     assert got == want
+
+
+def test_very_long_texts(docs):
+    r = random.Random(4)
+    w = [str(r.random()) for _ in range(120_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[3000:])), (3, " ".join(w[40_000:])), (4, "x" * 300_000)]
+    assert found(N.near_duplicates(docs(rows), words=4)) == brute(rows, 4)
