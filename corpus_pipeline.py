@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import decontam, neardup, packing, pii, toxicity
-from attestra.llm.common import documents, written
+from attestra.llm.common import documents, split_for, written
 
 #: A document is rejected from this probability on.
 TOXIC_FROM = 0.5
@@ -19,14 +19,25 @@ TOXIC_FROM = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "_score").where(F.col("_score") < TOXIC_FROM).drop("_score")
+    score = split_for(docs, "_score")
+    return toxicity.score(docs, model, score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; repeated rows stay once."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One document of each group stays, that with the smallest id; of rows that repeat its id, the one with the smallest text hash.
+
+    Rows are told apart by id and text, so a text that no other is like stays although another text has its id.
+    """
+    found = written(neardup.near_duplicates(docs).select("doc_id", "text_key", "n_shingles", "component_id", "kept"), "found")
+    gone = found.where(~F.col("kept")).select("doc_id", "text_key")
+    repeated = found.where("kept and n_shingles > 0").groupBy("component_id", "doc_id").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least <> most")
+    second = found.where("kept and n_shingles > 0").join(repeated, ["component_id", "doc_id"]).where("text_key <> least").select("doc_id", "text_key")
+    gone = gone.unionByName(second).distinct()
+    key, id_ = split_for(docs, "_key"), split_for(docs, "_id")
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(gone, keyed[key].eqNullSafe(gone[key]) & keyed["doc_id"].eqNullSafe(gone[id_]), "left_anti").select(docs.columns)
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
 
@@ -37,7 +48,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Texts with surrogates; n_chars, where there is one, is that of the new text."""
+    out = pii.pseudonymised(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
