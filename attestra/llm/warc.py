@@ -34,17 +34,49 @@ from .common import fresh_path, tune, written
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT = 100
+#: Marks of revisits: 8 MB of bits.
+MARKS = 1 << 26
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
+def _marked(keys: DataFrame, key: str) -> DataFrame:
+    """Which of MARKS marks the hashes in key set: at most MARKS / 32768 rows (slot, bits) of 4 KB, whatever the number of keys."""
+    mark = _mark(key)
+    return keys.groupBy(F.bitmap_bucket_number(mark).alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
+
+
+def _mark(key: str):
+    return F.pmod(F.col(key), F.lit(MARKS)) + 1
+
+
+def _has_mark(key: str):
+    """Whether bits of the key's slot hold its mark."""
+    at = F.bitmap_bit_position(_mark(key))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
 def write_warc(pages: DataFrame, path: str, date: str = DATE) -> None:
-    """Archives under path. The text writer ends every record with the format's two empty lines."""
+    """Archives under path. The text writer ends every record with the format's two empty lines.
+
+    Revisits are found among ids, digests and lengths. Payloads stay where they are read but for those whose (page_id, digest)
+    has the mark of a revisit: these are joined with the revisits. The marks are a bitmap of fixed size; a payload that has a mark by
+    chance only takes the longer way.
+    """
     p = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2("html", 256))
-    copies = p.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    p = p.join(copies, "digest", "left")
-    revisit = F.coalesce((F.col("bytes") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
+    p = p.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2("html", 256)).withColumn("key", F.xxhash64("page_id", "digest"))
+    short = p.where(F.col("bytes") >= MIN_REVISIT).select("page_id", F.unhex("digest").alias("binary"))
+    firsts = short.groupBy("binary").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("page_id").alias("ids"), F.count("*").alias("n")).where("first < last or ids < n and ids > 0")
+    revisits = short.join(firsts.select("binary", "first"), "binary").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", F.lower(F.hex("binary")).alias("digest"), "first").distinct()
+    revisits = written(revisits.withColumn("key", F.xxhash64("page_id", "digest")), "revisits")
+    slot = F.bitmap_bucket_number(_mark("key"))
+    p = p.withColumn("slot", slot).join(F.broadcast(_marked(revisits, "key")), "slot", "left").withColumn("marked", _has_mark("key")).drop("slot", "bits")
+    direct = p.where(~F.col("marked")).withColumn("first", F.lit(None).cast("long"))
+    again = revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
+    joined = p.where("marked").join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left").drop("id", "d")
+    p = direct.unionByName(joined)
+    revisit = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -147,10 +179,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     chunks = written(_chunks(spark, path), "chunks")
     sizes = chunks.groupBy("file", "block").agg(F.sum("size").alias("total"))
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole_file = Window.partitionBy("file")
     bases = sizes.withColumn("base", F.coalesce(F.sum("total").over(in_file), F.lit(0)))
-    files = sizes.groupBy("file").agg((F.sum("total") - len(MAGIC)).alias("file_size"), F.count("*").alias("splits"))
+    bases = bases.withColumn("file_size", F.sum("total").over(whole_file) - len(MAGIC)).withColumn("splits", F.count("*").over(whole_file))
     # a piece starts after its magic line; the first piece of a file comes before any
-    placed = chunks.join(bases, ["file", "block"]).join(files, "file").withColumn("pos", F.col("base") + F.col("local") - len(MAGIC))
+    placed = chunks.join(bases, ["file", "block"]).withColumn("pos", F.col("base") + F.col("local") - len(MAGIC))
     placed = placed.where("pos >= 0")
     known = placed.where("length is not null and pos + length <= file_size").withColumn("following", F.col("pos") + F.col("length"))
     known = written(known.drop("base", "local", "total", "size", "length"), "candidates")
@@ -174,7 +207,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     if cut.isEmpty():
         return whole
     # payloads with magic lines: their pieces, read again
-    spans = placed.select("file", "block", "local", "pos").join(cut, "file").where("pos >= start and pos < following")
+    reach = cut.join(bases.select("file", "block", "base", "total"), "file").where("base < following and base + total > start").drop("base", "total")
+    spans = placed.select("file", "block", "local", "pos").join(reach, ["file", "block"]).where("pos >= start and pos < following")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, at = None, 0
