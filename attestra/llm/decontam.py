@@ -13,7 +13,7 @@ passages of a batch at once: the terms that are common among items are left out
 of the sum, and what an item can win by them at most is subtracted from what its
 block needs. Nothing that reaches the threshold can fail that screen.
 
-The index is broadcast. It holds at most MAX_ITEMS items; a larger benchmark is
+The index is broadcast. It holds about MAX_ITEMS items or MAX_BYTES of text at most; a larger benchmark is
 dealt into parts by a hash, and documents are searched against one part after
 the other. Statistics (document frequencies, mean length) are those of all items.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ K1, B = 1.2, 0.75
 RATIO = 0.5
 BLOCK = 8
 MAX_ITEMS = 20_000
+#: Most bytes of item text in one part, on average.
+MAX_BYTES = 32_000_000
 #: Verification: n-grams of words, and the least shares found of the question's and the answer's.
 GRAM = 3
 QUESTION, ANSWER = 0.5, 0.3
@@ -95,35 +98,36 @@ class Index:
                 if t == len(postings):
                     postings.append([])
                 postings[t].append((k, x / (ratio * self.own[k])))
-        self.items = [np.array([k for k, _ in p], np.int64) for p in postings]
-        self.impacts = [np.array([x for _, x in p]) for p in postings]
-        self.most = np.array([p.max() for p in self.impacts]) if postings else np.zeros(0)
-        self.block_max: list[dict[int, float]] = []
-        for its, imp in zip(self.items, self.impacts):
-            tops: dict[int, float] = {}
-            for k, x in zip((its // block).tolist(), imp.tolist()):
-                tops[k] = max(tops.get(k, 0.0), x)
-            self.block_max.append(tops)
+        # a posting list by its blocks: block -> (largest impact, items, impacts)
+        self.blocks: list[dict[int, tuple[float, list[int], list[float]]]] = []
+        for p in postings:
+            cut: dict[int, tuple[float, list[int], list[float]]] = {}
+            for k, x in p:
+                top, its, imps = cut.get(k // block, (0.0, [], []))
+                cut[k // block] = (max(top, x), [*its, k], [*imps, x])
+            self.blocks.append(cut)
+        items = [np.array([k for k, _ in p], np.int64) for p in postings]
+        impacts = [np.array([x for _, x in p]) for p in postings]
         # terms left out of the screen, most widespread first, as far as no item can win COMMON_SHARE by them
-        won, self.rare = np.zeros(len(items)), np.ones(len(postings), bool)
-        for t in sorted(range(len(postings)), key=lambda t: -len(self.items[t])):
-            if len(self.items[t]) > 2 and (won[self.items[t]] + self.impacts[t]).max() <= COMMON_SHARE:
-                won[self.items[t]] += self.impacts[t]
+        won, self.rare = np.zeros(len(self.ids)), np.ones(len(postings), bool)
+        for t in sorted(range(len(postings)), key=lambda t: -len(items[t])):
+            if len(items[t]) > 2 and (won[items[t]] + impacts[t]).max() <= COMMON_SHARE:
+                won[items[t]] += impacts[t]
                 self.rare[t] = False
-        blocks = -(-len(items) // block)
+        blocks = -(-len(self.ids) // block)
         self.need = np.array([(1 - won[i * block : (i + 1) * block]).min() for i in range(blocks)]) - 1e-9
-        entries = [(sorted(self.block_max[t].items()) if self.rare[t] else []) for t in range(len(postings))]
+        entries = [(sorted((b, cut[0]) for b, cut in self.blocks[t].items()) if self.rare[t] else []) for t in range(len(postings))]
         self.at = np.concatenate([[0], np.cumsum([len(x) for x in entries])]).astype(np.int64)
         self.entry_block = np.array([b for x in entries for b, _ in x], np.int64)
         self.entry_max = np.array([v for x in entries for _, v in x])
 
-    def screen(self, terms: np.ndarray, passage: np.ndarray, n_passages: int) -> np.ndarray:
-        """Passages in which some block can reach its need. terms, passage: of each occurrence of an indexed term."""
+    def screen(self, terms: np.ndarray, passage: np.ndarray, n_passages: int) -> dict[int, list[int]]:
+        """Passage -> the blocks that can reach their need in it. terms, passage: of each occurrence of an indexed term."""
         rare = self.rare[terms]
         terms, passage = terms[rare], passage[rare]
         counts = self.at[terms + 1] - self.at[terms]
         if not counts.sum():
-            return np.empty(0, np.int64)
+            return {}
         first = np.repeat(self.at[terms] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         entry = first + np.arange(counts.sum())
         blocks = len(self.need)
@@ -133,44 +137,47 @@ class Index:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         bound = np.add.reduceat(self.entry_max[entry[order]], starts)
         key = key[starts]
-        return np.unique(key[bound >= self.need[key % blocks]] // blocks)
+        out: dict[int, list[int]] = {}
+        for k in key[bound >= self.need[key % blocks]].tolist():
+            out.setdefault(k // blocks, []).append(k % blocks)
+        return out
+
+    def search(self, terms: list[int], blocks: list[int] | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: every (item, score) with a score of at least 1, terms counting once.
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: every (item, score) with a score of at least 1, terms counting once."""
-        cursors = [[self.items[t][0], 0, t] for t in set(terms)]
+        blocks: those that the screen leaves; without it, all that the terms have postings in.
+        """
+        lists = [self.blocks[t] for t in set(terms)]
         found: list[tuple[int, float]] = []
-        end, block = 1 << 60, self.block
-        while True:
-            cursors = [c for c in cursors if c[0] < end]
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for i, (_, _, t) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= 1 - 1e-9:
-                    pivot = i
+        for b in sorted({b for x in lists for b in x}) if blocks is None else blocks:
+            inside = [x[b] for x in lists if b in x]
+            if sum(x[0] for x in inside) < 1 - 1e-9:
+                continue  # by its maxima the block can't reach the threshold: skipped whole
+            # cursors: current item, place, the list; the pivot is the first item that the maxima up to it allow to reach the threshold
+            cursors = [[x[1][0], 0, x] for x in inside]
+            while cursors:
+                cursors.sort(key=lambda c: c[0])
+                bound, item = 0.0, None
+                for c in cursors:
+                    bound += c[2][0]
+                    if bound >= 1 - 1e-9:
+                        item = c[0]
+                        break
+                if item is None:
                     break
-            if pivot < 0:
-                return found
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            b = item // block
-            if sum(self.block_max[c[2]].get(b, 0.0) for c in cursors[: pivot + 1]) < 1 - 1e-9:
-                target = min([(b + 1) * block] + [c[0] for c in cursors[pivot + 1 : pivot + 2]])
-                target = max(target, item + 1)
-                moved = cursors[: pivot + 1]
-            elif cursors[0][0] == item:
-                score = sum(self.impacts[t][i] for k, i, t in cursors if k == item)
-                if score >= 1 - 1e-9:
-                    found.append((int(item), float(score)))
-                target, moved = item + 1, cursors[: pivot + 1]
-            else:
-                target, moved = item, cursors[: pivot + 1]
-            for c in moved:
-                if c[0] < target:
-                    i = int(np.searchsorted(self.items[c[2]], target))
-                    c[1] = i
-                    c[0] = self.items[c[2]][i] if i < len(self.items[c[2]]) else end
+                target = item
+                if cursors[0][0] == item:
+                    score = sum(c[2][2][c[1]] for c in cursors if c[0] == item)
+                    if score >= 1 - 1e-9:
+                        found.append((item, float(score)))
+                    target = item + 1
+                for c in cursors:
+                    if c[0] < target:
+                        its = c[2][1]
+                        c[1] = at = bisect_left(its, target, c[1])
+                        c[0] = its[at] if at < len(its) else -1
+                cursors = [c for c in cursors if c[0] >= 0]
+        return found
 
     def verify(self, item: int, words: list[bytes]) -> tuple[float, float]:
         """Shares of the question's and the answer's n-grams that words hold."""
@@ -213,10 +220,10 @@ class Matcher(dict):
             return
         ids, passages = np.concatenate(ids), np.concatenate(passages)
         best: dict[tuple[int, int], tuple] = {}
-        for p in self.index.screen(ids, passages, len(owners)).tolist():
+        for p, blocks in self.index.screen(ids, passages, len(owners)).items():
             d = owners[p]
             words = texts[d][starts[p] : starts[p] + self.width]
-            for item, score in self.index.search([t for t in map(self.__getitem__, words) if t >= 0]):
+            for item, score in self.index.search([t for t in map(self.__getitem__, words) if t >= 0], blocks):
                 q, a = self.index.verify(item, words)
                 if q >= QUESTION and a >= ANSWER and (score, q, a) > best.get((d, item), (0.0,)):
                     best[d, item] = (score, q, a)
@@ -256,7 +263,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, ratio: float = RATIO, max_it
         return out
     frequencies = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     found = None
-    n_parts = -(-n_items // max_items)
+    size = items.agg(F.sum(F.octet_length(F.concat_ws(" ", "text", "question", "answer")))).first()[0]
+    n_parts = max(-(-n_items // max_items), -(-size // MAX_BYTES))
     for part in range(n_parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part)
         rows = [(r["item_id"], *_parts(r)) for r in own.orderBy("item_id", "text", "question", "answer").collect()]
