@@ -3,19 +3,23 @@
 Every task packs the documents of its own partition, so nothing is shuffled.
 ``N[h]`` counts the windows now filled to level ``h``. A piece goes to the
 level for which the sum of squares of ``N`` comes out smallest; ties go to the
-fullest window. Whole windows are cut from long documents first. When too many
-windows are open, and at a task's end, what the open windows hold is laid end
-to end and cut anew: full windows, then windows of falling powers of two, which
-need no padding. A rerun of a task packs the same rows in the same way.
+fullest window. Whole windows are cut from long documents first.
+
+Windows that little fits into stay open, so at OPEN_LIMIT open windows a piece that asks for a new one
+is cut: its head fills the fullest window, its rest is placed by the sum of squares again. At a task's end
+the emptiest windows are dealt out to fill the fullest; what the last one holds is cut into falling powers of two,
+which need no padding. A rerun of a task packs the same rows in the same way.
 
 Cases: null or empty text is the closing id alone; equal documents are packed
-each on its own; an empty table gives no rows; other columns are ignored.
+each on its own; rows with equal or null doc_ids are documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +27,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import documents, tune
 
 SIZE = 1024
 END_ID = 0
-#: Open windows at which a task lays what they hold end to end; bounds its memory, drops nothing.
-OPEN_LIMIT = 768
+#: Open windows of a task; beyond them the fullest is filled by cutting a piece. Bounds its memory, drops nothing.
+OPEN_LIMIT = 64
 #: Words whose ids a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 CACHED_LENGTH = 64
 VOCABULARY = "byte_bpe_50k"
 
@@ -42,12 +47,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(f"{name}.json")
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Ids(dict):
     """Text between two lone spaces -> its ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokeniser always cuts before a lone space that stands
     between two other characters, so texts can be cut there and the parts' ids
-    remembered. A word's closing signs are cut off likewise.
+    remembered. A word's closing signs are cut off likewise. What is new in a batch of texts is encoded in one call.
     """
 
     LONE = re.compile(r"(?<=\S) (?=\S)")
@@ -56,40 +68,58 @@ class Ids(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        ranks_file = path.removesuffix(".json") + ".tiktoken"
-        try:  # the same vocabulary as byte ranks: equal ids, faster
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks_file, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        except (ImportError, FileNotFoundError):
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-        self.encode = lambda t: np.array(encode(t), "<u4").tobytes()
-        self.tails: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.long: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 500):  # few at a time: each comes back as a large object
+            out += [_little_endian(e.ids) for e in self.tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
+        return out
 
     def __missing__(self, part: str) -> bytes:
-        if (tail := self.TAIL.search(part)) and len(tail[0]) <= CACHED_LENGTH:
-            if (end := self.tails.get(tail[0])) is None:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                end = self.tails[tail[0]] = self.encode(tail[0])
-            return self[part[: tail.start()]] + end
-        ids = self.encode(" " + part)
-        if len(part) <= CACHED_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[part] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        parts = self.LONE.split(text) if self.ODD.search(text) else text.split(" ")
-        return self.encode(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
+        return self.long[part]
+
+    def learn(self, parts: set[str]) -> None:
+        """Have the ids of all parts: of short ones for good, of long ones for this batch."""
+        self.long.clear()
+        new = [p for p in parts if p not in self]
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = list(parts)
+        stems, tails, cut = [], {}, []
+        for p in new:
+            tail = None if p[-1:].isalnum() else self.TAIL.search(p)
+            stems.append(" " + (p[: tail.start()] if tail else p))
+            if tail:
+                tails[tail[0]] = b""
+                cut.append((p, tail[0]))
+        tails = dict(zip(tails, self.encode(list(tails))))
+        found = dict(zip(new, self.encode(stems)))
+        for p, tail in cut:
+            found[p] += tails[tail]
+        for p, ids in found.items():
+            (self if len(p) <= CACHED_LENGTH else self.long)[p] = ids
+
+    def all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        cut = [self.LONE.split(t) if self.ODD.search(t) else t.split(" ") for t in texts]
+        heads = self.encode([c[0] for c in cut])
+        self.learn({p for c in cut for p in c[1:]})
+        for head, c in zip(heads, cut):
+            yield head + b"".join(map(self.__getitem__, c[1:]))
+
+
+_IDS: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The worker's own, kept from task to task."""
+    if path not in _IDS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
+        _IDS[path] = Ids(path)
+    return _IDS[path]
 
 
 class Packer:
@@ -100,6 +130,8 @@ class Packer:
         self.counts = np.zeros(size + 1, np.int64)
         self.windows: list[list[list]] = [[] for _ in range(size + 1)]
         self.open = 0
+        #: Tokens that filled a window's rest, and not a level chosen by the sum of squares.
+        self.cut = 0
 
     def _closed(self, pieces: list) -> list[tuple]:
         out, at = [], 0
@@ -121,36 +153,67 @@ class Packer:
                 best = h + 1
         return best
 
+    def _put(self, h: int, piece: tuple) -> list[tuple]:
+        """Put a piece into a window of level h; 0 opens one."""
+        pieces = self.windows[h].pop() if h else []
+        pieces.append(piece)
+        if h:
+            self.counts[h] -= 1
+            self.open -= 1
+        level = h + len(piece[2]) // 4
+        if level == self.size:
+            return self._closed(pieces)
+        self.windows[level].append(pieces)
+        self.counts[level] += 1
+        self.open += 1
+        return []
+
     def add(self, doc, ids: bytes) -> list[tuple]:
         total, out, start = len(ids) // 4, [], 0
         while total - start >= self.size:
             out += self._closed([(doc, start, ids[4 * start : 4 * (start + self.size)], total)])
             start += self.size
-        length = total - start
-        if length:
+        while start < total:
+            length = total - start
             h = self.level(length)
-            pieces = self.windows[h].pop() if h else []
-            pieces.append((doc, start, ids[4 * start :], total))
-            if h:
-                self.counts[h] -= 1
-                self.open -= 1
-            if h + length == self.size:
-                out += self._closed(pieces)
-            else:
-                self.windows[h + length].append(pieces)
-                self.counts[h + length] += 1
-                self.open += 1
-                if self.open > OPEN_LIMIT:
-                    out += self.flush()
+            if not h and self.open >= OPEN_LIMIT:
+                h = int(np.flatnonzero(self.counts)[-1])
+                length = min(length, self.size - h)
+                self.cut += length
+            out += self._put(h, (doc, start, ids[4 * start : 4 * (start + length)], total))
+            start += length
         return out
 
     def flush(self) -> list[tuple]:
-        """Lay open windows end to end; cut full windows, then falling powers of two."""
-        pieces = [p for level in reversed(self.windows) for window in level for p in window]
-        left = sum(len(p[2]) for p in pieces) // 4
+        """Fill the fullest windows with what the emptiest hold; cut the last into falling powers of two."""
+        rest = [w for level in reversed(self.windows) for w in level]
+        sizes = [h for h in reversed(range(self.size + 1)) for _ in self.windows[h]]
+        out, i, j = [], 0, len(rest) - 1
+        while i < j:
+            while sizes[i] < self.size and i < j:
+                doc, start, ids, total = rest[j].pop()
+                keep = max(0, len(ids) // 4 - (self.size - sizes[i]))
+                rest[i].append((doc, start + keep, ids[4 * keep :], total))
+                if keep:
+                    rest[j].append((doc, start, ids[: 4 * keep], total))
+                moved = len(ids) // 4 - keep
+                sizes[i], sizes[j], self.cut = sizes[i] + moved, sizes[j] - moved, self.cut + moved
+                if not rest[j]:
+                    j -= 1
+            if sizes[i] == self.size:
+                out += self._closed(rest[i])
+                i += 1
+        if i == j:
+            out += self._powers(rest[i], sizes[i])
+        self.counts[:] = 0
+        self.windows = [[] for _ in range(self.size + 1)]
+        self.open = 0
+        return out
+
+    def _powers(self, pieces: list, left: int) -> list[tuple]:
         out, k, used = [], 0, 0
         while left:
-            room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
+            room = 1 << (left.bit_length() - 1)
             left -= room
             window = []
             while room:
@@ -161,9 +224,6 @@ class Packer:
                 if used == len(ids) // 4:
                     k, used = k + 1, 0
             out += self._closed(window)
-        self.counts[:] = 0
-        self.windows = [[] for _ in range(self.size + 1)]
-        self.open = 0
         return out
 
 
@@ -180,7 +240,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) -> Da
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path or vocabulary_path())
+        ids = ids_of(path or vocabulary_path())
         end = np.array([END_ID], "<u4").tobytes()
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
@@ -189,14 +249,16 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) -> Da
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                new = packer.add(doc, ids.of(text.as_py() or "") + end)
-                held += sum(len(p[2]) for p in new)
-                rows += new
-                if held > 8_000_000:
-                    yield batch()
-                    rows, held = [], 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, 250):
+                b = whole.slice(i, 250)
+                for doc, found in zip(b.column(0).to_pylist(), ids.all([t.as_py() or "" for t in b.column(1)])):
+                    new = packer.add(doc, found + end)
+                    held += sum(len(p[2]) for p in new)
+                    rows += new
+                    if held > 8_000_000:
+                        yield batch()
+                        rows, held = [], 0
         rows += packer.flush()
         if rows:
             yield batch()

@@ -19,8 +19,8 @@ def tokenizer():
 def test_cached_ids_equal_the_tokenizer(tokenizer):
     ids = P.Ids(P.vocabulary_path())
     for _ in range(2):
-        for t in TEXTS:
-            assert np.frombuffer(ids.of(t or ""), "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+        for t, got in zip(TEXTS, ids.all([t or "" for t in TEXTS])):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def test_round_trip(docs, tokenizer):
@@ -71,3 +71,24 @@ def test_level_minimises_squares():
 
 def test_empty(docs):
     assert P.pack(docs([])).count() == 0
+
+
+def test_ids_of_all_documents_equal_the_tokenizer(spark, tokenizer):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    got = P.Ids(P.vocabulary_path()).all(texts)
+    assert all(np.frombuffer(g, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t, g in zip(texts, got))
+
+
+def test_most_tokens_are_placed_by_the_sum_of_squares():
+    r = np.random.default_rng(3)
+    p, pieces, cut_from = P.Packer(), [], 0
+    for i, n in enumerate(r.lognormal(5.5, 0.8, 3000).astype(int) + 1):
+        pieces += p.add(i, b"\1\0\0\0" * int(n))
+        cut_from += int(n) % 1024
+        assert p.open <= P.OPEN_LIMIT
+    pieces += p.flush()
+    sizes = {}
+    for x in pieces:
+        sizes[x[4]] = sizes.get(x[4], 0) + len(x[2]) // 4
+    assert p.cut <= 0.05 * cut_from
+    assert all(n == 1024 or n & (n - 1) == 0 for n in sizes.values()) and sum(n < 1024 for n in sizes.values()) <= 10
