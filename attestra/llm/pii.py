@@ -11,7 +11,7 @@ format or document, get the same replacement (coreference).
 Distinctness: all distinct entities are listed once; those that share a replacement, or
 whose replacement is itself an entity of the corpus, draw again with a higher
 attempt number, all but the first, until none is left. Later attempts of e-mails
-and names are longer, so the space never runs out. Only entities with attempt
+and names are longer; should ROUNDS draws not be enough (an address space as full as the corpus), an error is raised. Only entities with attempt
 numbers above 0 are joined back to their documents.
 
 Cases: null and empty texts stay as they are, as do texts without entities;
@@ -29,6 +29,8 @@ from .common import documents, split_for, written
 KEY = "attestra-demonstration-key"
 #: Texts with entities of later attempts are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 20_000
+#: Draws of an entity at most; what still collides then is an error, never passed over.
+ROUNDS = 64
 
 #: Telephone numbers of ten digits in groups, with or without a country code; all their mentions agree in the last ten digits.
 NATIONAL = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
@@ -194,17 +196,17 @@ def assigned(docs: DataFrame, key: str = KEY) -> DataFrame:
     known = entities(docs.select("text")).select("kind", "canonical").distinct()
     out = known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key))
     out = written(out, "surrogates")
-    for _ in range(64):
+    for _ in range(ROUNDS):
         # all that claim a form: its own entity first, then surrogates by attempt and canonical form
         claims = out.select("kind", F.col("surrogate").alias("form"), "attempt", "canonical").unionByName(out.select("kind", F.col("canonical").alias("form"), F.lit(-1).alias("attempt"), F.lit("").alias("canonical")))
         first = claims.groupBy("kind", "form").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canonical")).alias("holder")).where("n > 1")
         lost = out.join(first.withColumnRenamed("form", "surrogate"), ["kind", "surrogate"]).where((F.col("holder.attempt") != F.col("attempt")) | (F.col("holder.canonical") != F.col("canonical"))).select("kind", "canonical", F.lit(True).alias("lost"))
         lost = written(lost, "collisions")
         if lost.isEmpty():
-            break
+            return out
         again = out.join(lost, ["kind", "canonical"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("lost", F.lit(False)).cast("int"))
         out = written(again.select("kind", "canonical", "attempt", surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key).alias("surrogate")), "surrogates")
-    return out
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds: {lost.limit(5).collect()}")
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
+from .fingerprint import let
 
 SCOPE = 400
 
@@ -32,6 +33,8 @@ WEAK = {
     "endpoint": r"(?<![A-Za-z0-9])(?:https?|s3|ftp|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+",
 }
 KINDS = [*BASE, *WEAK]
+#: Even, as matches stand at odd places.
+BLOCK = 128
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -42,19 +45,32 @@ def _cut(text: Column, pattern: str) -> Column:
 
 
 def found(text: Column, kind: str) -> Column:
-    """All spans of a kind, leftmost first, without overlap."""
+    """All spans of a kind, leftmost first, without overlap.
+
+    Pieces are summed up in blocks of BLOCK, then the blocks: arrays that grow in a fold stay short in texts of very many spans.
+    """
     pattern = (BASE | WEAK)[kind]
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("spans"))
+    rank = KINDS.index(kind)
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
+    none = F.array().cast(SPAN)
 
     def step(s: Column, piece: Column) -> Column:
         end = s["at"] + F.char_length(piece)
         right = s["i"] % 2 == 1
         if kind == "assign":
             right = right & (F.char_length(F.regexp_extract(piece, pattern, 2)) >= 6)
-        span = F.array(F.struct(s["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), (s["i"] + 1).alias("i"), F.when(right, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), (s["i"] + 1).alias("i"), F.when(right, F.concat(s["spans"], F.array(span(s["at"], end)))).otherwise(s["spans"]).alias("spans"))
+
+    def blocks(cut: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("spans"))
+        return F.transform(F.sequence(F.lit(1), F.size(cut), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(cut, i, F.lit(BLOCK)), start, step))
+
+    def placed(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(blocks, start, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(b["spans"], lambda x: span(x["start"] + at, x["end"] + at))))
 
-    return F.when(text.rlike(pattern), F.aggregate(_cut(text, pattern), start, step, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(let(_cut(text, pattern), blocks), placed)).otherwise(none)
 
 
 def joined(spans: Column) -> Column:

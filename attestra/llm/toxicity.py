@@ -18,8 +18,7 @@ into one number per n-gram; scoring adds numbers and is a map over documents.
 
 Cases: null or empty text scores as a passage without words (the bias alone);
 labels that are null or missing are not learned from, repeated labels count as
-often as they stand; without labels, or with clean ones alone, every text scores near 0, with toxic
-ones alone near 1; rows with a null doc_id are scored, and held_out is null for them.
+often as they stand; without labels of both classes there is nothing to tell them apart by, and every text scores near 0; rows with a null doc_id are scored, and held_out is null for them.
 """
 
 from __future__ import annotations
@@ -123,7 +122,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     """Embeddings and softmax together, by full-batch Adam."""
     y_doc = np.array(labels, float)
     if not len(y_doc) or y_doc.min() == y_doc.max():
-        return Model(np.zeros(1 << BITS, np.float32), -50.0 if not len(y_doc) or y_doc.max() == 0 else 50.0)
+        return Model(np.zeros(1 << BITS, np.float32), -50.0)
     vocabulary: dict[bytes, int] = {}
     ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int32) for t in texts]
     sizes = np.array([len(x) for x in ids])

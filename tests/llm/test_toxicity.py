@@ -72,7 +72,7 @@ def test_score_equals_plain_numpy(spark, docs):
         assert abs(r["score_"] - plain(r["text"])) < 1e-9
 
 
-def test_one_class_alone(spark, docs):
+def test_one_class_alone_rejects_nothing(spark, docs):
     d = docs([(i, f"words of {i}") for i in range(1, 20)])
     toxic = X.train(d, spark.createDataFrame([(i, 1) for i in range(1, 20)], "doc_id long, toxic int"))
-    assert all(r["p"] > 0.5 for r in X.score(d, toxic, "p").collect())
+    assert all(r["p"] < 0.5 for r in X.score(d, toxic, "p").collect())
