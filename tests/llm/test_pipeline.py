@@ -28,7 +28,7 @@ def odd(spark, tmp_path):
     rows = [(1, base), (2, near), (2, "a text of its own that nothing else is like " * 3), (3, base), (3, base), (4, None), (5, ""), (None, "no id " * 9), (None, None), (6, "call 743-555-3824 " + "x" * 50_000), (7, base + " z"), (7, near)]
     wide = [(i, t, "en", "s", 1, 0.9, 5, True, 7, "k") for i, t in rows]
     spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, _score double, text_key long, kept boolean, item_id long, `_key` string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 0), (2, 1), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "what is asked here today. the answer is given so."), (2, None), (None, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
 
