@@ -16,18 +16,18 @@ each on its own; rows with equal or null doc_ids are documents of their own; an
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import documents, tune
 
@@ -54,6 +54,33 @@ def _little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _by_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 500):  # few at a time: each comes back as a large object
+            out += [_little_endian(e.ids) for e in tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
+        return out
+
+    return encode
+
+
+def _by_ranks(path: str) -> Callable[[list[str]], list[bytes]]:
+    """The same vocabulary as byte ranks: the tokenizer's ids (a test holds both against each other on all documents) in a quarter of its time."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda texts: [_little_endian(encode(t)) for t in texts]
+
+
 class Ids(dict):
     """Text between two lone spaces -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -68,15 +95,9 @@ class Ids(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.long: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 500):  # few at a time: each comes back as a large object
-            out += [_little_endian(e.ids) for e in self.tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
-        return out
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        self.encode = _by_ranks(ranks) if os.path.exists(ranks) else _by_tokenizer(path)
 
     def __missing__(self, part: str) -> bytes:
         return self.long[part]
@@ -117,7 +138,6 @@ _IDS: dict[str, Ids] = {}
 def ids_of(path: str) -> Ids:
     """The worker's own, kept from task to task."""
     if path not in _IDS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
         _IDS[path] = Ids(path)
     return _IDS[path]
 

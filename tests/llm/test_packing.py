@@ -23,6 +23,14 @@ def test_cached_ids_equal_the_tokenizer(tokenizer):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_ids_without_the_rank_file(tokenizer, tmp_path):
+    import shutil
+
+    path = shutil.copy(P.vocabulary_path(), tmp_path / "v.json")
+    for t, got in zip(TEXTS, P.Ids(str(path)).all([t or "" for t in TEXTS])):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_round_trip(docs, tokenizer):
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
     got = P.pack(docs(rows)).collect()
@@ -74,7 +82,7 @@ def test_empty(docs):
 
 
 def test_ids_of_all_documents_equal_the_tokenizer(spark, tokenizer):
-    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
     got = P.Ids(P.vocabulary_path()).all(texts)
     assert all(np.frombuffer(g, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t, g in zip(texts, got))
 
