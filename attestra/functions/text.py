@@ -38,12 +38,24 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def has_any(text: Column, parts: list[str]) -> Column:
+    """Whether text holds one of the parts: a cheap guard before a pattern."""
+    out = F.contains(text, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
 def normalized(text: Column) -> Column:
-    """Lower case, initials joined, `vs` as `v`, all but letters, digits and brackets as spaces."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"(?:\G(?!^)|\b(?=(?:[a-z]\.){2}))([a-z])\.", "$1")
-    t = F.regexp_replace(t, r"\bvs?\.?\b", " v ")
-    return squeeze(F.regexp_replace(t, r"[^a-z0-9() ]+", " "))
+    """Lower case, initials joined, `vs` as `v`, all but letters, digits and brackets as single spaces."""
+    initials = lambda t: F.when(t.rlike(r"[a-z]\.[a-z]\."), F.regexp_replace(t, r"(?:\G(?!^)|\b(?=(?:[a-z]\.){2}))([a-z])\.", "$1")).otherwise(t)
+    versus = lambda t: F.when(t.rlike(r"\bv"), F.regexp_replace(t, r"\bvs?\.?\b", " v ")).otherwise(t)
+    return F.trim(F.regexp_replace(let(let(F.lower(text), initials), versus), r"[^a-z0-9()]+", " "))
 
 
 def section_reference_tokens(code: Column, section: Column) -> Column:
@@ -66,19 +78,24 @@ def reference_tokens(norm: Column) -> Column:
     first = lambda m: section_reference_tokens(F.regexp_extract(m, SECTION_CODE, 1), F.regexp_extract(m, SECTION_CODE, 2))
     second = lambda m: section_reference_tokens(F.regexp_extract(m, CODE_SECTION, 1), F.regexp_extract(m, CODE_SECTION, 2))
     third = lambda m: article_reference_tokens(F.regexp_extract(m, ARTICLE, 1))
-    return F.concat(_matches(norm, SECTION_CODE, first), _matches(norm, CODE_SECTION, second), _matches(norm, ARTICLE, third))
+    none = F.array().cast("array<string>")
+    coded = F.when(has_any(norm, ["ipc", "crpc", "bns", "bsa"]), F.concat(_matches(norm, SECTION_CODE, first), _matches(norm, CODE_SECTION, second))).otherwise(none)
+    return F.concat(coded, F.when(F.contains(norm, F.lit("article")), _matches(norm, ARTICLE, third)).otherwise(none))
 
 
 def citation_tokens(norm: Column) -> Column:
     one = lambda m: F.array(F.regexp_replace(squeeze(F.regexp_replace(m, r"[()]", "")), " ", "_"))
-    return F.concat(*[_matches(norm, p, one) for p in CITATIONS])
+    found = lambda t: F.concat(*[_matches(t, p, one) for p in CITATIONS])
+    return F.when(has_any(norm, ["air ", "scc", "insc"]), found(norm)).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(text: Column) -> Column:
     """Distinct tokens in order: references, citations, words."""
-    n = normalized(text)
-    found = F.concat(reference_tokens(n), citation_tokens(n), F.regexp_extract_all(n, F.lit(WORD), F.lit(0)))
-    return F.filter(F.array_distinct(found), lambda t: t != "")
+
+    def of(n: Column) -> Column:
+        return F.concat(reference_tokens(n), citation_tokens(n), F.regexp_extract_all(n, F.lit(WORD), F.lit(0)))
+
+    return F.filter(F.array_distinct(let(normalized(text), of)), lambda t: t != "")
 
 
 def aliases(act_name: Column) -> Column:

@@ -10,8 +10,8 @@ from ..functions.vectors import norm
 
 K1, B = 1.5, 0.75
 RRF_K = 60
-#: Broadcast the query side only up to so many tokens.
-BROADCAST_TOKENS = 200_000
+#: The terms of the queries are broadcast up to so many rows; beyond, postings are joined with them by shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def corpus_statistics(tokens: DataFrame) -> DataFrame:
@@ -26,20 +26,23 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 20, valid: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score, rank. queries: query_id, tokens (repeats count); docs: doc_id, tokens (distinct).
 
-    Statistics are those of all docs; `valid` drops results afterwards. Postings are cut down to
-    tokens of queries before anything is shuffled; idf depends on just those.
+    Statistics are those of all docs; `valid` drops results afterwards. Documents are tokenised once: what is kept of them is
+    a row for their length and one for each token that a query has. As long as the queries' terms can be broadcast, a
+    document's postings stay in one task, so scores are summed there before anything is shuffled.
     """
-    terms = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    wanted = terms.select("token").distinct()
-    stats = corpus_statistics(docs)
-    lengths = docs.select("doc_id", "tokens", F.size("tokens").alias("length"), *([valid.alias("ok")] if valid is not None else []))
-    postings = lengths.select("doc_id", "length", *(["ok"] if valid is not None else []), F.explode("tokens").alias("token"))
-    postings = postings.join(wanted, "token", "left_semi")
+    terms = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")).persist()
+    sent = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda df: df)
+    wanted = terms.select("token").distinct().withColumn("wanted", F.lit(True))
+    flags = [valid.alias("ok")] if valid is not None else []
+    rows = docs.select("doc_id", F.size("tokens").alias("length"), *flags, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
+    rows = rows.join(sent(wanted), "token", "left").where("token is null or wanted").drop("wanted").persist()
+    postings = rows.where("token is not null")
+    stats = rows.where("token is null").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     weights = terms.join(df, "token").join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("times"))
-    scored = postings.join(weights.select("query_id", "token", "idf", "avg_length"), "token")
     if valid is not None:
-        scored = scored.where("ok")
+        postings = postings.where("ok")
+    scored = postings.join(sent(weights.select("query_id", "token", "idf", "avg_length")), "token")
     part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / F.greatest("avg_length", F.lit(1.0))))
     scores = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("token")).alias("matched")).where("score > 0")
     return ranked(scores.withColumn("score", F.round("score", 6)), "query_id", [F.desc("score"), F.asc("doc_id")], top_k)
