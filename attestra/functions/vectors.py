@@ -2,22 +2,61 @@
 
 from __future__ import annotations
 
+from functools import cache
+from hashlib import sha256
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 DIMENSION = 24
+#: Words whose vectors a worker remembers.
+CACHE_WORDS = 200_000
+
+
+class WordVectors(dict):
+    """word -> bytes of its SHA-256 / 255 - 0.5."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.at = np.arange(dimension) % 32
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        v = self[word] = np.frombuffer(sha256(word.encode()).digest(), np.uint8)[self.at] / 255.0 - 0.5
+        return v
+
+
+@cache
+def word_vectors(dimension: int) -> WordVectors:
+    """The worker's own, kept from batch to batch."""
+    return WordVectors(dimension)
 
 
 def embedding(text: Column, dimension: int = DIMENSION) -> Column:
-    """Per word (as often as it stands) bytes of its SHA-256 / 255 - 0.5, summed, at unit length, 8 decimals."""
-    words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
-    at = F.sequence(F.lit(0), F.lit(dimension - 1))
-    zero = F.array_repeat(F.lit(0.0), dimension)
-    byte = lambda h, i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5
-    total = F.aggregate(F.transform(words, lambda w: F.sha2(w, 256)), zero, lambda s, h: F.zip_with(s, at, lambda x, i: x + byte(h, i)))
-    unit = lambda v, n: F.transform(v, lambda x: F.round(x / F.when(n == 0, 1.0).otherwise(n), 8))
-    sized = F.transform(F.array(total), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
-    return F.element_at(F.transform(sized, lambda s: unit(s["v"], s["n"])), 1)
+    """Per word (as often as it stands) the vector of its hash, summed, at unit length, 8 decimals; zeros without words, null for null.
+
+    In Arrow batches: each distinct word is hashed once a worker, and sums run over whole arrays.
+    """
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embedded(texts: pd.Series) -> pd.Series:
+        vectors = word_vectors(dimension)
+
+        def one(t: str | None) -> np.ndarray | None:
+            if t is None:
+                return None
+            words = t.lower().split()
+            total = np.sum([vectors[w] for w in words], axis=0) if words else np.zeros(dimension)
+            n = np.sqrt((total * total).sum())
+            return np.round(total / n, 8) if n else total
+
+        return texts.map(one, na_action=None)
+
+    return embedded(text)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import overlap
-from ..functions.vectors import norm
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 #: The terms of the queries are broadcast up to so many rows; beyond, postings are joined with them by shuffle.
 BROADCAST_TERMS = 500_000
+#: Query vectors sent to the points at a time.
+QUERY_BLOCK = 2000
 
 
 def corpus_statistics(tokens: DataFrame) -> DataFrame:
@@ -53,15 +61,51 @@ def ranked(rows: DataFrame, by: str, order: list[Column], top_k: int | None = No
     return out if top_k is None else out.where(F.col(name) <= top_k)
 
 
-def dense(queries: DataFrame, points: DataFrame, top_k: int = 20) -> DataFrame:
-    """query_id, point_id, score, rank by cosine; (query_id, vector) against (point_id, vector), the query set in one block."""
-    unit = lambda v: F.element_at(F.transform(F.array(norm(F.col(v))), lambda n: F.transform(F.col(v), lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), 1)
-    q = queries.select("query_id", unit("vector").alias("q"))
-    block = q.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-    p = points.select("point_id", unit("vector").alias("p"))
-    product = lambda x: F.aggregate(F.zip_with(x["q"], F.col("p"), lambda a, c: F.coalesce(a * c, F.lit(0.0))), F.lit(0.0), lambda s, y: s + y)
-    scored = p.join(F.broadcast(block)).select("point_id", F.explode(F.transform("block", lambda x: F.struct(x["query_id"].alias("query_id"), product(x).alias("score")))).alias("s"))
-    return ranked(scored.select("s.query_id", "point_id", F.round("s.score", 6).alias("score")), "query_id", [F.desc("score"), F.asc("point_id")], top_k)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column as rows; nulls and missing ends as zeros."""
+    values = [np.array([x or 0.0 for x in v] if v is not None else [], float) if v is None or None in v else np.asarray(v, float) for v in column.to_pylist()]
+    width = max(map(len, values), default=0)
+    if all(len(v) == width for v in values):
+        return np.array(values).reshape(len(values), width)
+    return np.array([np.pad(v, (0, width - len(v))) for v in values])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def dense(queries: DataFrame, points: DataFrame, top_k: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, point_id, score, rank by cosine; (query_id, vector) against (point_id, vector).
+
+    Queries come in blocks of bounded size, each sent to the points as one matrix. A batch of points is one matrix product, and passes on
+    only what can be among a query's best: points are never shuffled, and no more than top_k a batch and query (ties beside) are.
+    """
+    spark = queries.sparkSession
+    id_type, point_type = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
+    schema = StructType([StructField("query_id", id_type), StructField("point_id", point_type), StructField("score", DoubleType())])
+    found = spark.createDataFrame([], schema)
+    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").toLocalIterator()
+    p = points.select("point_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    while part := list(islice(rows, block)):
+        shipped = spark.sparkContext.broadcast(([r.query_id for r in part], _unit(_matrix(pa.array([r.vector for r in part])))))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            ids, q = shipped.value
+            for whole in batches:
+                for i in range(0, whole.num_rows, 1000):
+                    b = whole.slice(i, 1000)
+                    m = _unit(_matrix(b.column(1)))
+                    d = min(m.shape[1], q.shape[1])
+                    scores = np.round(m[:, :d] @ q[:, :d].T, 6)
+                    k = min(top_k, len(scores))
+                    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if k else np.zeros(len(ids))
+                    point, query = np.nonzero(scores >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in query.tolist()], b_types[0]), b.column(0).take(pa.array(point)), pa.array(scores[point, query])], names=["query_id", "point_id", "score"])
+
+        b_types = [to_arrow_type(id_type)]
+        found = found.unionByName(p.mapInArrow(run, schema))
+    return ranked(found.withColumn("score", F.round("score", 6)), "query_id", [F.desc("score"), F.asc("point_id")], top_k)
 
 
 def fused(lexical: DataFrame, dense_: DataFrame, k: int = RRF_K, top_k: int = 30) -> DataFrame:
