@@ -147,6 +147,10 @@ def overlap(left: Column, right: Column) -> Column:
     return F.when((n == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(left, right)) / F.greatest(n, F.lit(1)))
 
 
+def overlap_count(left: Column, right: Column) -> Column:
+    return F.size(F.array_intersect(left, right))
+
+
 def content_tokens(text: Column) -> Column:
     return F.array_except(tokens(text), F.array(*map(F.lit, GROUNDING_STOPWORDS)))
 

@@ -1,31 +1,36 @@
-"""Citation graph: neighbours, bounded breadth-first search, pruning, timelines, appeal chains."""
+"""Citation graph: anchors, bounded breadth-first search, pruning, timelines, appeal chains."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import case_name_key, overlap_count
+from ..tables import stored
+
 MAX_DEPTH, MAX_NODES = 4, 50
-RELATIONS = {"follows": 0.35, "affirms": 0.25, "distinguishes": 0.22, "explains": 0.20, "overrules": 0.18}
+# The relations that are followed, what each adds to a node's score, validities that end an authority.
+RELATIONS = {"overrules": 0.35, "follows": 0.25, "approves": 0.22, "affirms": 0.20, "explains": 0.18}
+OTHER_RELATION = 0.1
+INVALID = ["OVERRULED", "REVERSED_ON_APPEAL"]
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """(node, other, relation, direction) of every edge (source, target, type), from either end."""
+    """(node, other, relation, direction) of every edge (source, target, type), from either end: forward to what cites the node, backward to what it cites."""
     forward = edges.select(F.col("target").alias("node"), F.col("source").alias("other"), F.col("type").alias("relation"), F.lit("forward").alias("direction"))
     backward = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.col("type").alias("relation"), F.lit("backward").alias("direction"))
     return forward.unionByName(backward)
 
 
 def relation_bonus(relation: Column) -> Column:
-    out = F.lit(0.1)
+    out = F.lit(OTHER_RELATION)
     for k, v in RELATIONS.items():
         out = F.when(relation == k, v).otherwise(out)
     return out
 
 
 def court_bonus(court: Column) -> Column:
-    c = F.lower(F.coalesce(court, F.lit("")))
-    return F.when(F.contains(c, F.lit("supreme court")), 0.3).when(F.contains(c, F.lit("high court")), 0.1).otherwise(0.0)
+    return F.when(F.startswith(F.lower(F.coalesce(court, F.lit(""))), F.lit("supreme court")), 0.3).otherwise(0.1)
 
 
 def node_score(relation: Column, depth: Column, court: Column, date: Column) -> Column:
@@ -33,35 +38,101 @@ def node_score(relation: Column, depth: Column, court: Column, date: Column) ->
     return 1.0 / (depth + 1) + relation_bonus(relation) + court_bonus(court) + age
 
 
-def reached(anchors: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(query_id, node, depth): level by level, each node at its least depth. Frontiers are aggregated before the next join."""
-    around = neighbours(edges).select("node", "other").distinct()
-    seen = anchors.select("query_id", "node", F.lit(0).alias("depth")).distinct()
-    front = seen
+def authority_bonus(court: Column, bench: Column) -> Column:
+    c, n = F.lower(F.coalesce(court, F.lit(""))), F.coalesce(bench, F.lit(0))
+    apex = c.isin("supreme court", "supreme court of india")
+    return F.when(apex, 0.5 + F.least(n, F.lit(9)) * 0.03).when(F.contains(c, F.lit("high court")), 0.2 + F.least(n, F.lit(5)) * 0.02).otherwise(0.05)
+
+
+def link_bonus(edges: DataFrame) -> DataFrame:
+    """(doc_id, links): 0.03 for each citation made and each document that follows or distinguishes this one, 0.4 at most."""
+    made = edges.select(F.col("source").alias("doc_id"))
+    treated = edges.where("type in ('follows', 'distinguishes')").select(F.col("target").alias("doc_id"))
+    return made.unionByName(treated).groupBy("doc_id").agg(F.least(F.count("*") * 0.03, F.lit(0.4)).alias("links"))
+
+
+def anchors(results: DataFrame, documents: DataFrame, edges: DataFrame, cases: DataFrame | None = None, top_k: int = 3) -> DataFrame:
+    """(query_id, node, score, reason, rank): where the walk of a query starts.
+
+    cases: (query_id, case_name) that the query names; judgments of just that name (documents: doc_id, doc_type, court, coram, current_validity, case_name)
+    are its anchors if there are any. Else the lexical results (query_id, doc_id, score) that are judgments and good law, by score, court, bench and links.
+    """
+    judgments = documents.where("doc_type = 'judgment'").withColumn("authority", authority_bonus(F.col("court"), F.col("coram")))
+    good = results.join(judgments.where("current_validity = 'GOOD_LAW'").select("doc_id", "authority"), "doc_id").join(link_bonus(edges), "doc_id", "left")
+    score = F.round(F.col("score") + F.col("authority") + F.coalesce("links", F.lit(0.0)), 6)
+    found = good.groupBy("query_id", F.col("doc_id").alias("node")).agg(F.max(score).alias("score")).withColumn("reason", F.lit("lexical_landmark"))
+    if cases is not None:
+        named = cases.select("query_id", case_name_key(F.col("case_name")).alias("key")).join(judgments.select(F.col("doc_id").alias("node"), "authority", case_name_key(F.col("case_name")).alias("key")), "key")
+        exact = named.select("query_id", "node", F.round(2.0 + F.col("authority"), 6).alias("score"), F.lit("exact_case_match").alias("reason")).distinct()
+        found = exact.unionByName(found.join(exact.select("query_id").distinct(), "query_id", "left_anti"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def traversed(anchors: DataFrame, edges: DataFrame, documents: DataFrame, depth: int = MAX_DEPTH, limit: int = MAX_NODES) -> DataFrame:
+    """(query_id, node, at, depth, score, relation, direction, is_anchor) by breadth-first search of all queries at once, level by level.
+
+    A node is expanded as long as fewer than `limit` nodes of its query have been found before its turn; all its neighbours are then
+    found, first those that cite it, then those it cites, each by id. at: place in that order. Of the ways by which a node is reached again,
+    the best score holds, the earliest of equal ones. anchors: query_id, node, score, rank.
+    """
+    known = documents.select(F.col("doc_id").alias("other"), "court", "date")
+    around = neighbours(edges.where(F.col("type").isin(*RELATIONS))).join(known, "other")
+    # the share of a score that does not hang on the depth
+    around = around.withColumn("worth", node_score(F.col("relation"), F.lit(0), F.col("court"), F.col("date")) - 1.0).withColumn("turn", (F.col("direction") == "backward").cast("int"))
+    around = stored(around.select("node", "other", "relation", "direction", "turn", "worth"))
+    start = anchors.join(known.select(F.col("other").alias("node")), "node")
+    front = stored(start.select("query_id", "node", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "node")).cast("long").alias("pos"), "score"))
+    seen = front.select("query_id", "node", F.lit(0).alias("level"), "pos")
+    none = lambda t: F.lit(None).cast(t)
+    offers = front.select("query_id", "node", "score", F.lit(0).alias("depth"), none("string").alias("relation"), none("string").alias("direction"), F.lit(True).alias("is_anchor"), F.lit(0).alias("level"), "pos", F.lit(0).alias("turn"))
+    front = front.drop("score")
     for d in range(1, depth + 1):
-        step = front.join(around, "node").select("query_id", F.col("other").alias("node")).distinct()
-        front = step.join(seen, ["query_id", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
-
-
-def nodes_within(reach: DataFrame, documents: DataFrame, limit: int = MAX_NODES) -> DataFrame:
-    """Best-scored nodes of every query, nearer ones first, up to the limit."""
-    d = reach.join(documents, reach["node"] == documents["doc_id"]).drop("doc_id")
-    d = d.withColumn("score", F.round(node_score(F.lit("anchor"), F.col("depth"), F.col("court"), F.col("date")), 6))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("depth", F.desc("score"), "node"))).where(F.col("rank") <= limit)
+        steps = front.join(around, "node").drop("node")
+        new = steps.join(seen.select("query_id", F.col("node").alias("other")), ["query_id", "other"], "left_anti")
+        new = new.groupBy("query_id", "other").agg(F.min(F.struct("pos", "turn")).alias("by"))
+        gained = new.groupBy("query_id", F.col("by.pos").alias("pos")).agg(F.count("*").alias("gained"))
+        before = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        turns = front.join(gained, ["query_id", "pos"], "left").join(seen.groupBy("query_id").agg(F.count("*").alias("found")), "query_id")
+        turns = turns.withColumn("found", F.col("found") + F.coalesce(F.sum(F.coalesce("gained", F.lit(0))).over(before), F.lit(0))).where(F.col("found") < limit).select("query_id", "pos")
+        turns = stored(turns)
+        reached = steps.join(turns, ["query_id", "pos"], "left_semi")
+        offers = offers.unionByName(
+            reached.select("query_id", F.col("other").alias("node"), (1.0 / (d + 1) + F.col("worth")).alias("score"), F.lit(d).alias("depth"), "relation", "direction", F.lit(False).alias("is_anchor"), F.lit(d).alias("level"), "pos", "turn")
+        )
+        new = new.withColumn("pos", F.col("by.pos")).join(turns, ["query_id", "pos"], "left_semi")
+        front = stored(new.select("query_id", F.col("other").alias("node"), F.row_number().over(Window.partitionBy("query_id").orderBy("by", "other")).cast("long").alias("pos")))
+        seen = seen.unionByName(front.select("query_id", "node", F.lit(d).alias("level"), "pos"))
+    rounded = offers.withColumn("score", F.round("score", 6))
+    best = rounded.groupBy("query_id", "node").agg(F.min(F.struct((-F.col("score")).alias("worst"), "level", "pos", "turn", "relation", "depth", "direction", "is_anchor", "score")).alias("b"))
+    at = Window.partitionBy("query_id").orderBy("level", "pos")
+    return seen.join(best, ["query_id", "node"]).select("query_id", "node", F.row_number().over(at).alias("at"), "b.depth", "b.score", "b.relation", "b.direction", "b.is_anchor")
 
 
 def without_overruled(nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """Drop nodes whose document is overruled or reversed, and nodes that an edge overrules; the overruling document takes their place (score + 0.25) unless it is there."""
-    lost = edges.where("type = 'overrules'").select(F.col("target").alias("node"), F.col("source").alias("by"))
-    alive = nodes.where(~F.col("current_validity").isin("OVERRULED", "REVERSED_ON_APPEAL"))
-    kept = alive.join(lost.select("node").distinct(), "node", "left_anti")
-    put = alive.join(lost, "node").select("query_id", F.col("by").alias("node"), "depth", F.round(F.col("score") + 0.25, 6).alias("score"))
-    put = put.join(documents.select(F.col("doc_id").alias("node"), "current_validity"), "node").where(~F.col("current_validity").isin("OVERRULED", "REVERSED_ON_APPEAL"))
-    put = put.join(nodes.select("query_id", "node"), ["query_id", "node"], "left_anti")
-    put = put.groupBy("query_id", "node").agg(F.min("depth").alias("depth"), F.max("score").alias("score"))
-    return kept.select("query_id", "node", "depth", "score").unionByName(put)
+    """Nodes in the order of the walk (at), less those that are overruled or reversed and those that an edge overrules.
+
+    What overrules a node takes its place, with its depth and 0.25 more, unless it stands among the nodes at that moment: a later node,
+    or an earlier one that stayed.
+    """
+    n = nodes.join(documents.select(F.col("doc_id").alias("node"), "current_validity"), "node").withColumn("invalid", F.col("current_validity").isin(*INVALID)).drop("current_validity")
+    over = edges.where("type = 'overrules'").select(F.col("target").alias("node"), F.col("source").alias("heir")).distinct()
+    lost = over.select("node").distinct().withColumn("lost", F.lit(True))
+    n = n.join(lost, "node", "left").withColumn("gone", F.col("invalid") | F.coalesce("lost", F.lit(False)))
+    own = n.select("query_id", F.col("node").alias("heir"), F.col("at").alias("heir_at"), F.col("gone").alias("heir_gone"))
+    put = n.where("not invalid").join(over, "node").join(own, ["query_id", "heir"], "left").join(documents.select(F.col("doc_id").alias("heir")), "heir")
+    put = put.where("heir_at is null or (heir_at < at and heir_gone)")
+    put = put.groupBy("query_id", F.col("heir").alias("node")).agg(F.min(F.struct("at", "node", "depth", "score")).alias("b"))
+    put = put.select("query_id", "node", "b.depth", F.round(F.col("b.score") + 0.25, 6).alias("score"), F.lit("overrules").alias("relation"), F.lit(False).alias("is_anchor"))
+    return n.where("not gone").select("query_id", "node", "depth", "score", "relation", "is_anchor").unionByName(put)
+
+
+def best_chunks(nodes: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """nodes (query_id, node, ..) with the chunk (doc_id, chunk_id, chunk_index, tokens) of their document that shares most tokens with the query (query_id, tokens), the first of equal ones."""
+    c = nodes.select("query_id", "node").join(queries.select("query_id", F.col("tokens").alias("asked")), "query_id").join(chunks.select(F.col("doc_id").alias("node"), "chunk_id", "chunk_index", "tokens"), "node")
+    c = c.withColumn("shared", overlap_count(F.col("asked"), F.col("tokens")))
+    best = c.groupBy("query_id", "node").agg(F.max(F.struct("shared", (-F.col("chunk_index")).alias("first"), "chunk_id")).alias("b")).select("query_id", "node", "b.chunk_id", "b.shared")
+    return nodes.join(best, ["query_id", "node"])
 
 
 def phase(index: Column, total: Column) -> Column:
@@ -77,6 +148,15 @@ def timeline(nodes: DataFrame, limit: int = 15) -> DataFrame:
     return t.withColumn("phase", phase(F.col("index"), F.count("*").over(by)))
 
 
+def retrieved(results: DataFrame, documents: DataFrame, edges: DataFrame, chunks: DataFrame, queries: DataFrame, fallback: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Graph retrieval: (query_id, node, index, phase, depth, chunk_id); queries without anchors get their fallback (query_id, doc_id, chunk_id, rank) as it stands."""
+    start = stored(anchors(results, documents, edges, cases))
+    nodes = without_overruled(traversed(start, edges, documents), edges, documents).join(documents.select(F.col("doc_id").alias("node"), "date"), "node")
+    found = best_chunks(timeline(nodes), chunks, queries).select("query_id", "node", "index", "phase", "depth", "chunk_id")
+    rest = fallback.join(start.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(rest.select("query_id", F.col("doc_id").alias("node"), (F.col("rank") - 1).alias("index"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("int").alias("depth"), "chunk_id"))
+
+
 def chains(links: DataFrame, rounds: int = 32) -> DataFrame:
     """(node, last, steps) by following (node, next) to the end; pointers are doubled, so a chain of n links takes log2(n) joins."""
     at = links.select("node", F.col("next").alias("last"), F.lit(1).alias("steps"))

@@ -14,38 +14,6 @@ from ..streaming import events as X
 from .domain import Domain
 
 
-def edge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbours(Domain(spark, sf_dir).edges().where("type in ('follows', 'distinguishes', 'explains', 'affirms', 'overrules')"))
-
-
-def anchors(d: Domain) -> DataFrame:
-    return d.table("documents").where("doc_id % 50 = 7").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("node"))
-
-
-def citation_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return G.reached(anchors(d), d.edges().where("type <> 'refers_to'"), 3)
-
-
-def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    docs = d.legal_documents().select("doc_id", "court", "date", "current_validity")
-    return G.nodes_within(G.reached(anchors(d), d.edges().where("type <> 'refers_to'"), 3), docs).select("query_id", "node", "depth", "score", "rank", "date", "current_validity").persist()
-
-
-def graph_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_nodes(spark, sf_dir).select("query_id", "node", "depth", "score", "rank")
-
-
-def graph_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return G.without_overruled(graph_nodes(spark, sf_dir), d.edges(), d.legal_documents())
-
-
-def graph_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.timeline(graph_nodes(spark, sf_dir)).select("query_id", "node", "index", "phase")
-
-
 def appeal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains doc_id to doc_id + 1 within blocks of 4: final authority and length of the path."""
     n = Domain(spark, sf_dir).table("documents").select("doc_id")
@@ -210,13 +178,6 @@ def trust_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDGES = """e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
-NB = "nb AS (SELECT DISTINCT node, other FROM (SELECT target AS node, source AS other FROM e WHERE type <> 'refers_to' UNION ALL SELECT source, target FROM e WHERE type <> 'refers_to'))"
-REACH = f"""{EDGES}, {NB}, r0 AS (SELECT doc_id AS query_id, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 50 = 7),
-r1 AS (SELECT query_id, other AS node, 1 AS depth FROM r0 JOIN nb USING (node)), r2 AS (SELECT DISTINCT query_id, other AS node, 2 AS depth FROM r1 JOIN nb USING (node)), r3 AS (SELECT DISTINCT query_id, other AS node, 3 AS depth FROM r2 JOIN nb USING (node)),
-reach AS (SELECT query_id, node, CAST(min(depth) AS INT) AS depth FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY query_id, node)"""
-NODES = f"""{REACH}, ld AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.3 WHEN 3 THEN 0 ELSE 0.1 END AS cb, CAST(DATE '1950-01-01' + CAST(doc_id AS INT) AS DATE) AS date, CASE WHEN toxic = 1 THEN 'OVERRULED' ELSE 'GOOD_LAW' END AS validity FROM documents LEFT JOIN labels USING (doc_id)),
-sc AS (SELECT query_id, node, depth, round(1.0::DOUBLE / (depth + 1) + 0.1 + cb + least(greatest(year(date) - 1950, 0) / 250.0::DOUBLE, 0.25), 6) AS score, date, validity FROM reach JOIN ld ON node = doc_id),
-nodes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, score DESC, node) AS rank FROM sc) WHERE rank <= 50)"""
 RATES = """r AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'judgment' ELSE 'statute' END AS kind, l_quantity > 5 AS ex, CASE WHEN l_tax > 0.02 THEN l_discount < 0.05 END AS sup,
 CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS shown, CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey + CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END END AS final, l_returnflag AS cl, CASE WHEN l_linestatus = 'F' THEN 'R' ELSE 'N' END AS el,
 CASE WHEN l_tax < 0.05 THEN l_linestatus = 'O' END AS sif, CASE WHEN l_tax > 0.03 THEN l_returnflag = 'N' END AS cur FROM lineitem),
@@ -228,19 +189,10 @@ LATEST = "lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_cust
 from .retrieval_queries import TOKENS  # noqa: E402
 
 QUERIES = {f.__name__: f for f in [
-    edge_neighbours, citation_reach, graph_ranked, graph_pruned, graph_timeline, appeal_chains, appeal_outcomes, court_levels, validity_changes, statute_changes, code_mappings, daily_counts, query_allowance, latest_subscription,
+    appeal_chains, appeal_outcomes, court_levels, validity_changes, statute_changes, code_mappings, daily_counts, query_allowance, latest_subscription,
     recent_history, latest_state, reembedding_flags, upserted_points, citation_rates, multi_hop_completeness, latest_public_run, token_overlaps, entailment_labels, claim_lattice, amendment_checks, corrective_actions, reduced_events, joined_output, trust_metrics,
 ]}
 ORACLE_SQL = {
-    "edge_neighbours": f"WITH {EDGES} SELECT target AS node, source AS other, type AS relation, 'forward' AS direction FROM e WHERE type <> 'refers_to' UNION ALL SELECT source, target, type, 'backward' FROM e WHERE type <> 'refers_to'",
-    "citation_reach": f"WITH {REACH} SELECT * FROM reach",
-    "graph_ranked": f"WITH {NODES} SELECT query_id, node, depth, score, rank FROM nodes",
-    "graph_pruned": f"""WITH {NODES}, alive AS (SELECT * FROM nodes WHERE validity = 'GOOD_LAW'), ov AS (SELECT target, source AS heir FROM e WHERE type = 'overrules'),
-kept AS (SELECT query_id, node, depth, score FROM alive WHERE node NOT IN (SELECT target FROM ov)),
-put AS (SELECT query_id, heir AS node, min(depth) AS depth, max(round(score + 0.25, 6)) AS score FROM alive JOIN ov ON node = target JOIN ld ON ld.doc_id = heir WHERE ld.validity = 'GOOD_LAW' AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.query_id = alive.query_id AND n.node = heir) GROUP BY query_id, heir)
-SELECT * FROM kept UNION ALL SELECT * FROM put""",
-    "graph_timeline": f"""WITH {NODES}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY date, depth, score, node) - 1 AS INT) AS index FROM nodes), u AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM t WHERE index < 15)
-SELECT query_id, node, index, CASE WHEN n = 1 THEN 'current' WHEN index < greatest(1, n // 3) THEN 'foundational' WHEN index >= greatest(n - 2, greatest(1, n // 3) + 1) THEN 'current' ELSE 'development' END AS phase FROM u""",
     "appeal_chains": "WITH m AS (SELECT max(doc_id) AS m FROM documents) SELECT doc_id AS node, least(doc_id - doc_id % 4 + 3, m) AS last, CAST(least(doc_id - doc_id % 4 + 3, m) - doc_id AS INT) AS steps FROM documents, m WHERE doc_id % 4 < 3 AND doc_id < m",
     "appeal_outcomes": """WITH o AS (SELECT doc_id // 4 AS chain, list((['UPHELD','REVERSED','MODIFIED','REMANDED','DISMISSED'])[doc_id % 5 + 1] ORDER BY doc_id) AS os FROM documents GROUP BY 1),
 f AS (SELECT chain, os, list_reduce(list_prepend('UPHELD', os), lambda s, x: CASE WHEN x = 'REVERSED' THEN CASE WHEN s = 'REVERSED' THEN 'UPHELD' ELSE 'REVERSED' END WHEN x IN ('UPHELD', 'DISMISSED') THEN s ELSE x END) AS st FROM o)
