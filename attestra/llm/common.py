@@ -67,7 +67,7 @@ def split_for(df: DataFrame, name: str) -> str:
 class WordHashes(dict):
     """bytes of a word -> its 64-bit hash; forgets all when too many words are held."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

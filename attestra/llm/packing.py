@@ -36,7 +36,7 @@ END_ID = 0
 #: Open windows of a task; beyond them the fullest is filled by cutting a piece. Bounds its memory, drops nothing.
 OPEN_LIMIT = 64
 #: Words whose ids a task remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 CACHED_LENGTH = 64
 VOCABULARY = "byte_bpe_50k"
 
@@ -54,31 +54,23 @@ def _little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def _by_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+def _by_tokenizer(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 500):  # few at a time: each comes back as a large object
-            out += [_little_endian(e.ids) for e in tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
-        return out
-
-    return encode
+    return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def _by_ranks(path: str) -> Callable[[list[str]], list[bytes]]:
+def _by_ranks(path: str) -> Callable[[str], list[int]]:
     """The same vocabulary as byte ranks: the tokenizer's ids (a test holds both against each other on all documents) in a quarter of its time."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda texts: [_little_endian(encode(t)) for t in texts]
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Ids(dict):
@@ -86,7 +78,7 @@ class Ids(dict):
 
     The vocabulary's pre-tokeniser always cuts before a lone space that stands
     between two other characters, so texts can be cut there and the parts' ids
-    remembered. A word's closing signs are cut off likewise. What is new in a batch of texts is encoded in one call.
+    remembered. A word's closing signs are cut off likewise.
     """
 
     LONE = re.compile(r"(?<=\S) (?=\S)")
@@ -95,41 +87,32 @@ class Ids(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.long: dict[str, bytes] = {}
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.encode = _by_ranks(ranks) if os.path.exists(ranks) else _by_tokenizer(path)
+        self.tails: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        return self.long[part]
-
-    def learn(self, parts: set[str]) -> None:
-        """Have the ids of all parts: of short ones for good, of long ones for this batch."""
-        self.long.clear()
-        new = [p for p in parts if p not in self]
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(parts)
-        stems, tails, cut = [], {}, []
-        for p in new:
-            tail = None if p[-1:].isalnum() else self.TAIL.search(p)
-            stems.append(" " + (p[: tail.start()] if tail else p))
-            if tail:
-                tails[tail[0]] = b""
-                cut.append((p, tail[0]))
-        tails = dict(zip(tails, self.encode(list(tails))))
-        found = dict(zip(new, self.encode(stems)))
-        for p, tail in cut:
-            found[p] += tails[tail]
-        for p, ids in found.items():
-            (self if len(p) <= CACHED_LENGTH else self.long)[p] = ids
+        tail = None if part[-1:].isalnum() else self.TAIL.search(part)
+        if tail and len(tail[0]) <= CACHED_LENGTH:
+            if (end := self.tails.get(tail[0])) is None:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                end = self.tails[tail[0]] = _little_endian(self.encode(tail[0]))
+            ids = self[part[: tail.start()]] + end
+        else:
+            ids = _little_endian(self.encode(" " + part))
+        if len(part) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        parts = self.LONE.split(text) if self.ODD.search(text) else text.split(" ")
+        return _little_endian(self.encode(parts[0])) + b"".join(map(self.__getitem__, parts[1:]))
 
     def all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        cut = [self.LONE.split(t) if self.ODD.search(t) else t.split(" ") for t in texts]
-        heads = self.encode([c[0] for c in cut])
-        self.learn({p for c in cut for p in c[1:]})
-        for head, c in zip(heads, cut):
-            yield head + b"".join(map(self.__getitem__, c[1:]))
+        return map(self.of, texts)
 
 
 _IDS: dict[str, Ids] = {}

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, split_for, written
+from .fingerprint import let
 
 KEY = "attestra-demonstration-key"
 #: Texts with entities of later attempts are broadcast up to so many; beyond, they are joined by shuffle.
@@ -130,47 +131,60 @@ def _luhn_rest(digits: Column) -> Column:
 
 
 def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a canonical form, itself a canonical form."""
-    h = _hex(key, kind, canonical, attempt)
-    host = F.substring_index(canonical, "@", -1)
-    top = F.regexp_substr(host, F.lit(r"\.[a-z0-9-]+$"))
-    inner = F.substr(host, F.lit(1), F.length(host) - F.length(top))
-    more = F.substr(F.translate(h, "0123456789abcdef", "abcdefghiklmnoprs"), F.lit(100), F.least(attempt * 3, F.lit(28)))
-    email = F.concat(_drawn(F.substring_index(canonical, "@", 1), h), more, F.lit("@"), _drawn(inner, _hex(key, "host", host, F.lit(0))), top)
-    octet = lambda i: (F.conv(F.substr(h, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")
-    digits = _drawn(canonical, h)
-    head = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    check = (10 - _luhn_rest(F.concat(head, F.lit("0")))) % 10
-    own = (_luhn_rest(canonical) + check) % 10  # keeps the original's remainder, 0 if it is valid
-    card = F.concat(head, own.cast("string"))
+    """The replacement of a canonical form, itself a canonical form. Its hash is bound once, so the expression stays small."""
+    return let(_hex(key, kind, canonical, attempt), lambda h: _formed(h, kind, canonical, attempt, key))
+
+
+def _formed(h: Column, kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
+    def email(host: Column) -> Column:
+        top = F.regexp_substr(host, F.lit(r"\.[a-z0-9-]+$"))
+        inner = F.substr(host, F.lit(1), F.length(host) - F.length(top))
+        more = F.substr(F.translate(h, "0123456789abcdef", "abcdefghiklmnoprs"), F.lit(100), F.least(attempt * 3, F.lit(28)))
+        drawn = let(_hex(key, "host", host, F.lit(0)), lambda hh: _drawn(inner, hh))
+        return F.concat(_drawn(F.substring_index(canonical, "@", 1), h), more, F.lit("@"), drawn, top)
+
+    def card(digits: Column) -> Column:
+        head = F.substr(digits, F.lit(1), F.length(digits) - 1)
+        check = (10 - _luhn_rest(F.concat(head, F.lit("0")))) % 10
+        return F.concat(head, ((_luhn_rest(canonical) + check) % 10).cast("string"))  # keeps the original's remainder, 0 if it is valid
+
+    octet = lambda i: (F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")
     script = lambda s: F.array(*map(F.lit, SYLLABLES[s]))
-    own_name = F.regexp_replace(canonical, "^[fmn]:", "")
-    cyrillic = F.when(kind == "given", own_name).otherwise(canonical).rlike(r"^\p{IsCyrillic}")
-    syllables = F.when(cyrillic, script("cyrillic")).otherwise(script("latin"))
+    cyrillic = F.when(kind == "given", F.regexp_replace(canonical, "^[fmn]:", "")).otherwise(canonical).rlike(r"^\p{IsCyrillic}")
     nibble = lambda i: F.conv(F.substr(h, i + 1, F.lit(1)), 16, 10).cast("int")
-    spelt = lambda first, n: F.array_join(F.transform(F.sequence(first, first + n - 1), lambda i: F.element_at(syllables, nibble(i) + 1)), "")
-    name = spelt(F.lit(0), F.least(attempt, F.lit(60)) + SURNAME_SYLLABLES)
-    pick = lambda names: F.element_at(F.array(*[F.lit(n.lower()) for n in names]), nibble(F.lit(0)) + 1)
-    first = F.lit(None).cast("string")
-    for (s_, g_), names in GIVEN.items():
-        first = F.when(F.startswith(canonical, F.lit(g_)) & (cyrillic == F.lit(s_ == "cyrillic")), pick(names)).otherwise(first)
-    ending = F.when(attempt > 0, spelt(F.lit(1), F.least(attempt, F.lit(60)) + (SURNAME_SYLLABLES - 1))).otherwise("")
-    given = F.concat(F.substr(canonical, F.lit(1), F.lit(2)), first, ending)
-    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "card", card).when(kind == "name", name).when(kind == "given", given).otherwise(digits)
-
-
-def rendered(m: Column, kind: Column, canonical: Column, attempt: Column, given_attempt: Column, key: str) -> Column:
-    """The replacement in the mention's own format."""
-    s = surrogate(kind, canonical, attempt, key)
+
+    def spelt(first: Column, n: Column) -> Column:
+        syllables = F.when(cyrillic, script("cyrillic")).otherwise(script("latin"))
+        return let(syllables, lambda s: F.array_join(F.transform(F.sequence(first, first + n - 1), lambda i: F.element_at(s, nibble(i) + 1)), ""))
+
+    def given() -> Column:
+        names = F.create_map(*[x for (s_, g_), ns in GIVEN.items() for x in (F.lit(f"{s_}{g_}"), F.array(*[F.lit(n.lower()) for n in ns]))])
+        group = F.concat(F.when(cyrillic, "cyrillic").otherwise("latin"), F.substr(canonical, F.lit(1), F.lit(1)))
+        first = F.element_at(F.element_at(names, group), nibble(F.lit(0)) + 1)
+        ending = F.when(attempt > 0, spelt(F.lit(1), F.least(attempt, F.lit(60)) + (SURNAME_SYLLABLES - 1))).otherwise("")
+        return F.concat(F.substr(canonical, F.lit(1), F.lit(2)), first, ending)
+
+    return (
+        F.when(kind == "email", let(F.substring_index(canonical, "@", -1), email)).when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."))
+        .when(kind == "card", let(_drawn(canonical, h), card)).when(kind == "name", spelt(F.lit(0), F.least(attempt, F.lit(60)) + SURNAME_SYLLABLES)).when(kind == "given", given()).otherwise(_drawn(canonical, h))
+    )
+
+
+def rendered(m: Column, kind: Column, canonical: Column, s: Column, given: Column) -> Column:
+    """The replacement in the mention's own format. s: the entity's surrogate, given: that of its given name."""
     digits_before = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i), "[^0-9]", ""))
-    lead = F.length(F.regexp_replace(m, "[^0-9]", "")) - F.length(canonical)  # digits of a country code stay
-    filled = lambda s: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]") & (digits_before(i) >= lead), F.substr(s, digits_before(i) - lead + 1, F.lit(1))).otherwise(c)), "")
+
+    def filled(lead: Column) -> Column:
+        """Digits in place of digits; those of a country code stay."""
+        one = lambda c, n: F.when(c.rlike("[0-9]") & (n >= lead), F.substr(s, n - lead + 1, F.lit(1))).otherwise(c)
+        return F.array_join(F.transform(F.split(m, ""), lambda c, i: let(digits_before(i), lambda n: one(c, n))), "")
+
     title = F.regexp_substr(m, F.lit(r"^\p{L}+\.?"))
-    given = F.substr(surrogate(F.lit("given"), given_of(m), given_attempt, key), F.lit(3))
-    full = F.concat(title, F.lit(" "), F.coalesce(F.concat(F.initcap(given), F.lit(" ")), F.lit("")), F.initcap(s))
+    full = F.concat(title, F.lit(" "), F.coalesce(F.concat(F.initcap(F.substr(given, F.lit(3))), F.lit(" ")), F.lit("")), F.initcap(s))
     upper = (m == F.upper(m)) & (m != F.lower(m))
     email = F.concat(F.regexp_extract(m, "^[._+-]*", 0), F.when(upper, F.upper(s)).otherwise(s))
-    return F.when(kind == "email", email).when(kind == "name", full).when(kind == "ip", s).otherwise(filled(s))
+    digits = let(F.length(F.regexp_replace(m, "[^0-9]", "")) - F.length(canonical), filled)
+    return F.when(kind == "email", email).when(kind == "name", full).when(kind == "ip", s).otherwise(digits)
 
 
 def pieces(text: Column) -> Column:
@@ -184,7 +198,7 @@ def entities(docs: DataFrame) -> DataFrame:
     """Every mention: kind, canonical, with the document's columns; a name with a given name once more for that, as kind given."""
     cut = docs.withColumn("_cut", pieces(F.col("text"))).where("_cut is not null")
     odd = F.filter("_cut", lambda _, i: i % 2 == 1)
-    found = cut.withColumn("mention", F.explode(odd)).withColumn("kind", kind_of(F.col("mention")))
+    found = cut.withColumn("mention", F.explode(odd)).withColumn("kind", let(F.col("mention"), kind_of))
     own = F.struct("kind", canonical_of(F.col("mention"), F.col("kind")).alias("canonical"))
     given = F.when(F.col("kind") == "name", F.struct(F.lit("given").alias("kind"), given_of(F.col("mention")).alias("canonical")))
     found = found.withColumn("_entity", F.explode(F.array(own, given))).where("_entity.canonical is not null")
@@ -225,11 +239,14 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
         rows = rows.withColumn(same, F.xxhash64("text")).join(F.broadcast(found) if few else found, same, "left")
     rows = rows.withColumn(cut, pieces(F.col("text")))
 
+    attempt = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", k, c)), F.lit(0))
+    drawn = lambda k, c: let(attempt(k, c), lambda a: surrogate(k, c, a, key))
+
     def replaced(m: Column, i: Column) -> Column:
-        kind = kind_of(m)
-        canonical = canonical_of(m, kind)
-        attempt = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", k, c)), F.lit(0))
-        return F.when(i % 2 == 1, rendered(m, kind, canonical, attempt(kind, canonical), attempt(F.lit("given"), given_of(m)), key)).otherwise(m)
+        of_given = lambda: let(given_of(m), lambda g: F.when(g.isNotNull(), drawn(F.lit("given"), g)))
+        named = lambda kind: F.when(kind == "name", of_given())
+        new = lambda kind, canonical: let(drawn(kind, canonical), lambda s: let(named(kind), lambda g: rendered(m, kind, canonical, s, g)))
+        return F.when(i % 2 == 1, let(kind_of(m), lambda kind: let(canonical_of(m, kind), lambda canonical: new(kind, canonical)))).otherwise(m)
 
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.col(cut), replaced), ""))
     return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns])
