@@ -90,9 +90,11 @@ def _stem(t: str) -> str:
 
 def meteor_score(answer: list[str], reference: list[str]) -> float:
     """Stems aligned greedily from the left; weighted harmonic mean less a penalty for broken order."""
-    if answer == reference:
-        return 1.0
     a, b = [_stem(t) for t in answer], [_stem(t) for t in reference]
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
     free: dict[str, list[int]] = {}
     for j in reversed(range(len(b))):
         free.setdefault(b[j], []).append(j)

@@ -31,12 +31,34 @@ TYPES = {
     "document_specific": (0.99, "agentic_rag"), "comparative": (0.96, "graph_hybrid"), "multi_hop_doctrine": (0.93, "graph_rag"), "constitutional": (0.94, "graph_rag"),
     "case_specific": (0.95, "hybrid_crag"), "statutory_lookup": (0.94, "hybrid_crag"), "vague_natural": (0.84, "hyde_hybrid"), "general_legal": (0.65, "hybrid_rag"),
 }
-HIGH_COURTS = ["Allahabad", "Andhra Pradesh", "Bombay", "Calcutta", "Chhattisgarh", "Delhi", "Gauhati", "Gujarat", "Himachal Pradesh", "Jharkhand", "Karnataka", "Kerala", "Madhya Pradesh", "Madras", "Manipur", "Meghalaya", "Patna", "Punjab and Haryana", "Rajasthan", "Sikkim", "Telangana", "Tripura", "Uttarakhand"]
-COURTS = [("Supreme Court of India", r"\bsupreme court(?: of india)?\b|\bsc\b")]
-COURTS += [(f"{n} High Court", rf"\b{n.lower()}(?: high court| hc)\b") for n in HIGH_COURTS]
-COURTS += [
-    ("High Court of Jammu & Kashmir and Ladakh", r"\bjammu(?: and)? kashmir(?: and ladakh)?(?: high court| hc)\b|\bladakh(?: high court| hc)\b"),
+# Courts in the order in which a query is held against them, with what names them. The first that fits sets the jurisdiction.
+COURTS = [
+    ("Supreme Court of India", r"\bsupreme court(?: of india)?\b|\bsc\b"),
+    ("Allahabad High Court", r"\ballahabad(?: high court| hc)\b"),
+    ("Andhra Pradesh High Court", r"\bandhra pradesh(?: high court| hc)\b"),
+    ("Bombay High Court", r"\bbombay(?: high court| hc)\b"),
+    ("Calcutta High Court", r"\bcalcutta(?: high court| hc)\b"),
+    ("Chhattisgarh High Court", r"\bchhattisgarh(?: high court| hc)\b"),
+    ("Delhi High Court", r"\bdelhi(?: high court| hc)\b"),
+    ("Gauhati High Court", r"\bgauhati(?: high court| hc)\b"),
+    ("Gujarat High Court", r"\bgujarat(?: high court| hc)\b"),
+    ("Himachal Pradesh High Court", r"\bhimachal pradesh(?: high court| hc)\b"),
+    ("High Court of Jammu and Kashmir and Ladakh", r"\bjammu(?: and)? kashmir(?: and ladakh)?(?: high court| hc)\b|\bladakh(?: high court| hc)\b"),
+    ("Jharkhand High Court", r"\bjharkhand(?: high court| hc)\b"),
+    ("Karnataka High Court", r"\bkarnataka(?: high court| hc)\b"),
+    ("Kerala High Court", r"\bkerala(?: high court| hc)\b"),
+    ("Madras High Court", r"\bmadras(?: high court| hc)\b"),
+    ("Madhya Pradesh High Court", r"\bmadhya pradesh(?: high court| hc)\b"),
+    ("Manipur High Court", r"\bmanipur(?: high court| hc)\b"),
+    ("Meghalaya High Court", r"\bmeghalaya(?: high court| hc)\b"),
     ("Orissa High Court", r"\borissa(?: high court| hc)\b|\bodisha(?: high court| hc)\b"),
+    ("Patna High Court", r"\bpatna(?: high court| hc)\b"),
+    ("Punjab and Haryana High Court", r"\bpunjab and haryana(?: high court| hc)\b"),
+    ("Rajasthan High Court", r"\brajasthan(?: high court| hc)\b"),
+    ("Sikkim High Court", r"\bsikkim(?: high court| hc)\b"),
+    ("Telangana High Court", r"\btelangana(?: high court| hc)\b"),
+    ("Tripura High Court", r"\btripura(?: high court| hc)\b"),
+    ("Uttarakhand High Court", r"\buttarakhand(?: high court| hc)\b"),
     ("National Company Law Tribunal", r"\bnclt\b|\bnational company law tribunal\b"),
     ("National Company Law Appellate Tribunal", r"\bnclat\b|\bnational company law appellate tribunal\b"),
     ("Income Tax Appellate Tribunal", r"\bitat\b|\bincome tax appellate tribunal\b"),

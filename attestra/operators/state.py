@@ -12,8 +12,13 @@ CODE_ALIASES = [
     ("bharatiya nagarik suraksha sanhita", "BNSS"), ("bharatiya sakshya adhiniyam", "BSA"), ("code of criminal procedure", "CrPC"), ("bharatiya nyaya sanhita", "BNS"),
     ("indian evidence act", "Indian Evidence Act"), ("indian penal code", "IPC"), ("evidence act", "Indian Evidence Act"), ("crpc", "CrPC"), ("bnss", "BNSS"), ("ipc", "IPC"), ("bns", "BNS"), ("bsa", "BSA"), ("iea", "Indian Evidence Act"),
 ]
-FREE_DAILY = 20
-PAID_DAILY = 500
+#: Plan, price a month in minor units, queries a day (None: no limit), workspaces, most active workspaces, seats.
+PLANS = [
+    ("FREE", 0, 20, False, None, 1),
+    ("ADVOCATE_PRO", 79900, None, True, 5, 1),
+    ("CHAMBER_PRO", 249900, None, True, 25, 5),
+]
+ACTIVE = ["ACTIVE"]
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -93,10 +98,74 @@ def daily_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
 
 
-def allowance(counts: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Per user and day: limit by the latest subscription, what remains, and whether one more query is allowed."""
-    s = subscriptions.select("user_id", "plan", "active")
-    c = counts.join(s, "user_id", "left")
-    paid = F.coalesce(F.col("active") & (F.col("plan") != "FREE"), F.lit(False))
-    limit = F.when(paid, PAID_DAILY).otherwise(FREE_DAILY)
-    return c.select("user_id", "day", "used", F.coalesce("plan", F.lit("FREE")).alias("plan"), limit.alias("daily_limit"), F.greatest(limit - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") < limit).alias("allowed"))
+def plan_value(plan: Column, at: int, kind: str) -> Column:
+    """A plan's entry; that of FREE for null and unknown plans."""
+    out = F.lit(PLANS[0][at]).cast(kind)
+    for row in PLANS[1:]:
+        out = F.when(plan == row[0], F.lit(row[at]).cast(kind)).otherwise(out)
+    return out
+
+
+def subscriptions_resolved(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """users (user_id, ..) with plan, status, price_minor, daily_limit (null: none), workspace_access, max_workspaces, seats by their subscription (user_id, plan, status); FREE without one."""
+    u = users.join(subscriptions.select("user_id", "plan", "status"), "user_id", "left")
+    u = u.withColumn("plan", F.coalesce("plan", F.lit("FREE"))).withColumn("status", F.coalesce("status", F.lit("FREE")))
+    paid = plan_value(F.col("plan"), 3, "boolean") & F.col("status").isin(*ACTIVE)
+    return u.withColumns({"price_minor": plan_value(F.col("plan"), 1, "long"), "daily_limit": plan_value(F.col("plan"), 2, "long"), "workspace_access": paid, "max_workspaces": plan_value(F.col("plan"), 4, "long"), "seats": plan_value(F.col("plan"), 5, "long")})
+
+
+def allowance(requests: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Whether a request is let through: requests (user_id, day, used, workspace_id) with plan, daily_limit, remaining, allowed, code.
+
+    Requests without a user are previews and always pass; a workspace needs an active paid plan; only plans with a daily limit run out.
+    """
+    r = subscriptions_resolved(requests, subscriptions)
+    anonymous = F.col("user_id").isNull()
+    locked = F.col("workspace_id").isNotNull() & ~F.col("workspace_access")
+    spent = F.coalesce(F.col("used") >= F.col("daily_limit"), F.lit(False))
+    code = F.when(anonymous, F.lit(None)).when(locked, "plan_upgrade_required").when(spent, "free_tier_limit_reached")
+    remaining = F.when(F.col("daily_limit").isNotNull(), F.greatest(F.col("daily_limit") - F.col("used"), F.lit(0)))
+    return r.select("user_id", "day", "used", "plan", "daily_limit", remaining.alias("remaining"), code.isNull().alias("allowed"), code.alias("code"))
+
+
+def checkouts(requests: DataFrame) -> DataFrame:
+    """Subscriptions that requests (user_id, plan, requested_at) open: pending, with the plan's seats and limits. FREE opens none. The id follows from user, plan and time."""
+    r = requests.where("plan <> 'FREE'")
+    key = F.substr(F.sha1(F.concat_ws("|", "user_id", "plan", F.col("requested_at").cast("string"))), F.lit(1), F.lit(12))
+    return r.select(
+        "user_id", "plan", F.lit("CHECKOUT_PENDING").alias("status"), F.concat(F.lit("rzp_sub_preview_"), key).alias("provider_subscription_id"), plan_value(F.col("plan"), 5, "long").alias("seats"),
+        plan_value(F.col("plan"), 2, "long").alias("daily_limit"), plan_value(F.col("plan"), 4, "long").alias("max_workspaces"), F.col("requested_at").alias("created_at"),
+    )
+
+
+def invoices(charges: DataFrame) -> DataFrame:
+    """charges (user_id, amount_minor, status, description, issued_at) as invoices: in rupees, paid when issued if their status is PAID."""
+    return charges.select("user_id", "amount_minor", F.lit("INR").alias("currency"), "status", "issued_at", F.when(F.col("status") == "PAID", F.col("issued_at")).alias("paid_at"), "description")
+
+
+def amendments_merged(amendments: DataFrame, updates: DataFrame) -> DataFrame:
+    """Amendments by (statute_id, section, amending_act, amended_on): an update's new text, summary and effective date in place of the old row's, or a new row."""
+    keys = ["statute_id", "section", "amending_act", "amended_on"]
+    last = latest(updates, keys, [F.desc("effective_on"), F.desc("new_text")])
+    old, new = amendments.alias("o"), last.alias("n")
+    both = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
+    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
+    return both.select(*[pick(c) for c in [*keys, "previous_text", "new_text", "effective_on"]])
+
+
+def mappings_upserted(mappings: DataFrame, changes: DataFrame) -> DataFrame:
+    """Code mappings with changes in place of rows of the same legacy code and section and new code and section; references are canonical, and a mapping needs both ends."""
+    keys = ["legacy_code", "legacy_section", "new_code", "new_section"]
+    tidy = lambda c: F.upper(F.trim(c))
+    c = changes.withColumn("legacy_section", tidy("legacy_section")).withColumn("new_section", tidy("new_section")).dropna(subset=keys)
+    return upserted(mappings, c.dropDuplicates(keys), keys)
+
+
+def references_expanded(references: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Per query (query_id, position, reference, reference_date) the references to search for: each one's preferred form, then its equivalent, once, in order."""
+    m = mapped_references(references.select("reference", "reference_date").distinct(), mappings)
+    r = references.join(m, references["reference"].eqNullSafe(m["reference"]) & references["reference_date"].eqNullSafe(m["reference_date"]), "left").select(references["query_id"], references["position"], references["reference"], "code", "preferred", "equivalent")
+    each = F.filter(F.array(F.when(F.col("code").isNull(), F.trim(references["reference"])).otherwise(F.col("preferred")), F.col("equivalent")), lambda x: x.isNotNull())
+    forms = r.select("query_id", "position", F.posexplode(each).alias("turn", "form"))
+    first = forms.groupBy("query_id", "form").agg(F.min(F.struct("position", "turn")).alias("at"))
+    return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]).alias("references"))

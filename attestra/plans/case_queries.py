@@ -10,7 +10,7 @@ from ..operators import answers as A
 from ..operators import cases as K
 from ..operators import evaluation as E
 from ..operators import state as S
-from ..operators.export import edge_statements
+from ..operators.export import appeal_statements, edge_statements
 from ..sources import ingest, uploads
 from .domain import Domain
 
@@ -33,12 +33,46 @@ def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", K.text_date(F.concat(F.lit("order of "), t, F.lit(" was allowed"))).cast("string").alias("date"))
 
 
+def order_files(d: Domain) -> DataFrame:
+    """Orders of customers as one-sentence documents of their case file."""
+    o = d.table("orders")
+    words = F.when(F.col("o_orderstatus") == "F", "Bail was rejected").when(F.col("o_orderstatus") == "O", "Bail was granted").otherwise("The order is reserved")
+    text = F.concat(words, F.lit(" by the Bombay High Court on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."))
+    charged = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("Section "), (F.col("o_orderkey") % 40).cast("string"), F.lit(" IPC")))).otherwise(F.array().cast("array<string>"))
+    return o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("doc_index"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("file_name"), text.alias("text"), ((F.col("o_orderkey") % 8) / 8).alias("confidence"), charged.alias("sections"))
+
+
 def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of customers as sentences of their case file: outcomes by status."""
-    o = Domain(spark, sf_dir).table("orders").where("o_custkey % 5 = 0")
-    words = F.when(F.col("o_orderstatus") == "F", "Bail was rejected").when(F.col("o_orderstatus") == "O", "Bail was granted").otherwise("The suit was dismissed")
-    d = o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("doc_index"), F.concat(words, F.lit(" by the Bombay High Court on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".")).alias("text"))
-    return K.previous_orders(d).select("case_id", F.col("doc_index").cast("long").alias("doc_index"), "outcome", "court", F.col("date").cast("string").alias("date"))
+    """Orders told in case files: outcomes by status, none for reserved ones."""
+    return K.previous_orders(order_files(Domain(spark, sf_dir))).select("case_id", F.col("doc_index").cast("long").alias("doc_index"), "outcome", "court", F.col("date").cast("string").alias("date"))
+
+
+def bail_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bail of every case; a case whose documents speak of bail in no order has one pending entry."""
+    d = order_files(Domain(spark, sf_dir))
+    d = d.withColumn("text", F.when(F.col("case_id") % 7 == 0, F.lit("Papers on bail were filed.")).otherwise(F.col("text")))
+    return K.bail_history(d).select("case_id", F.col("doc_index").cast("long").alias("doc_index"), F.col("date").cast("string").alias("date"), "status", "summary")
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of every customer: type, stage, confidence, charges, issues."""
+    c = K.case_files(order_files(Domain(spark, sf_dir)))
+    return c.select("case_id", "case_type", "stage", "court", F.round("confidence", 3).alias("confidence"), F.size("sections").alias("n_sections"), F.array_join("statutes", ",").alias("statutes"), F.size("key_facts").alias("n_facts"), F.array_join("open_issues", "|").alias("open_issues"))
+
+
+def case_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and stage of a case text for every signal."""
+    c = spark.createDataFrame(list(enumerate(SIGNALS)), "i int, text string")
+    return c.select("text", K.case_type(F.col("text"), F.array().cast("array<string>")).alias("case_type"), K.first_of(F.col("text"), K.STAGES).alias("stage"))
+
+
+#: Text, and the type and the stage that must come out.
+EXPECTED = [
+    ("the landlord in a revision", "property", "revision"), ("a charge sheet on bail", "criminal", "bail"), ("a chargesheet in a trial", None, "charges"), ("divorce and appeal", "family", "appeal"), ("gst execution", "tax", "execution"),
+    ("the company in trial", "corporate", "trial"), ("wages under investigation", "labour", "investigation"), ("an arbitral award", "arbitration", None), ("a consumer case", "consumer", None), ("a fundamental right", "constitutional", None),
+    ("nothing of note", None, None), ("the civil suit", "civil", None), ("maintainability alone", None, None), ("specific relief act, consumer", "property", None),
+]
+SIGNALS = [t for t, _, _ in EXPECTED]
 
 
 def edge_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +82,20 @@ def edge_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("target").agg(n("follows").alias("followed_by"), n("distinguishes").alias("distinguished_by"), F.max(F.when(F.col("type") == "overrules", F.col("source"))).alias("overruled_by"))
 
 
+def cited_documents(d: Domain) -> DataFrame:
+    return d.legal_documents().withColumn("citation", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("AIR "), F.col("doc_id").cast("string"))))
+
+
 def graph_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_statements(Domain(spark, sf_dir).edges())
+    d = Domain(spark, sf_dir)
+    return edge_statements(d.edges(), cited_documents(d))
+
+
+def appeal_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an appeal from the one before it in its block of four."""
+    n = Domain(spark, sf_dir).table("documents").where("doc_id % 4 > 0")
+    outcome = F.element_at(F.array(*map(F.lit, ["UPHELD", "REVERSED", "DISMISSED"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    return appeal_statements(n.select((F.col("doc_id") - 1).alias("parent"), F.col("doc_id").alias("child"), outcome.alias("outcome"), (F.col("doc_id") % 4 == 3).alias("is_final")))
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +126,7 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = Domain(spark, sf_dir).table("lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_returnflag").alias("section"), F.col("l_suppkey").alias("doc_id"))
+    a = Domain(spark, sf_dir).table("lineitem").select(F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_returnflag").alias("section"), F.col("l_suppkey").alias("doc_id"))
     nodes, _ = A.answer_graph(a)
     return nodes.groupBy("level").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("y"))
 
@@ -98,23 +144,39 @@ def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report_chunks(d).select("doc_id", "chunk_index", "first", "end")
 
 
-QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, edge_linkage, graph_statements, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, report_windows]}
+QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, report_windows]}
 EDGES = """WITH e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
+ORDER_FILES = """o AS (SELECT o_custkey AS case_id, o_orderkey AS doc_index, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
+CASE o_orderstatus WHEN 'F' THEN 'Bail was rejected' WHEN 'O' THEN 'Bail was granted' ELSE 'The order is reserved' END || ' by the Bombay High Court on ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '.' AS text FROM orders)"""
 TYPE = "CASE doc_id % 5 WHEN 3 THEN 'statute' WHEN 4 THEN 'constitution' ELSE 'judgment' END"
 ORACLE_SQL = {
     "document_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '|' || doc_id || '|' || sha256(text))) AS h FROM documents)
 SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h""",
     "collections": f"SELECT doc_id, CASE {TYPE} WHEN 'statute' THEN 'statutes' WHEN 'constitution' THEN 'constitution' ELSE CASE WHEN doc_id % 4 = 0 THEN 'sc_judgments' ELSE 'hc_judgments' END END AS collection, CASE WHEN doc_id % 5 >= 3 OR doc_id % 4 = 0 THEN 'All India' WHEN doc_id % 4 = 1 THEN 'Bombay High Court' WHEN doc_id % 4 = 2 THEN 'Delhi High Court' ELSE 'NCLT Principal Bench' END AS binding FROM documents",
     "text_dates": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders",
-    "order_statements": "SELECT o_custkey AS case_id, o_orderkey AS doc_index, CASE o_orderstatus WHEN 'F' THEN 'REJECTED' WHEN 'O' THEN 'ALLOWED' ELSE 'DISMISSED' END AS outcome, 'Bombay High Court' AS court, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders WHERE o_custkey % 5 = 0",
+    "order_statements": "SELECT o_custkey AS case_id, o_orderkey AS doc_index, CASE o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'granted' END AS outcome, 'Bombay High Court' AS court, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders",
+    "bail_histories": f"""WITH {ORDER_FILES}
+SELECT case_id, doc_index, day AS date, CASE o_orderstatus WHEN 'F' THEN 'rejected' ELSE 'granted' END AS status, text AS summary FROM o WHERE case_id % 7 <> 0 AND o_orderstatus IN ('F', 'O')
+UNION ALL SELECT case_id, min(doc_index), NULL, 'pending', 'Bail proceedings referenced in order-' || min(doc_index) || '.' FROM o WHERE case_id % 7 = 0 GROUP BY case_id""",
+    "case_files": f"""WITH {ORDER_FILES},
+c AS (SELECT case_id, bool_or(o_orderstatus IN ('F', 'O')) AS bail, bool_or(o_orderstatus = 'F') AS refused, round(avg((doc_index % 8) / 8), 3) AS confidence, count(DISTINCT (day, text)) AS n_facts FROM o GROUP BY case_id),
+f AS (SELECT case_id, doc_index % 40 AS s, min(doc_index) AS first FROM o WHERE doc_index % 3 = 0 GROUP BY ALL), g AS (SELECT case_id, list('IPC ' || s ORDER BY first) AS sections FROM f GROUP BY case_id)
+SELECT case_id, CASE WHEN sections IS NOT NULL OR bail THEN 'criminal' END AS case_type, CASE WHEN bail THEN 'bail' END AS stage, 'Bombay High Court' AS court, confidence, CAST(coalesce(len(sections), 0) AS INT) AS n_sections, CASE WHEN sections IS NULL THEN '' ELSE 'IPC' END AS statutes, CAST(n_facts AS INT) AS n_facts,
+CASE WHEN bail THEN 'Whether bail should be granted for ' || coalesce(array_to_string(sections[1:2], ', '), 'the alleged offences') || '.' || CASE WHEN refused THEN '|Whether changed circumstances justify bail after the earlier rejection order.' ELSE '' END
+ WHEN sections IS NOT NULL THEN 'What relief is available under ' || sections[1] || '?' ELSE '' END AS open_issues FROM c LEFT JOIN g USING (case_id)""",
+    "case_types": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in EXPECTED) + ") t(text, case_type, stage)",
+    "appeal_exports": "SELECT doc_id - 1 AS parent, doc_id AS child, 'MERGE (parent:JudgmentNode {doc_id: QQ' || (doc_id - 1) || 'QQ})' || chr(10) || 'MERGE (child:JudgmentNode {doc_id: QQ' || doc_id || 'QQ})' || chr(10) || 'MERGE (parent)-[:APPEALED_TO {outcome: QQ' || (['UPHELD', 'REVERSED', 'DISMISSED'])[doc_id % 3 + 1] || 'QQ, is_final_authority: ' || (doc_id % 4 = 3) || '}]->(child)' AS statement FROM documents WHERE doc_id % 4 > 0".replace("QQ", "\x27\x27"),
     "edge_linkage": f"{EDGES} SELECT target, count(*) FILTER (type = 'follows') AS followed_by, count(*) FILTER (type = 'distinguishes') AS distinguished_by, max(CASE WHEN type = 'overrules' THEN source END) AS overruled_by FROM e GROUP BY target",
-    "graph_statements": f"{EDGES} SELECT 'MERGE (a:Document {{doc_id: ''' || source || '''}}) MERGE (b:Document {{doc_id: ''' || target || '''}}) MERGE (a)-[:' || upper(type) || ']->(b)' AS statement FROM e",
+    "graph_statements": f"""{EDGES}, ld AS (SELECT doc_id, CASE WHEN doc_id % 5 >= 3 THEN 'StatuteNode' ELSE 'JudgmentNode' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'AIR ' || doc_id ELSE '' END AS citation,
+CASE doc_id % 4 WHEN 0 THEN 'Supreme Court' WHEN 1 THEN 'Bombay High Court' WHEN 2 THEN 'Delhi High Court' ELSE 'NCLT Principal Bench' END AS court, CAST(CAST(DATE '1950-01-01' + CAST(doc_id AS INT) AS DATE) AS VARCHAR) AS date FROM documents),
+n AS (SELECT doc_id, alias, 'MERGE (' || alias || ':' || label || ' {{doc_id: QQ' || doc_id || 'QQ}})' || chr(10) || 'SET ' || alias || '.citation = QQ' || citation || 'QQ, ' || alias || '.court = QQ' || court || 'QQ, ' || alias || '.date = QQ' || date || 'QQ' AS node FROM ld, (SELECT unnest(['source', 'target']) AS alias))
+SELECT source, target, s.node || chr(10) || t.node || chr(10) || 'MERGE (source)-[:CITES {{citation_type: QQ' || type || 'QQ}}]->(target)' AS statement FROM e JOIN n s ON s.doc_id = source AND s.alias = 'source' JOIN n t ON t.doc_id = target AND t.alias = 'target'""".replace("QQ", "\x27\x27"),
     "invoices": "SELECT o_custkey, o_orderkey, n, CAST(round(o_totalprice * 100, 0) AS BIGINT) AS amount_minor, CASE WHEN o_orderstatus = 'F' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS paid_at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 20",
     "subscription_periods": """WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY day DESC, o_orderkey DESC) AS z FROM o)
 SELECT o_custkey, o_orderkey, CAST(CAST(day + 30 AS DATE) AS VARCHAR) AS period_end FROM r WHERE (o_custkey % 2 = 0 AND z = 1) OR (o_custkey % 2 = 1 AND a = 1)""",
     "upload_modes": "SELECT CAST(l_orderkey AS VARCHAR) AS path, CASE WHEN count(DISTINCT l_returnflag = 'R') > 1 THEN 'mixed' WHEN max(l_returnflag = 'R') THEN 'typed' ELSE 'scanned' END AS mode FROM lineitem GROUP BY l_orderkey",
     "answer_sources": "WITH x AS (SELECT l_orderkey AS answer_id, l_suppkey % 3 AS doc_id, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY position, doc_id) AS rank FROM x",
-    "answer_graph": """WITH a AS (SELECT * FROM lineitem WHERE l_orderkey < 500), c AS (SELECT 0 AS level, count(DISTINCT l_orderkey) AS n FROM a UNION ALL SELECT 1, count(DISTINCT (l_orderkey, l_returnflag)) FROM a UNION ALL SELECT 2, count(DISTINCT l_suppkey) FROM a)
+    "answer_graph": """WITH a AS (SELECT * FROM lineitem), c AS (SELECT 0 AS level, count(DISTINCT l_orderkey) AS n FROM a UNION ALL SELECT 1, count(DISTINCT (l_orderkey, l_returnflag)) FROM a UNION ALL SELECT 2, count(DISTINCT l_suppkey) FROM a)
 SELECT level, n, round(n / 2, 4) AS y FROM c""",
 }

@@ -72,7 +72,7 @@ def party_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of users, with phrases that reach every branch appended by turn and conversation."""
     c = Domain(spark, sf_dir).table("conversations").where("role = 'user'")
-    q = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % len(PHRASES) + 1).cast("int")), F.substr("text", F.lit(1), F.lit(40)))
+    q = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % len(PHRASES) + 1).cast("int")), "text")
     a = routing.analyzed(c.select("conv_id", "turn", q.alias("query"), (F.col("conv_id") % 29 == 0).alias("uploaded")))
     return a.select("conv_id", "turn", "query_type", "confidence", "pipeline", "practice_area", "jurisdiction", "time_sensitive", F.size("sections").alias("n_sections"))
 
@@ -89,7 +89,7 @@ b AS (SELECT page_id, url, html, list_filter(list_transform(regexp_extract_all(h
 parsed AS (SELECT page_id, url, html, CASE WHEN trim(h1) <> '' THEN {CLEAN.format('h1')} ELSE lines[1] END AS title, CASE WHEN len(ps) > 0 THEN ps ELSE lines[2:] END AS paragraphs, headers FROM b JOIN l USING (page_id))
 """
 SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-ROUTED = """WITH p AS (SELECT conv_id, turn, lower(ph || ' ' || substr(text, 1, 40)) AS q, conv_id % 29 = 0 AS uploaded FROM conversations, (SELECT unnest(range(10)) AS i, unnest([{phrases}]) AS ph) WHERE role = 'user' AND conv_id % 10 = i),
+ROUTED = """WITH p AS (SELECT conv_id, turn, lower(ph || ' ' || text) AS q, conv_id % 29 = 0 AS uploaded FROM conversations, (SELECT unnest(range(10)) AS i, unnest([{phrases}]) AS ph) WHERE role = 'user' AND conv_id % 10 = i),
 n AS (SELECT *, trim(regexp_replace(regexp_replace(q, '[^\\p{{L}}\\p{{N}}_\\s./-]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm, conv_id % 10 = 1 AS coded FROM p),
 a AS (SELECT *, CASE {areas} ELSE 'general' END AS practice_area,
   CASE WHEN uploaded THEN 'document_specific' WHEN {hops} THEN 'multi_hop_doctrine' WHEN {consti} THEN 'constitutional' WHEN coded THEN 'statutory_lookup' WHEN {vague} THEN 'vague_natural' ELSE 'general_legal' END AS query_type FROM n)

@@ -61,12 +61,31 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.daily_counts(Domain(spark, sf_dir).table("events")).select("user_id", F.col("day").cast("string").alias("day"), "used")
 
 
+def subscriptions(d: Domain) -> DataFrame:
+    """The latest order of every customer as the subscription of the user of that number."""
+    o = S.latest(d.table("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    plan = F.when(F.col("o_orderstatus") == "F", "FREE").when(F.col("o_orderkey") % 2 == 0, "ADVOCATE_PRO").otherwise("CHAMBER_PRO")
+    return o.select(F.col("o_custkey").alias("user_id"), plan.alias("plan"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "P", "PAST_DUE").otherwise("FREE").alias("status"))
+
+
 def query_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily limits by the latest order of the customer of the same number, as a subscription."""
+    """Requests of every user and day, every third in a workspace: limits by plan, none for paid ones."""
     d = Domain(spark, sf_dir)
-    o = S.latest(d.table("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
-    sub = o.select(F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", "FREE").otherwise("PRO").alias("plan"), (F.col("o_orderstatus") == "O").alias("active"))
-    return S.allowance(S.daily_counts(d.table("events")), sub).withColumn("day", F.col("day").cast("string"))
+    r = S.daily_counts(d.table("events")).withColumn("workspace_id", F.when(F.col("used") % 3 == 0, F.lit("w")))
+    return S.allowance(r, subscriptions(d)).withColumn("day", F.col("day").cast("string"))
+
+
+def plan_checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkout for every customer's latest plan."""
+    r = subscriptions(Domain(spark, sf_dir)).withColumn("requested_at", F.lit("2024-07-01"))
+    return S.checkouts(r).select("user_id", "plan", "status", "provider_subscription_id", "seats", "daily_limit", "max_workspaces")
+
+
+def charged_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = Domain(spark, sf_dir).table("orders")
+    c = o.select(F.col("o_orderkey").alias("user_id"), F.round(F.col("o_totalprice") * 100, 0).cast("long").alias("amount_minor"), F.when(F.col("o_orderstatus") == "F", "PAID").otherwise("OPEN").alias("status"), F.col("o_orderpriority").alias("description"), F.to_date("o_orderdate").alias("issued_at"))
+    i = S.invoices(c)
+    return i.select(F.col("user_id").alias("o_orderkey"), "amount_minor", "currency", "status", F.col("issued_at").cast("string").alias("issued_at"), F.col("paid_at").cast("string").alias("paid_at"))
 
 
 def latest_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +175,7 @@ def stream_events(d: Domain) -> DataFrame:
     """Turns of conversations as events of their query."""
     c = d.table("conversations")
     kind = F.when(F.col("role") == "system", "STEP_START").when(F.col("role") == "user", "TOKEN").when(F.col("turn") % 4 == 1, "STEP_COMPLETE").otherwise("AGENT_LOG")
-    return c.select(F.col("conv_id").cast("string").alias("query_id"), F.col("turn").cast("int").alias("sequence"), kind.alias("type"), F.concat(F.lit("s"), (F.col("turn") % 2).cast("string")).alias("step"), F.lit("").alias("data"), F.lit(None).cast("string").alias("error"), F.substr("text", F.lit(1), F.lit(5)).alias("token"), F.lit(None).cast("double").alias("confidence"))
+    return c.select(F.col("conv_id").cast("string").alias("query_id"), F.col("turn").cast("int").alias("sequence"), kind.alias("type"), F.concat(F.lit("s"), (F.col("turn") % 2).cast("string")).alias("step"), F.lit("").alias("data"), F.lit(None).cast("string").alias("error"), F.col("text").alias("token"), F.lit(None).cast("double").alias("confidence"))
 
 
 def reduced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,12 +203,13 @@ CASE WHEN l_tax < 0.05 THEN l_linestatus = 'O' END AS sif, CASE WHEN l_tax > 0.0
 rates AS (SELECT round(avg(CASE WHEN kind = 'judgment' THEN CAST(ex AS INT) END), 6) AS citation_existence, round(avg(CASE WHEN kind = 'judgment' AND sup IS NOT NULL THEN CAST(sup AS INT) END), 6) AS citation_accuracy,
 round(avg(CASE WHEN kind = 'judgment' AND (shown IS NOT NULL OR final IS NOT NULL) THEN CAST(coalesce(final IS NULL OR shown = final, FALSE) AS INT) END), 6) AS appeal_chain_accuracy, round(avg(CASE WHEN cl IS NOT NULL AND el IS NOT NULL THEN CAST(cl = el AS INT) END), 6) AS jurisdiction_accuracy,
 round(avg(CASE WHEN kind = 'statute' AND sif IS NOT NULL THEN CAST(sif AS INT) END), 6) AS temporal_validity, round(avg(CASE WHEN kind = 'statute' AND cur IS NOT NULL THEN CAST(cur AS INT) END), 6) AS amendment_awareness FROM r)"""
-STREAM = "s AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, turn, CASE WHEN role = 'user' THEN substr(text, 1, 5) ELSE '' END AS token FROM conversations)"
+STREAM = "s AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, turn, CASE WHEN role = 'user' THEN text ELSE '' END AS token FROM conversations)"
 LATEST = "lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1)"
+SUBS = "su AS (SELECT o_custkey AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'FREE' WHEN o_orderkey % 2 = 0 THEN 'ADVOCATE_PRO' ELSE 'CHAMBER_PRO' END AS plan, CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'P' THEN 'PAST_DUE' ELSE 'FREE' END AS status FROM lo)"
 from .retrieval_queries import TOKENS  # noqa: E402
 
 QUERIES = {f.__name__: f for f in [
-    appeal_chains, appeal_outcomes, court_levels, validity_changes, statute_changes, code_mappings, daily_counts, query_allowance, latest_subscription,
+    appeal_chains, appeal_outcomes, court_levels, validity_changes, statute_changes, code_mappings, daily_counts, query_allowance, plan_checkouts, charged_invoices, latest_subscription,
     recent_history, latest_state, reembedding_flags, upserted_points, citation_rates, multi_hop_completeness, latest_public_run, token_overlaps, entailment_labels, claim_lattice, amendment_checks, corrective_actions, reduced_events, joined_output, trust_metrics,
 ]}
 ORACLE_SQL = {
@@ -206,9 +226,12 @@ CASE WHEN p_partkey % 9 = 0 THEN 'REPEALED' WHEN p_partkey % 6 = 0 AND upper(p_n
     "code_mappings": """WITH r AS (SELECT DISTINCT CAST(p_partkey % 50 AS INT) AS n, p_size % 2 = 0 AS post FROM part), x AS (SELECT *, n BETWEEN 1 AND 30 AND n % 7 <> 0 AS mapped FROM r)
 SELECT 'Section ' || n || ' IPC' AS reference, CAST(n AS VARCHAR) AS section, CASE WHEN mapped AND post THEN 'BNS ' || (n + 100) ELSE 'IPC ' || n END AS preferred, CASE WHEN mapped THEN CASE WHEN post THEN 'IPC ' || n ELSE 'BNS ' || (n + 100) END END AS equivalent, mapped, CASE WHEN post THEN 2024 ELSE 2023 END AS year FROM x""",
     "daily_counts": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used FROM events GROUP BY 1, 2",
-    "query_allowance": f"""WITH {LATEST}, c AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used FROM events GROUP BY 1, 2),
-x AS (SELECT c.*, CASE WHEN o_orderstatus IS NULL OR o_orderstatus = 'F' THEN 'FREE' ELSE 'PRO' END AS plan, CASE WHEN o_orderstatus = 'O' THEN 500 ELSE 20 END AS daily_limit FROM c LEFT JOIN lo ON o_custkey = user_id)
-SELECT user_id, day, used, plan, daily_limit, greatest(daily_limit - used, 0) AS remaining, used < daily_limit AS allowed FROM x""",
+    "query_allowance": f"""WITH {LATEST}, {SUBS}, c AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used FROM events GROUP BY 1, 2),
+x AS (SELECT c.user_id, day, used, coalesce(plan, 'FREE') AS plan, CASE WHEN coalesce(plan, 'FREE') = 'FREE' THEN 20 END AS daily_limit, coalesce(plan <> 'FREE' AND status = 'ACTIVE', FALSE) AS paid FROM c LEFT JOIN su USING (user_id)),
+y AS (SELECT *, CASE WHEN user_id IS NULL THEN NULL WHEN used % 3 = 0 AND NOT paid THEN 'plan_upgrade_required' WHEN used >= daily_limit THEN 'free_tier_limit_reached' END AS code FROM x)
+SELECT user_id, day, used, plan, CAST(daily_limit AS BIGINT) AS daily_limit, greatest(daily_limit - used, 0) AS remaining, code IS NULL AS allowed, code FROM y""".replace("greatest(daily_limit - used, 0)", "CASE WHEN daily_limit IS NOT NULL THEN greatest(daily_limit - used, 0) END"),
+    "plan_checkouts": f"WITH {LATEST}, {SUBS} SELECT user_id, plan, 'CHECKOUT_PENDING' AS status, 'rzp_sub_preview_' || substr(sha1(user_id || '|' || plan || '|2024-07-01'), 1, 12) AS provider_subscription_id, CAST(CASE plan WHEN 'CHAMBER_PRO' THEN 5 ELSE 1 END AS BIGINT) AS seats, CAST(NULL AS BIGINT) AS daily_limit, CAST(CASE plan WHEN 'CHAMBER_PRO' THEN 25 ELSE 5 END AS BIGINT) AS max_workspaces FROM su WHERE plan <> 'FREE'",
+    "charged_invoices": "SELECT o_orderkey, CAST(round(o_totalprice * 100, 0) AS BIGINT) AS amount_minor, 'INR' AS currency, CASE o_orderstatus WHEN 'F' THEN 'PAID' ELSE 'OPEN' END AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS issued_at, CASE WHEN o_orderstatus = 'F' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS paid_at FROM orders",
     "latest_subscription": f"WITH {LATEST} SELECT o_custkey, o_orderkey, o_orderstatus FROM lo",
     "recent_history": "SELECT event_id, user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20",
     "latest_state": "SELECT user_id, status, value, n FROM (SELECT user_id, event_type AS status, value, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1",

@@ -56,7 +56,7 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.document_frequencies(Domain(spark, sf_dir).document_tokens()).where("df >= 5")
+    return R.document_frequencies(Domain(spark, sf_dir).document_tokens())
 
 
 def qrels(d: Domain) -> DataFrame:
@@ -189,7 +189,7 @@ ORACLE_SQL = {
     "bm25_topk": f"WITH {LEXICAL} SELECT query_id, doc_id, score, rank FROM lexical",
     "bm25_valid_only": f"WITH {LEXICAL}, {VALIDITY} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m JOIN v USING (doc_id) WHERE current_validity = 'GOOD_LAW') WHERE rank <= 10",
     "corpus_statistics": f"WITH d AS (SELECT {TOKENS} AS tokens FROM documents) SELECT count(*) AS n_docs, CAST(sum(len(tokens)) AS BIGINT) AS total_length, round(avg(len(tokens)), 6) AS avg_length FROM d",
-    "document_frequencies": f"SELECT token, count(*) AS df FROM (SELECT unnest({TOKENS}) AS token FROM documents) GROUP BY token HAVING count(*) >= 5",
+    "document_frequencies": f"SELECT token, count(*) AS df FROM (SELECT unnest({TOKENS}) AS token FROM documents) GROUP BY token",
     "ir_metrics": IR + "SELECT * FROM metrics",
     "ir_summary": IR + "SELECT count(*) AS n_cases, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ["p_1", "r_1", "ndcg_1", "p_5", "r_5", "ndcg_5", "p_10", "r_10", "ndcg_10", "rr", "ap"]) + " FROM metrics",
     "dense_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.v, p.v), 6) AS score FROM e q, e p WHERE q.vec_id % 25 = 0)

@@ -13,19 +13,33 @@ from ..operators.state import latest
 
 #: Fixed value: the namespace of URL names.
 URL_NAMESPACE = uuid.NAMESPACE_URL.hex
+# The sources that are read.
 CATALOG = [
-    # key, kind, scope, frequency
-    ("supreme_court", "html", "judgments", "daily"),
-    ("high_court", "html", "judgments", "daily"),
-    ("tribunal", "html", "orders", "weekly"),
-    ("statute", "text", "statutes", "weekly"),
-    ("constitution", "text", "constitution", "monthly"),
-    ("upload", "binary", "case files", "on demand"),
+    ("constitution_of_india", "Constitution of India Corpus", "STATUTE_PORTAL", "https://www.indiacode.nic.in", "www.indiacode.nic.in", ["All India"], "ad hoc", "structured_text", "constitution-text-v1", "APPROVED", "Canonical constitutional text and amendments."),
+    ("india_code", "India Code Central Acts", "STATUTE_PORTAL", "https://www.indiacode.nic.in", "www.indiacode.nic.in", ["All India"], "daily", "structured_text", "indiacode-text-v1", "APPROVED", "Central bare acts and section text."),
+    ("bns_bundle", "BNS / BNSS / BSA Corpus", "STATUTE_PORTAL", "https://www.indiacode.nic.in", "www.indiacode.nic.in", ["All India"], "ad hoc", "structured_text", "criminal-code-text-v1", "APPROVED", "New criminal codes effective July 1, 2024."),
+    ("supreme_court", "Supreme Court of India", "COURT_PORTAL", "https://www.sci.gov.in", "www.sci.gov.in", ["All India"], "daily", "html_parser", "supreme-court-html-v1", "APPROVED", None),
+    ("bombay_high_court", "Bombay High Court", "COURT_PORTAL", "https://bombayhighcourt.nic.in", "bombayhighcourt.nic.in", ["Maharashtra", "Goa"], "daily", "html_parser", "high-court-html-v1", "APPROVED", None),
+    ("nclt", "National Company Law Tribunal", "TRIBUNAL_PORTAL", "https://nclt.gov.in", "nclt.gov.in", ["All India"], "weekly", "html_parser", "tribunal-html-v1", "APPROVED", None),
 ]
+CATALOG_SCHEMA = "source_key string, display_name string, source_type string, base_url string, hostname string, jurisdictions array<string>, frequency string, access string, parser_version string, approval string, notes string"
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, "source_key string, kind string, scope string, frequency string")
+    return spark.createDataFrame(CATALOG, CATALOG_SCHEMA)
+
+
+def registry_merged(registry: DataFrame, used: DataFrame) -> DataFrame:
+    """The registry of sources with those of a run (source_key, base_url) that it lacks: from the catalogue, or as unlisted sources that await approval."""
+    new = used.select("source_key", "base_url").dropDuplicates(["source_key"]).join(registry.select("source_key"), "source_key", "left_anti")
+    listed = catalog(registry.sparkSession)
+    known = listed.join(new.select("source_key"), "source_key", "left_semi")
+    none = lambda t: F.lit(None).cast(t)
+    unlisted = new.join(listed.select("source_key"), "source_key", "left_anti").select(
+        "source_key", F.initcap(F.replace("source_key", F.lit("_"), F.lit(" "))).alias("display_name"), F.lit("UNLISTED").alias("source_type"), "base_url", F.expr("try_parse_url(base_url, 'HOST')").alias("hostname"),
+        F.array(F.lit("All India")).alias("jurisdictions"), F.lit("ad hoc").alias("frequency"), none("string").alias("access"), none("string").alias("parser_version"), F.lit("PENDING").alias("approval"), none("string").alias("notes"),
+    )
+    return registry.unionByName(known).unionByName(unlisted)
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
@@ -46,10 +60,10 @@ def default_binding(court: Column, doc_type: Column) -> Column:
 
 
 def collection(doc_type: Column, court: Column) -> Column:
-    apex = F.lower(F.trim(court)) == "supreme court"
+    apex = F.coalesce(F.lower(F.trim(court)) == "supreme court", F.lit(False))
     return (
-        F.when(doc_type == "statute", "statutes").when(doc_type == "constitution", "constitution").when(doc_type == "order", "tribunal_orders").when(doc_type == "report", "lc_reports")
-        .when(F.coalesce(apex, F.lit(False)), "sc_judgments").otherwise("hc_judgments")
+        F.when((doc_type == "judgment") & apex, "sc_judgments").when(doc_type == "judgment", "hc_judgments").when(doc_type == "statute", "statutes").when(doc_type == "constitution", "constitution")
+        .when(doc_type == "order", "tribunal_orders").when(doc_type == "lc_report", "lc_reports").otherwise("doctrine_clusters")
     )
 
 

@@ -7,6 +7,7 @@ from attestra.functions import ocr as O
 from attestra.operators import answers as A
 from attestra.operators import cases as K
 from attestra.operators import export, verify
+from attestra.operators import state as S
 from attestra.sources import html, ingest, uploads
 
 
@@ -57,13 +58,14 @@ def test_draft_resolve_and_structure(spark):
 
 def test_placeholders_resolve_by_score(spark):
     p = spark.createDataFrame([(1, "specific relief act section 6 possession"), (2, "unknown thing")], "placeholder_id int, description string")
-    c = spark.createDataFrame([(5, "Specific Relief Act", "6", "suit for possession under section 6"), (6, "Other Act", "9", "possession")], "doc_id int, act string, section string, text string")
+    rows = [(5, "Specific Relief Act", "6", "Suit by person dispossessed", "suit for possession under section 6", "statute"), (6, "Other Act", "9", "x", "possession", "statute")]
+    c = spark.createDataFrame(rows, "doc_id int, act string, section string, header string, text string, doc_type string")
     got = {r["placeholder_id"]: (r["doc_id"], r["status"]) for r in verify.resolved(p, c).collect()}
     assert got == {1: (5, "VERIFIED"), 2: (None, "UNVERIFIED")}
 
 
 def test_quality(spark):
-    assert A.meteor_score(["a", "b"], ["a", "b"]) == 1.0 and A.meteor_score(["a"], ["b"]) == 0.0
+    assert A.meteor_score(["a", "b"], ["a", "b"]) == 1.0 and A.meteor_score([], []) == 0.0 and A.meteor_score(["walks"], ["walking"]) == 1.0 and A.meteor_score(["a"], ["b"]) == 0.0
     assert 0 < A.meteor_score("the cats walked home".split(), "the cat walking home slowly".split()) < 1
     df = spark.createDataFrame([("c", "Bail was granted. Moon is cheese.", ["Bail was granted. More."])], "case_id string, answer string, contexts array<string>")
     r = A.faithfulness(df).first()
@@ -71,15 +73,33 @@ def test_quality(spark):
 
 
 def test_case_files(spark):
-    rows = [(1, 0, "FIR filed on 4 July 2024. Bail rejected by the Sessions Court on 2024-08-01.", 0.9), (1, 1, "The accused moved the Bombay High Court.", 0.7)]
-    d = spark.createDataFrame(rows, "case_id int, doc_index int, text string, confidence double")
-    r = K.case_files(d).first()
-    assert r["case_type"] == "criminal" and r["stage"] == "bail" and r["confidence"] == 0.8 and len(r["key_facts"]) == 2
-    assert [o["outcome"] for o in r["orders"]] == ["REJECTED"] and r["open_issues"] == ["grounds for bail"]
-    assert K.bail_history(K.previous_orders(d)).count() == 1
+    rows = [
+        (1, 0, "fir.pdf", "FIR filed on 4 July 2024. Bail rejected by the Sessions Court on 2024-08-01.", 0.9, ["Section 302 IPC", "Section 437 crpc", "odd"]), (1, 1, "note.pdf", "The accused moved the Bombay High Court. The order is awaited.", 0.7, []),
+        (2, 0, "bail papers.pdf", "Nothing on record.", 1.0, []), (3, 0, "a.pdf", "Papers on bail.", 1.0, ["Section 6 Specific Relief Act"]), (4, 0, "b.pdf", "The landlord was heard.", 1.0, ["Section 6 Specific Relief Act"]),
+    ]
+    d = spark.createDataFrame(rows, "case_id int, doc_index int, file_name string, text string, confidence double, sections array<string>")
+    got = {r["case_id"]: r for r in K.case_files(d).collect()}
+    r = got[1]
+    assert r["case_type"] == "criminal" and r["stage"] == "bail" and r["confidence"] == 0.8 and len(r["key_facts"]) == 2 and r["court"] == "Sessions Court"
+    assert r["sections"] == ["IPC 302", "CrPC 437"] and r["statutes"] == ["IPC", "CrPC"] and [o["outcome"] for o in r["orders"]] == ["rejected", None]
+    assert r["open_issues"] == ["Whether bail should be granted for IPC 302, CrPC 437.", "Whether changed circumstances justify bail after the earlier rejection order."]
+    assert [(b["status"], str(b["date"])) for b in r["bail_history"]] == [("rejected", "2024-08-01")]
+    assert got[2]["stage"] == "bail" and got[2]["bail_history"] is None
+    assert [(b["status"], b["summary"]) for b in got[3]["bail_history"]] == [("pending", "Bail proceedings referenced in a.pdf.")]
+    assert got[4]["case_type"] == "property" and got[4]["open_issues"] == ["Whether possession must be restored under the Specific Relief Act."]
     assert one(spark, K.text_date(F.col("x")), x="on 31/2/2024") is None
 
 
+def test_allowance(spark):
+    s = spark.createDataFrame([("a", "FREE", "FREE"), ("b", "ADVOCATE_PRO", "ACTIVE"), ("c", "CHAMBER_PRO", "PAST_DUE")], "user_id string, plan string, status string")
+    asked = [("a", "d", 19, None), ("a", "e", 20, None), ("a", "f", 0, "w"), ("b", "d", 5000, "w"), ("c", "d", 5000, None), ("c", "e", 0, "w"), ("z", "d", 20, None), (None, "d", 99, "w")]
+    got = {(r["user_id"], r["day"]): (r["allowed"], r["code"], r["remaining"]) for r in S.allowance(spark.createDataFrame(asked, "user_id string, day string, used long, workspace_id string"), s).collect()}
+    assert got == {
+        ("a", "d"): (True, None, 1), ("a", "e"): (False, "free_tier_limit_reached", 0), ("a", "f"): (False, "plan_upgrade_required", 20), ("b", "d"): (True, None, None), ("c", "d"): (True, None, None), ("c", "e"): (False, "plan_upgrade_required", None),
+        ("z", "d"): (False, "free_tier_limit_reached", 0), (None, "d"): (True, None, 0),
+    }
+
+
 def test_ids_and_ingest(spark, tmp_path):
     assert one(spark, ingest.uuid5(F.col("x")), x="a|b|c") == str(uuid.uuid5(uuid.NAMESPACE_URL, "a|b|c"))
     pages = spark.createDataFrame([(1, "http://a/b/ref/", "<h1>A v B</h1><p>AIR 1978 SC 597 said. Appeal from the High Court.</p><p>On 2017-08-24 &amp; after.</p>")], "page_id int, url string, html string")
@@ -97,7 +117,11 @@ def test_ids_and_ingest(spark, tmp_path):
 
 def test_exports_and_uploads(spark):
     e = spark.createDataFrame([("o'x", "y", "follows")], "source string, target string, type string")
-    assert export.edge_statements(e).first()[0] == "MERGE (a:Document {doc_id: 'o\\'x'}) MERGE (b:Document {doc_id: 'y'}) MERGE (a)-[:FOLLOWS]->(b)"
+    d = spark.createDataFrame([("o'x", "judgment", "C'1", "Court", "2020-01-02"), ("y", "statute", None, None, None)], "doc_id string, doc_type string, citation string, court string, date string")
+    assert export.edge_statements(e, d).first()["statement"].split("\n") == [
+        "MERGE (source:JudgmentNode {doc_id: 'o\\'x'})", "SET source.citation = 'C\\'1', source.court = 'Court', source.date = '2020-01-02'", "MERGE (target:StatuteNode {doc_id: 'y'})",
+        "SET target.citation = '', target.court = '', target.date = ''", "MERGE (source)-[:CITES {citation_type: 'follows'}]->(target)",
+    ]
     files = spark.createDataFrame([("a.pdf", bytearray(b"x")), ("b.png", bytearray(b"y"))], "path string, content binary")
     pages = uploads.pages(files, pdf=lambda b: ["typed text of more than twenty-four characters", ""], ocr=lambda b: "seen")
     got = {r["path"]: r["mode"] for r in uploads.document_modes(pages).collect()}
