@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -75,9 +76,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def dense(queries: DataFrame, points: DataFrame, top_k: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
+def dense(queries: DataFrame, points: DataFrame, top_k: int = 20, block: int = QUERY_BLOCK, allowed: Callable[[list[Row], pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
     """query_id, point_id, score, rank by cosine; (query_id, vector) against (point_id, vector).
 
+    allowed(queries, points): a matrix of which points (a batch, all columns) are open to which queries (a block, all columns); without it all are.
+
     Queries come in blocks of bounded size, each sent to the points as one matrix. A batch of points is one matrix product, and passes on
     only what can be among a query's best: points are never shuffled, and no more than top_k a batch and query (ties beside) are.
     """
@@ -85,22 +88,26 @@ def dense(queries: DataFrame, points: DataFrame, top_k: int = 20, block: int = Q
     id_type, point_type = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
     schema = StructType([StructField("query_id", id_type), StructField("point_id", point_type), StructField("score", DoubleType())])
     found = spark.createDataFrame([], schema)
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").toLocalIterator()
-    p = points.select("point_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    more = lambda df, key: [c for c in df.columns if c not in (key, "vector")] if allowed else []
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    rows = queries.select("query_id", vector, *more(queries, "query_id")).where("vector is not null").toLocalIterator()
+    p = points.select("point_id", vector, *more(points, "point_id")).where("vector is not null")
     while part := list(islice(rows, block)):
-        shipped = spark.sparkContext.broadcast(([r.query_id for r in part], _unit(_matrix(pa.array([r.vector for r in part])))))
+        shipped = spark.sparkContext.broadcast(([r.query_id for r in part], _unit(_matrix(pa.array([r.vector for r in part]))), part if allowed else None))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, q = shipped.value
+            ids, q, asked = shipped.value
             for whole in batches:
                 for i in range(0, whole.num_rows, 1000):
                     b = whole.slice(i, 1000)
                     m = _unit(_matrix(b.column(1)))
                     d = min(m.shape[1], q.shape[1])
                     scores = np.round(m[:, :d] @ q[:, :d].T, 6)
+                    if allowed:
+                        scores[~allowed(asked, pa.Table.from_batches([b]).drop_columns(["vector"]).to_pandas())] = -np.inf
                     k = min(top_k, len(scores))
                     least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if k else np.zeros(len(ids))
-                    point, query = np.nonzero(scores >= least)
+                    point, query = np.nonzero((scores >= least) & (scores > -np.inf))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in query.tolist()], b_types[0]), b.column(0).take(pa.array(point)), pa.array(scores[point, query])], names=["query_id", "point_id", "score"])
 
         b_types = [to_arrow_type(id_type)]
@@ -125,6 +132,19 @@ def rerank_score(query_tokens: Column, tokens: Column, dense_score: Column, lexi
     return F.least(0.35 * overlap(query_tokens, tokens) + 0.30 * d + 0.20 * x + bonus, F.lit(1.0))
 
 
+def rerank_bonus(entities: Column, references: Column, query_type: Column, area: Column, title: Column, section: Column, doc_type: Column, areas: Column) -> Column:
+    """0.12 for a case that the query names, 0.22 for a section, 0.18 for law where law is looked up, 0.05 for its practice area.
+
+    entities: array of (kind, text); references: `CODE n`, of which the last word counts; title: `A v B`.
+    """
+    yes = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    names = F.transform(F.filter(entities, lambda e: e["kind"] == "CASE_NAME"), lambda e: F.lower(e["text"]))
+    numbers = F.transform(F.filter(references, lambda r: F.contains(r, F.lit(" "))), lambda r: F.upper(F.substring_index(r, " ", -1)))
+    named = F.exists(names, lambda n: F.contains(F.lower(title), n))
+    law = (query_type == "statutory_lookup") & doc_type.isin("statute", "constitution")
+    return yes(named, 0.12) + yes(F.array_contains(numbers, F.upper(section)), 0.22) + yes(law, 0.18) + yes((area != "general") & F.array_contains(areas, area), 0.05)
+
+
 def authority_tier(doc_type: Column, court: Column, coram: Column, jurisdiction: Column) -> Column:
     """0 for statutes and constitution, 1-5 the apex court by bench, 6-8 the query's own court, 9 other high courts, 10 others."""
     c = F.lower(F.trim(F.coalesce(court, F.lit(""))))

@@ -11,6 +11,7 @@ from ..functions.vectors import cosine, embedding
 VERIFIED, UNCERTAIN = 0.82, 0.55
 PROCEED, REFINE = 0.70, 0.40
 CUTOVER = "2024-07-01"
+LAW_TYPES = ["statute", "constitution"]
 
 
 def entailment(premise: Column, hypothesis: Column) -> Column:
