@@ -26,20 +26,33 @@ def statute_parts(text: Column, max_words: int = STATUTE_WORDS) -> Column:
 
 
 def report_windows(paragraphs: Column, max_words: int = REPORT_WORDS) -> Column:
-    """(first, end) of greedy windows of paragraphs, each at least one long, the next starting at the last paragraph of the one before."""
-    n = F.size(paragraphs)
-    total = lambda a, b: F.aggregate(F.slice(paragraphs, a + 1, F.greatest(b - a, F.lit(0))), F.lit(0), lambda s, p: s + n_words(p))
-    # the furthest end: counted up from the start while the words fit
-    end = lambda i: F.aggregate(F.sequence(i + 1, n), i, lambda e, k: F.when((k == i + 1) | ((e == k - 1) & (total(i, k) <= max_words)), k).otherwise(e))
-    start = F.struct(F.array().cast("array<struct<first:int,end:int>>").alias("found"), F.lit(0).alias("next"))
-
-    def step(s: Column, i: Column) -> Column:
-        e = end(i)
-        found = F.concat(s["found"], F.array(F.struct(i.alias("first"), e.alias("end"))))
-        after = F.when(e >= n, n + 1).otherwise(F.greatest(i + 1, e - 1))
-        return F.when(s["next"] == i, F.struct(found.alias("found"), after.alias("next"))).otherwise(s)
-
-    return F.when(n == 0, F.array().cast("array<struct<first:int,end:int>>")).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["found"]))
+    """(first, end) of greedy windows of paragraphs, each at least one long, the next starting at the last paragraph of the one before.
+
+    One fold over the paragraphs: each is counted once, and its words stand in the state while its window is open. A window is
+    closed where its next paragraph no longer fits; the one that opens then holds the last paragraph of the one before, and closes in
+    turn if that alone leaves no room.
+    """
+    state = "struct<found:array<struct<first:int,end:int>>,first:int,words:int,last:int>"
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    start = F.struct(none.alias("found"), F.lit(0).alias("first"), F.lit(0).alias("words"), F.lit(0).alias("last")).cast(state)
+    window = lambda a, b: F.struct(a.alias("first"), b.alias("end"))
+    as_state = lambda found, first, words, last: F.struct(found.alias("found"), first.alias("first"), words.alias("words"), last.alias("last"))
+
+    def step(s: Column, x: Column) -> Column:
+        i, n = x["i"], x["n"]
+        fits = (s["words"] == 0) | (s["words"] + n <= max_words)
+        # closed before i: the next window starts at i - 1 if it is longer than one, else at i
+        closed = F.concat(s["found"], F.array(window(s["first"], i)))
+        again = i - 1 > s["first"]
+        joined = s["last"] + n <= max_words
+        twice = F.concat(closed, F.array(window(i - 1, i)))
+        return (
+            F.when(fits, as_state(s["found"], s["first"], s["words"] + n, n)).when(again & (joined | (s["last"] == 0)), as_state(closed, i - 1, s["last"] + n, n)).when(again, as_state(twice, i, n, n)).otherwise(as_state(closed, i, n, n))
+        )
+
+    counted = F.transform(paragraphs, lambda p, i: F.struct(i.alias("i"), n_words(p).alias("n")))
+    end = lambda s: F.concat(s["found"], F.array(window(s["first"], F.size(paragraphs))))
+    return F.when(F.size(paragraphs) == 0, none).otherwise(F.aggregate(counted, start, step, end))
 
 
 def judgment_kind(header: Column, text: Column) -> Column:

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.text import REPORTER, claim_text, first_sentence, sentences
-from .evaluation import SUFFIXES, entity_recall, similarity
-
-SUPPORTED, COVERED = 0.72, 0.55
-
 
 def statute_token(act: Column, section: Column) -> Column:
     return F.concat(F.lit("[STATUTE: "), act, F.lit(", Section "), section, F.lit("]"))
@@ -82,55 +76,3 @@ def answer_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     e1 = answers.select(F.concat(F.lit("query:"), F.col("query_id")).alias("source"), F.concat_ws(":", F.lit("section"), "query_id", "section").alias("target"))
     e2 = answers.select(F.concat_ws(":", F.lit("section"), "query_id", "section").alias("source"), F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("target"))
     return nodes, e1.union(e2).distinct()
-
-
-def _stem(t: str) -> str:
-    return next((t[: -len(s)] for s in SUFFIXES if t.endswith(s) and len(t) - len(s) >= 3), t)
-
-
-def meteor_score(answer: list[str], reference: list[str]) -> float:
-    """Stems aligned greedily from the left; weighted harmonic mean less a penalty for broken order."""
-    a, b = [_stem(t) for t in answer], [_stem(t) for t in reference]
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    free: dict[str, list[int]] = {}
-    for j in reversed(range(len(b))):
-        free.setdefault(b[j], []).append(j)
-    pairs = [(i, free[t].pop()) for i, t in enumerate(a) if free.get(t)]
-    if not pairs:
-        return 0.0
-    m = len(pairs)
-    p, r = m / len(a), m / len(b)
-    breaks = 1 + sum(not (i2 == i1 + 1 and j2 == j1 + 1) for (i1, j1), (i2, j2) in zip(pairs, pairs[1:]))
-    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (breaks / m) ** 3)
-
-
-@F.pandas_udf(DoubleType())
-def meteor(answer: pd.Series, reference: pd.Series) -> pd.Series:
-    """Alignment is a loop over both token lists; Arrow batches carry it."""
-    return pd.Series([meteor_score(list(a), list(b)) for a, b in zip(answer, reference)])
-
-
-def faithfulness(cases: DataFrame) -> DataFrame:
-    """Per case (case_id, answer, contexts): share of answer sentences that some context sentence supports; hallucination is the rest."""
-    a = cases.select("case_id", F.posexplode(sentences(F.col("answer"))).alias("i", "claim"))
-    c = cases.select("case_id", F.explode("contexts").alias("c")).select("case_id", F.explode(sentences(F.col("c"))).alias("context"))
-    best = a.join(c, "case_id", "left").withColumn("s", F.coalesce(similarity(F.col("claim"), F.col("context")), F.lit(0.0))).groupBy("case_id", "i").agg(F.max("s").alias("s"))
-    out = best.groupBy("case_id").agg(F.avg((F.col("s") >= SUPPORTED).cast("double")).alias("faithfulness"))
-    return cases.select("case_id").join(out, "case_id", "left").select("case_id", F.coalesce("faithfulness", F.lit(0.0)).alias("faithfulness")).withColumn("hallucination", 1 - F.col("faithfulness"))
-
-
-def context_precision(answer: Column, contexts: Column) -> Column:
-    n = F.size(contexts)
-    hit = F.size(F.filter(contexts, lambda c: similarity(answer, c) >= COVERED))
-    return F.when(n == 0, 0.0).otherwise(hit / F.greatest(n, F.lit(1)))
-
-
-def legal_accuracy(similarity_: Column, entities: Column, answer: Column) -> Column:
-    return 0.6 * similarity_ + 0.4 * entity_recall(entities, answer)
-
-
-def noise_robustness(clean: Column, noisy: Column, has_noise: Column) -> Column:
-    return F.when(~has_noise, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(clean - noisy)))

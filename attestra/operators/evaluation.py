@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import overlap
-from ..functions.vectors import cosine, embedding
-
-TOKEN = r"[a-z0-9]+"
-SUFFIXES = ["ingly", "edly", "ing", "ed", "ly", "es", "s"]
-
 
 def ir_metrics(ranking: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Per case: precision, recall and nDCG at ks, reciprocal rank, average precision.
@@ -69,47 +63,3 @@ def completeness(expected: Column, surfaced: Column) -> Column:
     """Share of the expected set that was surfaced; 0 if none is expected."""
     n = F.size(F.array_distinct(expected))
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(expected, surfaced)) / F.greatest(n, F.lit(1)))
-
-
-def answer_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-
-
-def stem(token: Column) -> Column:
-    """The first suffix that leaves three characters comes off."""
-    out = token
-    for s in reversed(SUFFIXES):
-        out = F.when(token.endswith(s) & (F.char_length(token) - len(s) >= 3), F.substr(token, F.lit(1), F.char_length(token) - len(s))).otherwise(out)
-    return out
-
-
-def rouge_l(answer: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of tokens, row by row of its table."""
-    zero = F.array_repeat(F.lit(0), F.size(reference) + 1)
-    # next row: cell j+1 = diagonal + 1 on a match, else the larger of the cell above and the cell before
-    def row(prev: Column, a: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(reference))
-        def cell(acc: Column, j: Column) -> Column:
-            here = F.when(F.element_at(reference, j) == a, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(here))
-        return F.when(F.size(reference) == 0, prev).otherwise(F.aggregate(at, F.array(F.lit(0)), cell))
-
-    last = F.element_at(F.aggregate(answer, zero, row), -1)
-    n, m = F.size(answer), F.size(reference)
-    f1 = 2 * last / F.greatest(n + m, F.lit(1))
-    return F.when((n == 0) | (m == 0), 0.0).otherwise(f1)
-
-
-def similarity(a: Column, b: Column) -> Column:
-    return cosine(embedding(a), embedding(b))
-
-
-def entity_recall(entities: Column, context: Column) -> Column:
-    """Share of entities found in the context, in lower case; 1 without any."""
-    c = F.lower(context)
-    hits = F.size(F.filter(entities, lambda e: F.contains(c, F.lower(e))))
-    return F.when(F.size(entities) == 0, 1.0).otherwise(hits / F.greatest(F.size(entities), F.lit(1)))
-
-
-def lexical_recall(reference: Column, context: Column) -> Column:
-    return overlap(answer_tokens(reference), answer_tokens(context))

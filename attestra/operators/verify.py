@@ -119,15 +119,3 @@ def resolved(placeholders: DataFrame, candidates: DataFrame, least: float = 0.85
 def section_kind(title: Column) -> Column:
     t = F.lower(title)
     return F.when(t.rlike("law|statute"), "APPLICABLE_LAW").when(t.rlike("authorit|case"), "KEY_CASES").otherwise("LEGAL_POSITION")
-
-
-def hypothetical(query: Column, area: Column) -> Column:
-    """Which template a plain-language query is anchored by, and how good it is."""
-    q = F.lower(query)
-    # fixed values: strategies and their quality
-    return (
-        F.when((area == "property") & q.rlike("landlord|tenant|evict|lock"), F.struct(F.lit("property_dispossession").alias("strategy"), F.lit(0.94).alias("quality")))
-        .when((area == "criminal") & q.rlike("bail|arrest"), F.struct(F.lit("criminal_bail").alias("strategy"), F.lit(0.89).alias("quality")))
-        .when((area == "labour") & q.rlike("terminat|dismiss|fired|employer"), F.struct(F.lit("labour_termination").alias("strategy"), F.lit(0.83).alias("quality")))
-        .otherwise(F.struct(F.lit("generic_low_confidence").alias("strategy"), F.lit(0.38).alias("quality")))
-    )

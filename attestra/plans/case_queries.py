@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import chunks as C
 from ..operators import answers as A
 from ..operators import cases as K
-from ..operators import evaluation as E
+from ..operators import hyde as H
+from ..operators import quality as Q
 from ..operators import state as S
 from ..operators.export import appeal_statements, edge_statements
 from ..sources import ingest, uploads
@@ -133,9 +134,35 @@ def answer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item against the next: longest common subsequence, METEOR."""
-    b = Domain(spark, sf_dir).table("benchmark").select("item_id", E.answer_tokens(F.col("text")).alias("a"))
-    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    return b.join(n, "item_id").select("item_id", F.round(E.rouge_l(F.col("a"), F.col("b")), 6).alias("rouge_l"), F.round(A.meteor("a", "b"), 6).alias("meteor"))
+    m = Q.quality(item_cases(Domain(spark, sf_dir)))
+    return m.select(F.col("case_id").alias("item_id"), F.round("rouge_l", 6).alias("rouge_l"), F.round("meteor", 6).alias("meteor"))
+
+
+def item_cases(d: Domain) -> DataFrame:
+    """Items as answers to the next item; contexts are the two after."""
+    b = d.table("benchmark").select("item_id", "text")
+    after = lambda k: b.select((F.col("item_id") - k).alias("item_id"), F.col("text").alias(f"t{k}"))
+    c = b.join(after(1), "item_id").join(after(2), "item_id", "left").join(after(3), "item_id", "left")
+    none = F.array().cast("array<string>")
+    noisy = F.when((F.col("item_id") % 3 == 0) & F.col("t3").isNotNull(), F.array("t3")).otherwise(none)
+    return c.select(F.col("item_id").alias("case_id"), F.coalesce("t2", F.lit("")).alias("query"), F.col("text").alias("answer"), F.col("t1").alias("reference"), F.array_compact(F.array("t2", F.when(F.col("item_id") % 2 == 0, F.col("text")))).alias("contexts"), noisy.alias("noisy_contexts"), none.alias("reference_entities"), none.alias("reference_contexts"))
+
+
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Q.summary(Q.quality(item_cases(Domain(spark, sf_dir))))
+    return s.select("n_cases", *[F.round(m, 4).alias(m) for m in ("rouge_l", "context_entity_recall", "noise_robustness", "hallucination_score", "faithfulness")])
+
+
+def hypothetical_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.createDataFrame([(i, t, a) for i, (t, a, _, _) in enumerate(DRAFTS)], "query_id int, query string, practice_area string")
+    return H.drafts(q).select("query", "practice_area", "strategy", "quality", F.size("anchors").alias("n_anchors"))
+
+
+#: Query, area, and the strategy and quality that must come out.
+DRAFTS = [
+    ("my landlord changed the locks", "property", "property_dispossession", 0.94), ("my landlord changed the locks", "civil", "generic_low_confidence", 0.38), ("Anticipatory relief", "criminal", "criminal_bail", 0.89), ("after an arrest", "criminal", "criminal_bail", 0.89),
+    ("murder", "criminal", "generic_low_confidence", 0.38), ("no salary since May", "labour", "labour_termination", 0.83), ("pay", "labour", "generic_low_confidence", 0.38),
+]
 
 
 def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +171,33 @@ def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report_chunks(d).select("doc_id", "chunk_index", "first", "end")
 
 
-QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, report_windows]}
+QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, hypothetical_drafts, report_windows]}
 EDGES = """WITH e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
+#: Items against the next: a row of the subsequence table per step; k-th stems of either side aligned.
+ROUGE = r"""tk AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), pr AS (SELECT a.item_id, a.t AS a, b.t AS b FROM tk a JOIN tk b ON b.item_id = a.item_id + 1),
+lr AS (SELECT item_id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS cells FROM pr
+UNION ALL SELECT item_id, a, b, i + 1, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN cells[k] + 1 ELSE cells[k + 1] END)))) FROM lr WHERE i < len(a)),
+ls AS (SELECT item_id, cells[-1] AS lcs FROM lr WHERE i = len(a)),
+sx AS (SELECT item_id, a, b, list_transform(a, lambda t: STEM) AS sa, list_transform(b, lambda t: STEM) AS sb FROM pr),
+pa AS (SELECT *, row_number() OVER (PARTITION BY item_id, s ORDER BY i) AS k FROM (SELECT item_id, unnest(sa) AS s, unnest(range(len(sa))) AS i FROM sx)), pb AS (SELECT *, row_number() OVER (PARTITION BY item_id, s ORDER BY j) AS k FROM (SELECT item_id, unnest(sb) AS s, unnest(range(len(sb))) AS j FROM sx)),
+al AS (SELECT item_id, i, j, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM pa JOIN pb USING (item_id, s, k) WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+ag AS (SELECT item_id, count(*) AS m, 1 + count(*) FILTER (pi IS NOT NULL AND NOT (i = pi + 1 AND j = pj + 1)) AS runs FROM al GROUP BY item_id),
+sc AS (SELECT * FROM sx JOIN ls USING (item_id) LEFT JOIN ag USING (item_id))""".replace("STEM", "CASE " + " ".join(f"WHEN t LIKE '%{s}' AND length(t) >= {len(s) + 3} THEN left(t, length(t) - {len(s)})" for s in Q.SUFFIXES) + " ELSE t END")
+#: What the contexts hold. Sentences are whole items here; equal texts support each other, others do where their vectors are near.
+SUPPORT = r"""it AS (SELECT item_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM benchmark),
+cx AS (SELECT a.item_id, a.text AS answer, b.text AS reference, list_filter([c.text, CASE WHEN a.item_id % 2 = 0 THEN a.text END], lambda x: x IS NOT NULL) AS contexts, CASE WHEN a.item_id % 3 = 0 THEN d.text END AS noise FROM it a JOIN it b ON b.item_id = a.item_id + 1 LEFT JOIN it c ON c.item_id = a.item_id + 2 LEFT JOIN it d ON d.item_id = a.item_id + 3),
+sn AS (SELECT item_id, 'a' AS side, unnest(SENTENCES(answer)) AS s FROM cx UNION ALL SELECT item_id, 'c', unnest(SENTENCES(c)) FROM (SELECT item_id, unnest(contexts) AS c FROM cx)),
+tx AS (SELECT DISTINCT s FROM (SELECT s FROM sn UNION ALL SELECT answer FROM cx UNION ALL SELECT unnest(contexts) FROM cx UNION ALL SELECT noise FROM cx)),
+hw AS (SELECT s, word, count(*) AS n FROM (SELECT s, unnest(list_filter(regexp_split_to_array(lower(trim(s)), '\s+'), lambda x: x <> '')) AS word FROM tx) GROUP BY ALL), hx AS (SELECT word, k, CAST('0x' || substr(sha256(word), 2 * k + 1, 2) AS INT) / 255.0::DOUBLE - 0.5 AS x FROM (SELECT DISTINCT word FROM hw), range(24) t(k)),
+ve AS (SELECT s, list(v ORDER BY k) AS v FROM (SELECT s, k, sum(n * x) AS v FROM hw JOIN hx USING (word) GROUP BY ALL) GROUP BY s),
+fa AS (SELECT a.item_id, a.s, max(list_cosine_similarity(x.v, y.v)) AS best FROM sn a JOIN sn c ON c.item_id = a.item_id AND a.side = 'a' AND c.side = 'c' JOIN ve x ON x.s = a.s JOIN ve y ON y.s = c.s GROUP BY ALL),
+fs AS (SELECT item_id, avg(CASE WHEN best >= 0.72 THEN 1.0 ELSE 0 END) AS faith FROM fa GROUP BY item_id),
+pc AS (SELECT item_id, noisy, avg(CASE WHEN list_cosine_similarity(x.v, y.v) >= 0.55 THEN 1.0 ELSE 0 END) AS p FROM (SELECT item_id, answer, 0 AS noisy, unnest(contexts) AS c FROM cx UNION ALL SELECT item_id, answer, 1, unnest(list_append(contexts, noise)) FROM cx WHERE noise IS NOT NULL) z JOIN ve x ON x.s = answer JOIN ve y ON y.s = c GROUP BY ALL),
+en AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(reference), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT regexp_full_match(t, '\d+') AND NOT list_contains([STOPS], t))) AS names, lower(array_to_string(contexts, ' ')) AS whole FROM cx),
+su AS (SELECT cx.item_id, coalesce(faith, 0) AS faith, CASE WHEN noise IS NULL THEN 1 ELSE greatest(0, 1 - abs(coalesce(p0.p, 0) - p1.p)) END AS robust, CASE WHEN len(names) = 0 THEN 0 ELSE len(list_filter(names, lambda n: contains(whole, n))) / len(names) END AS recall
+FROM cx JOIN en USING (item_id) LEFT JOIN fs USING (item_id) LEFT JOIN pc p0 ON p0.item_id = cx.item_id AND p0.noisy = 0 LEFT JOIN pc p1 ON p1.item_id = cx.item_id AND p1.noisy = 1)""".replace("STOPS", ", ".join(f"'{w}'" for w in Q.STOPWORDS))
+SUPPORT = SUPPORT.replace("SENTENCES(answer)", "string_split(regexp_replace(trim(regexp_replace(answer, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))").replace("SENTENCES(c)", "string_split(regexp_replace(trim(regexp_replace(c, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))")
 ORDER_FILES = """o AS (SELECT o_custkey AS case_id, o_orderkey AS doc_index, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
 CASE o_orderstatus WHEN 'F' THEN 'Bail was rejected' WHEN 'O' THEN 'Bail was granted' ELSE 'The order is reserved' END || ' by the Bombay High Court on ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '.' AS text FROM orders)"""
 TYPE = "CASE doc_id % 5 WHEN 3 THEN 'statute' WHEN 4 THEN 'constitution' ELSE 'judgment' END"
@@ -177,6 +228,14 @@ SELECT source, target, s.node || chr(10) || t.node || chr(10) || 'MERGE (source)
 SELECT o_custkey, o_orderkey, CAST(CAST(day + 30 AS DATE) AS VARCHAR) AS period_end FROM r WHERE (o_custkey % 2 = 0 AND z = 1) OR (o_custkey % 2 = 1 AND a = 1)""",
     "upload_modes": "SELECT CAST(l_orderkey AS VARCHAR) AS path, CASE WHEN count(DISTINCT l_returnflag = 'R') > 1 THEN 'mixed' WHEN max(l_returnflag = 'R') THEN 'typed' ELSE 'scanned' END AS mode FROM lineitem GROUP BY l_orderkey",
     "answer_sources": "WITH x AS (SELECT l_orderkey AS answer_id, l_suppkey % 3 AS doc_id, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY position, doc_id) AS rank FROM x",
+    "rouge_scores": f"""WITH RECURSIVE {ROUGE} SELECT item_id, round(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0), 6) AS rouge_l, round(CASE WHEN sa = sb AND len(sa) > 0 THEN 1 WHEN m IS NULL THEN 0 ELSE 10 * (m / len(a)) * (m / len(b)) / (m / len(b) + 9 * (m / len(a))) * (1 - 0.5 * pow(runs / m, 3)) END, 6) AS meteor FROM sc""",
+    "quality_summary": f"""WITH RECURSIVE {ROUGE}, {SUPPORT} SELECT count(*) AS n_cases, round(avg(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0)), 4) AS rouge_l, round(avg(recall), 4) AS context_entity_recall, round(avg(robust), 4) AS noise_robustness, round(1 - avg(faith), 4) AS hallucination_score, round(avg(faith), 4) AS faithfulness FROM sc JOIN su USING (item_id)""",
+    "hypothetical_drafts": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{a}', '{s}', {q}::DOUBLE, {0 if q < 0.5 else 4})" for t, a, s, q in DRAFTS) + ") t(query, practice_area, strategy, quality, n_anchors)",
+    "report_windows": r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM documents),
+w AS (SELECT doc_id, list_transform(ps, lambda x: len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda y: y <> ''))) AS ws FROM p WHERE len(ps) > 0),
+r AS (SELECT doc_id, ws, 0 AS chunk_index, 0 AS first, greatest(1, len(list_filter(range(1, len(ws) + 1), lambda k: k = 1 OR list_sum(ws[1:k]) <= 220))) AS e FROM w
+UNION ALL SELECT doc_id, ws, chunk_index + 1, greatest(first + 1, e - 1), greatest(first + 1, e - 1) + greatest(1, len(list_filter(range(1, len(ws) - greatest(first + 1, e - 1) + 1), lambda k: k = 1 OR list_sum(ws[greatest(first + 1, e - 1) + 1:greatest(first + 1, e - 1) + k]) <= 220))) FROM r WHERE e < len(ws))
+SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(first AS INT) AS first, CAST(e AS INT) AS end FROM r""",
     "answer_graph": """WITH a AS (SELECT * FROM lineitem), c AS (SELECT 0 AS level, count(DISTINCT l_orderkey) AS n FROM a UNION ALL SELECT 1, count(DISTINCT (l_orderkey, l_returnflag)) FROM a UNION ALL SELECT 2, count(DISTINCT l_suppkey) FROM a)
 SELECT level, n, round(n / 2, 4) AS y FROM c""",
 }

@@ -57,13 +57,13 @@ def temporal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    return C.relevance(results(d), queries(d)).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
+    return C.relevance(results(d), queries(d)).select("query_id", "chunk_id", F.round(F.col("relevance") + 1e-9, 6).alias("relevance"))
 
 
 def corrective_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
     a = C.assessed(found(d), queries(d))
-    return a.select("query_id", F.col("n_results").cast("long").alias("n_results"), *[F.round(c, 4).alias(c) for c in ("relevance", "entity_coverage", "coverage", "score")], "action", "warning")
+    return a.select("query_id", F.col("n_results").cast("long").alias("n_results"), *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("relevance", "entity_coverage", "coverage", "score")], "action", "warning")
 
 
 def refined_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ g AS (SELECT *, severity IS NULL OR severity = 'WARNING' AS valid FROM ff)"""
 QUERIES = {f.__name__: f for f in [temporal_findings, result_relevance, corrective_validation, refined_queries]}
 ORACLE_SQL = {
     "temporal_findings": f"WITH {QUERY} SELECT query_id, chunk_id, valid, severity, reason, replacement, warning FROM g",
-    "result_relevance": f"WITH {QUERY} SELECT query_id, doc_id AS chunk_id, round(relevance, 6) AS relevance FROM w",
+    "result_relevance": f"WITH {QUERY} SELECT query_id, doc_id AS chunk_id, round(relevance + 1e-9, 6) AS relevance FROM w",
     "corrective_validation": f"""WITH {QUERY},
 pp AS (SELECT g.query_id, count(*) AS n, avg(relevance) AS relevance, string_agg(whole, ' ' ORDER BY g.rank) AS texts, bool_or(g.law) AS has_law, bool_or(g.judgment) AS has_case FROM g JOIN w ON w.query_id = g.query_id AND w.doc_id = g.chunk_id WHERE valid GROUP BY g.query_id),
 v AS (SELECT query_id, arg_min(warning, rank) AS warning FROM g WHERE warning IS NOT NULL GROUP BY query_id),
@@ -101,7 +101,7 @@ a AS (SELECT qt.query_id, coalesce(n, 0) AS n_results, coalesce(relevance, 0) AS
   FROM qt LEFT JOIN pp USING (query_id) LEFT JOIN v USING (query_id)),
 sc AS (SELECT *, 0.4 * relevance + 0.25 * entity_coverage + 0.35 * coverage AS score FROM a),
 z AS (SELECT *, CASE WHEN score > 0.70 AND n_results > 0 THEN 'PROCEED' WHEN score > 0.40 THEN 'REFINED' ELSE 'INSUFFICIENT' END AS action FROM sc)
-SELECT query_id, n_results, round(relevance, 4) AS relevance, round(entity_coverage, 4) AS entity_coverage, round(coverage, 4) AS coverage, round(score, 4) AS score, action, CASE WHEN action = 'INSUFFICIENT' THEN '{C.NO_ANSWER}' ELSE warning END AS warning FROM z""",
+SELECT query_id, n_results, round(relevance + 1e-9, 4) AS relevance, round(entity_coverage + 1e-9, 4) AS entity_coverage, round(coverage + 1e-9, 4) AS coverage, round(score + 1e-9, 4) AS score, action, CASE WHEN action = 'INSUFFICIENT' THEN '{C.NO_ANSWER}' ELSE warning END AS warning FROM z""",
     "refined_queries": r"""WITH q AS (SELECT item_id, 'Indian Evidence Act ' || (item_id % 40) AS s, 'party ' || (item_id * 3) || ' v state' AS c, CASE WHEN item_id % 3 = 0 THEN text || ' as the courts held' ELSE text END AS text FROM benchmark),
 a AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN ['What does ' || s || ' say?', 'How have courts interpreted ' || s || '?'] WHEN item_id % 4 = 1 AND item_id % 5 <> 0 THEN ['What was held in ' || c || '?']
   WHEN contains(lower(text), ' and ') THEN list_transform(list_filter(list_transform(string_split(text, ' and '), lambda p: regexp_replace(trim(p), '\?+$', '')), lambda p: p <> ''), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))) ELSE [] END AS x FROM q)

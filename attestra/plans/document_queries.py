@@ -128,6 +128,9 @@ SELECT doc_id, CAST(section_index AS BIGINT) AS section_index, rtrim(max(CASE WH
     "first_sentences": f"""SELECT doc_id, md5(CASE WHEN contains(t, '.') THEN trim(split_part(t, '.', 1)) || '.' WHEN contains(t, '!') THEN trim(split_part(t, '!', 1)) || '!' WHEN contains(t, '?') THEN trim(split_part(t, '?', 1)) || '?' WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 220)) || '...' END) AS digest
 FROM (SELECT doc_id, {SQUEEZED} AS t FROM documents)""",
     "sentence_counts": r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS INT) AS n_sentences FROM documents",
+    "packed_chunks": r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda y: y <> ''))), lambda n: n > 0) AS ws FROM documents),
+r AS (SELECT doc_id, ws, 1 AS i, 0 AS chunk_index, ws[1] AS n FROM s WHERE len(ws) > 0 UNION ALL SELECT doc_id, ws, i + 1, CASE WHEN n > 0 AND n + ws[i + 1] > 140 THEN chunk_index + 1 ELSE chunk_index END, CASE WHEN n > 0 AND n + ws[i + 1] > 140 THEN ws[i + 1] ELSE n + ws[i + 1] END FROM r WHERE i < len(ws))
+SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(max(n) AS INT) AS n_words FROM r GROUP BY doc_id, chunk_index""",
     "slices": "SELECT item_id, CAST(i AS INT) AS i, substr(text, i * 48 + 1, 48) AS slice FROM benchmark, unnest(range((length(text) + 47) // 48)) u(i)",
     "upload_confidence": """SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE round(least(0.99, 0.72 + least(length(text), 500) / 2000.0::DOUBLE), 3) END AS typed,
 CASE WHEN length(text) = 0 THEN round(least(greatest((doc_id % 100) / 100.0::DOUBLE, 0), 0.2), 3) ELSE round(least(0.98, greatest((doc_id % 100) / 100.0::DOUBLE, 0.45) + least(length(text), 300) / 1500.0::DOUBLE), 3) END AS scanned FROM documents""",

@@ -7,6 +7,8 @@ from attestra.functions import ocr as O
 from attestra.operators import answers as A
 from attestra.operators import cases as K
 from attestra.operators import export, verify
+from attestra.operators import hyde as H
+from attestra.operators import quality as Q
 from attestra.operators import state as S
 from attestra.sources import html, ingest, uploads
 
@@ -65,11 +67,45 @@ def test_placeholders_resolve_by_score(spark):
 
 
 def test_quality(spark):
-    assert A.meteor_score(["a", "b"], ["a", "b"]) == 1.0 and A.meteor_score([], []) == 0.0 and A.meteor_score(["walks"], ["walking"]) == 1.0 and A.meteor_score(["a"], ["b"]) == 0.0
-    assert 0 < A.meteor_score("the cats walked home".split(), "the cat walking home slowly".split()) < 1
-    df = spark.createDataFrame([("c", "Bail was granted. Moon is cheese.", ["Bail was granted. More."])], "case_id string, answer string, contexts array<string>")
-    r = A.faithfulness(df).first()
-    assert r["faithfulness"] == 0.5 and r["hallucination"] == 0.5
+    assert Q.meteor(["a", "b"], ["a", "b"]) == 1.0 and Q.meteor([], []) == 0.0 and Q.meteor(["walks"], ["walking"]) == 1.0 and Q.meteor(["a"], ["b"]) == 0.0
+    assert 0 < Q.meteor("the cats walked home".split(), "the cat walking home slowly".split()) < 1
+    assert abs(Q.rouge_l("the cat sat down".split(), "the cat down here".split()) - 0.75) < 1e-9 and Q.rouge_l([], ["a"]) == 0.0
+    assert Q.stem("walking") == "walk" and Q.entities("The bail of 1978 was bail in court") == ["bail", "court"]
+    rows = [("c", "when is bail granted", "Bail was granted. Moon is cheese.", "Bail was granted.", ["Bail was granted. More."], ["Noise here."], None, None), ("d", None, None, None, None, None, [], [])]
+    kind = "case_id string, query string, answer string, reference string, contexts array<string>, noisy_contexts array<string>, reference_entities array<string>, reference_contexts array<string>"
+    m = Q.quality(spark.createDataFrame(rows, kind))
+    got = {r["case_id"]: r for r in m.collect()}
+    c, d = got["c"], got["d"]
+    assert c["faithfulness"] == 0.5 and c["hallucination_score"] == 0.5 and c["context_recall"] == 1.0 and c["context_entity_recall"] == 1.0 and c["noise_robustness"] in (0.5, 1.0)
+    assert d["faithfulness"] == 0.0 and d["rouge_l"] == 0.0 and d["context_entity_recall"] == 0.0 and d["noise_robustness"] == 1.0 and d["g_eval_legal_accuracy"] == 0.4
+    s = Q.summary(m).first()
+    assert s["n_cases"] == 2 and s["faithfulness"] == 0.25 and Q.summary(m.where("false")).first()["meteor"] == 0.0
+
+
+def test_subsequences_equal_the_whole_table():
+    import random
+
+    r = random.Random(1)
+    for _ in range(60):
+        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert Q.subsequence(a, b) == t[-1][-1]
+
+
+def test_hypothetical_passages_lift_results(spark):
+    q = H.drafts(spark.createDataFrame([(1, "bail after arrest", "criminal"), (2, "some thing", "tax_law")], "query_id int, query string, practice_area string"))
+    got = {r["query_id"]: r for r in q.collect()}
+    assert got[1]["strategy"] == "criminal_bail" and got[2]["passage"].startswith("The Court considered") and " tax law principles" in got[2]["passage"]
+    s = q.select("query_id", H.boosted(F.lit(0.1), F.lit("Here bail is the rule under BNSS 480."), F.lit("statute"), F.col("passage"), F.col("anchors")).alias("s"))
+    s = {r["query_id"]: r["s"] for r in s.collect()}
+    assert s[1] > 0.1 + 0.12 + 0.04 and 0.14 < s[2] < 0.25
+    hits = spark.createDataFrame([(1, 5, 1, 0.9)], "query_id int, doc_id int, rank int, score double")
+    results, told = H.retrieved(q.drop("strategy", "quality", "anchors", "passage"), lambda d: d.select("query_id"), lambda d: hits.join(d.select("query_id"), "query_id"), lambda d, a, b: b, lambda d: d.select("query_id", F.lit(9).alias("doc_id"), F.lit(1).alias("rank"), F.lit(0.0).alias("score")))
+    assert sorted((r["query_id"], r["doc_id"]) for r in results.collect()) == [(1, 5), (2, 9)]
+    assert {r["query_id"]: (r["used"], r["fallback_reason"]) for r in told.collect()} == {1: (True, None), 2: (False, H.LOW)}
 
 
 def test_case_files(spark):

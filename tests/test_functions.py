@@ -46,12 +46,6 @@ def test_embedding_is_unit_and_cosine(spark):
     assert len(r["a"]) == 24 and set(r["b"]) == {0.0} and abs(r["same"] - 1) < 1e-6 and r["none"] == 0
 
 
-def test_rouge_and_stem(spark):
-    a = lambda x: E.answer_tokens(F.lit(x))
-    assert abs(one(spark, E.rouge_l(a("the cat sat down"), a("the cat down here")), x=1) - 0.75) < 1e-9
-    assert one(spark, E.stem(F.col("x")), x="walking") == "walk"
-
-
 def test_ir_metrics_graded(spark):
     ranking = spark.createDataFrame([("g", d, i) for i, d in enumerate(["b", "b", "a", "d", "c"], 1)], "case_id string, doc_id string, rank int")
     qrels = spark.createDataFrame([("g", "a", True, 3), ("g", "b", True, 2), ("g", "c", True, 1)], "case_id string, doc_id string, relevant boolean, grade int")
