@@ -34,6 +34,13 @@ def lexical(d: Domain, top_k: int = 20) -> DataFrame:
 
 
 def dense(d: Domain, top_k: int = 20) -> DataFrame:
+    """All documents by their hashed embeddings."""
+    vectors = lambda t, key: t.select(key, embedding(F.col("text")).alias("vector"))
+    points = vectors(d.table("documents").withColumnRenamed("doc_id", "point_id"), "point_id")
+    return R.dense(vectors(d.benchmark_queries(), "query_id"), points, top_k).withColumnRenamed("point_id", "doc_id")
+
+
+def open_dense(d: Domain, top_k: int = 20) -> DataFrame:
     """Documents by their hashed embeddings, those that a query's collections and filters leave open to it."""
     i, law = F.col("doc_id"), F.col("doc_type") == "statute"
     p = d.legal_documents().select(
@@ -125,7 +132,7 @@ def filtered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid(d: Domain) -> DataFrame:
     """Lexical and hashed-embedding lists fused, reranked, ranked by authority."""
-    return R.fused(lexical(d), dense(d))
+    return R.fused(lexical(d), open_dense(d))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
