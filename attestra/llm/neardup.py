@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, documents, gram_hashes, mix, tune, word_hashes, written
+from .common import ASCII_LOWER, documents, gram_hashes, hashed_words, mix, tune, written
 from .components import connected
 
 HASHES = 36
@@ -90,8 +90,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode().translate(ASCII_LOWER).split() if text else []
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The shingle set of each text, words in lower case."""
+    h, sizes = hashed_words([(t or "").encode().translate(ASCII_LOWER) for t in texts])
+    return [shingle_set(x, words) for x in np.split(h, np.cumsum(sizes)[:-1])] if texts else []
 
 
 SKETCH = "doc_id long, text_key long, sid binary, n long, bands array<long>, sig binary"
@@ -105,7 +107,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
                 b = whole.slice(i, 250)
-                sets = [shingle_set(word_hashes().of(_words(t.as_py())), words) for t in b.column(1)]
+                sets = shingle_sets([t.as_py() for t in b.column(1)], words)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sid, bands, sig = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if full:
@@ -126,7 +128,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
-                sets = [s for t in whole.slice(i, 250).column(0) if len(s := shingle_set(word_hashes().of(_words(t.as_py())), words))]
+                sets = [s for s in shingle_sets([t.as_py() for t in whole.slice(i, 250).column(0)], words) if len(s)]
                 sid = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
 

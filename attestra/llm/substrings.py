@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, tune, width, word_hashes, written
+from .common import documents, hashed_words, mix, tune, width, written
 from .fmindex import FMIndex
 
 WINDOW = 35
@@ -99,8 +99,7 @@ def anchor_runs(keyed: DataFrame, window: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 100):
                 b = whole.slice(i, 100)
-                split = [t.as_py().encode().split() for t in b.column(2)]
-                owner, anchor, lo, hi, places = runs(word_hashes().of([w for ws in split for w in ws]), np.array([len(ws) for ws in split], np.int64), window)
+                owner, anchor, lo, hi, places = runs(*hashed_words([t.as_py().encode() for t in b.column(2)]), window)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(anchor), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(places.astype(np.int32))],
@@ -171,9 +170,7 @@ def _ranges(marks: np.ndarray) -> list[int]:
 def _searched(window: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("sid")
-        split = [bytes(w).split() for w in shard["words"]]
-        sizes = np.array([len(ws) for ws in split])
-        hashed = word_hashes().of([w for ws in split for w in ws])
+        hashed, sizes = hashed_words([bytes(w) for w in shard["words"]])
         flat = np.zeros(sizes.sum() + len(sizes), np.int64)
         inside = np.ones(len(flat), bool)
         inside[np.cumsum(sizes + 1) - 1] = False
@@ -182,7 +179,7 @@ def _searched(window: int):
         copies = shard["copies"].to_numpy()
         alone = copies < 2
         marks = np.zeros(len(flat), bool)
-        if len(split) > 1 or alone.any():
+        if len(sizes) > 1 or alone.any():
             marks = FMIndex(flat).repeated(flat, begin[alone], (begin + sizes)[alone], window)
         found = []
         for b, n, many in zip(begin, sizes, ~alone):
