@@ -76,3 +76,40 @@ def answer_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     e1 = answers.select(F.concat(F.lit("query:"), F.col("query_id")).alias("source"), F.concat_ws(":", F.lit("section"), "query_id", "section").alias("target"))
     e2 = answers.select(F.concat_ws(":", F.lit("section"), "query_id", "section").alias("source"), F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("target"))
     return nodes, e1.union(e2).distinct()
+
+
+#: What an answer is read as: keys in either spelling.
+CLAIMS = "array<struct<text:string,status:string,citation:string,reason:string,sourcePassage:string,source_passage:string>>"
+ITEMS = "array<struct<label:string,value:string,status:string>>"
+SECTIONS = f"array<struct<kind:string,title:string,claims:{CLAIMS},statusItems:{ITEMS},status_items:{ITEMS}>>"
+ANSWER = f"query string, overallStatus string, overall_status string, sections {SECTIONS}"
+KINDS = ["LEGAL_POSITION", "APPLICABLE_LAW", "KEY_CASES", "VERIFICATION_STATUS"]
+STATUSES = ["VERIFIED", "UNCERTAIN", "UNSUPPORTED"]
+
+
+def normalised(answer: Column) -> Column:
+    """An answer in JSON, keys in camel or snake case, as overall_status, query, sections (kind, title, claims, items); null for what is no answer. Unknown kinds are the verification's, unknown statuses uncertain."""
+    a = F.from_json(answer, ANSWER)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    status = lambda s: F.when(s.isin(*STATUSES), s).otherwise("UNCERTAIN")
+    claim = lambda c: F.struct(text(c["text"]).alias("text"), status(c["status"]).alias("status"), c["citation"].alias("citation"), text(c["reason"]).alias("reason"), F.coalesce(c["sourcePassage"], c["source_passage"]).alias("source_passage"))
+    item = lambda i: F.struct(text(i["label"]).alias("label"), text(i["value"]).alias("value"), status(i["status"]).alias("status"))
+    each = lambda f, xs, kind: F.transform(F.filter(F.coalesce(xs, F.from_json(F.lit("[]"), kind)), lambda x: x.isNotNull()), f)
+    section = lambda s: F.struct(
+        F.when(s["kind"].isin(*KINDS), s["kind"]).otherwise("VERIFICATION_STATUS").alias("kind"), text(s["title"]).alias("title"), each(claim, s["claims"], CLAIMS).alias("claims"), each(item, F.coalesce(s["statusItems"], s["status_items"]), ITEMS).alias("items"),
+    )
+    whole = F.struct(status(F.coalesce(a["overallStatus"], a["overall_status"])).alias("overall_status"), text(a["query"]).alias("query"), each(section, a["sections"], SECTIONS).alias("sections"))
+    return F.when(a.isNotNull() & F.startswith(F.ltrim(answer), F.lit("{")), whole)
+
+
+def markdown(answer: Column, untitled: str = "Structured Answer") -> Column:
+    """A normalised answer as Markdown."""
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"  - {name}: "), c))
+    claim = lambda c: F.concat_ws("\n", F.concat(F.lit("- "), c["text"]), F.concat(F.lit("  - Status: "), c["status"]), line("Citation", c["citation"]), line("Note", c["reason"]), line("Source passage", c["source_passage"]))
+    item = lambda i: F.concat(F.lit("- "), i["label"], F.lit(": "), i["value"], F.lit(" ("), i["status"], F.lit(")"))
+    body = lambda xs, f: F.when(F.size(xs) > 0, F.array_join(F.transform(xs, f), "\n"))
+    checks = lambda s: F.when(F.size(s["items"]) > 0, F.concat(F.lit("\n### Verification\n\n"), body(s["items"], item)))
+    section = lambda s: F.concat_ws("\n", F.concat(F.lit("## "), s["title"], F.lit("\n")), body(s["claims"], claim), checks(s), F.lit(""))
+    title = F.when(answer["query"] != "", answer["query"]).otherwise(untitled)
+    head = F.concat(F.lit("# "), title, F.lit("\n\nOverall status: "), answer["overall_status"], F.lit("\n"))
+    return F.when(answer.isNotNull(), F.regexp_replace(F.concat_ws("\n", head, body(answer["sections"], section)), r"^\s+|\s+$", ""))

@@ -136,6 +136,6 @@ def summary(measures: DataFrame) -> DataFrame:
 
 def code_awareness(cases: DataFrame, resolved: DataFrame) -> DataFrame:
     """cases (case_id, reference, reference_date, expected) with the preferred reference (resolved: state.mapped_references) and whether it is the expected one."""
-    r = resolved.select("reference", "reference_date", "preferred").distinct()
-    c = cases.join(r, cases["reference"].eqNullSafe(r["reference"]) & cases["reference_date"].eqNullSafe(r["reference_date"]), "left").select(cases["case_id"], cases["expected"], "preferred")
+    r = resolved.select(F.col("reference").alias("own"), F.col("reference_date").alias("day"), "preferred").distinct()
+    c = cases.join(r, F.col("reference").eqNullSafe(F.col("own")) & F.col("reference_date").eqNullSafe(F.col("day")), "left").select("case_id", "expected", "preferred")
     return c.withColumn("correct", F.coalesce(F.col("preferred") == F.col("expected"), F.lit(False)))

@@ -163,9 +163,9 @@ def mappings_upserted(mappings: DataFrame, changes: DataFrame) -> DataFrame:
 
 def references_expanded(references: DataFrame, mappings: DataFrame) -> DataFrame:
     """Per query (query_id, position, reference, reference_date) the references to search for: each one's preferred form, then its equivalent, once, in order."""
-    m = mapped_references(references.select("reference", "reference_date").distinct(), mappings)
-    r = references.join(m, references["reference"].eqNullSafe(m["reference"]) & references["reference_date"].eqNullSafe(m["reference_date"]), "left").select(references["query_id"], references["position"], references["reference"], "code", "preferred", "equivalent")
-    each = F.filter(F.array(F.when(F.col("code").isNull(), F.trim(references["reference"])).otherwise(F.col("preferred")), F.col("equivalent")), lambda x: x.isNotNull())
+    m = mapped_references(references.select("reference", "reference_date").distinct(), mappings).withColumnsRenamed({"reference": "own", "reference_date": "day"})
+    r = references.join(m, F.col("reference").eqNullSafe(F.col("own")) & F.col("reference_date").eqNullSafe(F.col("day")), "left").select("query_id", "position", "reference", "code", "preferred", "equivalent")
+    each = F.filter(F.array(F.when(F.col("code").isNull(), F.trim("reference")).otherwise(F.col("preferred")), F.col("equivalent")), lambda x: x.isNotNull())
     forms = r.select("query_id", "position", F.posexplode(each).alias("turn", "form"))
     first = forms.groupBy("query_id", "form").agg(F.min(F.struct("position", "turn")).alias("at"))
     return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]).alias("references"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import routing
-from ..sources import html, lines, uploads
+from ..sources import html, lines, statutes, uploads
 from .domain import Domain
 
 
@@ -77,6 +77,27 @@ def routed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("conv_id", "turn", "query_type", "confidence", "pipeline", "practice_area", "jurisdiction", "time_sensitive", F.size("sections").alias("n_sections"))
 
 
+def act_texts(d: Domain) -> DataFrame:
+    """Benchmark items as acts: header lines here and there, a section for every third word."""
+    i = F.col("item_id")
+    words = F.slice(F.split("text", " "), 1, 9)
+    body = F.array_join(F.transform(words, lambda w, n: F.concat(F.when(n % 3 == 0, F.concat(F.lit("Section "), (n + 1).cast("string"), F.lit(": heading "), (n / 3).cast("int").cast("string"), F.lit("\n"))).otherwise(F.lit("")), w)), "\n")
+    head = F.concat(F.lit("The title line\n"), F.when(i % 2 == 0, F.concat(F.lit("Act: Act number "), i.cast("string"), F.lit("\n"))).otherwise(""), F.when(i % 3 == 0, F.lit("Enforcement Date: 2024-07-01\n")).otherwise(""))
+    return d.table("benchmark").select(i.alias("doc_id"), F.concat(head, body, F.when(i % 5 == 0, F.lit("\nJurisdiction: Goa")).otherwise("")).alias("text"), F.when(i % 4 == 0, F.concat(F.lit("ref-"), i.cast("string"))).alias("external_id"))
+
+
+def act_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = act_texts(Domain(spark, sf_dir))
+    a = statutes.acts(d)
+    m = statutes.metadata(a, statutes.SOURCES["bns_bundle"]).select("doc_id", "court", F.col("date").cast("string").alias("date"), F.array_join("practice_areas", ",").alias("practice_areas"))
+    return a.select("doc_id", "act_name", "jurisdiction", "source_ref", F.array_join("in_force", ",").alias("in_force")).join(m, "doc_id")
+
+
+def act_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = act_texts(Domain(spark, sf_dir))
+    return statutes.statute_rows(statutes.acts(d), statutes.act_sections(d))["sections"].select("section_id", "doc_id", "number", "heading", "text", "in_force")
+
+
 PHRASES = ["my landlord locked the house,", "Section 302 IPC punishment", "compare bail orders of", "how has the doctrine evolved", "is this a fundamental right", "company insolvency notice", "latest income tax rules", "maintenance after divorce", "consumer award", "plain words"]
 
 
@@ -113,6 +134,8 @@ QUERIES = {
     "upload_confidence": upload_confidence,
     "party_keys": party_keys,
     "routed_queries": routed_queries,
+    "act_documents": act_documents,
+    "act_sections": act_sections,
 }
 ORACLE_SQL = {
     "page_lines": f"WITH {PARSED} SELECT page_id, CAST(len(lines) AS INT) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM l",
@@ -131,6 +154,11 @@ FROM (SELECT doc_id, {SQUEEZED} AS t FROM documents)""",
     "packed_chunks": r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda y: y <> ''))), lambda n: n > 0) AS ws FROM documents),
 r AS (SELECT doc_id, ws, 1 AS i, 0 AS chunk_index, ws[1] AS n FROM s WHERE len(ws) > 0 UNION ALL SELECT doc_id, ws, i + 1, CASE WHEN n > 0 AND n + ws[i + 1] > 140 THEN chunk_index + 1 ELSE chunk_index END, CASE WHEN n > 0 AND n + ws[i + 1] > 140 THEN ws[i + 1] ELSE n + ws[i + 1] END FROM r WHERE i < len(ws))
 SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(max(n) AS INT) AS n_words FROM r GROUP BY doc_id, chunk_index""",
+    "act_documents": r"""WITH w AS (SELECT item_id, len(string_split(text, ' ')[1:9]) AS n FROM benchmark)
+SELECT item_id AS doc_id, CASE WHEN item_id % 2 = 0 THEN 'Act number ' || item_id ELSE 'The title line' END AS act_name, CASE WHEN item_id % 5 = 0 THEN 'Goa' ELSE 'Central' END AS jurisdiction, CASE WHEN item_id % 4 = 0 THEN 'ref-' || item_id WHEN item_id % 2 = 0 THEN 'act-number-' || item_id ELSE 'the-title-line' END AS source_ref,
+array_to_string(list_transform(range(0, n, 3), lambda x: x + 1), ',') AS in_force, 'Parliament of India' AS court, CASE WHEN item_id % 3 = 0 THEN '2024-07-01' ELSE '1950-01-26' END AS date, 'criminal,procedure' AS practice_areas FROM w""",
+    "act_sections": r"""WITH w AS (SELECT item_id, string_split(text, ' ')[1:9] AS ws FROM benchmark), s AS (SELECT item_id, k, trim(regexp_replace(array_to_string(ws[k + 1:k + 3], ' '), '\s+', ' ', 'g')) AS text, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(item_id || '|section|' || (k + 1))) AS h FROM w, unnest(range(0, len(ws), 3)) u(k))
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS section_id, item_id AS doc_id, CAST(k + 1 AS VARCHAR) AS number, 'heading ' || (k // 3) AS heading, text, TRUE AS in_force FROM s""",
     "slices": "SELECT item_id, CAST(i AS INT) AS i, substr(text, i * 48 + 1, 48) AS slice FROM benchmark, unnest(range((length(text) + 47) // 48)) u(i)",
     "upload_confidence": """SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE round(least(0.99, 0.72 + least(length(text), 500) / 2000.0::DOUBLE), 3) END AS typed,
 CASE WHEN length(text) = 0 THEN round(least(greatest((doc_id % 100) / 100.0::DOUBLE, 0), 0.2), 3) ELSE round(least(0.98, greatest((doc_id % 100) / 100.0::DOUBLE, 0.45) + least(length(text), 300) / 1500.0::DOUBLE), 3) END AS scanned FROM documents""",

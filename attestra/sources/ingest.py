@@ -30,16 +30,18 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 
 def registry_merged(registry: DataFrame, used: DataFrame) -> DataFrame:
-    """The registry of sources with those of a run (source_key, base_url) that it lacks: from the catalogue, or as unlisted sources that await approval."""
-    new = used.select("source_key", "base_url").dropDuplicates(["source_key"]).join(registry.select("source_key"), "source_key", "left_anti")
+    """The registry after a run of sources (source_key, base_url, source_type, parser_version): listed ones as the catalogue has them (their kind and notes stay), new ones added, unlisted new ones under their own key, by hand, approved."""
+    key = "source_key"
     listed = catalog(registry.sparkSession)
-    known = listed.join(new.select("source_key"), "source_key", "left_semi")
-    none = lambda t: F.lit(None).cast(t)
-    unlisted = new.join(listed.select("source_key"), "source_key", "left_anti").select(
-        "source_key", F.initcap(F.replace("source_key", F.lit("_"), F.lit(" "))).alias("display_name"), F.lit("UNLISTED").alias("source_type"), "base_url", F.expr("try_parse_url(base_url, 'HOST')").alias("hostname"),
-        F.array(F.lit("All India")).alias("jurisdictions"), F.lit("ad hoc").alias("frequency"), none("string").alias("access"), none("string").alias("parser_version"), F.lit("PENDING").alias("approval"), none("string").alias("notes"),
+    runs = used.dropDuplicates([key])
+    fresh = listed.join(runs.select(key), key, "left_semi").select(key, *[F.col(c).alias(f"new_{c}") for c in listed.columns if c not in (key, "source_type", "notes")], F.lit(True).alias("listed"))
+    kept = registry.join(fresh, key, "left").select(*[F.when(F.col("listed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if f"new_{c}" in fresh.columns else F.col(c) for c in listed.columns])
+    new = runs.join(registry.select(key), key, "left_anti")
+    unlisted = new.join(listed.select(key), key, "left_anti").select(
+        key, F.col(key).alias("display_name"), "source_type", "base_url", F.col("base_url").alias("hostname"), F.array(F.lit("All India")).alias("jurisdictions"), F.lit("unknown").alias("frequency"), F.lit("manual").alias("access"), "parser_version",
+        F.lit("APPROVED").alias("approval"), F.lit(None).cast("string").alias("notes"),
     )
-    return registry.unionByName(known).unionByName(unlisted)
+    return kept.unionByName(listed.join(new.select(key), key, "left_semi")).unionByName(unlisted)
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
