@@ -99,8 +99,8 @@ def bail_history(documents: DataFrame) -> DataFrame:
 def contradictions(orders: Column) -> Column:
     """A note for each rejected or dismissed order, or one that there is none. orders: array of (court, outcome)."""
     bad = F.filter(orders, lambda o: F.coalesce(o["outcome"].isin("rejected", "dismissed"), F.lit(False)))
-    notes = F.transform(bad, lambda o: F.concat_ws(" ", o["court"], o["outcome"], F.lit("an earlier application")))
-    return F.when(F.size(notes) > 0, notes).otherwise(F.array(F.lit("no contradicting order found")))
+    notes = F.transform(bad, lambda o: F.concat(F.lit("Prior order from "), F.coalesce(o["court"], F.lit("earlier court")), F.lit(" was "), o["outcome"], F.lit(".")))
+    return F.when(F.size(notes) > 0, notes).otherwise(F.array(F.lit("No internal contradiction detected in uploaded procedural history.")))
 
 
 def case_type(text: Column, sections: Column) -> Column:

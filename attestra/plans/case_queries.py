@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chunks as C
 from ..operators import answers as A
 from ..operators import cases as K
+from ..operators import execution as X
 from ..operators import hyde as H
 from ..operators import quality as Q
 from ..operators import state as S
@@ -83,6 +84,24 @@ def edge_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("target").agg(n("follows").alias("followed_by"), n("distinguishes").alias("distinguished_by"), F.max(F.when(F.col("type") == "overrules", F.col("source"))).alias("overruled_by"))
 
 
+def research_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case files of customers through the agents: plan, findings, notes."""
+    c = K.case_files(order_files(Domain(spark, sf_dir))).withColumn("query", F.concat(F.lit("case "), F.col("case_id").cast("string"))).withColumn("petitioner", F.when(F.col("case_id") % 2 == 0, F.lit("A"))).withColumn("equivalents", F.array().cast("array<string>"))
+    a = X.agentic(c)
+    return a.select("case_id", F.md5("synthesis").alias("synthesis"), F.array_join(F.transform("plan", lambda q: q["question"]), "|").alias("questions"), "verification.issues_flagged", F.element_at("logs", 2).message.alias("planned"))
+
+
+def claim_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims, their lines as citations: status, what is named, why; orders without lines have no citation."""
+    d = Domain(spark, sf_dir)
+    claims = d.table("orders").select(F.col("o_orderkey").alias("claim_id"))
+    li = d.table("lineitem")
+    grounding = F.when(F.col("l_quantity") > 45, "MISGROUNDED").when(F.col("l_quantity") > 35, "UNCERTAIN").otherwise("VERIFIED")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity", "l_partkey"))
+    cites = li.select(F.col("l_orderkey").alias("claim_id"), at.alias("position"), (F.col("l_suppkey") % 7 != 0).alias("verified"), F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")).alias("citation"), grounding.alias("grounding"), (F.col("l_suppkey") % 11 == 0).alias("pending"), F.lit("checked").alias("reason"), F.col("l_suppkey").alias("doc_id"))
+    return X.assessed(claims, cites).select("claim_id", "status", "citation", F.md5("reason").alias("reason"), "doc_id")
+
+
 def cited_documents(d: Domain) -> DataFrame:
     return d.legal_documents().withColumn("citation", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("AIR "), F.col("doc_id").cast("string"))))
 
@@ -171,7 +190,7 @@ def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report_chunks(d).select("doc_id", "chunk_index", "first", "end")
 
 
-QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, hypothetical_drafts, report_windows]}
+QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, hypothetical_drafts, report_windows]}
 EDGES = """WITH e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
 #: Items against the next: a row of the subsequence table per step; k-th stems of either side aligned.
@@ -217,6 +236,20 @@ SELECT case_id, CASE WHEN sections IS NOT NULL OR bail THEN 'criminal' END AS ca
 CASE WHEN bail THEN 'Whether bail should be granted for ' || coalesce(array_to_string(sections[1:2], ', '), 'the alleged offences') || '.' || CASE WHEN refused THEN '|Whether changed circumstances justify bail after the earlier rejection order.' ELSE '' END
  WHEN sections IS NOT NULL THEN 'What relief is available under ' || sections[1] || '?' ELSE '' END AS open_issues FROM c LEFT JOIN g USING (case_id)""",
     "case_types": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in EXPECTED) + ") t(text, case_type, stage)",
+    "research_notes": f"""WITH {ORDER_FILES}, b AS (SELECT case_id, bool_or(o_orderstatus IN ('F', 'O')) AS bail, bool_or(o_orderstatus = 'F') AS refused, count(*) FILTER (o_orderstatus = 'F') AS n_refused FROM o GROUP BY case_id),
+f AS (SELECT case_id, doc_index % 40 AS s, min(doc_index) AS first FROM o WHERE doc_index % 3 = 0 GROUP BY ALL), g AS (SELECT case_id, list('IPC ' || s ORDER BY first) AS sections FROM f GROUP BY case_id),
+x AS (SELECT *, CASE WHEN bail THEN 'bail' END AS stage, CASE WHEN bail THEN ['Whether bail should be granted for ' || coalesce(array_to_string(sections[1:2], ', '), 'the alleged offences') || '.'] || CASE WHEN refused THEN ['Whether changed circumstances justify bail after the earlier rejection order.'] ELSE [] END
+ WHEN sections IS NOT NULL THEN ['What relief is available under ' || sections[1] || '?'] ELSE [] END AS issues FROM b LEFT JOIN g USING (case_id))
+SELECT case_id, md5('Legal Position: For ' || CASE WHEN case_id % 2 = 0 THEN 'A' ELSE 'the applicant' END || ', the uploaded record indicates a ' || coalesce(stage, 'current proceedings') || ' matter. Statutory Findings: ' || coalesce('Primary statutory charge identified: ' || sections[1] || '.', 'No explicit criminal-code sections were extracted from the uploaded record.')
+|| ' Precedent Findings: Binding precedents must align with the ' || coalesce(stage, 'general') || ' stage and uploaded court context. Priority should be given to authorities binding on Bombay High Court. Earlier adverse orders must be distinguished with changed circumstances. Counterpoints: '
+|| CASE WHEN n_refused > 0 THEN rtrim(repeat('Prior order from Bombay High Court was rejected. ', n_refused)) ELSE 'No internal contradiction detected in uploaded procedural history.' END || ' Open Issues: ' || CASE WHEN len(issues) > 0 THEN array_to_string(issues, ' ') ELSE 'No additional open issues extracted.' END) AS synthesis,
+CASE WHEN bail THEN 'What statutory bail framework applies to ' || coalesce(sections[1], 'the alleged offences') || '?|Which binding precedents support bail despite allegations under ' || coalesce(sections[1], 'the alleged offences') || '?|How should the earlier rejection order be distinguished?|' || issues[1]
+ ELSE 'What is the controlling legal issue in the uploaded matter: case ' || case_id || '?|Which statutes and precedents are most directly implicated?' END AS questions, CAST(greatest(1, n_refused) AS INT) AS issues_flagged,
+'Planned ' || CASE WHEN bail THEN 4 ELSE 2 END || ' research questions using ' || coalesce(stage, 'general') || '-focused uploaded-document research.' AS planned FROM x""",
+    "claim_assessments": f"""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_partkey) AS i, l_suppkey % 7 <> 0 AS ok, 'S' || (l_suppkey % 5) AS c, l_suppkey AS d, CASE WHEN l_suppkey % 7 = 0 OR l_quantity > 45 THEN 2 WHEN l_suppkey % 11 = 0 OR l_quantity > 35 THEN 1 ELSE 0 END AS worst FROM lineitem),
+n AS (SELECT k, string_agg(c, '; ' ORDER BY i) AS citation FROM (SELECT k, c, min(i) AS i FROM l WHERE ok GROUP BY k, c) GROUP BY k),
+a AS (SELECT k, max(worst) AS worst, string_agg(CASE WHEN ok THEN 'checked' ELSE '{X.UNVERIFIED}' END, '; ' ORDER BY i) AS reason, arg_min(d, i) FILTER (ok) AS d FROM l GROUP BY k)
+SELECT o_orderkey AS claim_id, CASE worst WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'UNCERTAIN' ELSE 'UNSUPPORTED' END AS status, citation, md5(coalesce(reason, '{X.NO_CITATION}')) AS reason, d AS doc_id FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN n ON n.k = o_orderkey""",
     "appeal_exports": "SELECT doc_id - 1 AS parent, doc_id AS child, 'MERGE (parent:JudgmentNode {doc_id: QQ' || (doc_id - 1) || 'QQ})' || chr(10) || 'MERGE (child:JudgmentNode {doc_id: QQ' || doc_id || 'QQ})' || chr(10) || 'MERGE (parent)-[:APPEALED_TO {outcome: QQ' || (['UPHELD', 'REVERSED', 'DISMISSED'])[doc_id % 3 + 1] || 'QQ, is_final_authority: ' || (doc_id % 4 = 3) || '}]->(child)' AS statement FROM documents WHERE doc_id % 4 > 0".replace("QQ", "\x27\x27"),
     "edge_linkage": f"{EDGES} SELECT target, count(*) FILTER (type = 'follows') AS followed_by, count(*) FILTER (type = 'distinguishes') AS distinguished_by, max(CASE WHEN type = 'overrules' THEN source END) AS overruled_by FROM e GROUP BY target",
     "graph_statements": f"""{EDGES}, ld AS (SELECT doc_id, CASE WHEN doc_id % 5 >= 3 THEN 'StatuteNode' ELSE 'JudgmentNode' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'AIR ' || doc_id ELSE '' END AS citation,
