@@ -56,24 +56,39 @@ def report_windows(paragraphs: Column, max_words: int = REPORT_WORDS) -> Column:
 
 
 def judgment_kind(header: Column, text: Column) -> Column:
+    """What a paragraph is, by words in its header or in itself."""
     t = F.lower(F.concat_ws(" ", header, text))
-    return F.when(F.contains(t, F.lit("headnote")), "headnote").when(F.contains(t, F.lit("obiter")), "obiter").when(F.contains(t, F.lit("ratio")), "ratio").otherwise("paragraph")
+    has = lambda *words: t.rlike("|".join(words))
+    return F.when(has("headnote", "issue", "summary"), "headnote").when(has("obiter", "observation", "dicta"), "obiter_dictum").when(has("holding", "ratio", "decision"), "ratio_decidendi").otherwise("judgment_paragraph")
 
 
 def judgment_chunks(docs: DataFrame) -> DataFrame:
-    """Headnotes whole, then ratio and obiter packed; paragraphs under the header of their place only where there is none of these.
+    """Headnotes whole, then ratio and obiter packed; where there is none of these paragraphs, packed, under the header of their place; the whole body where there are no paragraphs.
 
-    docs: doc_id, headnotes, ratio, obiter, paragraphs, headers (arrays of strings).
+    docs: doc_id, headnotes, ratio, obiter, paragraphs, headers (arrays of strings), body.
     """
     some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    piece = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("header"), t.alias("text"))
-    packed = lambda c, kind: F.flatten(F.transform(some(c), lambda t: F.transform(packed_sentences(t, TEXT_WORDS), piece(kind))))
-    special = F.concat(F.transform(some("headnotes"), piece("headnote")), packed("ratio", "ratio"), packed("obiter", "obiter"))
+    as_piece = lambda kind, header, text: F.struct(kind.alias("kind"), header.alias("header"), text.alias("text"))
+    packed = lambda c, kind, header: F.flatten(F.transform(some(c), lambda t: F.transform(packed_sentences(t, TEXT_WORDS), lambda x: as_piece(F.lit(kind), F.lit(header), x))))
+    notes = F.transform(some("headnotes"), lambda t: as_piece(F.lit("headnote"), F.lit("Headnote"), t))
+    special = F.concat(notes, packed("ratio", "ratio_decidendi", "Ratio Decidendi"), packed("obiter", "obiter_dictum", "Obiter Dicta"))
+    filled = F.filter(F.transform(some("paragraphs"), lambda t: F.trim(t)), lambda t: t != "")
+    body = F.trim(F.coalesce("body", F.lit("")))
+    paragraphs = F.when(F.size(filled) > 0, filled).when(body != "", F.array(body)).otherwise(filled)
     header = lambda i: F.try_element_at(some("headers"), F.least(i + 1, F.greatest(F.size(some("headers")), F.lit(1))))
-    plain = F.transform(some("paragraphs"), lambda t, i: F.struct(judgment_kind(header(i), t).alias("kind"), header(i).alias("header"), t.alias("text")))
+    plain = F.flatten(F.transform(paragraphs, lambda t, i: F.transform(packed_sentences(t, TEXT_WORDS), lambda x: as_piece(judgment_kind(header(i), t), header(i), x))))
     return indexed(docs.select("doc_id", F.posexplode(F.when(F.size(special) > 0, special).otherwise(plain)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*"))
 
 
+def chunked(judgments: DataFrame, sections: DataFrame, articles: DataFrame, reports: DataFrame) -> DataFrame:
+    """Chunks of documents of every kind, each by its own plan: doc_id, chunk_index, total_chunks, kind, header, text. Orders and other kinds are cut as judgments are."""
+    same = lambda d, kind, header: d.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "total_chunks", kind.alias("kind"), header.alias("header"), "text")
+    none = F.lit(None).cast("string")
+    out = same(judgment_chunks(judgments), F.col("kind"), F.col("header"))
+    out = out.unionByName(same(statute_chunks(sections), F.lit("statute_section"), F.col("header"))).unionByName(same(article_chunks(articles), F.lit("constitution_article"), F.col("header")))
+    return out.unionByName(same(report_chunks(reports), F.lit("lc_report_paragraphs"), none))
+
+
 def statute_chunks(sections: DataFrame) -> DataFrame:
     """sections: doc_id, section_index, number, heading, text. Every part keeps its section's number and header."""
     parts = sections.select("doc_id", "section_index", "number", F.concat(F.lit("Section "), F.col("number"), F.lit(" - "), F.col("heading")).alias("header"), F.posexplode(statute_parts(F.col("text"))).alias("part", "text"))

@@ -6,11 +6,11 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .text import numeric_token
+from .text import numeric_token, squeeze
 
 # Corrections with their labels, names of codes, citation forms.
 CORRECTIONS = [
@@ -39,55 +39,88 @@ CODES = [
 ]
 AIR = r"\bAIR\s+([0-9OIl]{4})\s+([A-Za-z]{2,5})\s+([0-9OIl]{1,5})\b"
 SCC = r"\(([0-9OIl]{4})\)\s*([0-9OIl]{1,3})\s*SCC\s+([0-9OIl]{1,5})\b"
+ONLINE = r"(?i)\b([0-9OIl]{4})\s*SCC\s*OnLine\s*([A-Za-z]{1,5})\s*([0-9OIl]{1,6})\b"
 CASE_STYLE = r"([A-Z][A-Za-z0-9&.,' -]{1,80}?)\s+(?:v\.|vs\.?|versus)\s+([A-Z][A-Za-z0-9&.,' -]{1,80}?)(?=[.,]|$)"
-SUFFIX = r"(?i)\b(private limited|pvt\.?\s*ltd\.?|limited|ltd\.?)\b"
+PARTY_LABEL = r"(?i)\b(?:petitioner|respondent|appellant|complainant)\b\s*[:.-]\s*([A-Za-z0-9&.,' -]{2,100}?)(?=(?:\s+\b(?:petitioner|respondent|appellant|complainant)\b\s*[:.-])|$)"
+SUFFIX = r"\b(private limited|pvt\.?\s*ltd\.?|limited|ltd\.?)\b"
 SAME = 0.84
+MARK = "\x01"
+
+
+def rewritten(text: Column, pattern: str, build) -> Column:
+    """text with build(match) in place of every match."""
+    cut = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), pattern, f"{MARK}$0{MARK}"), MARK)
+    return F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 1, build(p)).otherwise(p)), "")
+
+
+def matches(text: Column, pattern: str, build) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build)
 
 
 def corrected(text: Column) -> tuple[Column, Column]:
-    """Text with spellings corrected, and the labels of what changed, each once."""
+    """Text with spellings corrected, and the labels of the corrections that fitted, each once."""
     labels = []
     for pattern, to, label in CORRECTIONS:
-        after = F.regexp_replace(text, pattern, to)
-        labels.append(F.when(after != text, F.lit(label)))
-        text = after
+        labels.append(F.when(text.rlike(pattern), F.lit(label)))
+        text = F.regexp_replace(text, pattern, to)
     return text, F.array_distinct(F.array_compact(F.array(*labels)))
 
 
-def with_sections(text: Column) -> Column:
-    """`u/s 302 ipc` and its kin as `Section 302 IPC`, letters taken for digits put right."""
-    for name, code in CODES:
-        text = F.regexp_replace(text, rf"(?i)\b(?:u/s|u\.s\.|section|sec\.?)\s*([0-9OIl]{{1,4}}[A-Z]?)\s*{name}\b", f"Section $1 {code}")
-    for wrong, right in (("[Oo]", "0"), ("[Il]", "1")):
-        for _ in range(4):
-            text = F.regexp_replace(text, rf"(?<=\bSection [0-9OIl]{{0,3}}){wrong}(?=[0-9OIl]{{0,3}}[A-Z]? )", right)
-    return text
+def _section(name: str, code: str) -> tuple:
+    pattern = rf"(?i)\b(?:u/s|u\.s\.|section|sec\.?)\s*([0-9OIl]{{1,4}}[A-Z]?)\s*{name}\b"
+    return pattern, lambda m: F.concat(F.lit("Section "), F.upper(numeric_token(F.regexp_extract(m, pattern, 1))), F.lit(f" {code}"))
 
 
-def sections_found(text: Column) -> Column:
-    codes = "|".join(dict.fromkeys(c for _, c in CODES))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"Section [0-9]{{1,4}}[A-Z]? (?:{codes})\b"), F.lit(0)))
+def with_sections(text: Column) -> tuple[Column, Column]:
+    """Text with `u/s 302 ipc` and its kin as `Section 302 IPC`, letters taken for digits put right; and these sections, by code, each once."""
+    found = []
+    for pattern, build in (_section(*c) for c in CODES):
+        found.append(matches(text, pattern, build))
+        text = rewritten(text, pattern, build)
+    return text, F.array_distinct(F.concat(*found))
 
 
-def citations_found(text: Column) -> Column:
-    """AIR and SCC citations in order of kind, digits put right."""
-    g = F.regexp_extract
-    air = F.transform(F.regexp_extract_all(text, F.lit(AIR), F.lit(0)), lambda m: F.concat_ws(" ", F.lit("AIR"), numeric_token(g(m, AIR, 1)), F.upper(g(m, AIR, 2)), numeric_token(g(m, AIR, 3))))
-    scc = F.transform(F.regexp_extract_all(text, F.lit(SCC), F.lit(0)), lambda m: F.concat(F.lit("("), numeric_token(g(m, SCC, 1)), F.lit(") "), numeric_token(g(m, SCC, 2)), F.lit(" SCC "), numeric_token(g(m, SCC, 3))))
-    return F.array_distinct(F.concat(air, scc))
+def with_citations(text: Column) -> tuple[Column, Column]:
+    """Text with AIR, SCC and SCC OnLine citations, in their usual form, digits put right; and these citations, by kind, each once."""
+    g = lambda m, p, i: numeric_token(F.regexp_extract(m, p, i))
+    kinds = [
+        (AIR, lambda m: F.concat_ws(" ", F.lit("AIR"), g(m, AIR, 1), F.upper(F.regexp_extract(m, AIR, 2)), g(m, AIR, 3))),
+        (SCC, lambda m: F.concat(F.lit("("), g(m, SCC, 1), F.lit(") "), g(m, SCC, 2), F.lit(" SCC "), g(m, SCC, 3))),
+        (ONLINE, lambda m: F.concat_ws(" ", g(m, ONLINE, 1), F.lit("SCC OnLine"), F.upper(F.regexp_extract(m, ONLINE, 2)), g(m, ONLINE, 3))),
+    ]
+    found = []
+    for pattern, build in kinds:
+        found.append(matches(text, pattern, build))
+        text = rewritten(text, pattern, build)
+    return text, F.array_distinct(F.concat(*found))
 
 
 def parties_found(text: Column) -> Column:
-    each = lambda i: F.regexp_extract_all(text, F.lit(CASE_STYLE), F.lit(i))
-    return F.array_distinct(F.transform(F.concat(each(1), each(2)), lambda p: F.trim(F.regexp_replace(p, r"^[ .,]+|[ .,]+$", ""))))
+    """Sides of case names in order, then what stands behind labels, tidied; empty ones left out."""
+    sides = F.flatten(matches(text, CASE_STYLE, lambda m: F.array(F.regexp_extract(F.concat(m, F.lit(",")), CASE_STYLE, 1), F.regexp_extract(F.concat(m, F.lit(",")), CASE_STYLE, 2))))
+    labelled = F.regexp_extract_all(text, F.lit(PARTY_LABEL), F.lit(1))
+    tidy = lambda p: F.regexp_replace(squeeze(F.replace(p, F.lit(" ,"), F.lit(","))), r"^[ ,.-]+|[ ,.-]+$", "")
+    return F.filter(F.transform(F.concat(sides, labelled), tidy), lambda p: p != "")
+
+
+def normalised(documents: DataFrame, text: str = "text") -> DataFrame:
+    """documents with normalized_text, citations, sections, parties (clusters), corrections of their recognised text."""
+    fixed, labels = corrected(squeeze(F.col(text)))
+    d = documents.withColumn("corrections", labels).withColumn("_t", F.regexp_replace(fixed, r"(?i)\b(vs\.?|versus)\b", "v."))
+    t, found = with_sections(F.col("_t"))
+    d = d.withColumn("sections", found).withColumn("_t", t)
+    t, found = with_citations(F.col("_t"))
+    d = d.withColumn("citations", found).withColumn("_t", t)
+    return d.withColumn("parties", party_clusters(parties_found(F.col("_t")))).withColumnRenamed("_t", "normalized_text")
 
 
 def compare_key(value: str) -> str:
-    low = SUFFIX_RE.sub("", value.lower()).translate(str.maketrans("01v", "olu"))
-    return re.sub(r"[^a-z0-9]+", "", low)
+    """Lower case, letters and digits alike made one, no company forms, letters and digits only."""
+    alike = value.lower().translate(str.maketrans("01v", "olu"))
+    return re.sub(r"[^a-z0-9]+", "", SUFFIX_RE.sub("", alike))
 
 
-SUFFIX_RE = re.compile(SUFFIX.removeprefix("(?i)"), re.I)
+SUFFIX_RE = re.compile(SUFFIX, re.I)
 
 
 def clusters(names: list[str]) -> list[dict]:

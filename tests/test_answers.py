@@ -29,19 +29,25 @@ def test_report_windows_overlap_by_one(spark):
 
 
 def test_judgment_chunks(spark):
-    rows = [(1, ["Head."], ["Ratio one."], None, ["p"], ["h"]), (2, None, None, None, ["a", "b", "c"], ["x", "y"])]
-    df = spark.createDataFrame(rows, "doc_id int, headnotes array<string>, ratio array<string>, obiter array<string>, paragraphs array<string>, headers array<string>")
+    long = " ".join(["w"] * 150)
+    rows = [(1, ["Head."], ["Ratio one."], ["Aside."], ["p"], ["h"], None), (2, None, None, None, ["a", " ", "the summary", "dicta here"], ["x", "y"], None), (3, None, None, None, None, None, f"{long}. {long}."), (4, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, headnotes array<string>, ratio array<string>, obiter array<string>, paragraphs array<string>, headers array<string>, body string")
     got = C.judgment_chunks(df).orderBy("doc_id", "chunk_index").collect()
-    assert [(r["doc_id"], r["kind"], r["header"], r["text"]) for r in got] == [(1, "headnote", None, "Head."), (1, "ratio", None, "Ratio one."), (2, "paragraph", "x", "a"), (2, "paragraph", "y", "b"), (2, "paragraph", "y", "c")]
-    assert {r["total_chunks"] for r in got} == {2, 3}
+    assert [(r["doc_id"], r["kind"], r["header"], r["text"][:7]) for r in got] == [
+        (1, "headnote", "Headnote", "Head."), (1, "ratio_decidendi", "Ratio Decidendi", "Ratio o"), (1, "obiter_dictum", "Obiter Dicta", "Aside."), (2, "judgment_paragraph", "x", "a"), (2, "headnote", "y", "the sum"), (2, "obiter_dictum", "y", "dicta h"),
+        (3, "judgment_paragraph", None, "w w w w"), (3, "judgment_paragraph", None, "w w w w"),
+    ]
+    assert {r["total_chunks"] for r in got} == {3, 2}
 
 
 def test_ocr(spark):
-    text, labels = O.corrected(F.col("x"))
-    raw = "The petltloner relied on A1R 1978 SC 597 and (2017) 1O SCC 1 while seeking u/s 438 crpc relief."
-    df = spark.createDataFrame([(raw,)], ["x"]).select(O.with_sections(text).alias("t"), labels.alias("l"))
-    r = df.select("l", O.sections_found(F.col("t")).alias("s"), O.citations_found(F.col("t")).alias("c")).first()
-    assert r["s"] == ["Section 438 CrPC"] and r["c"] == ["AIR 1978 SC 597", "(2017) 10 SCC 1"] and "air_reporter" in r["l"]
+    raw = "The petltloner relied on A1R 1978 SC 597 and (2017) 1O SCC 1 and 2O20 scc online sc 12 while seeking u/s 438 crpc relief."
+    r = O.normalised(spark.createDataFrame([(raw,)], ["text"])).first()
+    assert r["sections"] == ["Section 438 CrPC"] and r["citations"] == ["AIR 1978 SC 597", "(2017) 10 SCC 1", "2020 SCC OnLine SC 12"] and r["corrections"] == ["party_label_spelling", "air_reporter"]
+    assert r["normalized_text"] == "The petitioner relied on AIR 1978 SC 597 and (2017) 10 SCC 1 and 2020 SCC OnLine SC 12 while seeking Section 438 CrPC relief."
+    raw = "Buckeye Trvst vs PCIT-1 Bangalore. Petitioner: Buckeye Trust Pvt Ltd. Respondent: PCIT 1 Bangalore."
+    parties = {p["canonical"]: p["aliases"] for p in O.normalised(spark.createDataFrame([(raw,)], ["text"])).first()["parties"]}
+    assert "Buckeye Trvst" in parties["Buckeye Trust Pvt Ltd"] and {"PCIT-1 Bangalore", "PCIT 1 Bangalore"} & set(parties)
     got = one(spark, O.party_clusters(F.array(F.lit("Buckeye Trust Pvt Ltd"), F.lit("Buckeye Trvst"), F.lit("State of Goa"))), x=1)
     assert [c["canonical"] for c in got] == ["Buckeye Trust Pvt Ltd", "State of Goa"]
 
