@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import tune
+from .common import split_for, tune
 
 #: Rules of op2: (verdict, host and path).
 RULES = [
@@ -94,6 +94,10 @@ def lexical(url: str | None) -> tuple[list[float], str, int]:
     )
 
 
+#: Folds by which training rows get the shares of their suffix and names.
+FOLDS = 5
+
+
 @dataclass
 class Trees:
     """Boosted trees of one depth, each as arrays of split features, thresholds and leaf values."""
@@ -137,15 +141,26 @@ def fit(urls: list[str | None], blocked: list[int]) -> Trees:
     if not len(y) or y.min() == y.max():
         return Trees(base=30.0 if len(y) and y[0] else -30.0)
     model = Trees(prior=float(y.mean()))
-    shares: list[dict] = [{}, {}]
-    for u, v in zip(urls, blocked):
-        _, *keys = lexical(u)
-        for s, k in zip(shares, keys):
-            a = s.setdefault(k, [0, 0])
-            a[0] += v
+    keys = [lexical(u)[1:] for u in urls]
+
+    def shares(rows: range | list[int], which: int) -> dict:
+        """Share of blocked URLs by suffix or by number of names, drawn to the prior."""
+        seen: dict = {}
+        for i in rows:
+            a = seen.setdefault(keys[i][which], [0, 0])
+            a[0] += blocked[i]
             a[1] += 1
-    model.suffixes, model.names = ({k: (a + 10 * model.prior) / (n + 10) for k, (a, n) in s.items()} for s in shares)
+        return {k: (a + 10 * model.prior) / (n + 10) for k, (a, n) in seen.items()}
+
+    model.suffixes, model.names = (shares(range(len(urls)), w) for w in (0, 1))
     x = model.features(urls)
+    # a row's own label must not stand in what it is trained on: its shares are those of the other folds
+    for k in range(FOLDS):
+        own, rest = range(k, len(urls), FOLDS), [i for i in range(len(urls)) if i % FOLDS != k]
+        for w in (0, 1):
+            of = shares(rest, w)
+            for i in own:
+                x[i, FEATURES - 2 + w] = of.get(keys[i][w], model.prior)
     model.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(FEATURES)]
     b = model.binned(x)
     model.base = math.log(y.mean() / (1 - y.mean()))
@@ -187,6 +202,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
 
 
 def score(pages: DataFrame, model: Trees, column: str = "block_score") -> DataFrame:
+    """pages with the probability that their url is to be blocked, in a column named `column` (with underscores behind it where pages has that name)."""
+    column = split_for(pages, column)
     tune(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model)  # trees of fixed size
     at = pages.columns.index("url")
