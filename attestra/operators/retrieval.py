@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import overlap
+from ..tables import stored
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -39,12 +40,13 @@ def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 20, valid: Column | N
     a row for their length and one for each token that a query has. As long as the queries' terms can be broadcast, a
     document's postings stay in one task, so scores are summed there before anything is shuffled.
     """
-    terms = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")).persist()
+    terms = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    terms = stored(terms)
     sent = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda df: df)
     wanted = terms.select("token").distinct().withColumn("wanted", F.lit(True))
     flags = [valid.alias("ok")] if valid is not None else []
     rows = docs.select("doc_id", F.size("tokens").alias("length"), *flags, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
-    rows = rows.join(sent(wanted), "token", "left").where("token is null or wanted").drop("wanted").persist()
+    rows = stored(rows.join(sent(wanted), "token", "left").where("token is null or wanted").drop("wanted"))
     postings = rows.where("token is not null")
     stats = rows.where("token is null").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))

@@ -13,7 +13,7 @@ def stored(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="attestra-"))
     return df.checkpoint()
