@@ -5,7 +5,8 @@ security numbers, telephone numbers, and names after an honorific. Each gets a
 replacement of its own kind, drawn by a keyed hash of its canonical form: letters for
 letters, digits for digits, separators as they stand, upper case kept, card
 numbers that pass the Luhn check replaced by such, names by names of the
-honorific's gender and of their script, a given name as an entity of its own beside the surname. Mentions of one entity, in whatever
+honorific's gender and of their script, a given name as an entity of its own beside the surname (after a title of no
+gender it is of the gender that the corpus gives it elsewhere, if that is one alone). Mentions of one entity, in whatever
 format or document, get the same replacement (coreference).
 
 Distinctness: all distinct entities are listed once; those that share a replacement, or
@@ -205,9 +206,19 @@ def entities(docs: DataFrame) -> DataFrame:
     return found.withColumn("kind", F.col("_entity.kind")).withColumn("canonical", F.col("_entity.canonical")).drop("_cut", "_entity")
 
 
-def assigned(docs: DataFrame, key: str = KEY) -> DataFrame:
+def aliases(known: DataFrame) -> DataFrame:
+    """canonical, same: given names after a title of no gender that are known with titles of one gender, and of that one alone, are of that gender."""
+    g = known.where("kind = 'given'").select("canonical", F.substr("canonical", F.lit(1), F.lit(1)).alias("g"), F.substr("canonical", F.lit(3)).alias("name"))
+    per = g.groupBy("name").agg(F.max((F.col("g") == "f").cast("int")).alias("f"), F.max((F.col("g") == "m").cast("int")).alias("m"), F.max((F.col("g") == "n").cast("int")).alias("n")).where("n = 1 and f + m = 1")
+    return per.select(F.concat(F.lit("n:"), "name").alias("canonical"), F.concat(F.when(F.col("f") == 1, "f:").otherwise("m:"), "name").alias("same"))
+
+
+def assigned(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) -> DataFrame:
     """kind, canonical, surrogate, attempt of every distinct entity; no two of a kind share a surrogate."""
-    known = entities(docs.select("text")).select("kind", "canonical").distinct()
+    if known is None:
+        known = written(entities(docs.select("text")).select("kind", "canonical").distinct(), "entities")
+    other = aliases(known).select(F.lit("given").alias("kind"), "canonical")
+    known = known.join(other, ["kind", "canonical"], "left_anti")
     out = known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key))
     out = written(out, "surrogates")
     for _ in range(ROUNDS):
@@ -225,22 +236,29 @@ def assigned(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text; all columns and rows as before."""
-    again = assigned(docs, key).where("attempt > 0").select("kind", "canonical", "attempt")
+    known = written(entities(docs.select("text")).select("kind", "canonical").distinct(), "entities")
+    drawn_again = assigned(docs, key, known).where("attempt > 0").select("kind", "canonical", "attempt")
+    # what a mention can't tell by itself, in one number: four times the attempt, and 1 or 2 if its given name is a woman's or a man's
+    same = aliases(known).join(drawn_again.where("kind = 'given'").select(F.col("canonical").alias("same"), "attempt"), "same", "left")
+    gender = F.when(F.startswith("same", F.lit("f")), 1).otherwise(2)
+    again = drawn_again.select("kind", "canonical", (F.col("attempt") * 4).alias("attempt")).unionByName(same.select(F.lit("given").alias("kind"), "canonical", (F.coalesce("attempt", F.lit(0)) * 4 + gender).alias("attempt")))
+    again = written(again, "attempts")
     columns = docs.columns
-    cut, tries, same = (split_for(docs, c) for c in ("_cut", "_attempts", "_text_hash"))
+    cut, tries, text_hash = (split_for(docs, c) for c in ("_cut", "_attempts", "_text_hash"))
     rows = docs
     if again.isEmpty():
         rows = rows.withColumn(tries, F.lit(None).cast("map<string,int>"))
     else:
         # texts with such an entity, named by their hash: few, but joined by shuffle if they are not
-        found = entities(docs.select("text")).select(F.xxhash64("text").alias(same), "kind", "canonical").distinct().join(again, ["kind", "canonical"])
-        found = written(found.groupBy(same).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias(tries)), "attempts")
+        found = entities(docs.select("text")).select(F.xxhash64("text").alias(text_hash), "kind", "canonical").distinct().join(again, ["kind", "canonical"])
+        found = written(found.groupBy(text_hash).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias(tries)), "attempts")
         few = found.count() <= BROADCAST_TEXTS
-        rows = rows.withColumn(same, F.xxhash64("text")).join(F.broadcast(found) if few else found, same, "left")
+        rows = rows.withColumn(text_hash, F.xxhash64("text")).join(F.broadcast(found) if few else found, text_hash, "left")
     rows = rows.withColumn(cut, pieces(F.col("text")))
 
-    attempt = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", k, c)), F.lit(0))
-    drawn = lambda k, c: let(attempt(k, c), lambda a: surrogate(k, c, a, key))
+    told = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", k, c)), F.lit(0))
+    own = lambda c, n: F.when(n % 4 == 1, F.concat(F.lit("f"), F.substr(c, F.lit(2)))).when(n % 4 == 2, F.concat(F.lit("m"), F.substr(c, F.lit(2)))).otherwise(c)
+    drawn = lambda k, c: let(told(k, c), lambda n: surrogate(k, own(c, n), F.floor(n / 4).cast("int"), key))
 
     def replaced(m: Column, i: Column) -> Column:
         of_given = lambda: let(given_of(m), lambda g: F.when(g.isNotNull(), drawn(F.lit("given"), g)))

@@ -68,3 +68,12 @@ def test_further_forms_are_replaced(docs):
         assert o.startswith("see ") and o.endswith(", ok") and not {w for w in t.replace("-", " ").split()[1:] if len(w) > 2} & set(o[4:-4].replace("-", " ").split()) and t not in o, (t, o)
     assert out[0][4] == "_" and out[1][4] == "-" and "john" not in "".join(out).lower() and out[9].split()[-2] == out[10].split()[-2]
     assert len(set(out)) == len(rows)
+
+
+def test_titles_of_no_gender_take_that_of_the_name(docs):
+    rows = ["Dr. Anna Schmidt", "Mrs. Anna Schmidt", "Dr. Kim Schmidt", "Prof. Robin Schmidt", "Mr Robin Schmidt", "Ms Robin Schmidt", "Mr. Emil Schmidt and Dr. Emil Schmidt"]
+    out = [r["text"] for r in P.pseudonymised(docs(list(enumerate(rows)))).orderBy("doc_id").collect()]
+    given = lambda t: t.split()[1]
+    assert given(out[0]) == given(out[1]) in P.GIVEN["latin", "f"] and given(out[2]) in P.GIVEN["latin", "n"]
+    assert len({given(t) for t in out[3:6]}) == 3 and out[6].split()[1] == out[6].split()[5]
+    assert len({t.split()[2] for t in out}) == 1
