@@ -137,3 +137,40 @@ def case_files(documents: DataFrame) -> DataFrame:
     out = c.drop("text", "names", "parts").join(facts, "case_id", "left").join(orders, "case_id", "left").join(bail, "case_id", "left")
     out = out.withColumn("orders", F.coalesce("orders", F.array().cast(orders.schema["orders"].dataType)))
     return out.withColumn("open_issues", open_issues(F.col("stage"), F.col("case_type"), F.col("sections"), F.col("orders"), F.col("statutes")))
+
+
+# What stands before parties, advocates and case numbers; words of those who answer.
+PETITIONER = r"(?i)\b(?:petitioner|appellant|applicant|accused)\b\s*[:.-]\s*([A-Za-z0-9&.,' -]{2,100}?)(?=(?:\s+\b(?:petitioner|respondent|appellant|applicant|accused|complainant)\b\s*[:.-])|[.!?]|$)"
+RESPONDENT = r"(?i)\b(?:respondent|opposite party|complainant)\b\s*[:.-]\s*([A-Za-z0-9&.,' -]{2,100}?)(?=(?:\s+\b(?:petitioner|respondent|appellant|applicant|accused|complainant)\b\s*[:.-])|[.!?]|$)"
+ADVOCATE = r"(?i)\b(?:adv\.?|advocate)\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}?)(?=(?:\s+for\b)|[.!?,]|$)"
+CASE_NUMBER = r"(?i)\b(?:[A-Z]{1,5}|BA|CRA|CRL\.?M\.?|WP|SLP|FA|MA)/\d{1,6}/\d{4}\b"
+ANSWERING = ["state of", "union of india", "pcit", "commissioner", "respondent", "complainant"]
+
+
+def merged_parties(clusters: DataFrame) -> DataFrame:
+    """clusters (case_id, place, canonical, aliases) with those of one name, whatever its signs and case, made one: the longest canonical name, all aliases in order, the first place."""
+    key = F.regexp_replace(F.lower("canonical"), "[^a-z0-9]+", "")
+    c = clusters.withColumn("key", key)
+    alias = c.select("case_id", "key", "place", F.posexplode("aliases").alias("i", "alias")).groupBy("case_id", "key", "alias").agg(F.min(F.struct("place", "i")).alias("at"))
+    names = alias.groupBy("case_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    own = c.groupBy("case_id", "key").agg(F.min("place").alias("place"), F.max(F.struct(F.char_length("canonical").alias("n"), "canonical")).canonical.alias("canonical"))
+    return own.join(names, ["case_id", "key"], "left").select("case_id", "place", "canonical", "aliases")
+
+
+def case_sides(documents: DataFrame, parties: DataFrame) -> DataFrame:
+    """Per case of documents (case_id, doc_index, text): petitioner, respondent, advocates, case_number.
+
+    A side that a document labels is that; else, among parties (case_id, place, canonical), the first that does not look like one who answers, and the first other that does, or the first other.
+    """
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^[ .]+|[ .]+$", ""), F.lit(""))
+    first = lambda p, g: F.min(F.when(F.col("text").rlike(p), F.struct("doc_index", F.regexp_extract("text", p, g).alias("x")))).x
+    advocates = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_index", F.regexp_extract_all("text", F.lit(ADVOCATE), F.lit(1)).alias("a")))), lambda x: F.transform(x["a"], lambda n: F.regexp_replace(n, r"^[ .]+|[ .]+$", "")))))
+    c = documents.groupBy("case_id").agg(bare(first(PETITIONER, 1)).alias("asks"), bare(first(RESPONDENT, 1)).alias("answers"), advocates.alias("advocates"), F.replace(first(CASE_NUMBER, 0), F.lit(" "), F.lit("")).alias("case_number"))
+    listed = parties.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "canonical"))), lambda x: x["canonical"]).alias("names"))
+    c = c.join(listed, "case_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    looks = lambda n: holds(F.lower(n), ANSWERING)
+    key = lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9]+", "")
+    c = c.withColumn("petitioner", F.coalesce("asks", F.try_element_at(F.filter("names", lambda n: ~looks(n)), F.lit(1)), F.try_element_at("names", F.lit(1))))
+    others = F.filter("names", lambda n: F.coalesce(key(n) != key(F.col("petitioner")), F.lit(True)))
+    c = c.withColumn("respondent", F.coalesce("answers", F.try_element_at(F.filter(others, looks), F.lit(1)), F.try_element_at(others, F.lit(1))))
+    return c.select("case_id", "petitioner", "respondent", "advocates", "case_number")

@@ -176,3 +176,12 @@ def executed(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], res
     counts = claims.groupBy("answer_id").agg(n("VERIFIED"), n("UNCERTAIN"), n("UNSUPPORTED"))
     overall = F.when((F.col("unsupported") > 0) | (F.col("verified") + F.col("uncertain") == 0), "UNSUPPORTED").when(F.col("uncertain") > 0, "UNCERTAIN").otherwise("VERIFIED")
     return {"paragraphs": paragraphs, "text": text, "claims": claims, "answers": counts.withColumn("overall_status", overall)}
+
+
+def verification_items(answers: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """What an answer's verification section lists: answer_id, place, label, value, status, from its claims (verified, uncertain, unsupported) and its resolutions (answer_id, verified)."""
+    r = resolutions.groupBy("answer_id").agg(F.count_if("verified").alias("found"), F.count_if(~F.col("verified")).alias("missing"))
+    a = answers.join(r, "answer_id", "left").fillna(0, ["found", "missing"])
+    item = lambda label, n, bad: F.struct(F.lit(label).alias("label"), F.col(n).cast("string").alias("value"), (F.when(F.col(n) > 0, bad).otherwise("VERIFIED") if bad else F.lit("VERIFIED")).alias("status"))
+    items = F.array(item("Verified Claims", "verified", None), item("Claims Requiring Review", "uncertain", "UNCERTAIN"), item("Unverified Claims", "unsupported", "UNVERIFIED"), item("Resolved Citations", "found", None), item("Unresolved Citations", "missing", "UNVERIFIED"))
+    return a.select("answer_id", F.posexplode(items).alias("place", "i")).select("answer_id", "place", "i.*")

@@ -74,6 +74,9 @@ ARTICLE_REF = r"(?i)\barticle\s+(\d+[A-Z]?)\b"
 ACT_REF = r"(?i)\b(?:section\s+)?(\d+[A-Z]?)\s+((?:[A-Z][A-Za-z.&]*(?:\s+[A-Z][A-Za-z.&]*)*)\s+Act)\b"
 
 
+ACT_NAME = r"(?i)\b(?:Constitution of India|[A-Z][A-Za-z.&]*(?:\s+[A-Z][A-Za-z.&]*)*\s+(?:Act|Code|Sanhita))\b"
+
+
 def holds(text: Column, phrases: list[str]) -> Column:
     out = F.lit(False)
     for p in phrases:
@@ -117,6 +120,14 @@ def courts(q: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.lower(q).rlike(p), F.lit(n)) for n, p in COURTS]))
 
 
+def entities(q: Column) -> Column:
+    """(kind, text) of what a query names, each once: cases, courts, sections and articles, acts."""
+    of = lambda kind, xs: F.transform(xs, lambda t: F.struct((kind(t) if callable(kind) else F.lit(kind)).alias("kind"), t.alias("text")))
+    reference = lambda t: F.when(F.startswith(t, F.lit("Article ")), "ARTICLE").otherwise("SECTION")
+    acts = F.transform(F.regexp_extract_all(q, F.lit(ACT_NAME), F.lit(0)), act_name)
+    return F.filter(F.array_distinct(F.concat(of("CASE_NAME", case_names(q)), of("COURT", courts(q)), of(reference, sections(q)), of("ACT", acts))), lambda e: e["text"] != "")
+
+
 def practice_area(q: Column, refs: Column) -> Column:
     low = F.lower(q)
     coded = F.lit(False)

@@ -102,6 +102,28 @@ def claim_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.assessed(claims, cites).select("claim_id", "status", "citation", F.md5("reason").alias("reason"), "doc_id")
 
 
+def case_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of a case that label its sides, or leave them to the parties that are listed."""
+    o = Domain(spark, sf_dir).table("orders")
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Case WP/"), (k % 1000).cast("string"), F.lit("/2020. "), F.when(F.col("o_custkey") % 3 == 0, F.lit("Petitioner: A Kumar. ")).otherwise(""), F.when(F.col("o_custkey") % 4 == 0, F.lit("Respondent: State of Goa. ")).otherwise(""), F.lit("Adv. Rao"), F.lit(" for the side."))
+    d = o.select(F.col("o_custkey").alias("case_id"), k.alias("doc_index"), text.alias("text"))
+    names = F.array(F.lit("Union of India"), F.lit("B. Singh"), F.lit("b singh"), F.lit("Commissioner"))
+    c = o.select(F.col("o_custkey").alias("case_id")).distinct().where("case_id % 5 < 4").select("case_id", F.posexplode(names).alias("place", "canonical")).withColumn("aliases", F.array("canonical"))
+    m = K.merged_parties(c)
+    sides = K.case_sides(d, m)
+    n = m.groupBy("case_id").agg(F.count("*").alias("n_parties"), F.max(F.size("aliases")).alias("n_aliases"))
+    return sides.join(n, "case_id", "left").select("case_id", "petitioner", "respondent", F.array_join("advocates", ",").alias("advocates"), "case_number", "n_parties", "n_aliases")
+
+
+def verification_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    k = F.col("o_orderkey")
+    a = d.table("orders").select(k.alias("answer_id"), (k % 3).alias("verified"), (k % 4).alias("uncertain"), (k % 2).alias("unsupported"))
+    r = d.table("lineitem").select(F.col("l_orderkey").alias("answer_id"), (F.col("l_quantity") > 20).alias("verified"))
+    return X.verification_items(a, r)
+
+
 def cited_documents(d: Domain) -> DataFrame:
     return d.legal_documents().withColumn("citation", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("AIR "), F.col("doc_id").cast("string"))))
 
@@ -190,7 +212,7 @@ def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report_chunks(d).select("doc_id", "chunk_index", "first", "end")
 
 
-QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, hypothetical_drafts, report_windows]}
+QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, case_sides, verification_items, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, hypothetical_drafts, report_windows]}
 EDGES = """WITH e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
 #: Items against the next: a row of the subsequence table per step; k-th stems of either side aligned.
@@ -250,6 +272,11 @@ CASE WHEN bail THEN 'What statutory bail framework applies to ' || coalesce(sect
 n AS (SELECT k, string_agg(c, '; ' ORDER BY i) AS citation FROM (SELECT k, c, min(i) AS i FROM l WHERE ok GROUP BY k, c) GROUP BY k),
 a AS (SELECT k, max(worst) AS worst, string_agg(CASE WHEN ok THEN 'checked' ELSE '{X.UNVERIFIED}' END, '; ' ORDER BY i) AS reason, arg_min(d, i) FILTER (ok) AS d FROM l GROUP BY k)
 SELECT o_orderkey AS claim_id, CASE worst WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'UNCERTAIN' ELSE 'UNSUPPORTED' END AS status, citation, md5(coalesce(reason, '{X.NO_CITATION}')) AS reason, d AS doc_id FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN n ON n.k = o_orderkey""",
+    "case_sides": """WITH c AS (SELECT o_custkey AS case_id, min(o_orderkey) AS k FROM orders GROUP BY 1)
+SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'A Kumar' WHEN case_id % 5 < 4 THEN 'B. Singh' END AS petitioner, CASE WHEN case_id % 4 = 0 THEN 'State of Goa' WHEN case_id % 5 < 4 THEN 'Union of India' END AS respondent, 'Rao' AS advocates, 'WP/' || (k % 1000) || '/2020' AS case_number, CASE WHEN case_id % 5 < 4 THEN 3 END AS n_parties, CASE WHEN case_id % 5 < 4 THEN 2 END AS n_aliases FROM c""",
+    "verification_items": """WITH r AS (SELECT l_orderkey AS k, count(*) FILTER (l_quantity > 20) AS f, count(*) FILTER (NOT l_quantity > 20) AS m FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey AS k, o_orderkey % 3 AS v, o_orderkey % 4 AS u, o_orderkey % 2 AS x, coalesce(f, 0) AS f, coalesce(m, 0) AS m FROM orders LEFT JOIN r ON r.k = o_orderkey)
+SELECT k AS answer_id, CAST(p AS INT) AS place, (['Verified Claims', 'Claims Requiring Review', 'Unverified Claims', 'Resolved Citations', 'Unresolved Citations'])[p + 1] AS label, CAST(([v, u, x, f, m])[p + 1] AS VARCHAR) AS value,
+CASE WHEN p IN (0, 3) OR ([v, u, x, f, m])[p + 1] = 0 THEN 'VERIFIED' WHEN p = 1 THEN 'UNCERTAIN' ELSE 'UNVERIFIED' END AS status FROM a, range(5) t(p)""",
     "appeal_exports": "SELECT doc_id - 1 AS parent, doc_id AS child, 'MERGE (parent:JudgmentNode {doc_id: QQ' || (doc_id - 1) || 'QQ})' || chr(10) || 'MERGE (child:JudgmentNode {doc_id: QQ' || doc_id || 'QQ})' || chr(10) || 'MERGE (parent)-[:APPEALED_TO {outcome: QQ' || (['UPHELD', 'REVERSED', 'DISMISSED'])[doc_id % 3 + 1] || 'QQ, is_final_authority: ' || (doc_id % 4 = 3) || '}]->(child)' AS statement FROM documents WHERE doc_id % 4 > 0".replace("QQ", "\x27\x27"),
     "edge_linkage": f"{EDGES} SELECT target, count(*) FILTER (type = 'follows') AS followed_by, count(*) FILTER (type = 'distinguishes') AS distinguished_by, max(CASE WHEN type = 'overrules' THEN source END) AS overruled_by FROM e GROUP BY target",
     "graph_statements": f"""{EDGES}, ld AS (SELECT doc_id, CASE WHEN doc_id % 5 >= 3 THEN 'StatuteNode' ELSE 'JudgmentNode' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'AIR ' || doc_id ELSE '' END AS citation,

@@ -41,6 +41,9 @@ TABLES: dict[str, tuple[Callable[[], Column], list[tuple]]] = {
     "act_names": (lambda: R.act_name(x()), [("specific relief act", None, None, "Specific Relief Act"), ("INDIAN SUCCESSION ACT", None, None, "Indian Succession ACT"), ("prevention of corruption act", None, None, "Prevention of Corruption Act")]),
     "case_names": (lambda: joined(R.case_names(x())), [("What was held in Maneka Gandhi v Union of India", None, None, "Maneka Gandhi v Union of India"), ("no names here", None, None, "")]),
     "courts_named": (lambda: joined(R.courts(x())), [("the Delhi HC and the Supreme Court", None, None, "Supreme Court of India|Delhi High Court"), ("jammu and kashmir high court", None, None, "High Court of Jammu and Kashmir and Ladakh"), ("odisha hc, madras high court", None, None, "Madras High Court|Orissa High Court"), ("a district court", None, None, "")]),
+    "query_entities": (lambda: joined(F.transform(R.entities(x()), lambda e: F.concat_ws(":", e["kind"], e["text"]))), [
+        ("What was held in Maneka Gandhi v Union of India", None, None, "CASE_NAME:Maneka Gandhi v Union of India"), ("Section 302 IPC in the Delhi HC", None, None, "COURT:Delhi High Court|SECTION:IPC 302"), ("Article 21", None, None, "ARTICLE:Article 21"), ("hello", None, None, ""),
+    ]),
     "statute_parts": (lambda: joined(chunks.statute_parts(x())), [("No person shall: (1) do one thing. (2) do another.", None, None, "No person shall: (1) do one thing.|No person shall: (2) do another."), ("One sentence. Two.", None, None, "One sentence. Two."), ("", None, None, "")]),
     "judgment_kinds": (lambda: chunks.judgment_kind(x(), y()), [("Headnote", "t", None, "headnote"), (None, "the issue is", None, "headnote"), ("Observations", "t", None, "obiter_dictum"), (None, "the holding", None, "ratio_decidendi"), ("Facts", "he went", None, "judgment_paragraph")]),
     "numeric_tokens": (lambda: T.numeric_token(x()), [("1O", None, None, "10"), ("I9l8", None, None, "1918"), ("o5", None, None, "05")]),
