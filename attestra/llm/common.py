@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the ASCII controls 0x09-0x0D. bytes.split() splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,7 +123,3 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
             out = (out + h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
     return mix(out)
-
-
-def null_safe_text(c: str = "text"):
-    return F.coalesce(F.col(c), F.lit(""))
