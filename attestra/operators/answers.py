@@ -38,11 +38,6 @@ def substituted(text: Column, resolutions: Column) -> Column:
     return F.aggregate(resolutions, text, lambda t, r: F.replace(t, r["token"], r["value"]))
 
 
-def verified_value(kind: Column, act: Column, section: Column, case: Column, citation: Column) -> Column:
-    law = F.concat_ws(", ", act, F.concat(F.lit("Section "), section))
-    return F.when(kind == "law", law).otherwise(F.concat_ws(", ", case, citation))
-
-
 def claims(paragraphs: DataFrame) -> DataFrame:
     """Sentences of paragraphs (answer_id, section, paragraph, tokens) without placeholders, numbered."""
     bare = F.aggregate("tokens", F.col("paragraph"), lambda t, k: F.replace(t, k, F.lit("")))

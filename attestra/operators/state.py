@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Codes and the day from which the new ones apply.
 CUTOVER = "2024-07-01"
-LEGACY = {"BNS": "IPC", "BNSS": "CrPC", "BSA": "Indian Evidence Act"}
 CODE_ALIASES = [
     ("bharatiya nagarik suraksha sanhita", "BNSS"), ("bharatiya sakshya adhiniyam", "BSA"), ("code of criminal procedure", "CrPC"), ("bharatiya nyaya sanhita", "BNS"),
     ("indian evidence act", "Indian Evidence Act"), ("indian penal code", "IPC"), ("evidence act", "Indian Evidence Act"), ("crpc", "CrPC"), ("bnss", "BNSS"), ("ipc", "IPC"), ("bns", "BNS"), ("bsa", "BSA"), ("iea", "Indian Evidence Act"),

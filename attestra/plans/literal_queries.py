@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import answers as A
 from ..operators import cases as K
 from ..operators import citations as C
+from ..operators import collections as L
 from ..operators import graph as G
 from ..operators import routing as R
 from ..operators import state as S
@@ -66,6 +67,7 @@ TABLES: dict[str, tuple[Callable[[], Column], list[tuple]]] = {
     "title_parties": (lambda: F.concat_ws("|", T.parties(x())["appellant"], T.parties(x())["respondent"]), [("A v B", None, None, "A|B"), ("A vs. B and C", None, None, "A|B and C"), ("A", None, None, "")]),
     "written_dates": (lambda: T.parsed_date(x()).cast("string"), [("2017-08-24", None, None, "2017-08-24"), ("August 24, 2017", None, None, "2017-08-24"), ("sometime", None, None, None)]),
     "placeholder_kinds": (lambda: C.placeholder_kind(x()), [("statute", None, None, "STATUTE"), ("constitution", None, None, "STATUTE"), ("judgment", None, None, "CITE")]),
+    "comparable_values": (lambda: F.coalesce(F.date_format(L.comparable(x(), "datetime"), "yyyy-MM-dd HH:mm"), F.lit("none")), [("2024-07-01", None, None, "2024-07-01 00:00"), ("2024-07-01T10:30:00", None, None, "2024-07-01 10:30"), ("soon", None, None, "none")]),
     "excerpts": (lambda: A.excerpt(x()), [("Bail is the rule, AIR 1978 SC 597 . More.", None, None, "Bail is the rule,."), ("No end", None, None, "No end")]),
     "page_titles": (lambda: F.element_at(html.lines(x()), 1), [("<h1>A &amp; B</h1><p>text</p>", None, None, "A & B")]),
 }

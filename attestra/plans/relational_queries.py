@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import collections as V_
 from ..operators import evaluation as E
 from ..operators import graph as G
+from ..operators import listings as L
 from ..operators import state as S
 from ..operators import verify as V
 from ..streaming import events as X
@@ -95,8 +97,8 @@ def latest_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 20 events of every user."""
-    e = Domain(spark, sf_dir).table("events").select("event_id", "user_id", "event_type", "ts")
-    return e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("n <= 20").drop("ts")
+    e = Domain(spark, sf_dir).table("events").select(F.col("event_id").alias("query_id"), "user_id", "event_type", F.col("ts").alias("created_at"))
+    return L.queries_of_users(e).select(F.col("query_id").alias("event_id"), "user_id", "event_type", F.col("rank").alias("n"))
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +134,23 @@ def multi_hop_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_public_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Domain(spark, sf_dir).table("orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'")
-    return r.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1).select("o_orderkey", "o_custkey")
+    o = Domain(spark, sf_dir).table("orders")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "O", "completed").otherwise("queued").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("is_public"), F.col("o_orderdate").alias("completed_at"), "o_custkey")
+    return L.latest_public_run(runs).select(F.col("run_id").alias("o_orderkey"), "o_custkey")
+
+
+def created_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one priority as runs that are there, those of another as new ones."""
+    o = Domain(spark, sf_dir).table("orders")
+    run = lambda p: o.where(F.col("o_orderpriority") == p).select(F.col("o_orderkey").cast("string").alias("suite"), F.lit("2024-07-01").alias("started_at"), F.lit("{}").alias("metrics"))
+    there = run("1-URGENT").select(F.concat(F.lit("r"), "suite").alias("run_id"), "suite", F.lit("completed").alias("status"), F.lit(True).alias("is_public"), "started_at", F.lit(None).cast("timestamp").alias("completed_at"), "metrics")
+    return L.run_created(there, run("5-LOW")).select("run_id", "suite", "status", "is_public")
+
+
+def chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as hits of chunks in collections, each chunk once by its best."""
+    h = Domain(spark, sf_dir).table("lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 3).alias("chunk_id"), F.col("l_returnflag").alias("collection"), F.col("l_quantity").cast("double").alias("score"))
+    return V_.deduped(h)
 
 
 def token_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +227,7 @@ from .retrieval_queries import TOKENS  # noqa: E402
 
 QUERIES = {f.__name__: f for f in [
     appeal_chains, appeal_outcomes, court_levels, validity_changes, statute_changes, code_mappings, daily_counts, query_allowance, plan_checkouts, charged_invoices, latest_subscription,
-    recent_history, latest_state, reembedding_flags, upserted_points, citation_rates, multi_hop_completeness, latest_public_run, token_overlaps, entailment_labels, claim_lattice, amendment_checks, corrective_actions, reduced_events, joined_output, trust_metrics,
+    recent_history, latest_state, reembedding_flags, upserted_points, citation_rates, multi_hop_completeness, latest_public_run, created_runs, chunk_hits, token_overlaps, entailment_labels, claim_lattice, amendment_checks, corrective_actions, reduced_events, joined_output, trust_metrics,
 ]}
 ORACLE_SQL = {
     "appeal_chains": "WITH m AS (SELECT max(doc_id) AS m FROM documents) SELECT doc_id AS node, least(doc_id - doc_id % 4 + 3, m) AS last, CAST(least(doc_id - doc_id % 4 + 3, m) - doc_id AS INT) AS steps FROM documents, m WHERE doc_id % 4 < 3 AND doc_id < m",
@@ -239,6 +256,8 @@ SELECT user_id, day, used, plan, CAST(daily_limit AS BIGINT) AS daily_limit, gre
     "upserted_points": "WITH c AS (SELECT vec_id + 2 AS vec_id, 99 AS label FROM embeddings WHERE vec_id % 4 = 0) SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM c) UNION ALL SELECT * FROM c",
     "citation_rates": f"WITH {RATES} SELECT * FROM rates",
     "multi_hop_completeness": "SELECT l_orderkey, round(count(DISTINCT CASE WHEN l_quantity > 20 THEN l_suppkey END) / count(DISTINCT l_suppkey), 6) AS completeness FROM lineitem GROUP BY l_orderkey",
+    "created_runs": "SELECT 'r' || o_orderkey AS run_id, CAST(o_orderkey AS VARCHAR) AS suite, 'completed' AS status, TRUE AS is_public FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT substr(sha1(o_orderkey || '|2024-07-01'), 1, 32), CAST(o_orderkey AS VARCHAR), 'queued', FALSE FROM orders WHERE o_orderpriority = '5-LOW'",
+    "chunk_hits": "SELECT l_orderkey AS query_id, l_suppkey % 3 AS chunk_id, max(l_returnflag) FILTER (l_quantity = m) AS collection, max(m)::DOUBLE AS score FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey, l_suppkey % 3) AS m FROM lineitem) GROUP BY 1, 2",
     "latest_public_run": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "token_overlaps": f"WITH b AS (SELECT item_id, {TOKENS} AS t FROM benchmark) SELECT a.item_id, round(len(list_intersect(a.t, n.t)) / len(a.t), 6) AS overlap FROM b a JOIN b n ON n.item_id = a.item_id + 1",
     "entailment_labels": f"""WITH st AS (SELECT {T.GROUNDING_STOPWORDS!r} AS s, {T.NEGATIONS!r} AS g), b AS (SELECT item_id, {TOKENS} AS t FROM benchmark), d AS (SELECT doc_id AS item_id, {TOKENS} AS t FROM documents),

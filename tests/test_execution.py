@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from attestra.functions import chunks as K
 from attestra.operators import collections as L
 from attestra.operators import corrective as C
 from attestra.operators import execution as X
@@ -107,3 +108,17 @@ def test_articles_of_a_constitution(spark):
     d = spark.createDataFrame([(1, "The Constitution\nEffective Date: 1950-01-26\nArticle 14: Equality\nThe State shall not deny.\nArticle 21 - Life\nNo person\n shall be deprived.")], "doc_id int, text string")
     got = [(r["number"], r["header"], r["text"]) for r in statutes.articles(d).orderBy("section_index").collect()]
     assert got == [("14", "Article 14 - Equality", "The State shall not deny."), ("21", "Article 21 - Life", "No person shall be deprived.")]
+
+
+def test_authorities_stand_once(spark):
+    d = spark.createDataFrame([(1, 1, "a", "c"), (1, 2, "b", "c"), (1, 3, "a", "c"), (2, 1, "a", "c")], "case_id int, position int, doc_id string, chunk_id string")
+    assert sorted((r["case_id"], r["position"]) for r in X.authorities_deduped(d).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_chunks_of_every_kind(spark):
+    j = spark.createDataFrame([(1, ["Head."], None, None, None, None, None)], "doc_id int, headnotes array<string>, ratio array<string>, obiter array<string>, paragraphs array<string>, headers array<string>, body string")
+    s = spark.createDataFrame([(2, 1, "5", "Heading", "One. Two.")], "doc_id int, section_index long, number string, heading string, text string")
+    a = spark.createDataFrame([(3, 1, "14", "Equality", "Text.")], "doc_id int, section_index long, number string, heading string, text string")
+    r = spark.createDataFrame([(4, ["p one", "p two"])], "doc_id int, paragraphs array<string>")
+    got = sorted((x["doc_id"], x["kind"], x["header"], x["total_chunks"]) for x in K.chunked(j, s, a, r).collect())
+    assert got == [(1, "headnote", "Headnote", 1), (2, "statute_section", "Section 5 - Heading", 1), (3, "constitution_article", "Article 14 - Equality", 1), (4, "lc_report_paragraphs", None, 1)]
