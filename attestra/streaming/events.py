@@ -90,6 +90,6 @@ def daily_quota(events: DataFrame, late: str | None = None) -> DataFrame:
     return w.select("user_id", F.to_date("window.start").alias("day"), "used")
 
 
-def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
+def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Run `apply` on every micro-batch of what is there now; it must be idempotent by batch id."""
-    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
+    return stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
