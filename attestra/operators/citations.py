@@ -6,6 +6,8 @@ chunk_text, header, act, section, in_force, chunk_validity, chunk_citation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def sections_found(requests: DataFrame, statutes: DataFrame, sections: DataFrame
 
 def _best(met: DataFrame, score: Column) -> DataFrame:
     scored = met.withColumn("score", F.round(score, 6))
-    return scored.groupBy("placeholder_id").agg(F.min(F.struct((-F.col("score")).alias("worst"), "chunk_id", "doc_id")).alias("b")).select("placeholder_id", (-F.col("b.worst")).alias("score"), "b.doc_id", "b.chunk_id")
+    return scored.groupBy("description").agg(F.min(F.struct((-F.col("score")).alias("worst"), "chunk_id", "doc_id")).alias("b")).select("description", (-F.col("b.worst")).alias("score"), "b.doc_id", "b.chunk_id")
 
 
 def resolved_placeholders(placeholders: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -130,18 +132,20 @@ def resolved_placeholders(placeholders: DataFrame, documents: DataFrame, chunks:
     rest = p.join(direct.select("placeholder_id"), "placeholder_id", "left_anti")
     pool = chunks.join(good.select("doc_id", "doc_type", "court", "practice_areas"), "doc_id")
 
-    def search(asked: DataFrame, candidates: DataFrame, score: Column, least: float) -> DataFrame:
-        met = asked.select("placeholder_id", F.explode("asked").alias("t")).join(candidates.select("chunk_id", F.explode("own").alias("t")), "t").select("placeholder_id", "chunk_id").distinct()
-        return _best(met.join(asked, "placeholder_id").join(candidates, "chunk_id"), score).where(F.col("score") >= least)
+    def search(kind: str, tokens_of: Callable[[Column], Column], candidates: DataFrame, score: Column, least: float) -> DataFrame:
+        """Every description is searched once, however many placeholders have it."""
+        own = rest.where(F.col("kind") == kind).select("placeholder_id", "description")
+        asked = own.select("description").distinct().withColumn("asked", tokens_of(F.col("description")))
+        met = asked.select("description", F.explode("asked").alias("t")).join(candidates.select("chunk_id", F.explode("own").alias("t")), "t").select("description", "chunk_id").distinct()
+        best = _best(met.join(asked, "description").join(candidates, "chunk_id"), score).where(F.col("score") >= least)
+        return own.join(best, "description").drop("description")
 
     law = pool.where(F.col("doc_type").isin(*LAW_TYPES) & F.coalesce("in_force", F.lit(True))).withColumn("own", section_tokens(F.col("act"), F.col("section"), F.col("header"), F.col("chunk_text")))
-    statutes = rest.where("kind = 'STATUTE'").select("placeholder_id", "description", tokens(F.lower("description")).alias("asked"))
-    laws = search(statutes, law, statute_match(F.col("asked"), F.col("description"), F.col("act"), F.col("section"), F.col("own"), F.col("doc_type")), STATUTE_LEAST)
+    laws = search("STATUTE", lambda d: tokens(F.lower(d)), law, statute_match(F.col("asked"), F.col("description"), F.col("act"), F.col("section"), F.col("own"), F.col("doc_type")), STATUTE_LEAST)
     part = lambda c: F.when(c != "", c)
     whole = F.concat_ws(" ", part(F.col("court")), part(F.col("header")), part(F.array_join("practice_areas", " ")), part(F.substr("chunk_text", F.lit(1), F.lit(LEAD))))
     case = pool.where("doc_type = 'judgment'").withColumn("own", tokens(F.lower(whole)))
-    cites = rest.where("kind = 'CITE'").select("placeholder_id", "description", cite_tokens(F.col("description")).alias("asked"))
-    cases = search(cites, case, cite_match(F.col("asked"), F.col("description"), F.col("own"), F.col("court"), F.col("practice_areas"), F.col("header")), CITE_LEAST)
+    cases = search("CITE", cite_tokens, case, cite_match(F.col("asked"), F.col("description"), F.col("own"), F.col("court"), F.col("practice_areas"), F.col("header")), CITE_LEAST)
     found = direct.unionByName(laws.unionByName(cases).withColumn("message", F.lit(SEARCHED)))
     out = placeholders.select("placeholder_id", "kind", "description").join(found, "placeholder_id", "left").join(documents.drop("body"), "doc_id", "left").join(chunks.drop("doc_id", "chunk_text"), "chunk_id", "left")
     seen = F.col("score").isNotNull()
