@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,14 +7,12 @@ from tokenizers import Tokenizer
 
 from attestra.llm import packing as P
 
-TEXTS = ["", None, "one", "Hello,  world!\n\nIt's  here. ", " lead and trail ", "naïve café — “quotes” 123abc", "x" * 5000, "word " * 3000, "a\tb\r\nc\x0bd", "end<|endoftext|>more", "日本語 テキスト", "we'll they've'll", "tab\t ,x ,y", "a's, b't."]
+TEXTS = ["", None, "one", "Hello,  world!\n\nIt's  here. ", " lead and trail ", "naïve café — “quotes” 123abc", "x" * 5000, "word " * 3000, "a\tb\r\nc\x0bd", "end<|endoftext|>more", "日本語 テキスト", "we'll they've'll", "tab\t ,x ,y", "a's, b't.", "Ends with a dot.\n", "<|endoftext|>", "<|endoftext|> .\n<|endoftext", "dots...\r\n"]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(P.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.vocabulary_path())
 
 
 def test_cached_ids_equal_the_tokenizer(tokenizer):
@@ -31,6 +30,16 @@ def test_ids_without_the_rank_file(tokenizer, tmp_path):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_ids_of_made_up_texts_equal_the_tokenizer(tokenizer):
+    r = random.Random(4)
+    parts = ["\n", "\r\n", " ", "  ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", ".", ",", "!?", "...", "'", "’", "'s", "“", "”", "…", "—", "_", "$", "<|endoftext|>", "<|endoftext", "|>", "a", "word", "Word", "12", "x1", "é", "e\u0301", "日本", "٣", "²", "Ⅷ", "ſ", "𝔘", "👍🏽", "ß", "-", "#"]
+    ids = P.Ids(P.vocabulary_path())
+    texts = ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(50_000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, got, w in zip(texts, ids.all(texts), want) if np.frombuffer(got, "<u4").tolist() != w]
+    assert not wrong
+
+
 def test_round_trip(docs, tokenizer):
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
     got = P.pack(docs(rows)).collect()
