@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the ASCII controls 0x09-0x0D. bytes.split() splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,25 @@ def split_for(df: DataFrame, name: str) -> str:
     return name
 
 
+def joined_evenly(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of by_key, which has a row for each key of rows that isn't null; null keys join the null key.
+
+    Keys of a hundredth of the rows and more, of which there are at most a hundred, are broadcast; all others are shuffled.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = [r[0] for r in counts.where(F.col("_n") * 100 >= total).select(key).collect()] if total else []
+    of = lambda df, name: df.withColumnRenamed(key, name)
+    kind = rows.schema[key].dataType
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"_k {kind.simpleString()}"))
+    few = of(by_key, "_k2").join(keys, F.col("_k2").eqNullSafe(F.col("_k")), "left_semi")
+    some = of(by_key, "_k2").join(keys, F.col("_k2").eqNullSafe(F.col("_k")), "left_anti")
+    is_hot = rows.join(keys, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    rest = rows.join(keys, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    on = F.col(key).eqNullSafe(F.col("_k2"))
+    return is_hot.join(F.broadcast(few), on).drop("_k2").unionByName(rest.join(some, on).drop("_k2"))
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 #: The lowest 0 to 8 bytes of eight.

@@ -12,6 +12,7 @@ from .neardup import op7_neardup
 from .packing import op4_packing
 from .pii import op10_pii
 from .secrets import op5_secrets
+from .simhash import op13_simhash
 from .substrings import op3_substrings
 from .toxicity import op9_toxicity
 from .urlfilter import op2_urlfilter
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
