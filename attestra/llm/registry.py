@@ -16,6 +16,8 @@ from .simhash import op13_simhash
 from .substrings import op3_substrings
 from .toxicity import op9_toxicity
 from .urlfilter import op2_urlfilter
+from .vectorcodes import ORACLE as VECTORCODES_ORACLE
+from .vectorcodes import op11_vectorcodes
 from .warc import ORACLE as WARC_ORACLE
 from .warc import op8_warc
 
@@ -30,9 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_vectorcodes": op11_vectorcodes,
     "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": WARC_ORACLE,
+    "op11_vectorcodes": VECTORCODES_ORACLE,
 }
