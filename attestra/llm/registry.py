@@ -12,6 +12,8 @@ from .neardup import op7_neardup
 from .packing import op4_packing
 from .pii import op10_pii
 from .secrets import op5_secrets
+from .sessions import ORACLE as SESSIONS_ORACLE
+from .sessions import op12_sessions
 from .simhash import op13_simhash
 from .substrings import op3_substrings
 from .toxicity import op9_toxicity
@@ -33,10 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_vectorcodes": op11_vectorcodes,
+    "op12_sessions": op12_sessions,
     "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": WARC_ORACLE,
     "op11_vectorcodes": VECTORCODES_ORACLE,
+    "op12_sessions": SESSIONS_ORACLE,
 }
