@@ -4,8 +4,8 @@ Detected: e-mail addresses, IPv4 addresses, payment card numbers, social
 security numbers, telephone numbers, and names after an honorific. Each gets a
 replacement of its own kind, drawn by a keyed hash of its canonical form: letters for
 letters, digits for digits, separators as they stand, upper case kept, card
-numbers that pass the Luhn check replaced by such, names by names of the
-honorific's gender and of their script, a given name as an entity of its own beside the surname (after a title of no
+numbers that pass the Luhn check replaced by such (13 to 19 digits in one run that do not pass it are no card), names by names of the
+honorific's gender and of their script, with their hyphens and apostrophes, a given name as an entity of its own beside the surname (after a title of no
 gender it is of the gender that the corpus gives it elsewhere, if that is one alone). Mentions of one entity, in whatever
 format or document, get the same replacement (coreference).
 
@@ -22,13 +22,16 @@ pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, split_for, written
 from .fingerprint import let
 
-KEY = "attestra-demonstration-key"
+#: The session setting that holds the key. Where it is unset, a session draws a key of its own.
+KEY_SETTING = "spark.attestra.pii.key"
 #: Texts with entities of later attempts are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 20_000
 #: Draws of an entity at most; what still collides then is an error, never passed over.
@@ -38,6 +41,8 @@ ROUNDS = 64
 NATIONAL = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
 #: A capital word of a name: McDonald, O'Brien, Smith-Jones.
 WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{L}++(?:-\p{L}++|['’]\p{Lu}\p{L}++)*"
+INITIAL = r"\p{Lu}\.[\x20-]?|\p{Lu}\x20"
+TITLES = "Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|Κύριος|Κυρία"
 #: Each pattern starts only where a run starts, so long runs of word characters are read once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._+-])[._+-]*+[A-Za-z0-9][A-Za-z0-9._+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,14 +50,15 @@ PATTERNS = {
     "card": r"(?<![\w+])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\w+])\d{13,19}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": NATIONAL + r"|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,14}+)++|(?<![\w+.-])0\d(?:[ .-]\d{2}){4}(?!\w)|(?<![\w+./=-])[2-9]\d{9}(?!\w)",
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа)\.?\x20(?:\p{Lu}\.[\x20-]?|\p{Lu}\x20|" + WORD + r"\x20){0,3}" + WORD + r"(?![\p{L}\p{N}])",
+    # after a title in capitals all words are, so fewer of them are taken for the name
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES}|mrs|mr|dr|prof)\.?\x20(?:{INITIAL}|{WORD}\x20){{0,3}}{WORD}|(?:{TITLES.upper()})\.?\x20(?:{INITIAL})*(?:{WORD}\x20)?{WORD})(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What any entity holds.
-HINT = r"[0-9@]|(?:Mrs?|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?|Господин|Госпожа)\.?\x20"
+HINT = rf"[0-9@]|(?:{TITLES}|mrs|mr|dr|prof|{TITLES.upper()})\.?\x20"
 
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"]
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"]
 #: Given names by script and gender.
 GIVEN = {
     ("latin", "f"): ["Ada", "Bea", "Clara", "Dora", "Elena", "Flora", "Greta", "Hanna", "Ines", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Paula"],
@@ -60,11 +66,15 @@ GIVEN = {
     ("latin", "n"): ["Alex", "Andrea", "Ariel", "Casey", "Charlie", "Dana", "Jamie", "Jordan", "Kim", "Lou", "Morgan", "Noel", "Robin", "Sam", "Sascha", "Toni"],
     ("cyrillic", "f"): ["Анна", "Вера", "Дарья", "Елена", "Зоя", "Инна", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Раиса", "Софья", "Тамара", "Ульяна", "Юлия"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Олег", "Павел", "Роман", "Сергей", "Тимур", "Юрий"],
+    ("greek", "f"): ["Άννα", "Βέρα", "Δάφνη", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Καίτη", "Λυδία", "Μαρία", "Νίκη", "Ξένια", "Όλγα", "Ρέα", "Σοφία"],
+    ("greek", "m"): ["Άρης", "Βασίλης", "Γιάννης", "Δήμος", "Ηλίας", "Θάνος", "Ιάσων", "Κώστας", "Λάμπρος", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Ρήγας", "Σπύρος", "Τάσος"],
+    ("greek", "n"): ["Αλέξ", "Βάγια", "Γκάμπι", "Ντάνη", "Έλι", "Ζίζι", "Θέκη", "Ίρι", "Κέλυ", "Λίλη", "Μέλι", "Νόα", "Πόπη", "Ρόμπι", "Σάμι", "Τόνι"],
     ("cyrillic", "n"): ["Саша", "Женя", "Валя", "Слава", "Паша", "Никита", "Шура", "Миша", "Витя", "Ася", "Тоня", "Лёня", "Сева", "Тася", "Стася", "Митя"],
 }
 #: Surnames are made of syllables, as are the endings of given names of later attempts; more attempts, more syllables.
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "za"],
+    "greek": ["βα", "δε", "φι", "γο", "χυ", "κα", "λε", "μι", "νο", "που", "ρα", "σε", "τι", "βο", "λου", "ζα"],
     "cyrillic": ["ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "лу", "за"],
 }
 SURNAME_SYLLABLES = 4
@@ -76,7 +86,17 @@ def _hex(key: str, kind: Column | str, canonical: Column, attempt: Column) -> Co
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canonical, attempt.cast("string")), 512)
 
 
+def key_of(spark: SparkSession) -> str:
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
 def kind_of(m: Column) -> Column:
+    """Null: no entity after all."""
+    bare_number = F.when(_luhn_rest(F.regexp_replace(m, "[^0-9]", "")) == 0, "card")
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     return (
         F.when(F.contains(m, F.lit("@")), "email")
@@ -84,13 +104,14 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[+(]"), "phone")
+        .when(m.rlike(r"^\d{13,19}$"), bare_number)
         .when(digits >= 13, "card")
         .otherwise("phone")
     )
 
 
 def gender_of(m: Column) -> Column:
-    bare = F.regexp_substr(m, F.lit(r"^\p{L}+"))
+    bare = F.initcap(F.regexp_substr(m, F.lit(r"^\p{L}+")))
     return F.when(bare.isin(FEMALE_TITLES), "f").when(bare.isin(MALE_TITLES), "m").otherwise("n")
 
 
@@ -150,24 +171,42 @@ def _formed(h: Column, kind: Column, canonical: Column, attempt: Column, key: st
         return F.concat(head, ((_luhn_rest(canonical) + check) % 10).cast("string"))  # keeps the original's remainder, 0 if it is valid
 
     octet = lambda i: (F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")
-    script = lambda s: F.array(*map(F.lit, SYLLABLES[s]))
-    cyrillic = F.when(kind == "given", F.regexp_replace(canonical, "^[fmn]:", "")).otherwise(canonical).rlike(r"^\p{IsCyrillic}")
-    nibble = lambda i: F.conv(F.substr(h, i + 1, F.lit(1)), 16, 10).cast("int")
+    name = F.when(kind == "given", F.regexp_replace(canonical, "^[fmn]:", "")).otherwise(canonical)
+    first_letter = F.regexp_substr(name, F.lit(r"\p{L}"))
+    known = F.when(first_letter.rlike(r"\p{IsLatin}"), "latin")
+    for s_ in SYLLABLES:
+        known = known.when(first_letter.rlike(rf"\p{{Is{s_.capitalize()}}}"), s_)
+    nibble = lambda i: F.conv(F.substr(h, i % 128 + 1, F.lit(1)), 16, 10).cast("int")
+    # names of other scripts are made of their own letters
+    own = F.array_distinct(F.filter(F.split(name, ""), lambda c: c.rlike(r"\p{L}")))
+    syllables = F.coalesce(F.element_at(F.create_map(*[x for s_, v in SYLLABLES.items() for x in (F.lit(s_), F.array(*map(F.lit, v)))]), known), own)
 
     def spelt(first: Column, n: Column) -> Column:
-        syllables = F.when(cyrillic, script("cyrillic")).otherwise(script("latin"))
-        return let(syllables, lambda s: F.array_join(F.transform(F.sequence(first, first + n - 1), lambda i: F.element_at(s, nibble(i) + 1)), ""))
+        return let(syllables, lambda s: F.array_join(F.transform(F.sequence(first, first + n - 1), lambda i: F.element_at(s, nibble(i) % F.size(s) + 1)), ""))
+
+    def surname() -> Column:
+        """Each part between hyphens and apostrophes drawn anew; a single letter for a single letter."""
+        parts = F.split(canonical, "(?<=[-'])")
+        last = F.size(parts) - 1
+
+        def part(p: Column, k: Column) -> Column:
+            n = F.lit(SURNAME_SYLLABLES) + F.when(k == last, F.least(attempt, F.lit(60))).otherwise(0)
+            short = F.char_length(F.regexp_replace(p, "[-']", "")) == 1
+            drawn = F.when(short & (k < last), F.substr(spelt(k * 17, F.lit(1)), F.lit(1), F.lit(1))).otherwise(spelt(k * 17, n))
+            return F.concat(drawn, F.regexp_extract(p, "[-']$", 0))
+
+        return F.array_join(F.transform(parts, part), "")
 
     def given() -> Column:
         names = F.create_map(*[x for (s_, g_), ns in GIVEN.items() for x in (F.lit(f"{s_}{g_}"), F.array(*[F.lit(n.lower()) for n in ns]))])
-        group = F.concat(F.when(cyrillic, "cyrillic").otherwise("latin"), F.substr(canonical, F.lit(1), F.lit(1)))
-        first = F.element_at(F.element_at(names, group), nibble(F.lit(0)) + 1)
+        group = F.concat(known, F.substr(canonical, F.lit(1), F.lit(1)))
+        first = F.coalesce(F.element_at(F.try_element_at(names, group), nibble(F.lit(0)) + 1), spelt(F.lit(40), F.lit(SURNAME_SYLLABLES)))
         ending = F.when(attempt > 0, spelt(F.lit(1), F.least(attempt, F.lit(60)) + (SURNAME_SYLLABLES - 1))).otherwise("")
         return F.concat(F.substr(canonical, F.lit(1), F.lit(2)), first, ending)
 
     return (
         F.when(kind == "email", let(F.substring_index(canonical, "@", -1), email)).when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."))
-        .when(kind == "card", let(_drawn(canonical, h), card)).when(kind == "name", spelt(F.lit(0), F.least(attempt, F.lit(60)) + SURNAME_SYLLABLES)).when(kind == "given", given()).otherwise(_drawn(canonical, h))
+        .when(kind == "card", let(_drawn(canonical, h), card)).when(kind == "name", surname()).when(kind == "given", given()).otherwise(_drawn(canonical, h))
     )
 
 
@@ -181,7 +220,14 @@ def rendered(m: Column, kind: Column, canonical: Column, s: Column, given: Colum
         return F.array_join(F.transform(F.split(m, ""), lambda c, i: let(digits_before(i), lambda n: one(c, n))), "")
 
     title = F.regexp_substr(m, F.lit(r"^\p{L}+\.?"))
-    full = F.concat(title, F.lit(" "), F.coalesce(F.concat(F.initcap(F.substr(given, F.lit(3))), F.lit(" ")), F.lit("")), F.initcap(s))
+    last = F.regexp_substr(m, F.lit(r"[^\x20.]+$"))
+    before = F.substr(m, F.char_length(title) + 1, F.char_length(m) - F.char_length(title) - F.char_length(last))
+    shouted = lambda t: (t == F.upper(t)) & t.rlike(r"\p{L}{2}")
+    capital = lambda t: F.array_join(F.transform(F.split(t, "(?<=[-'])"), F.initcap), "")
+    as_in = lambda of, new: F.when(shouted(of), F.upper(new)).otherwise(capital(new))
+    called = F.coalesce(F.concat(as_in(before, F.substr(given, F.lit(3))), F.lit(" ")), F.lit(""))
+    surname = F.when(F.contains(last, F.lit("’")), F.translate(as_in(last, s), "'", "’")).otherwise(as_in(last, s))
+    full = F.concat(title, F.lit(" "), called, surname)
     upper = (m == F.upper(m)) & (m != F.lower(m))
     email = F.concat(F.regexp_extract(m, "^[._+-]*", 0), F.when(upper, F.upper(s)).otherwise(s))
     digits = let(F.length(F.regexp_replace(m, "[^0-9]", "")) - F.length(canonical), filled)
@@ -199,7 +245,7 @@ def entities(docs: DataFrame) -> DataFrame:
     """Every mention: kind, canonical, with the document's columns; a name with a given name once more for that, as kind given."""
     cut = docs.withColumn("_cut", pieces(F.col("text"))).where("_cut is not null")
     odd = F.filter("_cut", lambda _, i: i % 2 == 1)
-    found = cut.withColumn("mention", F.explode(odd)).withColumn("kind", let(F.col("mention"), kind_of))
+    found = cut.withColumn("mention", F.explode(odd)).withColumn("kind", let(F.col("mention"), kind_of)).where("kind is not null")
     own = F.struct("kind", canonical_of(F.col("mention"), F.col("kind")).alias("canonical"))
     given = F.when(F.col("kind") == "name", F.struct(F.lit("given").alias("kind"), given_of(F.col("mention")).alias("canonical")))
     found = found.withColumn("_entity", F.explode(F.array(own, given))).where("_entity.canonical is not null")
@@ -213,7 +259,7 @@ def aliases(known: DataFrame) -> DataFrame:
     return per.select(F.concat(F.lit("n:"), "name").alias("canonical"), F.concat(F.when(F.col("f") == 1, "f:").otherwise("m:"), "name").alias("same"))
 
 
-def assigned(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) -> DataFrame:
+def assigned(docs: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
     """kind, canonical, surrogate, attempt of every distinct entity; no two of a kind share a surrogate."""
     if known is None:
         known = written(entities(docs.select("text")).select("kind", "canonical").distinct(), "entities")
@@ -234,7 +280,7 @@ def assigned(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) ->
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds: {lost.limit(5).collect()}")
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text; all columns and rows as before."""
     known = written(entities(docs.select("text")).select("kind", "canonical").distinct(), "entities")
     drawn_again = assigned(docs, key, known).where("attempt > 0").select("kind", "canonical", "attempt")
@@ -264,7 +310,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
         of_given = lambda: let(given_of(m), lambda g: F.when(g.isNotNull(), drawn(F.lit("given"), g)))
         named = lambda kind: F.when(kind == "name", of_given())
         new = lambda kind, canonical: let(drawn(kind, canonical), lambda s: let(named(kind), lambda g: rendered(m, kind, canonical, s, g)))
-        return F.when(i % 2 == 1, let(kind_of(m), lambda kind: let(canonical_of(m, kind), lambda canonical: new(kind, canonical)))).otherwise(m)
+        return F.when(i % 2 == 1, let(kind_of(m), lambda kind: let(canonical_of(m, kind), lambda canonical: F.when(kind.isNull(), m).otherwise(new(kind, canonical))))).otherwise(m)
 
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.col(cut), replaced), ""))
     return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns])
@@ -272,5 +318,4 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = pseudonymised(docs.select("doc_id", "text"))
-    return out
+    return pseudonymised(docs.select("doc_id", "text"), key_of(spark))
