@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap, tokens
+from ..tables import stored
+from .similarity import containing, frequencies, rarest_first, sharing
 from .verify import LAW_TYPES, section_tokens, statute_match
 
 # Words that tell nothing of an authority, thresholds, how much of a judgment's text is looked at.
@@ -121,7 +123,7 @@ def resolved_placeholders(placeholders: DataFrame, documents: DataFrame, chunks:
     """placeholders (placeholder_id, kind, description, doc_id, chunk_id) with status, rendered value, citation, doc_id, chunk_id, confidence, message.
 
     The source a placeholder came with holds if it is good law and in force. Else good law is searched: sections for statutes, judgments for citations;
-    candidates meet a placeholder by a token in common, without which no score reaches its threshold. Of equal scores the smallest chunk_id.
+    candidates meet a placeholder by the rare ones of the tokens of which they need some to reach the threshold, or by act and number; a common token meets nothing. Of equal scores the smallest chunk_id.
     """
     good = documents.where("current_validity = 'GOOD_LAW'")
     p = placeholders.withColumnRenamed("doc_id", "given_doc").withColumnRenamed("chunk_id", "given_chunk")
@@ -132,20 +134,41 @@ def resolved_placeholders(placeholders: DataFrame, documents: DataFrame, chunks:
     rest = p.join(direct.select("placeholder_id"), "placeholder_id", "left_anti")
     pool = chunks.join(good.select("doc_id", "doc_type", "court", "practice_areas"), "doc_id")
 
-    def search(kind: str, tokens_of: Callable[[Column], Column], candidates: DataFrame, score: Column, least: float) -> DataFrame:
-        """Every description is searched once, however many placeholders have it."""
+    part = lambda c: F.when(c != "", c)
+
+    def asked_of(kind: str, tokens_of: Callable[[Column], Column], candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The placeholders of a kind, and their descriptions, each once however many have it, with what is asked and the rarest of it first."""
         own = rest.where(F.col("kind") == kind).select("placeholder_id", "description")
         asked = own.select("description").distinct().withColumn("asked", tokens_of(F.col("description")))
-        met = asked.select("description", F.explode("asked").alias("t")).join(candidates.select("chunk_id", F.explode("own").alias("t")), "t").select("description", "chunk_id").distinct()
-        best = _best(met.join(asked, "description").join(candidates, "chunk_id"), score).where(F.col("score") >= least)
-        return own.join(best, "description").drop("description")
+        asked = asked.join(rarest_first(asked, frequencies(candidates), "description"), "description")
+        return own, stored(asked)
 
+    def best(own: DataFrame, asked: DataFrame, pairs: DataFrame, candidates: DataFrame, score: Column, least: float) -> DataFrame:
+        found = _best(pairs.distinct().join(asked.drop("rare"), "description").join(candidates, "chunk_id"), score)
+        return own.join(found.where(F.col("score") >= least), "description").drop("description")
+
+    # sections: what the act's name, the number and the constitution can add decides how many words must be shared at least
     law = pool.where(F.col("doc_type").isin(*LAW_TYPES) & F.coalesce("in_force", F.lit(True))).withColumn("own", section_tokens(F.col("act"), F.col("section"), F.col("header"), F.col("chunk_text")))
-    laws = search("STATUTE", lambda d: tokens(F.lower(d)), law, statute_match(F.col("asked"), F.col("description"), F.col("act"), F.col("section"), F.col("own"), F.col("doc_type")), STATUTE_LEAST)
-    part = lambda c: F.when(c != "", c)
+    law = stored(law)
+    own, asked = asked_of("STATUTE", lambda d: tokens(F.lower(d)), law)
+    keyed = law.select("chunk_id", "own", F.lower("act").alias("act"), F.lower("section").alias("number"))
+    low = asked.select("description", F.lower("description").alias("text"))
+    acts = containing(low, keyed.select("act"), "text", "act").join(low, "text").select("description", "act")
+    longest = keyed.agg(F.max(F.char_length("number"))).first()[0] or 1
+    # a number may stand before further characters: all beginnings of what follows `section ` are looked up
+    after = F.transform(F.slice(F.split("text", "section "), 2, 1_000_000), lambda t: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substr(t, F.lit(1), n)))
+    numbers = low.select("description", F.explode(F.array_distinct(F.flatten(after))).alias("number")).where("number <> ''")
+    named = acts.join(numbers, "description").join(keyed.select("chunk_id", "act", "number"), ["act", "number"]).select("description", "chunk_id")
+    by_number = sharing(asked.join(numbers, "description"), keyed, "description", "chunk_id", F.lit(STATUTE_LEAST - 0.45 - 0.15), ("number",))
+    by_words = sharing(asked, keyed, "description", "chunk_id", F.lit(STATUTE_LEAST - 0.35 - 0.15))
+    laws = best(own, asked, named.unionByName(by_number).unionByName(by_words), law, statute_match(F.col("asked"), F.col("description"), F.col("act"), F.col("section"), F.col("own"), F.col("doc_type")), STATUTE_LEAST)
+
+    # judgments: court, practice area and heading add at most a half
     whole = F.concat_ws(" ", part(F.col("court")), part(F.col("header")), part(F.array_join("practice_areas", " ")), part(F.substr("chunk_text", F.lit(1), F.lit(LEAD))))
-    case = pool.where("doc_type = 'judgment'").withColumn("own", tokens(F.lower(whole)))
-    cases = search("CITE", cite_tokens, case, cite_match(F.col("asked"), F.col("description"), F.col("own"), F.col("court"), F.col("practice_areas"), F.col("header")), CITE_LEAST)
+    case = stored(pool.where("doc_type = 'judgment'").withColumn("own", tokens(F.lower(whole))))
+    own, asked = asked_of("CITE", cite_tokens, case)
+    pairs = sharing(asked, case, "description", "chunk_id", F.lit(CITE_LEAST - 0.25 - 0.15 - 0.10))
+    cases = best(own, asked, pairs, case, cite_match(F.col("asked"), F.col("description"), F.col("own"), F.col("court"), F.col("practice_areas"), F.col("header")), CITE_LEAST)
     found = direct.unionByName(laws.unionByName(cases).withColumn("message", F.lit(SEARCHED)))
     out = placeholders.select("placeholder_id", "kind", "description").join(found, "placeholder_id", "left").join(documents.drop("body"), "doc_id", "left").join(chunks.drop("doc_id", "chunk_text"), "chunk_id", "left")
     seen = F.col("score").isNotNull()

@@ -157,13 +157,32 @@ def retrieved(results: DataFrame, documents: DataFrame, edges: DataFrame, chunks
     return found.unionByName(rest.select("query_id", F.col("doc_id").alias("node"), (F.col("rank") - 1).alias("index"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("int").alias("depth"), "chunk_id"))
 
 
-def chains(links: DataFrame, rounds: int = 32) -> DataFrame:
-    """(node, last, steps) by following (node, next) to the end; pointers are doubled, so a chain of n links takes log2(n) joins."""
-    at = links.select("node", F.col("next").alias("last"), F.lit(1).alias("steps"))
-    for _ in range(max(1, rounds.bit_length())):
+def chains(links: DataFrame) -> DataFrame:
+    """(node, last, steps) by following (node, next) to the end; last and steps are null for what runs in a circle.
+
+    Pointers are doubled, so a chain of n links takes log2(n) joins, each of them a table of its own; nodes at their end leave the loop.
+    """
+    at = stored(links.select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("steps")))
+    n = at.count()
+    done: list[DataFrame] = []
+    while True:
         on = at.select(F.col("node").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"))
-        at = at.join(on, "last", "left").select("node", F.coalesce("further", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-    return at
+        # what is done is looked up, too: it ends the chains that lead to it
+        for d in done:
+            on = on.unionByName(d.select(F.col("node").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more")))
+        moved = stored(at.join(on, "last", "left").select("node", F.coalesce("further", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNull().alias("ended")))
+        ended = moved.where("ended").drop("ended")
+        done.append(ended)
+        at = moved.where("not ended").drop("ended")
+        if at.isEmpty():
+            break
+        if at.agg(F.min("steps")).first()[0] > n:
+            done.append(at.select("node", F.lit(None).cast(at.schema["last"].dataType).alias("last"), F.lit(None).cast("long").alias("steps")))
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def effective_outcome(outcomes: Column) -> Column:

@@ -23,18 +23,19 @@ def entailment(premise: Column, hypothesis: Column) -> Column:
     return F.when(clash, "CONTRADICTION").when(share >= 0.65, "ENTAILMENT").when(share >= 0.35, "NEUTRAL").otherwise("CONTRADICTION")
 
 
-def semantic_similarity(claim: Column, passage: Column) -> Column:
-    return F.greatest(cosine(embedding(claim), embedding(passage)), overlap(content_tokens(claim), content_tokens(passage)))
+def semantic_similarity(claim: Column, passage: Column, claim_vector: Column, passage_vector: Column) -> Column:
+    return F.greatest(cosine(claim_vector, passage_vector), overlap(content_tokens(claim), content_tokens(passage)))
 
 
 def best_passages(claims: DataFrame, chunks: DataFrame, top_k: int = 3) -> DataFrame:
-    """claims (claim_id, claim, doc_id, preferred_chunk) with the best chunks (doc_id, chunk_id, text, header) of their document."""
-    c = claims.join(chunks, "doc_id")
-    sim = semantic_similarity(F.col("claim"), F.col("text"))
+    """claims (claim_id, claim, doc_id, preferred_chunk) with the best chunks (doc_id, chunk_id, text, header) of their document. Each claim and each chunk that is met is embedded once."""
+    own = chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("vector", embedding(F.col("text")))
+    c = claims.withColumn("claim_vector", embedding(F.col("claim"))).join(own, "doc_id")
+    sim = semantic_similarity(F.col("claim"), F.col("text"), F.col("claim_vector"), F.col("vector"))
     cover = lambda t: overlap(content_tokens(F.col("claim")), content_tokens(t))
     preferred = F.when(F.col("chunk_id").eqNullSafe(F.col("preferred_chunk")), 0.1).otherwise(0.0)
     score = F.least(0.55 * sim + 0.35 * cover(F.col("text")) + 0.1 * cover(F.coalesce("header", F.lit(""))) + preferred, F.lit(1.0))
-    c = c.withColumn("similarity", F.round(sim, 6)).withColumn("score", F.round(score, 6))
+    c = c.withColumn("similarity", F.round(sim, 6)).withColumn("score", F.round(score, 6)).drop("vector", "claim_vector")
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= top_k)
 
 
@@ -102,20 +103,6 @@ def statute_match(query_tokens: Column, description: Column, act: Column, sectio
     return F.least(s, F.lit(1.0))
 
 
-def resolved(placeholders: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:
-    """placeholders (placeholder_id, description) with the best candidate (doc_id, act, section, header, text, doc_type) of score `least` or more, the smallest id of equal ones.
-
-    Candidates meet a placeholder by a token they share; those without one could only reach 0.95 by names that are tokens too.
-    """
-    p = placeholders.select("placeholder_id", "description").withColumn("query_tokens", tokens(F.col("description")))
-    c = candidates.withColumn("own", section_tokens(F.col("act"), F.col("section"), F.col("header"), F.col("text"))).select("doc_id", "act", "section", "doc_type", "own")
-    met = p.select("placeholder_id", F.explode("query_tokens").alias("t")).join(c.select("doc_id", F.explode("own").alias("t")), "t").select("placeholder_id", "doc_id").distinct()
-    met = met.join(p, "placeholder_id").join(c, "doc_id")
-    score = F.round(statute_match(F.col("query_tokens"), F.col("description"), F.col("act"), F.col("section"), F.col("own"), F.col("doc_type")), 6)
-    best = met.groupBy("placeholder_id").agg(F.min(F.struct((-score).alias("worst"), "doc_id")).alias("b")).select("placeholder_id", (-F.col("b.worst")).alias("score"), "b.doc_id").where(F.col("score") >= least)
-    return placeholders.join(best, "placeholder_id", "left").withColumn("status", F.when(F.col("score").isNotNull(), "VERIFIED").otherwise("UNVERIFIED"))
-
-
 def section_kind(title: Column) -> Column:
     t = F.lower(title)
     return F.when(t.rlike("law|statute"), "APPLICABLE_LAW").when(t.rlike("authorit|case"), "KEY_CASES").otherwise("LEGAL_POSITION")

@@ -18,6 +18,11 @@ def word(i, step: int = 1):
     return F.element_at(F.array(*map(F.lit, WORDS)), (F.floor(i / step) % len(WORDS) + 1).cast("int"))
 
 
+def beyond(d: Domain) -> int:
+    """Ids that are asked for go a fifth beyond those of the documents."""
+    return d.table("documents").count() * 6 // 5
+
+
 def documents(d: Domain) -> DataFrame:
     i, law = F.col("doc_id"), F.col("doc_type") != "judgment"
     return d.legal_documents().select(
@@ -45,7 +50,7 @@ def placeholders(d: Domain) -> DataFrame:
     law = F.concat_ws(" ", word(i, 2), F.lit("act"), F.lit("section"), (i % 50).cast("string"))
     case = F.concat_ws(" ", F.lit("the high court on"), word(i), word(i, 11), F.when(i % 2 == 0, F.lit("criminal")))
     kind = F.when(i % 10 == 9, "UNSUPPORTED").when(i % 2 == 0, "STATUTE").otherwise("CITE")
-    return o.select(i.alias("placeholder_id"), kind.alias("kind"), F.when(i % 2 == 0, law).otherwise(case).alias("description"), F.when(i % 3 == 0, F.floor(i / 3) % 1200).alias("doc_id"), F.when(i % 6 == 0, F.floor(i / 3) % 1200 * 2).alias("chunk_id"))
+    return o.select(i.alias("placeholder_id"), kind.alias("kind"), F.when(i % 2 == 0, law).otherwise(case).alias("description"), F.when(i % 3 == 0, F.floor(i / 3) % beyond(d)).alias("doc_id"), F.when(i % 6 == 0, F.floor(i / 3) % beyond(d) * 2).alias("chunk_id"))
 
 
 def placeholder_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as requests of a section of an act: some acts and some sections are not there."""
     d = Domain(spark, sf_dir)
-    r = d.table("part").select((F.col("p_partkey") % 1500).alias("act_id"), (F.col("p_partkey") % 50).cast("string").alias("section")).distinct()
+    r = d.table("part").select((F.col("p_partkey") % beyond(d)).alias("act_id"), (F.col("p_partkey") % 50).cast("string").alias("section")).distinct()
     acts = d.legal_documents().where("doc_type <> 'judgment'")
     statutes = acts.select("doc_id", F.concat(F.lit("act "), F.col("doc_id").cast("string")).alias("act_name"))
     sections = acts.select("doc_id", (F.col("doc_id") % 50).cast("string").alias("section"), F.concat(F.lit("text "), F.col("doc_id").cast("string")).alias("section_text")).where("doc_id % 3 > 0")
@@ -75,7 +80,7 @@ def section_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requested_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    return C.judgments(d.table("part").select((F.col("p_partkey") % 1500).alias("doc_id")), documents(d)).select("doc_id", "court", "citation")
+    return C.judgments(d.table("part").select((F.col("p_partkey") % beyond(d)).alias("doc_id")), documents(d)).select("doc_id", "court", "citation")
 
 
 def workspace_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,7 @@ RENDERED = """CASE WHEN {k} = 'STATUTE' THEN CASE WHEN section IS NOT NULL THEN
  ELSE coalesce(name || ', ' || coalesce(citation, chunk_citation), citation, chunk_citation, name, court) END"""
 SPLIT = r"list_distinct(regexp_extract_all(lower({0}), '[a-z]+[a-z0-9]*|\d+[a-z]?'))"
 PLACEHOLDERS = f"""ph AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 10 = 9 THEN 'UNSUPPORTED' WHEN o_orderkey % 2 = 0 THEN 'STATUTE' ELSE 'CITE' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN {_word('o_orderkey', 2)} || ' act section ' || (o_orderkey % 50)
- ELSE 'the high court on ' || {_word('o_orderkey')} || ' ' || {_word('o_orderkey', 11)} END AS description, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 % 1200 END AS gd, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey // 3 % 1200 * 2 END AS gc FROM orders),
+ ELSE 'the high court on ' || {_word('o_orderkey')} || ' ' || {_word('o_orderkey', 11)} END AS description, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 % (SELECT count(*) * 6 // 5 FROM documents) END AS gd, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey // 3 % (SELECT count(*) * 6 // 5 FROM documents) * 2 END AS gc FROM orders),
 di AS (SELECT pid, 1.0::DOUBLE AS score, gd AS doc_id, ck.chunk_id, '{C.DIRECT}' AS message FROM ph JOIN dc ON dc.doc_id = gd AND good LEFT JOIN ck ON ck.chunk_id = gc WHERE kind <> 'UNSUPPORTED' AND (ck.chunk_id IS NULL OR (cgood AND (kind <> 'STATUTE' OR live)))),
 uq AS (SELECT DISTINCT kind, description FROM ph WHERE kind <> 'UNSUPPORTED' AND pid NOT IN (SELECT pid FROM di)),
 sa AS (SELECT description, chunk_id, doc_id, least(1.0, len(list_intersect(asked, own)) / len(asked) + CASE WHEN act IS NOT NULL AND contains(description, act) THEN 0.35 ELSE 0 END + CASE WHEN section IS NOT NULL AND contains(description, 'section ' || section) THEN 0.45 ELSE 0 END) AS score
@@ -139,8 +144,8 @@ og AS (SELECT rq.doc_id, rq.chunk_id, law, {RENDERED.format(k="CASE WHEN law THE
 ef AS (SELECT og.doc_id AS request_id, og.chunk_id, og.citation AS own, og.law AS own_law, status, CASE WHEN moved THEN use_doc_id ELSE og.doc_id END AS e, CASE WHEN moved THEN use_doc_id * 2 ELSE og.chunk_id END AS ec FROM og JOIN st USING (doc_id))
 SELECT request_id, e AS effective_doc_id, ef.chunk_id, ec AS effective_chunk_id, own AS citation, {RENDERED.format(k="CASE WHEN own_law THEN 'STATUTE' ELSE 'CITE' END")} AS effective_citation,
 coalesce(name, act || ', Section ' || section, header, citation, court) AS title, chunk_text AS passage, status FROM ef JOIN dc ON dc.doc_id = e JOIN ck ON ck.chunk_id = ec""",
-    "section_lookups": "WITH r AS (SELECT DISTINCT p_partkey % 1500 AS act_id, CAST(p_partkey % 50 AS VARCHAR) AS section FROM part) SELECT act_id, section, CASE WHEN doc_id IS NOT NULL THEN 'act ' || doc_id END AS act_name, CASE WHEN doc_id % 3 > 0 AND section = CAST(doc_id % 50 AS VARCHAR) THEN 'text ' || doc_id END AS section_text, CASE WHEN doc_id IS NULL THEN 'statute' WHEN NOT (doc_id % 3 > 0 AND section = CAST(doc_id % 50 AS VARCHAR)) THEN 'section' END AS missing FROM r LEFT JOIN documents ON doc_id = act_id AND doc_id % 5 >= 3",
-    "requested_judgments": f"WITH {CORPUS} SELECT doc_id, court, citation FROM dc WHERE NOT law AND doc_id IN (SELECT p_partkey % 1500 FROM part)",
+    "section_lookups": "WITH r AS (SELECT DISTINCT p_partkey % (SELECT count(*) * 6 // 5 FROM documents) AS act_id, CAST(p_partkey % 50 AS VARCHAR) AS section FROM part) SELECT act_id, section, CASE WHEN doc_id IS NOT NULL THEN 'act ' || doc_id END AS act_name, CASE WHEN doc_id % 3 > 0 AND section = CAST(doc_id % 50 AS VARCHAR) THEN 'text ' || doc_id END AS section_text, CASE WHEN doc_id IS NULL THEN 'statute' WHEN NOT (doc_id % 3 > 0 AND section = CAST(doc_id % 50 AS VARCHAR)) THEN 'section' END AS missing FROM r LEFT JOIN documents ON doc_id = act_id AND doc_id % 5 >= 3",
+    "requested_judgments": f"WITH {CORPUS} SELECT doc_id, court, citation FROM dc WHERE NOT law AND doc_id IN (SELECT p_partkey % (SELECT count(*) * 6 // 5 FROM documents) FROM part)",
     "workspace_queries": "SELECT user_id, workspace_id, rank, event_id AS query_id FROM (SELECT *, CAST(event_id % 4 AS VARCHAR) AS workspace_id, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY ts DESC, event_id DESC) AS rank FROM events WHERE event_id % 4 > 0 AND user_id IS NOT NULL) WHERE rank <= 5",
     "user_workspaces": "SELECT o_custkey AS owner_id, rank, o_orderkey AS case_id, o_orderstatus AS stage FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 25",
     "kept_answers": "WITH a AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS answer_id, l_suppkey % 10 AS user_id, l_returnflag AS workspace_id, CAST(l_shipdate AS DATE) AS created_at FROM lineitem) SELECT user_id, workspace_id, rank, answer_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, workspace_id ORDER BY created_at DESC, answer_id DESC) AS rank FROM a) WHERE rank <= 20",

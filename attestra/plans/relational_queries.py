@@ -17,10 +17,12 @@ from .domain import Domain
 
 
 def appeal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains doc_id to doc_id + 1 within blocks of 4: final authority and length of the path."""
+    """Chains doc_id to doc_id + 1 within blocks of 100: final authority and length of the path; one block in ten runs in a circle."""
     n = Domain(spark, sf_dir).table("documents").select("doc_id")
-    links = n.where("doc_id % 4 < 3").join(n.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), (F.col("doc_id") + 1).alias("next"))
-    return G.chains(links, 4)
+    i = F.col("doc_id")
+    onward = F.when(i % 100 < 99, i + 1).when(F.floor(i / 100) % 10 == 3, i - 50)
+    links = n.select(i.alias("node"), onward.alias("next")).where("next is not null").join(n.select(i.alias("next")), "next", "left_semi")
+    return G.chains(links.select("node", "next"))
 
 
 def appeal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +232,7 @@ QUERIES = {f.__name__: f for f in [
     recent_history, latest_state, reembedding_flags, upserted_points, citation_rates, multi_hop_completeness, latest_public_run, created_runs, chunk_hits, token_overlaps, entailment_labels, claim_lattice, amendment_checks, corrective_actions, reduced_events, joined_output, trust_metrics,
 ]}
 ORACLE_SQL = {
-    "appeal_chains": "WITH m AS (SELECT max(doc_id) AS m FROM documents) SELECT doc_id AS node, least(doc_id - doc_id % 4 + 3, m) AS last, CAST(least(doc_id - doc_id % 4 + 3, m) - doc_id AS INT) AS steps FROM documents, m WHERE doc_id % 4 < 3 AND doc_id < m",
+    "appeal_chains": "WITH m AS (SELECT max(doc_id) AS m FROM documents), e AS (SELECT doc_id, doc_id - doc_id % 100 + 99 AS top, doc_id // 100 % 10 = 3 AND doc_id - doc_id % 100 + 99 <= m AS circle, m FROM documents, m) SELECT doc_id AS node, CASE WHEN NOT circle THEN least(top, m) END AS last, CASE WHEN NOT circle THEN least(top, m) - doc_id END AS steps FROM e WHERE circle OR doc_id < least(top, m)",
     "appeal_outcomes": """WITH o AS (SELECT doc_id // 4 AS chain, list((['UPHELD','REVERSED','MODIFIED','REMANDED','DISMISSED'])[doc_id % 5 + 1] ORDER BY doc_id) AS os FROM documents GROUP BY 1),
 f AS (SELECT chain, os, list_reduce(list_prepend('UPHELD', os), lambda s, x: CASE WHEN x = 'REVERSED' THEN CASE WHEN s = 'REVERSED' THEN 'UPHELD' ELSE 'REVERSED' END WHEN x IN ('UPHELD', 'DISMISSED') THEN s ELSE x END) AS st FROM o)
 SELECT chain, CASE WHEN st = 'UPHELD' AND list_contains(os, 'DISMISSED') THEN 'DISMISSED' ELSE st END AS outcome FROM f""",

@@ -6,7 +6,7 @@ from attestra.functions import chunks as C
 from attestra.functions import ocr as O
 from attestra.operators import answers as A
 from attestra.operators import cases as K
-from attestra.operators import export, verify
+from attestra.operators import export
 from attestra.operators import hyde as H
 from attestra.operators import quality as Q
 from attestra.operators import state as S
@@ -64,14 +64,6 @@ def test_draft_resolve_and_structure(spark):
     assert [x["claim"] for x in out["claims"]] == ["One claim.", "Two claims."] and out["status"] == "UNCERTAIN"
 
 
-def test_placeholders_resolve_by_score(spark):
-    p = spark.createDataFrame([(1, "specific relief act section 6 possession"), (2, "unknown thing")], "placeholder_id int, description string")
-    rows = [(5, "Specific Relief Act", "6", "Suit by person dispossessed", "suit for possession under section 6", "statute"), (6, "Other Act", "9", "x", "possession", "statute")]
-    c = spark.createDataFrame(rows, "doc_id int, act string, section string, header string, text string, doc_type string")
-    got = {r["placeholder_id"]: (r["doc_id"], r["status"]) for r in verify.resolved(p, c).collect()}
-    assert got == {1: (5, "VERIFIED"), 2: (None, "UNVERIFIED")}
-
-
 def test_quality(spark):
     assert Q.meteor(["a", "b"], ["a", "b"]) == 1.0 and Q.meteor([], []) == 0.0 and Q.meteor(["walks"], ["walking"]) == 1.0 and Q.meteor(["a"], ["b"]) == 0.0
     assert 0 < Q.meteor("the cats walked home".split(), "the cat walking home slowly".split()) < 1

@@ -78,3 +78,11 @@ def test_anchors_by_name_come_first(spark):
     cases = spark.createDataFrame([(2, "C vs. D")], "query_id long, case_name string")
     got = [(r["query_id"], r["node"], r["score"], r["reason"]) for r in G.anchors(hits, d, e, cases).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, round(1 + 0.5 + 0.15 + 0.03, 6), "lexical_landmark"), (1, 2, round(1 + 0.2 + 0.02 + 0.03, 6), "lexical_landmark"), (2, 2, 2.22, "exact_case_match")]
+
+
+def test_chains_of_any_length_and_circles(spark):
+    links = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2000 + (i + 1) % 7) for i in range(7)] + [(3000, 3001), (3001, 2003)] + [(4000, 4000)] + [(5000, 500)]
+    got = {r["node"]: (r["last"], r["steps"]) for r in G.chains(spark.createDataFrame(links, "node long, next long")).collect()}
+    want = {i: (1000, 1000 - i) for i in range(1000)} | {i: (None, None) for i in [*range(2000, 2007), 3000, 3001, 4000]} | {5000: (1000, 501)}
+    assert got == want
+    assert G.chains(spark.createDataFrame([], "node long, next long")).count() == 0
