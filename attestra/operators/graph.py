@@ -203,13 +203,44 @@ def court_level(court: Column) -> Column:
     return F.when(court.isNull(), 0).when(has("supreme court"), 4).when(has("high court"), 3).when(has("sessions", "district", "tribunal"), 2).otherwise(1)
 
 
-def edge_type(explicit: Column, text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The stated type if supported and not plain reference, else the first rule (phrase, type) that fits, else refers_to."""
+# Phrases by which a passage tells how it cites, in the order in which they are tried.
+EDGE_RULES = [
+    ("overrules", [" overruled ", " overrule ", " reversed ", " reverses "]),
+    ("distinguishes", [" distinguished ", " distinguish ", " distinguished from "]),
+    ("disapproves", [" disapproved ", " disapproves "]),
+    ("doubts", [" doubted ", " doubts "]),
+    ("approves", [" approved ", " approves "]),
+    ("affirms", [" affirmed ", " affirms "]),
+    ("follows", [" followed ", " follows ", " relied on ", " relies on ", " applied "]),
+    ("explains", [" explained ", " explains ", " clarified ", " clarifies "]),
+]
+
+
+def edge_type(explicit: Column, text: Column, rules: list[tuple[str, list[str]]] = EDGE_RULES) -> Column:
+    """The stated type if supported and not plain reference, else the first of rules (type, phrases) that fits, else refers_to."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    stated = F.trim(F.lower(explicit))
     out = F.lit("refers_to")
-    for phrase, kind in reversed(rules):
-        out = F.when(F.contains(padded, F.lit(phrase)), kind).otherwise(out)
-    return F.when(explicit.isin([k for _, k in rules]), explicit).otherwise(out)
+    for kind, phrases in reversed(rules):
+        out = F.when(F.greatest(*[F.contains(padded, F.lit(p)) for p in (phrases * 2)]), kind).otherwise(out)
+    return F.when(stated.isin([k for k, _ in rules]), stated).otherwise(out)
+
+
+def projected(citations: DataFrame, documents: DataFrame) -> DataFrame:
+    """citations (source, reference, explicit, text) with the target that the reference names and the kind of edge; without a target, or where that is the source itself, it is unresolved."""
+    found = resolved_targets(citations.select("reference").distinct(), documents).select("reference", F.col("doc_id").alias("target"))
+    return citations.join(found, "reference", "left").select("source", "reference", F.when(F.col("target") != F.col("source"), F.col("target")).alias("target"), edge_type(F.col("explicit"), F.col("text")).alias("type"))
+
+
+def linkage(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """target, followed_by, distinguished_by (arrays), overruled_by, overruled_date, current_validity of every document (doc_id, date, current_validity) that edges (source, target, type) reach; the last source that overrules it holds."""
+    e = edges.where("target is not null").select("source", "target", "type").distinct()
+    by = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("source"))))
+    linked = e.groupBy("target").agg(by("follows").alias("followed_by"), by("distinguishes").alias("distinguished_by"), F.max(F.when(F.col("type") == "overrules", F.col("source"))).alias("overruled_by"))
+    day = documents.select(F.col("doc_id").alias("overruled_by"), F.col("date").alias("overruled_date"))
+    own = documents.select(F.col("doc_id").alias("target"), "current_validity")
+    out = linked.join(day, "overruled_by", "left").join(own, "target")
+    return out.select("target", "followed_by", "distinguished_by", "overruled_by", "overruled_date", F.when(F.col("overruled_by").isNotNull(), "OVERRULED").otherwise(F.col("current_validity")).alias("current_validity"))
 
 
 def resolved_targets(references: DataFrame, documents: DataFrame) -> DataFrame:

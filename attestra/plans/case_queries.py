@@ -9,7 +9,7 @@ from ..functions import chunks as C
 from ..operators import answers as A
 from ..operators import cases as K
 from ..operators import execution as X
-from ..operators import hyde as H
+from ..operators import graph as G
 from ..operators import quality as Q
 from ..operators import state as S
 from ..operators.export import appeal_statements, edge_statements
@@ -79,9 +79,8 @@ SIGNALS = [t for t, _, _ in EXPECTED]
 
 def edge_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document how many follow and distinguish it, and the last that overrules it."""
-    e = Domain(spark, sf_dir).edges()
-    n = lambda t: F.count_if(F.col("type") == t)
-    return e.groupBy("target").agg(n("follows").alias("followed_by"), n("distinguishes").alias("distinguished_by"), F.max(F.when(F.col("type") == "overrules", F.col("source"))).alias("overruled_by"))
+    d = Domain(spark, sf_dir)
+    return G.linkage(d.edges(), d.legal_documents()).withColumn("overruled_date", F.col("overruled_date").cast("string")).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("followed_by", "distinguished_by")})
 
 
 def research_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,25 +193,13 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n_cases", *[F.round(m, 4).alias(m) for m in ("rouge_l", "context_entity_recall", "noise_robustness", "hallucination_score", "faithfulness")])
 
 
-def hypothetical_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame([(i, t, a) for i, (t, a, _, _) in enumerate(DRAFTS)], "query_id int, query string, practice_area string")
-    return H.drafts(q).select("query", "practice_area", "strategy", "quality", F.size("anchors").alias("n_anchors"))
-
-
-#: Query, area, and the strategy and quality that must come out.
-DRAFTS = [
-    ("my landlord changed the locks", "property", "property_dispossession", 0.94), ("my landlord changed the locks", "civil", "generic_low_confidence", 0.38), ("Anticipatory relief", "criminal", "criminal_bail", 0.89), ("after an arrest", "criminal", "criminal_bail", 0.89),
-    ("murder", "criminal", "generic_low_confidence", 0.38), ("no salary since May", "labour", "labour_termination", 0.83), ("pay", "labour", "generic_low_confidence", 0.38),
-]
-
-
 def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as paragraphs of reports, in overlapping windows."""
     d = Domain(spark, sf_dir).table("documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("paragraphs"))
     return C.report_chunks(d).select("doc_id", "chunk_index", "first", "end")
 
 
-QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, case_sides, verification_items, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, hypothetical_drafts, report_windows]}
+QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, case_sides, verification_items, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, report_windows]}
 EDGES = """WITH e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
 #: Items against the next: a row of the subsequence table per step; k-th stems of either side aligned.
@@ -278,7 +265,8 @@ SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'A Kumar' WHEN case_id % 5 < 4 TH
 SELECT k AS answer_id, CAST(p AS INT) AS place, (['Verified Claims', 'Claims Requiring Review', 'Unverified Claims', 'Resolved Citations', 'Unresolved Citations'])[p + 1] AS label, CAST(([v, u, x, f, m])[p + 1] AS VARCHAR) AS value,
 CASE WHEN p IN (0, 3) OR ([v, u, x, f, m])[p + 1] = 0 THEN 'VERIFIED' WHEN p = 1 THEN 'UNCERTAIN' ELSE 'UNVERIFIED' END AS status FROM a, range(5) t(p)""",
     "appeal_exports": "SELECT doc_id - 1 AS parent, doc_id AS child, 'MERGE (parent:JudgmentNode {doc_id: QQ' || (doc_id - 1) || 'QQ})' || chr(10) || 'MERGE (child:JudgmentNode {doc_id: QQ' || doc_id || 'QQ})' || chr(10) || 'MERGE (parent)-[:APPEALED_TO {outcome: QQ' || (['UPHELD', 'REVERSED', 'DISMISSED'])[doc_id % 3 + 1] || 'QQ, is_final_authority: ' || (doc_id % 4 = 3) || '}]->(child)' AS statement FROM documents WHERE doc_id % 4 > 0".replace("QQ", "\x27\x27"),
-    "edge_linkage": f"{EDGES} SELECT target, count(*) FILTER (type = 'follows') AS followed_by, count(*) FILTER (type = 'distinguishes') AS distinguished_by, max(CASE WHEN type = 'overrules' THEN source END) AS overruled_by FROM e GROUP BY target",
+    "edge_linkage": f"""{EDGES}, g AS (SELECT target, coalesce(string_agg(CAST(source AS VARCHAR), ',' ORDER BY source) FILTER (type = 'follows'), '') AS followed_by, coalesce(string_agg(CAST(source AS VARCHAR), ',' ORDER BY source) FILTER (type = 'distinguishes'), '') AS distinguished_by, max(CASE WHEN type = 'overrules' THEN source END) AS overruled_by FROM e GROUP BY target)
+SELECT target, followed_by, distinguished_by, overruled_by, CAST(CAST(DATE '1950-01-01' + CAST(overruled_by AS INT) AS DATE) AS VARCHAR) AS overruled_date, CASE WHEN overruled_by IS NOT NULL OR toxic = 1 THEN 'OVERRULED' ELSE 'GOOD_LAW' END AS current_validity FROM g JOIN documents d ON d.doc_id = target LEFT JOIN labels l ON l.doc_id = target""",
     "graph_statements": f"""{EDGES}, ld AS (SELECT doc_id, CASE WHEN doc_id % 5 >= 3 THEN 'StatuteNode' ELSE 'JudgmentNode' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'AIR ' || doc_id ELSE '' END AS citation,
 CASE doc_id % 4 WHEN 0 THEN 'Supreme Court' WHEN 1 THEN 'Bombay High Court' WHEN 2 THEN 'Delhi High Court' ELSE 'NCLT Principal Bench' END AS court, CAST(CAST(DATE '1950-01-01' + CAST(doc_id AS INT) AS DATE) AS VARCHAR) AS date FROM documents),
 n AS (SELECT doc_id, alias, 'MERGE (' || alias || ':' || label || ' {{doc_id: QQ' || doc_id || 'QQ}})' || chr(10) || 'SET ' || alias || '.citation = QQ' || citation || 'QQ, ' || alias || '.court = QQ' || court || 'QQ, ' || alias || '.date = QQ' || date || 'QQ' AS node FROM ld, (SELECT unnest(['source', 'target']) AS alias))
@@ -290,7 +278,6 @@ SELECT o_custkey, o_orderkey, CAST(CAST(day + 30 AS DATE) AS VARCHAR) AS period_
     "answer_sources": "WITH x AS (SELECT l_orderkey AS answer_id, l_suppkey % 3 AS doc_id, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY position, doc_id) AS rank FROM x",
     "rouge_scores": f"""WITH RECURSIVE {ROUGE} SELECT item_id, round(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0), 6) AS rouge_l, round(CASE WHEN sa = sb AND len(sa) > 0 THEN 1 WHEN m IS NULL THEN 0 ELSE 10 * (m / len(a)) * (m / len(b)) / (m / len(b) + 9 * (m / len(a))) * (1 - 0.5 * pow(runs / m, 3)) END, 6) AS meteor FROM sc""",
     "quality_summary": f"""WITH RECURSIVE {ROUGE}, {SUPPORT} SELECT count(*) AS n_cases, round(avg(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0)), 4) AS rouge_l, round(avg(recall), 4) AS context_entity_recall, round(avg(robust), 4) AS noise_robustness, round(1 - avg(faith), 4) AS hallucination_score, round(avg(faith), 4) AS faithfulness FROM sc JOIN su USING (item_id)""",
-    "hypothetical_drafts": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{a}', '{s}', {q}::DOUBLE, {0 if q < 0.5 else 4})" for t, a, s, q in DRAFTS) + ") t(query, practice_area, strategy, quality, n_anchors)",
     "report_windows": r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM documents),
 w AS (SELECT doc_id, list_transform(ps, lambda x: len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda y: y <> ''))) AS ws FROM p WHERE len(ps) > 0),
 r AS (SELECT doc_id, ws, 0 AS chunk_index, 0 AS first, greatest(1, len(list_filter(range(1, len(ws) + 1), lambda k: k = 1 OR list_sum(ws[1:k]) <= 220))) AS e FROM w

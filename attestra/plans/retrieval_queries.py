@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine, embedding
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..operators.collections import COLLECTIONS, MODEL, VERSION, open_points, projected, specs
+from ..operators.collections import MODEL, VERSION, open_points, projected
 from ..sources.ingest import collection, default_binding
 from .domain import Domain
 
@@ -169,11 +169,6 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.authority_order(rows.select("query_id", "doc_id", "rerank_score", "tier"))
 
 
-def collection_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = specs(spark)
-    return s.select("name", "dimension", "distance", F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["type"], f["is_array"].cast("string"))), ",").alias("fields"))
-
-
 def embedded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as points: a third is stored and unchanged, a third stored with another text, the rest new."""
     d = Domain(spark, sf_dir)
@@ -248,7 +243,6 @@ QUERIES = {
     "rrf_fusion": rrf_fusion,
     "authority_ranking": authority_ranking,
     "hybrid_retrieval": hybrid_retrieval,
-    "collection_specs": collection_specs,
     "embedded_points": embedded_points,
     "hashed_embeddings": hashed_embeddings,
     "vector_pairs": vector_pairs,
@@ -275,7 +269,6 @@ r0 AS (SELECT fu.query_id, fu.doc_id, least(1.0, 0.35 * CASE WHEN len(q.asked) =
 r1 AS (SELECT *, round(s, 6) AS rs, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS n FROM r0),
 t AS (SELECT *, CASE WHEN NOT judgment THEN 0 WHEN court = 'Supreme Court' THEN CASE WHEN coram >= 9 THEN 1 WHEN coram >= 5 THEN 2 WHEN coram >= 3 THEN 3 WHEN coram >= 2 THEN 4 ELSE 5 END WHEN contains(court, 'High Court') THEN 9 ELSE 10 END AS tier FROM r1 WHERE n <= 8), {RANKED}
 SELECT query_id, doc_id, rs AS rerank_score, tier, authority, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT chosen THEN 2 WHEN authority = 'binding' THEN 0 ELSE 1 END, overall) AS rank FROM y WHERE chosen OR short""",
-    "collection_specs": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', 24, 'cosine', '{','.join(':'.join([f.split()[0], f.split()[1].strip('[]'), str('[' in f).lower()]) for f in fs)}')" for n, _, fs in COLLECTIONS) + ") t(name, dimension, distance, fields)",
     "embedded_points": f"""WITH {VALIDITY}, x AS (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'statute' WHEN 4 THEN 'constitution' ELSE 'judgment' END AS kind, {COURT} AS court, CASE WHEN doc_id % 2 = 0 THEN current_validity END AS ok, sha256(text) AS checksum FROM documents JOIN v USING (doc_id) WHERE doc_id % 3 > 0),
 y AS (SELECT *, CASE kind WHEN 'statute' THEN 'statutes' WHEN 'constitution' THEN 'constitution' ELSE CASE court WHEN 'Supreme Court' THEN 'sc_judgments' ELSE 'hc_judgments' END END AS collection FROM x)
 SELECT sha1(collection || '|' || doc_id) AS point_id, collection, doc_id AS chunk_id, 24 AS dimension, '{{"doc_id":' || doc_id || ',"chunk_id":' || doc_id || ',"doc_type":"' || kind || '","court":"' || court || '"' || CASE WHEN ok IS NULL THEN '' ELSE ',"current_validity":"' || ok || '"' END || ',"collection_name":"' || collection || '","embedding_model":"{MODEL}","embedding_version":"{VERSION}"}}' AS payload, checksum FROM y""",

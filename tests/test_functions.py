@@ -94,7 +94,7 @@ def test_targets_by_priority(spark):
 
 
 def test_edge_rules(spark):
-    rules = [(" overruled ", "overrules"), (" followed ", "follows")]
+    rules = [("overrules", [" overruled "]), ("follows", [" followed "])]
     got = one(spark, G.edge_type(F.lit(None).cast("string"), F.col("x"), rules), x="It was followed here")
     assert got == "follows"
 

@@ -1,33 +1,30 @@
-"""Published queries over fixed rows: functions whose results are known by heart, the expected values being their SQL."""
+"""Functions whose results are known by heart."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import pytest
 from pyspark.sql import functions as F
 
-from ..functions import chunks, ocr
-from ..functions import text as T
-from ..operators import answers as A
-from ..operators import cases as K
-from ..operators import citations as C
-from ..operators import collections as L
-from ..operators import graph as G
-from ..operators import routing as R
-from ..operators import state as S
-from ..operators import verify as V
-from ..sources import html
+from attestra.functions import chunks, ocr
+from attestra.functions import text as T
+from attestra.operators import answers as A
+from attestra.operators import cases as K
+from attestra.operators import citations as C
+from attestra.operators import collections as L
+from attestra.operators import graph as G
+from attestra.operators import hyde as H
+from attestra.operators import routing as R
+from attestra.operators import state as S
+from attestra.operators import verify as V
+from attestra.sources import html
 
 x, y, z = (lambda: F.col("x")), (lambda: F.col("y")), (lambda: F.col("z"))
 
 
-def joined(c: Column) -> Column:
+def joined(c):
     return F.array_join(c, "|")
 
 
 #: name: (result of the columns x, y, z; rows of x, y, z and what must come out).
-TABLES: dict[str, tuple[Callable[[], Column], list[tuple]]] = {
+TABLES = {
     "token_lists": (lambda: joined(T.tokens(x())), [
         ("Section 302 IPC", None, None, "302|ipc|302_ipc|section_ipc|section"), ("Article 21-A and Puttaswamy", None, None, "21|article_21|article|a|and|puttaswamy"), ("K.S. Puttaswamy vs. Union", None, None, "ks|puttaswamy|v|union"),
         ("AIR 1978 SC 597", None, None, "air_1978_sc_597|air|1978|sc|597"), ("(2017) 10 SCC 1", None, None, "2017_10_scc_1|2017|10|scc|1"), ("", None, None, ""),
@@ -62,7 +59,7 @@ TABLES: dict[str, tuple[Callable[[], Column], list[tuple]]] = {
     "canonical_sections": (lambda: K.canonical_section(x()), [("Section 302 IPC", None, None, "IPC 302"), ("Section 438 crpc", None, None, "CrPC 438"), ("Section 6 Specific Relief Act", None, None, "Specific Relief Act 6"), ("Article 21", None, None, None)]),
     "statutes_involved": (lambda: joined(K.statute_names(F.split(x(), ";"))), [("IPC 302;IPC 34;Specific Relief Act 6", None, None, "IPC|Specific Relief Act")]),
     "formatted_references": (lambda: F.concat_ws(" ", S.code_reference(x())["code"], S.code_reference(x())["section"]), [("Section 302 IPC", None, None, "IPC 302"), ("indian evidence act 3", None, None, "Indian Evidence Act 3"), ("crpc 438a", None, None, "CrPC 438A")]),
-    "edge_types": (lambda: G.edge_type(x(), y(), [("followed", "follows"), ("overruled", "overrules")]), [(None, "It was followed here", None, "follows"), ("overrules", "followed", None, "overrules"), ("cites", "nothing", None, "refers_to")]),
+    "edge_types": (lambda: G.edge_type(x(), y()), [(None, "It was followed here", None, "follows"), ("overrules", "followed", None, "overrules"), ("cites", "nothing", None, "refers_to")]),
     "case_keys": (lambda: T.case_name_key(x()), [("Maneka Gandhi vs. Union", None, None, "maneka gandhi v union"), ("A, B v C", None, None, "a b v c")]),
     "title_parties": (lambda: F.concat_ws("|", T.parties(x())["appellant"], T.parties(x())["respondent"]), [("A v B", None, None, "A|B"), ("A vs. B and C", None, None, "A|B and C"), ("A", None, None, "")]),
     "written_dates": (lambda: T.parsed_date(x()).cast("string"), [("2017-08-24", None, None, "2017-08-24"), ("August 24, 2017", None, None, "2017-08-24"), ("sometime", None, None, None)]),
@@ -71,24 +68,22 @@ TABLES: dict[str, tuple[Callable[[], Column], list[tuple]]] = {
     "excerpts": (lambda: A.excerpt(x()), [("Bail is the rule, AIR 1978 SC 597 . More.", None, None, "Bail is the rule,."), ("No end", None, None, "No end")]),
     "page_titles": (lambda: F.element_at(html.lines(x()), 1), [("<h1>A &amp; B</h1><p>text</p>", None, None, "A & B")]),
 }
-COLUMNS = ("x", "y", "z")
 
 
-def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
+@pytest.mark.parametrize("name", sorted(TABLES))
+def test_known_values(spark, name):
     build, rows = TABLES[name]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = spark.createDataFrame([r[:3] for r in rows], "x string, y string, z string")
-        return d.select(*COLUMNS, build().alias("result"))
-
-    run.__name__ = name
-    return run
+    d = spark.createDataFrame([(*r[:3], i) for i, r in enumerate(rows)], "x string, y string, z string, i int")
+    assert [r["result"] for r in d.orderBy("i").select(build().alias("result")).collect()] == [r[3] for r in rows]
 
 
-def values_of(name: str) -> str:
-    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in TABLES[name][1]) + ") t(x, y, z, result)"
+#: Query, area, and the strategy and quality that must come out.
+DRAFTS = [
+    ("my landlord changed the locks", "property", "property_dispossession", 0.94), ("my landlord changed the locks", "civil", "generic_low_confidence", 0.38), ("Anticipatory relief", "criminal", "criminal_bail", 0.89), ("after an arrest", "criminal", "criminal_bail", 0.89),
+    ("murder", "criminal", "generic_low_confidence", 0.38), ("no salary since May", "labour", "labour_termination", 0.83), ("pay", "labour", "generic_low_confidence", 0.38),
+]
 
 
-QUERIES = {name: query_of(name) for name in TABLES}
-ORACLE_SQL = {name: values_of(name) for name in TABLES}
+def test_hypothetical_drafts(spark):
+    q = spark.createDataFrame([(t, a) for t, a, _, _ in DRAFTS], "query string, practice_area string")
+    assert sorted((r["query"], r["practice_area"], r["strategy"], r["quality"]) for r in H.drafts(q).collect()) == sorted(DRAFTS)
