@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DIMENSION, embedding
@@ -45,7 +45,20 @@ def comparable(value: Column, kind: str) -> Column:
     return F.try_to_timestamp(value.cast("string")) if kind == "datetime" else value.try_cast("double") if kind == "integer" else F.lit(None)
 
 
-def open_points(queries: list[Row], points: pd.DataFrame) -> np.ndarray:
+def sharing(points: list, queries: list) -> np.ndarray:
+    """(points, queries): whether lists have an element in common. What queries ask for is numbered, lists become masks, and one matrix product meets all."""
+    number: dict[str, int] = {}
+    asked = [(j, number.setdefault(x, len(number))) for j, xs in enumerate(queries) for x in xs]
+    held = [(i, number[x]) for i, xs in enumerate(points) if xs is not None for x in xs if x in number]
+    p, q = np.zeros((len(points), len(number)), np.float32), np.zeros((len(queries), len(number)), np.float32)
+    if asked:
+        q[tuple(np.array(asked).T)] = 1
+    if held:
+        p[tuple(np.array(held).T)] = 1
+    return p @ q.T > 0
+
+
+def open_points(queries: pd.DataFrame, points: pd.DataFrame) -> np.ndarray:
     """(points, queries): whether a point is open to a query, for retrieval.dense.
 
     queries: query_type, practice_area, time_sensitive, reference_date, courts (own court and binding ones), numbers (sections named); points: collection, current_validity,
@@ -54,24 +67,20 @@ def open_points(queries: list[Row], points: pd.DataFrame) -> np.ndarray:
     """
     at = lambda names: points["collection"].isin(names).to_numpy()
     good, statute, ruling, by_area = at(GOOD_ONLY), at(["statutes"]), at(RULINGS), at(BY_AREA)
-    base = ~good | (points["current_validity"] == "GOOD_LAW").to_numpy()
-    base &= ~statute | (points["is_in_force"] == True).to_numpy()  # noqa: E712
-    dates = pd.to_datetime(points["date"])
-    sets = lambda c: [set(x) if x is not None else set() for x in points[c]]
-    binding, areas = sets("jurisdiction_binding"), sets("practice_area")
-    columns = []
-    for q in queries:
-        ok = base & at(TARGETS.get(q.query_type, OTHER_TARGETS))
-        if q.numbers:
-            ok &= ~statute | points["section_number"].isin(q.numbers).to_numpy()
-        courts = {*q.courts, "All India"}
-        ok &= ~ruling | np.fromiter((bool(b & courts) for b in binding), bool, len(points))
-        if q.time_sensitive:
-            ok &= ~ruling | (dates <= pd.Timestamp(q.reference_date)).to_numpy()
-        if q.practice_area != "general":
-            ok &= ~by_area | np.fromiter((q.practice_area in a for a in areas), bool, len(points))
-        columns.append(ok)
-    return np.stack(columns, 1)
+    base = (~good | (points["current_validity"] == "GOOD_LAW").to_numpy()) & (~statute | (points["is_in_force"] == True).to_numpy())  # noqa: E712
+    # a column for each kind of target that the queries have
+    kinds, kind = np.unique(queries["query_type"].fillna("").to_numpy(), return_inverse=True)
+    ok = np.stack([at(TARGETS.get(k, OTHER_TARGETS)) for k in kinds], 1)[:, kind] & base[:, None]
+    numbers = [[] if x is None else list(x) for x in queries["numbers"]]
+    any_number = np.array([not x for x in numbers])
+    ok &= ~statute[:, None] | any_number | sharing([[x] for x in points["section_number"]], numbers)
+    ok &= ~ruling[:, None] | sharing(list(points["jurisdiction_binding"]), [[*([] if x is None else x), "All India"] for x in queries["courts"]])
+    timeless = ~(queries["time_sensitive"] == True).to_numpy()  # noqa: E712
+    days, until = pd.to_datetime(points["date"]).to_numpy(), pd.to_datetime(queries["reference_date"]).to_numpy()
+    ok &= ~ruling[:, None] | timeless | (days[:, None] <= until[None, :])
+    general = (queries["practice_area"] == "general").to_numpy()
+    ok &= ~by_area[:, None] | general | sharing(list(points["practice_area"]), [[x] for x in queries["practice_area"]])
+    return ok
 
 
 def deduped(hits: DataFrame) -> DataFrame:

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import overlap
@@ -20,8 +18,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: The terms of the queries are broadcast up to so many rows; beyond, postings are joined with them by shuffle.
 BROADCAST_TERMS = 500_000
-#: Query vectors sent to the points at a time.
-QUERY_BLOCK = 2000
+#: Queries of a matrix product, points of one, and queries that are sent to the points at a time.
+QUERY_BLOCK, POINT_BATCH, QUERIES_SENT = 2000, 1000, 100_000
 
 
 def corpus_statistics(tokens: DataFrame) -> DataFrame:
@@ -66,11 +64,12 @@ def ranked(rows: DataFrame, by: str, order: list[Column], top_k: int | None = No
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column as rows; nulls and missing ends as zeros."""
-    values = [np.array([x or 0.0 for x in v] if v is not None else [], float) if v is None or None in v else np.asarray(v, float) for v in column.to_pylist()]
+    flat, sizes = column.flatten(), np.diff(column.offsets.to_numpy())
+    if len(sizes) and not column.null_count and not flat.null_count and (sizes == sizes[0]).all():
+        return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), sizes[0])
+    values = [np.array([x or 0.0 for x in v] if v is not None else [], float) for v in column.to_pylist()]
     width = max(map(len, values), default=0)
-    if all(len(v) == width for v in values):
-        return np.array(values).reshape(len(values), width)
-    return np.array([np.pad(v, (0, width - len(v))) for v in values])
+    return np.array([np.pad(v, (0, width - len(v))) for v in values]).reshape(len(values), width)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -78,41 +77,48 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def dense(queries: DataFrame, points: DataFrame, top_k: int = 20, block: int = QUERY_BLOCK, allowed: Callable[[list[Row], pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
+def dense(queries: DataFrame, points: DataFrame, top_k: int = 20, block: int = QUERY_BLOCK, allowed: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, sent: int = QUERIES_SENT) -> DataFrame:
     """query_id, point_id, score, rank by cosine; (query_id, vector) against (point_id, vector).
 
     allowed(queries, points): a matrix of which points (a batch, all columns) are open to which queries (a block, all columns); without it all are.
 
-    Queries come in blocks of bounded size, each sent to the points as one matrix. A batch of points is one matrix product, and passes on
-    only what can be among a query's best: points are never shuffled, and no more than top_k a batch and query (ties beside) are.
+    Up to `sent` queries go to the points in one scan, whatever blocks they make; more than that go in further scans of the vectors, which then stand as a table. A batch of
+    points is a matrix product for each block, and passes on only what can be among a query's best: no more than top_k a batch and query (ties beside), and nothing below
+    the top_k-th of any batch that the task has seen.
     """
     spark = queries.sparkSession
     id_type, point_type = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
     schema = StructType([StructField("query_id", id_type), StructField("point_id", point_type), StructField("score", DoubleType())])
-    found = spark.createDataFrame([], schema)
     more = lambda df, key: [c for c in df.columns if c not in (key, "vector")] if allowed else []
     vector = F.col("vector").cast("array<double>").alias("vector")
-    rows = queries.select("query_id", vector, *more(queries, "query_id")).where("vector is not null").toLocalIterator()
+    q = stored(queries.select("query_id", vector, *more(queries, "query_id")).where("vector is not null"))
     p = points.select("point_id", vector, *more(points, "point_id")).where("vector is not null")
-    while part := list(islice(rows, block)):
-        shipped = spark.sparkContext.broadcast(([r.query_id for r in part], _unit(_matrix(pa.array([r.vector for r in part]))), part if allowed else None))
+    parts = -(-q.count() // sent)
+    if parts > 1:
+        p = stored(p)
+    found = spark.createDataFrame([], schema)
+    for k in range(parts):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).toArrow().combine_chunks()
+        blocks = [part.slice(i, block).combine_chunks() for i in range(0, part.num_rows, block)]
+        shipped = spark.sparkContext.broadcast([(t["query_id"].chunk(0), _unit(_matrix(t["vector"].chunk(0))), t.drop_columns(["vector"]).to_pandas() if allowed else None) for t in blocks])
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, q, asked = shipped.value
+            floors = [np.full(len(ids), -np.inf) for ids, _, _ in shipped.value]
             for whole in batches:
-                for i in range(0, whole.num_rows, 1000):
-                    b = whole.slice(i, 1000)
+                for i in range(0, whole.num_rows, POINT_BATCH):
+                    b = whole.slice(i, POINT_BATCH)
                     m = _unit(_matrix(b.column(1)))
-                    d = min(m.shape[1], q.shape[1])
-                    scores = np.round(m[:, :d] @ q[:, :d].T, 6)
-                    if allowed:
-                        scores[~allowed(asked, pa.Table.from_batches([b]).drop_columns(["vector"]).to_pandas())] = -np.inf
-                    k = min(top_k, len(scores))
-                    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if k else np.zeros(len(ids))
-                    point, query = np.nonzero((scores >= least) & (scores > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in query.tolist()], b_types[0]), b.column(0).take(pa.array(point)), pa.array(scores[point, query])], names=["query_id", "point_id", "score"])
-
-        b_types = [to_arrow_type(id_type)]
+                    about = pa.Table.from_batches([b]).drop_columns(["vector"]).to_pandas() if allowed else None
+                    for (ids, q_, asked), floor in zip(shipped.value, floors):
+                        d = min(m.shape[1], q_.shape[1])
+                        scores = np.round(m[:, :d] @ q_[:, :d].T, 6)
+                        if allowed:
+                            scores[~allowed(asked, about)] = -np.inf
+                        if len(scores) >= top_k:
+                            np.maximum(floor, np.partition(scores, len(scores) - top_k, axis=0)[len(scores) - top_k], out=floor)
+                        point, query = np.nonzero((scores >= floor) & (scores > -np.inf))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), b.column(0).take(pa.array(point)), pa.array(scores[point, query])], names=["query_id", "point_id", "score"])
+
         found = found.unionByName(p.mapInArrow(run, schema))
     return ranked(found.withColumn("score", F.round("score", 6)), "query_id", [F.desc("score"), F.asc("point_id")], top_k)
 

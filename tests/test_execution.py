@@ -79,6 +79,7 @@ def test_points_open_to_queries():
         ("hc_judgments", "GOOD_LAW", None, None, "2019-01-01", ["Delhi High Court"], ["criminal"]), ("hc_judgments", "GOOD_LAW", None, None, "2021-01-01", ["Delhi High Court"], ["criminal"]), ("hc_judgments", "OVERRULED", None, None, "2019-01-01", ["All India"], ["criminal"]),
         ("statutes", "GOOD_LAW", True, "5", None, ["All India"], []), ("statutes", "GOOD_LAW", False, "5", None, ["All India"], []), ("statutes", "GOOD_LAW", True, "6", None, ["All India"], []), ("sc_judgments", "GOOD_LAW", None, None, "2019-01-01", ["All India"], ["civil"]),
     ], columns=["collection", "current_validity", "is_in_force", "section_number", "date", "jurisdiction_binding", "practice_area"])
+    q = pd.DataFrame([r.asDict() for r in q])
     assert L.open_points(q, p).T.tolist() == [[True, False, False, False, False, False, True], [False, False, False, True, False, False, False]]
 
 
@@ -88,6 +89,9 @@ def test_dense_blocks_ragged_and_null_vectors(spark):
     p = spark.createDataFrame(rows, "point_id int, vector array<double>")
     q = spark.createDataFrame([(i, v) for i, v in rows[:7]], "query_id int, vector array<double>")
     got = R.dense(q, p, 3, block=2).collect()
+    assert sorted(got) == sorted(R.dense(q, p, 3, block=2, sent=3).collect())
+    many = q.crossJoin(spark.range(1500)).select(F.col("id").alias("query_id"), "vector")
+    assert R.dense(many, p, 3, block=100)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     m = {i: np.array([x or 0.0 for x in v]) for i, v in rows if v}
     for i, v in rows[:7]:
         cos = {j: round(float(m[i] @ w / np.linalg.norm(m[i]) / np.linalg.norm(w)), 6) if np.linalg.norm(w) else 0.0 for j, w in m.items()}
