@@ -8,10 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "query_id string, sequence int, type string, step string, data string, error string, token string, confidence double"
-STATE = "body string"
 RESULT = "query_id string, status string, output string, steps string, n_events int, confidence double, error string"
 DONE = {"STEP_COMPLETE": "completed", "STEP_ERROR": "error"}
 
@@ -67,18 +66,79 @@ def reduced(events: DataFrame) -> DataFrame:
     return events.groupBy("query_id").applyInPandas(run, RESULT)
 
 
-def reduced_stream(events: DataFrame) -> DataFrame:
-    """Stream: the state of every query after each micro-batch."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else blank()
-        for part in parts:
-            for e in part.sort_values("sequence").to_dict("records"):
-                applied(s, e)
-        state.update((json.dumps(s),))
-        yield _row(key[0], s)
-
-    return events.groupBy("query_id").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+class Reducer(StatefulProcessor):
+    """The state of a query, its events folded in order of sequence however they arrive.
+
+    An event that is not the next one waits in a map by its sequence; what was folded before is not folded again. The event that completes a query ends it: what waits is
+    dropped, and a mark stays so that nothing starts it anew. A timer follows the query's latest event: when the watermark passes it, a query that is not complete is
+    folded over its gaps and told as it is; either way nothing of it is kept.
+    """
+
+    def __init__(self, first: int, keep_ms: int):
+        self.first, self.keep_ms = first, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.body = handle.getValueState("body", "body string")
+        self.waiting = handle.getMapState("waiting", "sequence int", "event string")
+
+    def _held(self) -> dict:
+        found = self.body.get() if self.body.exists() else None
+        return json.loads(found[0]) if found else {"next": self.first, "until": 0, "done": False, "state": blank()}
+
+    def _fold(self, held: dict, e: dict) -> None:
+        held["state"] = applied(held["state"], e)
+        held["done"] = e["type"] == "COMPLETE"
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if held["done"]:
+            for _ in rows:
+                pass
+            return
+        for part in rows:
+            held["until"] = max(held["until"], int(part["ts"].max().timestamp() * 1000) + self.keep_ms)
+            for e in json.loads(part.drop(columns=["ts"]).to_json(orient="records")):
+                if e["sequence"] > held["next"]:
+                    self.waiting.updateValue((e["sequence"],), (json.dumps(e),))
+                elif e["sequence"] == held["next"] and not held["done"]:
+                    self._fold(held, e)
+                    held["next"] += 1
+                    while not held["done"] and self.waiting.containsKey((held["next"],)):
+                        self._fold(held, json.loads(self.waiting.getValue((held["next"],))[0]))
+                        self.waiting.removeKey((held["next"],))
+                        held["next"] += 1
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(held["until"])
+        yield _row(key[0], held["state"])
+        if held["done"]:
+            self.waiting.clear()
+            held["state"] = None
+        self.body.update((json.dumps(held),))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if not held["done"]:
+            for _, e in sorted((k[0], v[0]) for k, v in self.waiting.iterator()):
+                if not held["done"]:
+                    self._fold(held, json.loads(e))
+            yield _row(key[0], held["state"])
+        self.waiting.clear()
+        self.body.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def reduced_stream(events: DataFrame, late: str = "10 minutes", keep_minutes: int = 30, first: int = 1) -> DataFrame:
+    """Stream: the state of every query after each micro-batch that has events of it, or ends it.
+
+    events with ts, which the watermark follows; sequences start at `first`. In whatever order batches bring events, the last row of a query is that of reduced(). Keyed state needs the
+    state store of the session to be RocksDB.
+    """
+    out = events.withWatermark("ts", late).groupBy("query_id")
+    return out.transformWithStateInPandas(statefulProcessor=Reducer(first, keep_minutes * 60_000), outputStructType=RESULT, outputMode="Update", timeMode="EventTime")
 
 
 def daily_quota(events: DataFrame, late: str | None = None) -> DataFrame:

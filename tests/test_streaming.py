@@ -1,27 +1,44 @@
 """Streams against what the batch operators give for the same rows."""
 
+import datetime
+import random
+
 from pyspark.sql import functions as F
 
 from attestra.streaming import build as B
 from attestra.streaming import events as E
 
 
-def rows(spark):
-    kinds = ["STEP_START", "TOKEN", "STEP_COMPLETE", "TOKEN", "STEP_ERROR", "COMPLETE"]
-    return spark.createDataFrame([(f"q{q}", i, kinds[(i + q) % 6], f"s{i % 2}", "", "bad" if (i + q) % 6 == 4 else None, f"t{i}", 0.5) for q in range(5) for i in range(9)], E.EVENT)
+def run_stream(spark, tmp_path, batches):
+    """The rows that come out of batches of events, and how many rows of state are left."""
+    source, seen, kept = str(tmp_path / "in"), [], []
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(source)
+        q = E.each_batch(E.reduced_stream(stream, "1 minute", 5, first=0), lambda x, _: seen.extend(x.collect()), str(tmp_path / "check"), "update")
+        q.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return seen, kept[-1]
 
 
-def test_reduced_stream_equals_batch(spark, tmp_path):
-    all_rows = rows(spark)
-    source = str(tmp_path / "in")
-    (tmp_path / "in").mkdir()
-    seen = []
-    stream = spark.readStream.schema(all_rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    for part in range(3):
-        all_rows.where((F.col("sequence") / 3).cast("int") == part).coalesce(1).write.mode("append").parquet(source)
-        E.each_batch(E.reduced_stream(stream), lambda b, _: seen.extend(b.collect()), str(tmp_path / "check"), "update").awaitTermination()
-    last = {r["query_id"]: r.asDict() for r in seen}
-    assert last == {r["query_id"]: r.asDict() for r in E.reduced(all_rows).collect()}
+def test_shuffled_batches_give_the_batch_result_and_state_ends(spark, tmp_path):
+    r = random.Random(5)
+    kinds = ["STEP_START", "TOKEN", "STEP_COMPLETE", "TOKEN", "STEP_ERROR", "TOKEN", "COMPLETE"]
+    # some queries never complete, one has a gap that is never filled
+    all_ = [(f"q{q}", i, k, f"s{i % 2}", "", "bad" if k == "STEP_ERROR" else None, f"t{i}", 0.5) for q in range(8) for i, k in enumerate(kinds if q % 3 else kinds[:5])]
+    all_ = [x for x in all_ if not (x[0] == "q3" and x[1] == 2)]
+    rows = [(*x, datetime.datetime(2024, 7, 1, 0, 0, x[1])) for x in all_]
+    whole = spark.createDataFrame([x[:-1] for x in rows], E.EVENT)
+    r.shuffle(rows)
+    schema = E.EVENT + ", ts timestamp"
+    parts = [spark.createDataFrame(rows[i::4], schema) for i in range(4)]
+    # the same events once more, then later ones by which the watermark passes all timers
+    later = [spark.createDataFrame([("end", 0, "COMPLETE", None, None, None, None, 1.0, datetime.datetime(2024, 7, 1, h))], schema) for h in (1, 2, 3)]
+    seen, kept = run_stream(spark, tmp_path, [*parts, parts[0], *later])
+    last = {x["query_id"]: x.asDict() for x in seen if x["query_id"] != "end"}
+    assert last == {x["query_id"]: x.asDict() for x in E.reduced(whole).collect()}
+    assert kept <= 2  # what is left is of the last row alone
 
 
 def test_each_batch_runs_once_for_new_rows(spark, tmp_path):
