@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REPORTER, squeeze
+from .state import CUTOVER, references_expanded
 
 # Signals and their order, courts, pipelines.
 AREAS = [
@@ -151,11 +152,28 @@ def query_type(q: Column, norm: Column, refs: Column, names: Column, court_names
     )
 
 
-def analyzed(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query, uploaded) with the whole analysis."""
+CRIMINAL = "^(IPC|CrPC|Indian Evidence Act|BNS|BNSS|BSA) "
+
+
+def equivalents(queries: DataFrame, mappings: DataFrame) -> DataFrame:
+    """query_id, equivalents: what the criminal-code references of queries (query_id, sections, reference_date) are called in the new codes, less what the query says itself."""
+    r = queries.select("query_id", "reference_date", F.posexplode("sections").alias("position", "reference")).where(F.col("reference").rlike(CRIMINAL))
+    own = r.groupBy("query_id").agg(F.collect_set("reference").alias("own"))
+    found = references_expanded(r, mappings).join(own, "query_id")
+    return found.select("query_id", F.filter(F.array_except("references", "own"), lambda x: x.rlike("^(BNS|BNSS|BSA) ")).alias("equivalents"))
+
+
+def analyzed(queries: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """queries (query_id, query, uploaded, and reference_date, else the day of the cutover) with the whole analysis; mappings (of codes) give the references' equivalents, which make a query time-sensitive, too."""
     q = queries.withColumn("normalized", normalized_query(F.col("query"))).withColumn("sections", sections(F.col("query"))).withColumn("case_names", case_names(F.col("query"))).withColumn("courts", courts(F.col("query")))
     q = q.withColumn("practice_area", practice_area(F.col("query"), F.col("sections")))
     q = q.withColumn("query_type", query_type(F.col("query"), F.col("normalized"), F.col("sections"), F.col("case_names"), F.col("courts"), F.col("uploaded")))
     pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in TYPES.items() for x in (k, v[i])]), F.col("query_type"))
-    timely = holds(F.col("normalized"), TEMPORAL) | F.exists("sections", lambda r: r.rlike("^(IPC|CrPC|BNS|BNSS|BSA) "))
+    none = F.array().cast("array<string>")
+    if mappings is None:
+        q = q.withColumn("equivalents", none)
+    else:
+        dated = q if "reference_date" in q.columns else q.withColumn("reference_date", F.to_date(F.lit(CUTOVER)))
+        q = q.join(equivalents(dated, mappings), "query_id", "left").withColumn("equivalents", F.coalesce("equivalents", none))
+    timely = holds(F.col("normalized"), TEMPORAL) | (F.size("equivalents") > 0) | F.exists("sections", lambda r: r.rlike("^(IPC|CrPC|BNS|BNSS|BSA) "))
     return q.withColumn("confidence", pick(0)).withColumn("pipeline", pick(1)).withColumn("time_sensitive", timely).withColumn("jurisdiction", F.coalesce(F.try_element_at("courts", F.lit(1)), F.lit("All India")))

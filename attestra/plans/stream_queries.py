@@ -62,19 +62,26 @@ def amendment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mappings(d: Domain) -> DataFrame:
-    return d.table("part").where("p_partkey <= 30").select(F.lit("IPC").alias("legacy_code"), F.col("p_partkey").cast("string").alias("legacy_section"), F.lit("BNS").alias("new_code"), (F.col("p_partkey") + 100).cast("string").alias("new_section"), F.lit(True).alias("is_active"))
+    return d.table("part").select(F.lit("IPC").alias("legacy_code"), F.col("p_partkey").cast("string").alias("legacy_section"), F.lit("BNS").alias("new_code"), (F.col("p_partkey") + 100).cast("string").alias("new_section"), F.lit(True).alias("is_active"))
 
 
 def mapping_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a mapping; every third changes one further on, adds one, or lacks an end."""
     d = Domain(spark, sf_dir)
-    c = d.table("part").where("p_partkey between 20 and 60").select(F.lit("IPC").alias("legacy_code"), F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") > 40, "a").otherwise("")).alias("legacy_section"), F.lit("BNS").alias("new_code"), F.when(F.col("p_partkey") % 10 > 0, (F.col("p_partkey") + 100).cast("string")).alias("new_section"), F.lit(False).alias("is_active"))
+    k = F.col("p_partkey")
+    section = F.concat(F.lit(" "), (k + 20).cast("string"), F.when(k % 2 == 0, "a").otherwise(""))
+    c = d.table("part").where("p_partkey % 3 = 0").select(F.lit("IPC").alias("legacy_code"), section.alias("legacy_section"), F.lit("BNS").alias("new_code"), F.when(k % 10 > 0, (k + 120).cast("string")).alias("new_section"), F.lit(False).alias("is_active"))
     return S.mappings_upserted(mappings(d), c)
 
 
+def beyond(d: Domain) -> int:
+    return d.table("part").count() * 6 // 5
+
+
 def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a query of two sections is searched by, before and after the cutover."""
     d = Domain(spark, sf_dir)
-    q = d.table("part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, F.to_date(F.lit("2024-08-01"))).otherwise(F.to_date(F.lit("2023-08-01"))).alias("reference_date"), F.array(F.concat(F.lit("IPC "), (F.col("p_partkey") % 40).cast("string")), F.concat(F.lit("Section "), (F.col("p_partkey") % 40 + 101).cast("string"), F.lit(" BNS")), F.concat(F.lit("IPC "), (F.col("p_partkey") % 40).cast("string"))).alias("r"))
+    q = d.table("part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, F.to_date(F.lit("2024-08-01"))).otherwise(F.to_date(F.lit("2023-08-01"))).alias("reference_date"), F.array(F.concat(F.lit("IPC "), (F.col("p_partkey") % beyond(d)).cast("string")), F.concat(F.lit("Section "), (F.col("p_partkey") % beyond(d) + 101).cast("string"), F.lit(" BNS")), F.concat(F.lit("IPC "), (F.col("p_partkey") % beyond(d)).cast("string"))).alias("r"))
     r = q.select("query_id", "reference_date", F.posexplode("r").alias("position", "reference"))
     return S.references_expanded(r, mappings(d)).select("query_id", F.array_join("references", "|").alias("references"))
 
@@ -82,7 +89,7 @@ def expanded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_awareness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as cases of which code is preferred on a day; a third expect the wrong one."""
     d = Domain(spark, sf_dir)
-    k = F.col("p_partkey") % 30 + 1
+    k = F.col("p_partkey") * 7 % beyond(d) + 1
     new = F.col("p_partkey") % 2 == 0
     expected = F.when(F.col("p_partkey") % 3 == 0, F.lit("IPC 0")).when(new, F.concat(F.lit("BNS "), (k + 100).cast("string"))).otherwise(F.concat(F.lit("IPC "), k.cast("string")))
     c = d.table("part").select(F.col("p_partkey").alias("case_id"), F.concat(F.lit("IPC "), k.cast("string")).alias("reference"), F.when(new, F.to_date(F.lit("2024-08-01"))).otherwise(F.to_date(F.lit("2023-08-01"))).alias("reference_date"), expected.alias("expected"))
@@ -120,9 +127,13 @@ UNION ALL SELECT query_id, i, CASE WHEN i IN (1, 3) THEN 'STEP_START' WHEN i IN
 SELECT type, count(*) AS n, count(DISTINCT query_id) AS n_queries, CAST(sum(sequence) AS BIGINT) AS places FROM al GROUP BY type""",
     "answer_markdown": MARKDOWN,
     "amendment_rows": "SELECT p_partkey % 100 AS statute_id, CAST(p_partkey AS VARCHAR) AS section, CASE WHEN p_partkey % 3 = 0 THEN 'changed' ELSE 'kept' END AS new_text, CASE WHEN p_partkey % 5 > 0 THEN '2021-01-01' END AS effective_on FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
-    "mapping_changes": "SELECT 'IPC' AS legacy_code, p_partkey || CASE WHEN p_partkey > 40 THEN 'A' ELSE '' END AS legacy_section, 'BNS' AS new_code, CAST(p_partkey + 100 AS VARCHAR) AS new_section, NOT (p_partkey BETWEEN 20 AND 60 AND p_partkey % 10 > 0) AS is_active FROM part WHERE p_partkey <= 30 OR (p_partkey BETWEEN 20 AND 60 AND p_partkey % 10 > 0)",
-    "expanded_references": """WITH q AS (SELECT p_partkey AS query_id, p_partkey % 40 AS a, p_partkey % 40 + 1 AS b, p_partkey % 2 = 0 AS post, (SELECT min(30, max(p_partkey)) FROM part) AS most FROM part),
-x AS (SELECT query_id, CASE WHEN a <= most THEN CASE WHEN post THEN ['BNS ' || (a + 100), 'IPC ' || a] ELSE ['IPC ' || a, 'BNS ' || (a + 100)] END ELSE ['IPC ' || a] END AS r1, CASE WHEN b <= most THEN CASE WHEN post THEN ['BNS ' || (b + 100), 'IPC ' || b] ELSE ['IPC ' || b, 'BNS ' || (b + 100)] END ELSE ['BNS ' || (b + 100)] END AS r2 FROM q)
-SELECT query_id, array_to_string(r1 || r2, '|') AS references FROM x""".replace("min(30, max(p_partkey))", "least(30, max(p_partkey))").replace("AS references", 'AS "references"'),
-    "code_awareness": "SELECT p_partkey AS case_id, CASE WHEN p_partkey % 2 = 0 THEN 'BNS ' || (p_partkey % 30 + 101) ELSE 'IPC ' || (p_partkey % 30 + 1) END AS preferred, p_partkey % 3 > 0 AS correct FROM part",
+    "mapping_changes": """WITH c AS (SELECT p_partkey + 20 AS n, p_partkey % 2 = 0 AS lettered FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 10 > 0)
+SELECT 'IPC' AS legacy_code, CAST(p_partkey AS VARCHAR) AS legacy_section, 'BNS' AS new_code, CAST(p_partkey + 100 AS VARCHAR) AS new_section, p_partkey NOT IN (SELECT n FROM c WHERE NOT lettered) AS is_active FROM part
+UNION ALL SELECT 'IPC', n || CASE WHEN lettered THEN 'A' ELSE '' END, 'BNS', CAST(n + 100 AS VARCHAR), FALSE FROM c WHERE lettered OR n NOT IN (SELECT p_partkey FROM part)""",
+    "expanded_references": """WITH m AS (SELECT count(*) * 6 // 5 AS m FROM part), q AS (SELECT p_partkey AS query_id, p_partkey % m AS a, p_partkey % m + 1 AS b, p_partkey % 2 = 0 AS post FROM part, m),
+x AS (SELECT query_id, CASE WHEN a IN (SELECT p_partkey FROM part) THEN CASE WHEN post THEN ['BNS ' || (a + 100), 'IPC ' || a] ELSE ['IPC ' || a, 'BNS ' || (a + 100)] END ELSE ['IPC ' || a] END AS r1,
+CASE WHEN b IN (SELECT p_partkey FROM part) THEN CASE WHEN post THEN ['BNS ' || (b + 100), 'IPC ' || b] ELSE ['IPC ' || b, 'BNS ' || (b + 100)] END ELSE ['BNS ' || (b + 100)] END AS r2 FROM q)
+SELECT query_id, array_to_string(r1 || r2, '|') AS "references" FROM x""",
+    "code_awareness": """WITH m AS (SELECT count(*) * 6 // 5 AS m FROM part), c AS (SELECT p_partkey AS i, p_partkey * 7 % m + 1 AS k, p_partkey % 2 = 0 AS post FROM part, m)
+SELECT i AS case_id, CASE WHEN post AND k IN (SELECT p_partkey FROM part) THEN 'BNS ' || (k + 100) ELSE 'IPC ' || k END AS preferred, i % 3 > 0 AND (NOT post OR k IN (SELECT p_partkey FROM part)) AS correct FROM c""",
 }

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from attestra.operators import daily as D
+from attestra.operators.asof import asof
 from attestra.sources.ledger import Ledger
 
 DOCS = "doc_id long, doc_type string, current_validity string, overruled_by long, overruled_date string, replaced_by string, stale boolean, stale_reason string, reembed boolean"
@@ -128,3 +129,16 @@ def test_what_nobody_knows_fails_the_run(spark, tmp_path):
             D.run(ledger, f"bad {n}", a, b, c)
         assert ledger.runs().where(f"batch_id = 'bad {n}' and status = 'failed' and error = '{said}'").count() == 1
     assert state(ledger.tables()) == before
+
+
+def test_versions_as_of_days(spark):
+    r = random.Random(7)
+    versions = [(r.choice("abc"), r.choice([None, 1, 2]), r.randrange(20), f"v{i}") for i in range(40)]
+    asked = [(i, r.choice("abcd"), r.choice([None, 1, 2]), r.choice([None, *range(-2, 24)])) for i in range(200)]
+    v = spark.createDataFrame(versions, "act string, section int, since int, text string")
+    a = spark.createDataFrame(asked, "i int, act string, section int, day int")
+    want = {}
+    for i, act, section, day in asked:
+        fit = [(s, t) for x, y, s, t in versions if (x, y) == (act, section) and day is not None and s <= day]
+        want[i] = max(fit) if fit else (None, None)
+    assert {x["i"]: (x["since"], x["text"]) for x in asof(a, v, ["act", "section"]).collect()} == want
