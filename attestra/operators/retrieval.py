@@ -18,6 +18,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: The terms of the queries are broadcast up to so many rows; beyond, postings are joined with them by shuffle.
 BROADCAST_TERMS = 500_000
+#: Postings of the queries' tokens up to which all are scored, and tokens of a query that give the first scores beyond.
+WHOLE_POSTINGS, FIRST_TOKENS = 50_000_000, 3
 #: Queries of a matrix product, points of one, and queries that are sent to the points at a time.
 QUERY_BLOCK, POINT_BATCH, QUERIES_SENT = 2000, 1000, 100_000
 
@@ -31,32 +33,61 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 20, valid: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc_id, score, rank. queries: query_id, tokens (repeats count); docs: doc_id, tokens (distinct).
+def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 20, valid: Column | None = None, k1: float = K1, b: float = B, whole: int = WHOLE_POSTINGS) -> DataFrame:
+    """query_id, doc_id, score, rank, matched. queries: query_id, tokens (repeats count); docs: doc_id, tokens (distinct).
 
     Statistics are those of all docs; `valid` drops results afterwards. Documents are tokenised once: what is kept of them is
     a row for their length and one for each token that a query has. As long as the queries' terms can be broadcast, a
-    document's postings stay in one task, so scores are summed there before anything is shuffled.
+    document's postings stay in one task, so scores are summed there before anything is shuffled. Up to `whole` postings of queries are all
+    scored; beyond, common tokens are looked up for documents alone that can still be among a query's best (see _best_first). Both give the same rows.
     """
     terms = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     terms = stored(terms)
     sent = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda df: df)
     wanted = terms.select("token").distinct().withColumn("wanted", F.lit(True))
-    flags = [valid.alias("ok")] if valid is not None else []
-    rows = docs.select("doc_id", F.size("tokens").alias("length"), *flags, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
+    ok = valid if valid is not None else F.lit(True)
+    rows = docs.select("doc_id", F.size("tokens").alias("length"), F.coalesce(ok, F.lit(False)).alias("ok"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
     rows = stored(rows.join(sent(wanted), "token", "left").where("token is null or wanted").drop("wanted"))
-    postings = rows.where("token is not null")
     stats = rows.where("token is null").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    df = rows.where("token is not null").groupBy("token").agg(F.count("*").alias("df"), F.min(F.when(F.col("ok"), F.col("length"))).alias("shortest"))
     weights = terms.join(df, "token").join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("times"))
-    if valid is not None:
-        postings = postings.where("ok")
-    scored = postings.join(sent(weights.select("query_id", "token", "idf", "avg_length")), "token")
-    part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / F.greatest("avg_length", F.lit(1.0))))
-    scores = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("token")).alias("matched")).where("score > 0")
+    weights = stored(weights.select("query_id", "token", "idf", "df", "shortest", F.greatest("avg_length", F.lit(1.0)).alias("avg_length")))
+    part = lambda length: F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * length / F.col("avg_length")))
+    postings = rows.where("token is not null and ok").drop("ok")
+
+    def summed(w: DataFrame) -> DataFrame:
+        scored = postings.join(sent(w.select("query_id", "token", "idf", "avg_length")), "token")
+        return scored.groupBy("query_id", "doc_id").agg(F.sum(part(F.col("length"))).alias("score"), F.collect_set("token").alias("matched"))
+
+    if (weights.agg(F.sum("df")).first()[0] or 0) <= whole:
+        scores = summed(weights)
+    else:
+        scores = _best_first(weights.withColumn("most", part(F.col("shortest"))), postings, summed, part, top_k)
+    scores = scores.where("score > 0").withColumn("matched", F.array_sort("matched"))
     return ranked(scores.withColumn("score", F.round("score", 6)), "query_id", [F.desc("score"), F.asc("doc_id")], top_k)
 
 
+def _best_first(weights: DataFrame, postings: DataFrame, summed: Callable[[DataFrame], DataFrame], part: Callable[[Column], Column], top_k: int) -> DataFrame:
+    """Scores of all documents that can be among a query's top_k, from weights with the most that a token can add.
+
+    The tokens that can add most give a score that the last of the top_k reaches at least. Tokens that together add less than that make no candidates: documents are found by the
+    others, kept if what is missing can still take them there, and only then looked up in the common tokens' postings.
+    """
+    by = Window.partitionBy("query_id")
+    w = stored(weights.where("most is not null").withColumns({"place": F.row_number().over(by.orderBy(F.desc("most"), "token")), "below": F.sum("most").over(by.orderBy(F.asc("most"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0))}))
+    early = ranked(summed(w.where(F.col("place") <= FIRST_TOKENS)), "query_id", [F.desc("score"), F.asc("doc_id")], top_k)
+    floor = early.where(F.col("rank") == top_k).select("query_id", (F.col("score") - 1e-5).alias("floor"))
+    w = w.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    w = stored(w.withColumn("common", F.col("below") < F.col("floor")))
+    left = w.groupBy("query_id").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("common"), F.col("most"))), F.lit(0.0)).alias("left"))
+    found = summed(w.where("not common")).join(F.broadcast(left) if left.count() <= BROADCAST_TERMS else left, "query_id")
+    found = stored(found.where(F.col("score") + F.col("left") >= F.col("floor")).select("query_id", "doc_id", "score", "matched"))
+    more = found.select("query_id", "doc_id").join(w.where("common").select("query_id", "token", "idf", "avg_length"), "query_id").join(postings, ["doc_id", "token"])
+    more = more.groupBy("query_id", "doc_id").agg(F.sum(part(F.col("length"))).alias("more"), F.collect_set("token").alias("also"))
+    both = found.join(more, ["query_id", "doc_id"], "left")
+    return both.select("query_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), F.concat("matched", F.coalesce("also", F.array().cast("array<string>"))).alias("matched"))
+
+
 def ranked(rows: DataFrame, by: str, order: list[Column], top_k: int | None = None, name: str = "rank") -> DataFrame:
     out = rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return out if top_k is None else out.where(F.col(name) <= top_k)

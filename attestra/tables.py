@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder; without one (tests, a single machine) in a folder of this machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; where none is set (tests, a single machine) one of this machine."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        held = context._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="attestra-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="attestra-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of the shared folder: later steps read the columns they need, and know its size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/attestra/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -126,3 +126,17 @@ def test_chunks_of_every_kind(spark):
     r = spark.createDataFrame([(4, ["p one", "p two"])], "doc_id int, paragraphs array<string>")
     got = sorted((x["doc_id"], x["kind"], x["header"], x["total_chunks"]) for x in K.chunked(j, s, a, r).collect())
     assert got == [(1, "headnote", "Headnote", 1), (2, "statute_section", "Section 5 - Heading", 1), (3, "constitution_article", "Article 14 - Equality", 1), (4, "lc_report_paragraphs", None, 1)]
+
+
+def test_common_tokens_are_looked_up_for_the_best_alone(spark):
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    p = 1 / np.arange(1, 61) ** 1.1
+    docs = [(i, sorted({*r.choice(words, r.integers(1, 25), p=p / p.sum())}), bool(i % 5)) for i in range(400)]
+    queries = [(i, list(r.choice(words, r.integers(1, 8), p=p / p.sum()))) for i in range(30)] + [(99, ["unknown"])]
+    q = spark.createDataFrame([(i, [str(x) for x in t]) for i, t in queries], "query_id int, tokens array<string>")
+    d = spark.createDataFrame([(i, [str(x) for x in t], ok) for i, t, ok in docs], "doc_id int, tokens array<string>, ok boolean")
+    for valid in (None, F.col("ok")):
+        for k in (3, 20):
+            one, two = (sorted((x["query_id"], x["rank"], x["doc_id"], x["score"], tuple(x["matched"])) for x in R.bm25(q, d, k, valid, whole=n).collect()) for n in (10**9, 0))
+            assert one == two and len(one) > 60
