@@ -101,7 +101,12 @@ def act_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHRASES = ["my landlord locked the house,", "Section 302 IPC punishment", "compare bail orders of", "how has the doctrine evolved", "is this a fundamental right", "company insolvency notice", "latest income tax rules", "maintenance after divorce", "consumer award", "plain words"]
 
 
-CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+#: The references that pages hold, with or without the closing sign; that of the sign itself last.
+REFERENCES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")]
+UNESCAPED = "{0}"
+for _name, _sign in REFERENCES:
+    UNESCAPED = f"regexp_replace({UNESCAPED}, '&{_name};?', '{_sign}', 'g')"
+CLEAN = "trim(regexp_replace(" + UNESCAPED.format("regexp_replace({0}, '<[^>]+>', ' ', 'g')") + r", '\s+', ' ', 'g'))"
 PARSED = f"""
 l AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(html, '(?i)<(?:/p|/div|/h1|/h2|/h3|br\\s*/?)>', chr(10), 'g'), chr(10)), lambda x: {CLEAN.format('x')}), lambda x: x <> '') AS lines FROM pages),
 b AS (SELECT page_id, url, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: {CLEAN.format('x')}), lambda x: x <> '') AS ps,

@@ -18,6 +18,7 @@ from ..operators import state as S
 from ..operators import verify as V
 from ..sources import html
 from ..sources.ingest import collection
+from .document_queries import UNESCAPED
 from .domain import Domain
 from .retrieval_queries import COURT
 
@@ -304,7 +305,7 @@ DRAFTED = "CASE " + " ".join(f"WHEN area = '{kind}' AND (" + " OR ".join(f"conta
 PASSAGES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', {q}::DOUBLE, {len(a)}, '{quoted(t)}')" for k, (n, _, _, q, a, t) in enumerate(H.PASSAGES)) + f", ({len(H.PASSAGES)}, '{H.GENERIC[0]}', {H.GENERIC[1]}::DOUBLE, 0, NULL)) t(k, strategy, quality, n_anchors, passage))"
 SPECS = "(SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{','.join(':'.join([f.split()[0], f.split()[1].strip('[]'), str('[' in f).lower()]) for f in fs)}')" for n, _, fs in L.COLLECTIONS) + ") t(name, fields))"
 LINES = r"""list_filter(list_transform(string_split(LEFT_, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '')"""
-UNTAGGED = r"replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<(?:/p|/div|/h1|/h2|/h3|br\s*/?)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+UNTAGGED = UNESCAPED.format(r"regexp_replace(regexp_replace(html, '(?i)<(?:/p|/div|/h1|/h2|/h3|br\s*/?)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')")
 i_section = "CASE WHEN i % 4 > 0 THEN (i % 300 + 1) || CASE WHEN i % 3 = 0 THEN 'A' ELSE '' END END"
 ORACLE_SQL = {
     "token_lists": f"SELECT doc_id, array_to_string({REFS.format('n')}, '|') AS \"references\", array_to_string({CITES.format('n')}, '|') AS citations, md5({SORTED.format(ALL_TOKENS.format('n'))}) AS tokens FROM (SELECT doc_id, {NORM.format('x')} AS n FROM {DOCS(REFERENCES)})",

@@ -1,11 +1,12 @@
-"""HTML pages to normalised lines, paragraphs, metadata, citations and appeal links. Native but for rare entities."""
+"""HTML pages to normalised lines, paragraphs, metadata, citations and appeal links. Native."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parsed_date, parties, squeeze
+from ..functions.entities import unescaped
+from ..functions.text import parsed_date, parties
 
 # Patterns of the page format.
 BREAK = r"(?i)<(?:/p|/div|/h1|/h2|/h3|br\s*/?)>"
@@ -19,13 +20,11 @@ NEUTRAL = r"(?i)(\d{4}\s+INSC\s+\d+)"
 CASE = r"([A-Z][A-Za-z0-9 .,&'-]+?\s+v(?:s\.?|\.?)\s+[A-Z][A-Za-z0-9 .,&'-]+)"
 BENCH = r"(?i)(?:Coram|Bench)\s*:\s*([^\n]+)"
 APPEAL = r"(?i)Appeal from ([^.]+)\."
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
-def unescaped(c: Column) -> Column:
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+def squeeze(c: Column) -> Column:
+    """White space of any kind collapsed and trimmed, that of references included."""
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def clean(c: Column) -> Column:
