@@ -51,11 +51,21 @@ def has_any(text: Column, parts: list[str]) -> Column:
     return out
 
 
-def normalized(text: Column) -> Column:
-    """Lower case, initials joined, `vs` as `v`, all but letters, digits and brackets as single spaces."""
+def prepared(text: Column) -> Column:
+    """Lower case, initials joined, `vs` as `v`."""
     initials = lambda t: F.when(t.rlike(r"[a-z]\.[a-z]\."), F.regexp_replace(t, r"(?:\G(?!^)|\b(?=(?:[a-z]\.){2}))([a-z])\.", "$1")).otherwise(t)
     versus = lambda t: F.when(t.rlike(r"\bv"), F.regexp_replace(t, r"\bvs?\.?\b", " v ")).otherwise(t)
-    return F.trim(F.regexp_replace(let(let(F.lower(text), initials), versus), r"[^a-z0-9()]+", " "))
+    return let(let(F.lower(text), initials), versus)
+
+
+def spaced(text: Column) -> Column:
+    """All but letters, digits and brackets as single spaces."""
+    return F.trim(F.regexp_replace(text, r"[^a-z0-9()]+", " "))
+
+
+def normalized(text: Column) -> Column:
+    """Lower case, initials joined, `vs` as `v`, all but letters, digits and brackets as single spaces."""
+    return spaced(prepared(text))
 
 
 def section_reference_tokens(code: Column, section: Column) -> Column:
@@ -90,12 +100,15 @@ def citation_tokens(norm: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct tokens in order: references, citations, words."""
+    """Distinct tokens in order: references, citations, words. Words are read from the text as it stands; it is spaced anew only where it may hold references."""
 
-    def of(n: Column) -> Column:
-        return F.concat(reference_tokens(n), citation_tokens(n), F.regexp_extract_all(n, F.lit(WORD), F.lit(0)))
+    def of(p: Column) -> Column:
+        none = F.array().cast("array<string>")
+        references = F.when(has_any(p, ["ipc", "crpc", "bns", "bsa", "article"]) & p.rlike(r"(?:\b|\d[a-z]?)(?:ipc|crpc|bns|bsa)|\barticle"), let(spaced(p), reference_tokens)).otherwise(none)
+        citations = F.when(has_any(p, ["air", "scc", "insc"]) & p.rlike(r"\bair[^a-z]|scc|insc"), let(spaced(p), citation_tokens)).otherwise(none)
+        return F.concat(references, citations, F.regexp_extract_all(p, F.lit(WORD), F.lit(0)))
 
-    return F.filter(F.array_distinct(let(normalized(text), of)), lambda t: t != "")
+    return F.filter(F.array_distinct(let(prepared(text), of)), lambda t: t != "")
 
 
 def aliases(act_name: Column) -> Column:
