@@ -30,7 +30,8 @@ def corpus_statistics(tokens: DataFrame) -> DataFrame:
 
 
 def document_frequencies(tokens: DataFrame) -> DataFrame:
-    return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    # explode alone would have Spark infer a filter on the size of the tokens, for which they are made twice
+    return tokens.select(F.explode_outer("tokens").alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("df"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 20, valid: Column | None = None, k1: float = K1, b: float = B, whole: int = WHOLE_POSTINGS) -> DataFrame:
@@ -46,7 +47,7 @@ def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 20, valid: Column | N
     sent = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda df: df)
     wanted = terms.select("token").distinct().withColumn("wanted", F.lit(True))
     ok = valid if valid is not None else F.lit(True)
-    rows = docs.select("doc_id", F.size("tokens").alias("length"), F.coalesce(ok, F.lit(False)).alias("ok"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
+    rows = docs.select("doc_id", F.size("tokens").alias("length"), F.coalesce(ok, F.lit(False)).alias("ok"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
     rows = stored(rows.join(sent(wanted), "token", "left").where("token is null or wanted").drop("wanted"))
     stats = rows.where("token is null").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     df = rows.where("token is not null").groupBy("token").agg(F.count("*").alias("df"), F.min(F.when(F.col("ok"), F.col("length"))).alias("shortest"))

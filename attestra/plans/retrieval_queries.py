@@ -92,14 +92,21 @@ def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(d: Domain) -> DataFrame:
-    """Documents that contain an item's text: by a shared word run first, so that no text is held against all items."""
+    """Documents that contain an item's text: by a run of its inner words first, so that no text is held against all items. Items without inner words are held against every text."""
     key = lambda words: F.xxhash64(F.array_join(words, " "))
-    split = lambda c: F.split(F.col(c), " ")
-    b = d.table("benchmark").select("item_id", F.col("text").alias("item"), key(F.slice(split("text"), 2, 3)).alias("key")).where(F.size(split("text")) >= 5)
-    t = d.table("documents").select("doc_id", "text", split("text").alias("w")).select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.slice(F.col("w"), i + 1, F.lit(3))))).alias("key"))
-    keys = b.select("key").distinct()
-    found = t.select("doc_id", "key").distinct().join(F.broadcast(keys), "key", "left_semi").join(b, "key")
-    return found.join(d.table("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select(F.col("item_id").alias("case_id"), "doc_id", F.lit(True).alias("relevant"), F.lit(1).alias("grade")).distinct()
+    b = d.table("benchmark").select("item_id", F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    b = b.withColumn("size", F.least(F.size("w") - 2, F.lit(3)))
+    keyed = b.where("size > 0").select("item_id", "item", "size", key(F.slice("w", F.lit(2), F.col("size"))).alias("key"))
+    t = d.table("documents").select("doc_id", "text", F.split("text", " ").alias("w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.struct(F.lit(n).alias("size"), key(F.slice(F.col("w"), i + 1, F.lit(n))).alias("key")))
+    sizes = [r[0] for r in keyed.select("size").distinct().collect()]
+    met = t.select("doc_id", F.explode_outer(F.concat(*[runs(n) for n in sizes] or [F.array().cast("array<struct<size:int,key:bigint>>")])).alias("r")).select("doc_id", "r.size", "r.key")
+    found = met.join(F.broadcast(keyed.select("size", "key").distinct()), ["size", "key"], "left_semi").distinct().join(keyed, ["size", "key"]).select("doc_id", "item_id", "item")
+    found = found.join(d.table("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    short = b.where("size <= 0").select("item_id", "item")
+    if not short.isEmpty():
+        found = found.unionByName(t.join(short, F.contains("text", F.col("item"))).select("item_id", "doc_id"))
+    return found.select(F.col("item_id").alias("case_id"), "doc_id", F.lit(True).alias("relevant"), F.lit(1).alias("grade")).distinct()
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,12 @@ def test_report_windows_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["doc_id"], r["chunk_index"], r["first"], r["end"]) for r in K.report_windows(spark, str(tmp_path)).collect())
     assert got == [(i, n, a, b) for i, s in sizes.items() for n, (a, b) in enumerate(windows(s))]
+
+
+def test_items_of_any_length_are_found(spark, tmp_path):
+    texts = {1: "the quick brown fox jumps over it", 2: "prequick brown foxes", 3: "quick", 4: "a b c d e f", 5: ""}
+    items = {1: "quick brown fox", 2: "quick", 3: "brown", 4: "a b c d e", 5: "k b", 6: "b c", 7: "x y z", 8: "quick brown fox jumps over"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["case_id"], r["doc_id"]) for r in Q.qrels(Domain(spark, str(tmp_path))).collect()}
+    assert got == {(i, d) for i, x in items.items() for d, t in texts.items() if x in t}
