@@ -190,7 +190,7 @@ def item_cases(d: Domain) -> DataFrame:
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Q.summary(Q.quality(item_cases(Domain(spark, sf_dir))))
-    return s.select("n_cases", *[F.round(m, 4).alias(m) for m in ("rouge_l", "context_entity_recall", "noise_robustness", "hallucination_score", "faithfulness")])
+    return s.select("n_cases", *[F.round(m, 4).alias(m) for m in Q.MEASURES])
 
 
 def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,17 +214,18 @@ ag AS (SELECT item_id, count(*) AS m, 1 + count(*) FILTER (pi IS NOT NULL AND NO
 sc AS (SELECT * FROM sx JOIN ls USING (item_id) LEFT JOIN ag USING (item_id))""".replace("STEM", "CASE " + " ".join(f"WHEN t LIKE '%{s}' AND length(t) >= {len(s) + 3} THEN left(t, length(t) - {len(s)})" for s in Q.SUFFIXES) + " ELSE t END")
 #: What the contexts hold. Sentences are whole items here; equal texts support each other, others do where their vectors are near.
 SUPPORT = r"""it AS (SELECT item_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM benchmark),
-cx AS (SELECT a.item_id, a.text AS answer, b.text AS reference, list_filter([c.text, CASE WHEN a.item_id % 2 = 0 THEN a.text END], lambda x: x IS NOT NULL) AS contexts, CASE WHEN a.item_id % 3 = 0 THEN d.text END AS noise FROM it a JOIN it b ON b.item_id = a.item_id + 1 LEFT JOIN it c ON c.item_id = a.item_id + 2 LEFT JOIN it d ON d.item_id = a.item_id + 3),
-sn AS (SELECT item_id, 'a' AS side, unnest(SENTENCES(answer)) AS s FROM cx UNION ALL SELECT item_id, 'c', unnest(SENTENCES(c)) FROM (SELECT item_id, unnest(contexts) AS c FROM cx)),
-tx AS (SELECT DISTINCT s FROM (SELECT s FROM sn UNION ALL SELECT answer FROM cx UNION ALL SELECT unnest(contexts) FROM cx UNION ALL SELECT noise FROM cx)),
+cx AS (SELECT a.item_id, a.text AS answer, b.text AS reference, c.text AS query, list_filter([c.text, CASE WHEN a.item_id % 2 = 0 THEN a.text END], lambda x: x IS NOT NULL) AS contexts, CASE WHEN a.item_id % 3 = 0 THEN d.text END AS noise FROM it a JOIN it b ON b.item_id = a.item_id + 1 LEFT JOIN it c ON c.item_id = a.item_id + 2 LEFT JOIN it d ON d.item_id = a.item_id + 3),
+sn AS (SELECT item_id, 'a' AS side, unnest(SENTENCES(answer)) AS s FROM cx UNION ALL SELECT item_id, 'c', unnest(SENTENCES(c)) FROM (SELECT item_id, unnest(contexts) AS c FROM cx) UNION ALL SELECT item_id, 'r', unnest(SENTENCES(c)) FROM (SELECT item_id, reference AS c FROM cx)),
+tx AS (SELECT DISTINCT s FROM (SELECT s FROM sn UNION ALL SELECT answer FROM cx UNION ALL SELECT reference FROM cx UNION ALL SELECT query FROM cx UNION ALL SELECT unnest(contexts) FROM cx UNION ALL SELECT noise FROM cx)),
 hw AS (SELECT s, word, count(*) AS n FROM (SELECT s, unnest(list_filter(regexp_split_to_array(lower(trim(s)), '\s+'), lambda x: x <> '')) AS word FROM tx) GROUP BY ALL), hx AS (SELECT word, k, CAST('0x' || substr(sha256(word), 2 * k + 1, 2) AS INT) / 255.0::DOUBLE - 0.5 AS x FROM (SELECT DISTINCT word FROM hw), range(24) t(k)),
 ve AS (SELECT s, list(v ORDER BY k) AS v FROM (SELECT s, k, sum(n * x) AS v FROM hw JOIN hx USING (word) GROUP BY ALL) GROUP BY s),
-fa AS (SELECT a.item_id, a.s, max(list_cosine_similarity(x.v, y.v)) AS best FROM sn a JOIN sn c ON c.item_id = a.item_id AND a.side = 'a' AND c.side = 'c' JOIN ve x ON x.s = a.s JOIN ve y ON y.s = c.s GROUP BY ALL),
-fs AS (SELECT item_id, avg(CASE WHEN best >= 0.72 THEN 1.0 ELSE 0 END) AS faith FROM fa GROUP BY item_id),
+fa AS (SELECT a.item_id, a.side, a.s, max(list_cosine_similarity(x.v, y.v)) AS best FROM sn a JOIN sn c ON c.item_id = a.item_id AND a.side <> 'c' AND c.side = 'c' JOIN ve x ON x.s = a.s JOIN ve y ON y.s = c.s GROUP BY ALL),
+fs AS (SELECT item_id, avg(CASE WHEN best >= 0.72 THEN 1.0 ELSE 0 END) FILTER (side = 'a') AS faith, avg(CASE WHEN best >= 0.72 THEN 1.0 ELSE 0 END) FILTER (side = 'r') AS recalled FROM fa GROUP BY item_id),
+si AS (SELECT item_id, coalesce(list_cosine_similarity(x.v, y.v), 0) AS alike, coalesce(list_cosine_similarity(x.v, z.v), 0) AS relevant FROM cx LEFT JOIN ve x ON x.s = answer LEFT JOIN ve y ON y.s = reference LEFT JOIN ve z ON z.s = query),
 pc AS (SELECT item_id, noisy, avg(CASE WHEN list_cosine_similarity(x.v, y.v) >= 0.55 THEN 1.0 ELSE 0 END) AS p FROM (SELECT item_id, answer, 0 AS noisy, unnest(contexts) AS c FROM cx UNION ALL SELECT item_id, answer, 1, unnest(list_append(contexts, noise)) FROM cx WHERE noise IS NOT NULL) z JOIN ve x ON x.s = answer JOIN ve y ON y.s = c GROUP BY ALL),
-en AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(reference), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT regexp_full_match(t, '\d+') AND NOT list_contains([STOPS], t))) AS names, lower(array_to_string(contexts, ' ')) AS whole FROM cx),
-su AS (SELECT cx.item_id, coalesce(faith, 0) AS faith, CASE WHEN noise IS NULL THEN 1 ELSE greatest(0, 1 - abs(coalesce(p0.p, 0) - p1.p)) END AS robust, CASE WHEN len(names) = 0 THEN 0 ELSE len(list_filter(names, lambda n: contains(whole, n))) / len(names) END AS recall
-FROM cx JOIN en USING (item_id) LEFT JOIN fs USING (item_id) LEFT JOIN pc p0 ON p0.item_id = cx.item_id AND p0.noisy = 0 LEFT JOIN pc p1 ON p1.item_id = cx.item_id AND p1.noisy = 1)""".replace("STOPS", ", ".join(f"'{w}'" for w in Q.STOPWORDS))
+en AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(reference), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT regexp_full_match(t, '\d+') AND NOT list_contains([STOPS], t))) AS names, lower(array_to_string(contexts, ' ')) AS whole, lower(answer) AS said FROM cx),
+su AS (SELECT cx.item_id, coalesce(faith, 0) AS faith, coalesce(recalled, 0) AS recalled, alike, relevant, coalesce(p0.p, 0) AS helpful, CASE WHEN len(names) = 0 THEN 1 ELSE len(list_filter(names, lambda n: contains(said, n))) / len(names) END AS named, CASE WHEN noise IS NULL THEN 1 ELSE greatest(0, 1 - abs(coalesce(p0.p, 0) - p1.p)) END AS robust, CASE WHEN len(names) = 0 THEN 0 ELSE len(list_filter(names, lambda n: contains(whole, n))) / len(names) END AS recall
+FROM cx JOIN en USING (item_id) JOIN si USING (item_id) LEFT JOIN fs USING (item_id) LEFT JOIN pc p0 ON p0.item_id = cx.item_id AND p0.noisy = 0 LEFT JOIN pc p1 ON p1.item_id = cx.item_id AND p1.noisy = 1)""".replace("STOPS", ", ".join(f"'{w}'" for w in Q.STOPWORDS))
 SUPPORT = SUPPORT.replace("SENTENCES(answer)", "string_split(regexp_replace(trim(regexp_replace(answer, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))").replace("SENTENCES(c)", "string_split(regexp_replace(trim(regexp_replace(c, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))")
 ORDER_FILES = """o AS (SELECT o_custkey AS case_id, o_orderkey AS doc_index, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
 CASE o_orderstatus WHEN 'F' THEN 'Bail was rejected' WHEN 'O' THEN 'Bail was granted' ELSE 'The order is reserved' END || ' by the Bombay High Court on ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '.' AS text FROM orders)"""
@@ -277,7 +278,11 @@ SELECT o_custkey, o_orderkey, CAST(CAST(day + 30 AS DATE) AS VARCHAR) AS period_
     "upload_modes": "SELECT CAST(l_orderkey AS VARCHAR) AS path, CASE WHEN count(DISTINCT l_returnflag = 'R') > 1 THEN 'mixed' WHEN max(l_returnflag = 'R') THEN 'typed' ELSE 'scanned' END AS mode FROM lineitem GROUP BY l_orderkey",
     "answer_sources": "WITH x AS (SELECT l_orderkey AS answer_id, l_suppkey % 3 AS doc_id, min(l_linenumber) AS position FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY position, doc_id) AS rank FROM x",
     "rouge_scores": f"""WITH RECURSIVE {ROUGE} SELECT item_id, round(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0), 6) AS rouge_l, round(CASE WHEN sa = sb AND len(sa) > 0 THEN 1 WHEN m IS NULL THEN 0 ELSE 10 * (m / len(a)) * (m / len(b)) / (m / len(b) + 9 * (m / len(a))) * (1 - 0.5 * pow(runs / m, 3)) END, 6) AS meteor FROM sc""",
-    "quality_summary": f"""WITH RECURSIVE {ROUGE}, {SUPPORT} SELECT count(*) AS n_cases, round(avg(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0)), 4) AS rouge_l, round(avg(recall), 4) AS context_entity_recall, round(avg(robust), 4) AS noise_robustness, round(1 - avg(faith), 4) AS hallucination_score, round(avg(faith), 4) AS faithfulness FROM sc JOIN su USING (item_id)""",
+    "quality_summary": f"""WITH RECURSIVE {ROUGE}, {SUPPORT},
+ms AS (SELECT *, CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0 WHEN sa = sb THEN 1 WHEN m IS NULL THEN 0 ELSE 10 * (m / len(a)) * (m / len(b)) / greatest(m / len(b) + 9 * (m / len(a)), 1e-9) * (1 - 0.5 * pow(runs / m, 3)) END AS meteor FROM sc JOIN su USING (item_id))
+SELECT count(*) AS n_cases, round(avg(alike), 4) AS bert_score_f1, round(avg(coalesce(CASE WHEN lcs > 0 THEN 2.0 * lcs / (len(a) + len(b)) END, 0)), 4) AS rouge_l, round(avg(meteor), 4) AS meteor, round(avg(faith), 4) AS faithfulness, round(avg(relevant), 4) AS answer_relevancy,
+round(avg(helpful), 4) AS context_precision, round(avg(recalled), 4) AS context_recall, round(avg(recall), 4) AS context_entity_recall, round(1 - avg(faith), 4) AS hallucination_score, round(avg(helpful), 4) AS contextual_precision, round(avg(recalled), 4) AS contextual_recall,
+round(avg(0.6 * alike + 0.4 * named), 4) AS g_eval_legal_accuracy, round(avg(robust), 4) AS noise_robustness FROM ms""",
     "report_windows": r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM documents),
 w AS (SELECT doc_id, list_transform(ps, lambda x: len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda y: y <> ''))) AS ws FROM p WHERE len(ps) > 0),
 r AS (SELECT doc_id, ws, 0 AS chunk_index, 0 AS first, greatest(1, len(list_filter(range(1, len(ws) + 1), lambda k: k = 1 OR list_sum(ws[1:k]) <= 220))) AS e FROM w
