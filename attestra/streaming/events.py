@@ -131,13 +131,14 @@ class Reducer(StatefulProcessor):
         pass
 
 
-def reduced_stream(events: DataFrame, late: str = "10 minutes", keep_minutes: int = 30, first: int = 1) -> DataFrame:
+def reduced_stream(events: DataFrame, late: str = "10 minutes", keep_minutes: int = 30, first: int = 0) -> DataFrame:
     """Stream: the state of every query after each micro-batch that has events of it, or ends it.
 
-    events with ts, which the watermark follows; sequences start at `first`. In whatever order batches bring events, the last row of a query is that of reduced(). Keyed state needs the
+    The watermark follows the events' ts, or without that column the time of their batch; sequences start at `first` (those of streaming.build at 1). In whatever order batches bring events, the last row of a query is that of reduced(). Keyed state needs the
     state store of the session to be RocksDB.
     """
-    out = events.withWatermark("ts", late).groupBy("query_id")
+    timed = events if "ts" in events.columns else events.withColumn("ts", F.current_timestamp())
+    out = timed.withWatermark("ts", late).groupBy("query_id")
     return out.transformWithStateInPandas(statefulProcessor=Reducer(first, keep_minutes * 60_000), outputStructType=RESULT, outputMode="Update", timeMode="EventTime")
 
 
