@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .text import numeric_token, squeeze
+from .text import let, numeric_token, squeeze
 
 # Corrections with their labels, names of codes, citation forms.
 CORRECTIONS = [
@@ -57,13 +57,39 @@ def matches(text: Column, pattern: str, build) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build)
 
 
+def _fold(text: Column, steps: list) -> Column:
+    """(text, found) after every step (text -> new text, what is found in it); each step's text is made once."""
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+    for step in steps:
+        state = let(state, _taken(step))
+    return state
+
+
+def _taken(step):
+    def run(s: Column) -> Column:
+        new, found = step(s["text"])
+        return F.struct(new.alias("text"), F.concat(s["found"], found).alias("found"))
+
+    return run
+
+
+def _rewriting(pattern: str, build):
+    return lambda t: (rewritten(t, pattern, build), matches(t, pattern, build))
+
+
+def _parts(state: Column) -> tuple[Column, Column]:
+    return state["text"], F.array_distinct(state["found"])
+
+
+def corrections(text: Column) -> Column:
+    """(text, found): text with spellings corrected, and the labels of the corrections that fitted."""
+    none = F.array().cast("array<string>")
+    return _fold(text, [lambda t, p=p, to=to, label=label: (F.regexp_replace(t, p, to), F.when(t.rlike(p), F.array(F.lit(label))).otherwise(none)) for p, to, label in CORRECTIONS])
+
+
 def corrected(text: Column) -> tuple[Column, Column]:
     """Text with spellings corrected, and the labels of the corrections that fitted, each once."""
-    labels = []
-    for pattern, to, label in CORRECTIONS:
-        labels.append(F.when(text.rlike(pattern), F.lit(label)))
-        text = F.regexp_replace(text, pattern, to)
-    return text, F.array_distinct(F.array_compact(F.array(*labels)))
+    return _parts(corrections(text))
 
 
 def _section(name: str, code: str) -> tuple:
@@ -71,28 +97,31 @@ def _section(name: str, code: str) -> tuple:
     return pattern, lambda m: F.concat(F.lit("Section "), F.upper(numeric_token(F.regexp_extract(m, pattern, 1))), F.lit(f" {code}"))
 
 
+def sections(text: Column) -> Column:
+    """(text, found) of with_sections. Texts without a word for section stay as they are."""
+    some = text.rlike(r"(?i)u/s|u\.s\.|sec")
+    return F.when(some, _fold(text, [_rewriting(*_section(*c)) for c in CODES])).otherwise(_fold(text, []))
+
+
 def with_sections(text: Column) -> tuple[Column, Column]:
     """Text with `u/s 302 ipc` and its kin as `Section 302 IPC`, letters taken for digits put right; and these sections, by code, each once."""
-    found = []
-    for pattern, build in (_section(*c) for c in CODES):
-        found.append(matches(text, pattern, build))
-        text = rewritten(text, pattern, build)
-    return text, F.array_distinct(F.concat(*found))
+    return _parts(sections(text))
 
 
-def with_citations(text: Column) -> tuple[Column, Column]:
-    """Text with AIR, SCC and SCC OnLine citations, in their usual form, digits put right; and these citations, by kind, each once."""
+def citations(text: Column) -> Column:
+    """(text, found) of with_citations."""
     g = lambda m, p, i: numeric_token(F.regexp_extract(m, p, i))
     kinds = [
         (AIR, lambda m: F.concat_ws(" ", F.lit("AIR"), g(m, AIR, 1), F.upper(F.regexp_extract(m, AIR, 2)), g(m, AIR, 3))),
         (SCC, lambda m: F.concat(F.lit("("), g(m, SCC, 1), F.lit(") "), g(m, SCC, 2), F.lit(" SCC "), g(m, SCC, 3))),
         (ONLINE, lambda m: F.concat_ws(" ", g(m, ONLINE, 1), F.lit("SCC OnLine"), F.upper(F.regexp_extract(m, ONLINE, 2)), g(m, ONLINE, 3))),
     ]
-    found = []
-    for pattern, build in kinds:
-        found.append(matches(text, pattern, build))
-        text = rewritten(text, pattern, build)
-    return text, F.array_distinct(F.concat(*found))
+    return _fold(text, [_rewriting(*k) for k in kinds])
+
+
+def with_citations(text: Column) -> tuple[Column, Column]:
+    """Text with AIR, SCC and SCC OnLine citations, in their usual form, digits put right; and these citations, by kind, each once."""
+    return _parts(citations(text))
 
 
 def parties_found(text: Column) -> Column:
@@ -105,13 +134,10 @@ def parties_found(text: Column) -> Column:
 
 def normalised(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with normalized_text, citations, sections, parties (clusters), corrections of their recognised text."""
-    fixed, labels = corrected(squeeze(F.col(text)))
-    d = documents.withColumn("corrections", labels).withColumn("_t", F.regexp_replace(fixed, r"(?i)\b(vs\.?|versus)\b", "v."))
-    t, found = with_sections(F.col("_t"))
-    d = d.withColumn("sections", found).withColumn("_t", t)
-    t, found = with_citations(F.col("_t"))
-    d = d.withColumn("citations", found).withColumn("_t", t)
-    return d.withColumn("parties", party_clusters(parties_found(F.col("_t")))).withColumnRenamed("_t", "normalized_text")
+    d = documents.withColumn("_s", corrections(squeeze(F.col(text)))).withColumn("corrections", F.array_distinct("_s.found"))
+    d = d.withColumn("_s", sections(F.regexp_replace("_s.text", r"(?i)\b(vs\.?|versus)\b", "v."))).withColumn("sections", F.array_distinct("_s.found"))
+    d = d.withColumn("_s", citations(F.col("_s.text"))).withColumn("citations", F.array_distinct("_s.found")).withColumn("normalized_text", F.col("_s.text"))
+    return d.withColumn("parties", party_clusters(parties_found(F.col("normalized_text")))).drop("_s")
 
 
 def compare_key(value: str) -> str:

@@ -62,21 +62,6 @@ def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("case_id", "case_type", "stage", "court", F.round("confidence", 3).alias("confidence"), F.size("sections").alias("n_sections"), F.array_join("statutes", ",").alias("statutes"), F.size("key_facts").alias("n_facts"), F.array_join("open_issues", "|").alias("open_issues"))
 
 
-def case_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Type and stage of a case text for every signal."""
-    c = spark.createDataFrame(list(enumerate(SIGNALS)), "i int, text string")
-    return c.select("text", K.case_type(F.col("text"), F.array().cast("array<string>")).alias("case_type"), K.first_of(F.col("text"), K.STAGES).alias("stage"))
-
-
-#: Text, and the type and the stage that must come out.
-EXPECTED = [
-    ("the landlord in a revision", "property", "revision"), ("a charge sheet on bail", "criminal", "bail"), ("a chargesheet in a trial", None, "charges"), ("divorce and appeal", "family", "appeal"), ("gst execution", "tax", "execution"),
-    ("the company in trial", "corporate", "trial"), ("wages under investigation", "labour", "investigation"), ("an arbitral award", "arbitration", None), ("a consumer case", "consumer", None), ("a fundamental right", "constitutional", None),
-    ("nothing of note", None, None), ("the civil suit", "civil", None), ("maintainability alone", None, None), ("specific relief act, consumer", "property", None),
-]
-SIGNALS = [t for t, _, _ in EXPECTED]
-
-
 def edge_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document how many follow and distinguish it, and the last that overrules it."""
     d = Domain(spark, sf_dir)
@@ -199,7 +184,7 @@ def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report_chunks(d).select("doc_id", "chunk_index", "first", "end")
 
 
-QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_types, case_sides, verification_items, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, report_windows]}
+QUERIES = {f.__name__: f for f in [document_ids, collections, text_dates, order_statements, bail_histories, case_files, case_sides, verification_items, research_notes, claim_assessments, edge_linkage, graph_statements, appeal_exports, invoices, subscription_periods, upload_modes, answer_sources, answer_graph, rouge_scores, quality_summary, report_windows]}
 EDGES = """WITH e AS (SELECT DISTINCT source, target, (['follows','distinguishes','explains','refers_to','affirms','overrules','follows','refers_to','explains'])[source % 9 + 1] AS type
 FROM (SELECT doc_id AS source, unnest([doc_id // 2, doc_id // 3]) AS target FROM documents) WHERE source <> target)"""
 #: Items against the next: a row of the subsequence table per step; k-th stems of either side aligned.
@@ -245,7 +230,6 @@ f AS (SELECT case_id, doc_index % 40 AS s, min(doc_index) AS first FROM o WHERE
 SELECT case_id, CASE WHEN sections IS NOT NULL OR bail THEN 'criminal' END AS case_type, CASE WHEN bail THEN 'bail' END AS stage, 'Bombay High Court' AS court, confidence, CAST(coalesce(len(sections), 0) AS INT) AS n_sections, CASE WHEN sections IS NULL THEN '' ELSE 'IPC' END AS statutes, CAST(n_facts AS INT) AS n_facts,
 CASE WHEN bail THEN 'Whether bail should be granted for ' || coalesce(array_to_string(sections[1:2], ', '), 'the alleged offences') || '.' || CASE WHEN refused THEN '|Whether changed circumstances justify bail after the earlier rejection order.' ELSE '' END
  WHEN sections IS NOT NULL THEN 'What relief is available under ' || sections[1] || '?' ELSE '' END AS open_issues FROM c LEFT JOIN g USING (case_id)""",
-    "case_types": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in EXPECTED) + ") t(text, case_type, stage)",
     "research_notes": f"""WITH {ORDER_FILES}, b AS (SELECT case_id, bool_or(o_orderstatus IN ('F', 'O')) AS bail, bool_or(o_orderstatus = 'F') AS refused, count(*) FILTER (o_orderstatus = 'F') AS n_refused FROM o GROUP BY case_id),
 f AS (SELECT case_id, doc_index % 40 AS s, min(doc_index) AS first FROM o WHERE doc_index % 3 = 0 GROUP BY ALL), g AS (SELECT case_id, list('IPC ' || s ORDER BY first) AS sections FROM f GROUP BY case_id),
 x AS (SELECT *, CASE WHEN bail THEN 'bail' END AS stage, CASE WHEN bail THEN ['Whether bail should be granted for ' || coalesce(array_to_string(sections[1:2], ', '), 'the alleged offences') || '.'] || CASE WHEN refused THEN ['Whether changed circumstances justify bail after the earlier rejection order.'] ELSE [] END

@@ -16,7 +16,7 @@ from ..operators import hyde as H
 from ..operators import routing as R
 from ..operators import state as S
 from ..operators import verify as V
-from ..sources import html
+from ..sources import html, uploads
 from ..sources.ingest import collection
 from .document_queries import UNESCAPED
 from .domain import Domain
@@ -39,6 +39,12 @@ NAMED: list[Form] = [
 ASKED: list[Form] = [["my landlord changed the locks"], ["anticipatory relief after an arrest"], ["murder trial"], ["no salary since May"], ["privacy and bail"], ["pay"]]
 CITING: list[Form] = [["it was followed here"], ["this overruled that"], ["distinguished from the case"], ["doubted and approved"], ["relied on it"], ["reverses the order"], ["it clarifies much"], ["affirmed"], ["disapproved"], ["seen"]]
 
+#: What a case is about, and the stage it is at.
+STATED: list[Form] = [
+    ["the landlord in a revision"], ["a charge sheet on bail"], ["a chargesheet in a trial"], ["divorce and appeal"], ["gst execution"], ["the company in trial"], ["wages under investigation"], ["an arbitral award"], ["a consumer case"], ["a fundamental right"], ["nothing of note"],
+    ["the civil suit"], ["maintainability alone"], ["specific relief act, consumer"], ["Section ", (511, 1), " IPC"],
+]
+
 
 def form(forms: list[Form], i: Column) -> Column:
     part = lambda p: F.lit(p) if isinstance(p, str) else (i % p[0] + p[1]).cast("string")
@@ -196,6 +202,26 @@ def _document_tokens(x: Column, i: Column) -> dict[str, Column]:
     return {"tokens": digest(T.document_tokens(x, pick(ACTS, i), section))}
 
 
+def page_files(d: Domain) -> DataFrame:
+    """Documents as pages of files, seven of them each: typed where a page has text enough, else recognised."""
+    x = added(d, "documents", "doc_id", RECOGNISED)
+    text = F.when(F.col("i") % 5 == 0, form(RECOGNISED, F.col("i"))).otherwise(F.col("x"))
+    p = x.select(F.floor(F.col("i") / 7).cast("string").alias("path"), (F.col("i") % 7 + 1).cast("int").alias("page"), text.alias("text"), F.lit(0.5).alias("base"))
+    return p.withColumn("kind", F.when(F.char_length(T.squeeze(F.col("text"))) >= uploads.TYPED, "typed_pdf").otherwise("scanned_pdf"))
+
+
+def processed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of pages: mode, confidence, text, and the citations and sections of all pages in order."""
+    f = uploads.files_merged(uploads.cleaned_pages(page_files(Domain(spark, sf_dir))))
+    return f.select("path", "mode", "extraction_method", "page_count", "confidence", F.md5("raw_extracted_text").alias("raw_digest"), joined(F.col("citations")).alias("citations"), joined(F.col("sections")).alias("sections"))
+
+
+def _case_kinds(x: Column, i: Column) -> dict[str, Column]:
+    """Type and stage of a text; every seventh is charged with a section."""
+    charged = F.when(i % 7 == 0, F.array(F.concat(F.lit("BNS "), number(i)))).otherwise(F.array().cast("array<string>"))
+    return {"case_type": K.case_type(x, charged), "stage": K.first_of(x, K.STAGES)}
+
+
 def _entities(x: Column, i: Column) -> dict[str, Column]:
     return {"result": joined(F.array_sort(F.transform(R.entities(x), lambda e: F.concat_ws(":", e["kind"], e["text"]))))}
 
@@ -219,6 +245,7 @@ QUERIES = {
         of_turns("case_names", NAMED, lambda x, i: {"result": joined(F.array_sort(R.case_names(x)))}),
         of_turns("courts_named", NAMED, lambda x, i: {"result": joined(R.courts(x))}),
         of_turns("query_entities", NAMED, _entities),
+        of_turns("case_types", STATED, _case_kinds),
         statute_parts,
         of_documents("judgment_kinds", [[""]], lambda x, i: {"result": chunks.judgment_kind(pick(HEADERS, i), F.col("text"))}),
         of_rows("numeric_tokens", "part", ["p_partkey"], lambda: {"result": T.numeric_token(F.concat_ws(" ", "p_name", "p_brand"))}),
@@ -244,6 +271,7 @@ QUERIES = {
         of_rows("comparable_values", "orders", ["o_orderkey"], lambda: {"day": F.coalesce(F.date_format(L.comparable(moment(), "datetime"), "yyyy-MM-dd HH:mm"), F.lit("none")), "amount": L.comparable(F.when(o() % 4 == 0, F.col("o_totalprice").cast("string")).otherwise("n/a"), "integer").cast("double")}),
         of_documents("excerpts", REFERENCES, lambda x, i: {"result": F.md5(A.excerpt(x))}, first=True),
         page_titles,
+        processed_uploads,
         hypothetical_drafts,
         indexed_fields,
     ]
@@ -296,6 +324,29 @@ def _corrected() -> str:
     return sql
 
 
+def _page_corrections(x: str) -> str:
+    for pattern, to, _ in ocr.CORRECTIONS:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+#: Typed pages are those with 24 characters; values stand where they first occur.
+PAGE_FILES = f"""pg AS (SELECT doc_id // 7 AS f, doc_id % 7 + 1 AS page, {SQUEEZE.format("CASE WHEN doc_id % 5 = 0 THEN " + form_sql(RECOGNISED, 'doc_id') + " ELSE x END")} AS raw FROM {DOCS(RECOGNISED)}),
+px AS (SELECT f, page, raw, length(raw) >= {uploads.TYPED} AS typed, {_page_corrections('raw')} AS x FROM pg),
+vs AS (SELECT f, page, 'c' AS kind, unnest(cs) AS v, generate_subscripts(cs, 1) AS i FROM (SELECT f, page, {OCR_CITATIONS} AS cs FROM px) UNION ALL SELECT f, page, 's', unnest(cs), generate_subscripts(cs, 1) FROM (SELECT f, page, {OCR_SECTIONS} AS cs FROM px)),
+vf AS (SELECT f, kind, v, min(page * 1000000 + i) AS pos FROM vs GROUP BY ALL), vl AS (SELECT f, string_agg(v, '|' ORDER BY pos) FILTER (kind = 'c') AS citations, string_agg(v, '|' ORDER BY pos) FILTER (kind = 's') AS sections FROM vf GROUP BY f),
+pf AS (SELECT f, count(*) AS page_count, bool_and(typed) AS all_typed, bool_or(typed) AS some_typed, md5(string_agg(nullif(raw, ''), chr(10) ORDER BY page)) AS raw_digest,
+  round(avg(CASE WHEN raw = '' THEN 0.2 WHEN typed THEN round(least(0.99, 0.72 + least(length(raw), 500) / 2000.0::DOUBLE), 3) ELSE round(least(0.98, 0.5 + least(length(raw), 300) / 1500.0::DOUBLE), 3) END), 3) AS confidence FROM px GROUP BY f)"""
+
+
+def _first_of(text: str, rules: list[tuple[str, list[str]]], coded: str = "FALSE") -> str:
+    """The first rule of which the text holds a signal; criminal also if coded."""
+    return "CASE " + " ".join("WHEN " + " OR ".join([f"contains(lower({text}), '{s}')" for s in signals] + ([coded] if name == "criminal" else [])) + f" THEN '{name}'" for name, signals in rules) + " END"
+
+
+CODED_FIRST = " OR ".join(f"starts_with(coalesce(({SECTIONS_SQL})[1], ''), '{p_}')" for p_ in R.CODE_PREFIXES)
+CASE_KINDS = f"""SELECT conv_id, turn, CASE WHEN i % 7 = 0 THEN 'criminal' ELSE coalesce({_first_of('whole', K.TYPES)}, CASE WHEN area IN ({', '.join(f"'{t}'" for t in K.ROUTED_TYPES)}) THEN area END) END AS case_type, {_first_of('whole', K.STAGES)} AS stage
+FROM (SELECT *, {_first_of('x', R.AREAS, CODED_FIRST)} AS area FROM (SELECT conv_id, turn, i, x AS whole, left(x, {K.ROUTED_LENGTH}) AS x FROM {TURNS(STATED)}))"""
 NUMBER = lambda i: f"({i} % 395 + 1) || CASE WHEN {i} % 3 = 0 THEN 'A' ELSE '' END"
 FORMATTED = "CASE " + " ".join(f"WHEN starts_with(lower(r), '{a} ') THEN '{n} ' || upper(trim(r[{len(a) + 2}:])) WHEN ends_with(lower(r), ' {a}') THEN '{n} ' || upper(trim(r[:-{len(a) + 2}]))" for a, n in S.CODE_ALIASES) + " ELSE '' END"
 FIRST_SENTENCE = "CASE WHEN contains(t, '.') THEN trim(split_part(t, '.', 1)) || '.' WHEN contains(t, '!') THEN trim(split_part(t, '!', 1)) || '!' WHEN contains(t, '?') THEN trim(split_part(t, '?', 1)) || '?' WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 220)) || '...' END"
@@ -329,6 +380,9 @@ SELECT item_id, CAST(unnest(range(len(parts))) AS INT) AS n, regexp_replace(unne
     "judgment_kinds": f"SELECT doc_id, CASE WHEN regexp_matches(t, 'headnote|issue|summary') THEN 'headnote' WHEN regexp_matches(t, 'obiter|observation|dicta') THEN 'obiter_dictum' WHEN regexp_matches(t, 'holding|ratio|decision') THEN 'ratio_decidendi' ELSE 'judgment_paragraph' END AS result FROM (SELECT doc_id, lower(concat_ws(' ', {pick_sql(HEADERS, 'doc_id')}, text)) AS t FROM documents)",
     "numeric_tokens": "SELECT p_partkey, " + OCR_NUMBER.format("p_name || ' ' || p_brand") + " AS result FROM part",
     "party_names": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN '' ELSE 'Buyer ' || c_custkey || '|State No ' || c_nationkey END AS result FROM customer",
+    "case_types": CASE_KINDS,
+    "processed_uploads": f"""WITH {PAGE_FILES} SELECT CAST(f AS VARCHAR) AS path, CASE WHEN all_typed THEN 'typed_pdf' WHEN some_typed THEN 'mixed_pdf' ELSE 'scanned_pdf' END AS mode, CASE WHEN all_typed THEN 'pdf_text' WHEN some_typed THEN 'hybrid_pdf' ELSE 'ocr_pdf' END AS extraction_method,
+page_count, confidence, raw_digest, coalesce(citations, '') AS citations, coalesce(sections, '') AS sections FROM pf LEFT JOIN vl USING (f)""",
     "ocr_sections": f"SELECT doc_id, {SORTED.format(OCR_SECTIONS)} AS result FROM {DOCS(RECOGNISED)}",
     "ocr_citations": f"SELECT doc_id, {SORTED.format(OCR_CITATIONS)} AS result FROM {DOCS(RECOGNISED)}",
     "ocr_corrections": f"SELECT doc_id, md5(x) AS text, {SORTED.format('labels')} AS labels FROM {_corrected()}",

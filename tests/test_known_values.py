@@ -70,6 +70,21 @@ TABLES = {
 }
 
 
+#: Text of a case, its type and its stage.
+CASES = [
+    ("the landlord in a revision", "property", "revision"), ("a charge sheet on bail", "criminal", "bail"), ("a chargesheet in a trial", None, "charges"), ("divorce and appeal", "family", "appeal"), ("gst execution", "tax", "execution"),
+    ("the company in trial", "corporate", "trial"), ("wages under investigation", "labour", "investigation"), ("an arbitral award", "arbitration", None), ("a consumer case", "consumer", None), ("a fundamental right", "constitutional", None),
+    ("nothing of note", None, None), ("the civil suit", "civil", None), ("maintainability alone", None, None), ("specific relief act, consumer", "property", None),
+]
+
+
+def test_case_types(spark):
+    d = spark.createDataFrame([(t,) for t, _, _ in CASES], "x string")
+    none = F.array().cast("array<string>")
+    assert {tuple(r) for r in d.select("x", K.case_type(x(), none), K.first_of(x(), K.STAGES)).collect()} == set(CASES)
+    assert d.select(K.case_type(x(), F.array(F.lit("BNS 103")))).distinct().collect() == [("criminal",)]
+
+
 @pytest.mark.parametrize("name", sorted(TABLES))
 def test_known_values(spark, name):
     build, rows = TABLES[name]
