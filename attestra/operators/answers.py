@@ -39,10 +39,11 @@ def substituted(text: Column, resolutions: Column) -> Column:
 
 
 def claims(paragraphs: DataFrame) -> DataFrame:
-    """Sentences of paragraphs (answer_id, section, paragraph, tokens) without placeholders, numbered."""
+    """Sentences of paragraphs (answer_id, section, paragraph, tokens) without placeholders, numbered by section, place of the paragraph there (n, if there is one), paragraph and sentence."""
+    place = ["n"] if "n" in paragraphs.columns else []
     bare = F.aggregate("tokens", F.col("paragraph"), lambda t, k: F.replace(t, k, F.lit("")))
-    c = paragraphs.select("answer_id", "section", "tokens", F.posexplode(sentences(claim_text(bare))).alias("i", "claim"))
-    return c.withColumn("claim_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("section", "i")))
+    c = paragraphs.select("answer_id", "section", "tokens", "paragraph", *place, F.posexplode(sentences(claim_text(bare))).alias("i", "claim"))
+    return c.withColumn("claim_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("section", *place, "paragraph", "i"))).drop("paragraph", *place)
 
 
 def structured(claims_: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from . import answers as A
 from .cases import contradictions
 from .verify import claim_status
@@ -159,23 +161,25 @@ def authorities_deduped(sources: DataFrame) -> DataFrame:
     return sources.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
 
 
-def executed(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], DataFrame], cite: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame, DataFrame], DataFrame] = drafts) -> dict[str, DataFrame]:
-    """A verified answer of every query: tables paragraphs, text (rendered and resolved), claims (with status), answers (overall status and counts).
+def executed(
+    queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], DataFrame], cite: Callable[[DataFrame, DataFrame], DataFrame] | Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame, DataFrame], DataFrame] = drafts
+) -> dict[str, DataFrame]:
+    """A verified answer of every query: tables paragraphs, resolutions, text (rendered and resolved), claims (with status), answers (overall status and counts).
 
-    retrieve(queries) gives results as drafts needs them, generate(queries, results) paragraphs, resolve(paragraphs) rows (query_id, token, rendered, verified), cite(claims) the citations of claims. Each may be a
-    caller's own model or store.
+    retrieve(queries) gives results as drafts needs them, generate(queries, results) paragraphs, resolve(paragraphs) rows (query_id, token, rendered, ..), cite(claims) or cite(claims, resolutions) the citations of claims. Each may be a
+    caller's own model or store. Paragraphs, resolutions and numbered claims are tables, so each is made once and all that follows sees the same.
     """
-    paragraphs = generate(queries, retrieve(queries))
-    values = resolve(paragraphs)
+    paragraphs = stored(generate(queries, retrieve(queries)))
+    values = stored(resolve(paragraphs))
     tokens = values.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", F.col("rendered").alias("value")))).alias("values"))
     text = rendered(paragraphs).join(tokens, "query_id", "left").select("query_id", F.when(F.col("values").isNull(), F.col("text")).otherwise(A.substituted(F.col("text"), F.col("values"))).alias("text"))
-    per = paragraphs.groupBy(F.col("query_id").alias("answer_id"), F.col("title").alias("section"), F.col("paragraph")).agg(F.collect_list("token").alias("tokens"))
-    numbered = A.claims(per).withColumn("claim_id", F.concat_ws("|", F.col("answer_id").cast("string"), F.col("claim_id").cast("string")))
-    claims = verified_claims(numbered, cite(numbered))
+    per = paragraphs.groupBy(F.col("query_id").alias("answer_id"), F.col("title").alias("section"), F.col("paragraph")).agg(F.collect_list("token").alias("tokens"), F.min("n").alias("n"))
+    numbered = stored(A.claims(per).withColumn("claim_id", F.concat_ws("|", F.col("answer_id").cast("string"), F.col("claim_id").cast("string"))))
+    claims = verified_claims(numbered, cite(numbered, values) if len(signature(cite).parameters) > 1 else cite(numbered))
     n = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
     counts = claims.groupBy("answer_id").agg(n("VERIFIED"), n("UNCERTAIN"), n("UNSUPPORTED"))
     overall = F.when((F.col("unsupported") > 0) | (F.col("verified") + F.col("uncertain") == 0), "UNSUPPORTED").when(F.col("uncertain") > 0, "UNCERTAIN").otherwise("VERIFIED")
-    return {"paragraphs": paragraphs, "text": text, "claims": claims, "answers": counts.withColumn("overall_status", overall)}
+    return {"paragraphs": paragraphs, "resolutions": values, "text": text, "claims": claims, "answers": counts.withColumn("overall_status", overall)}
 
 
 def verification_items(answers: DataFrame, resolutions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions import chunks as K
 from attestra.operators import collections as L
 from attestra.operators import corrective as C
+from attestra.operators import answers as A
 from attestra.operators import execution as X
 from attestra.operators import listings as N
 from attestra.operators import retrieval as R
@@ -140,3 +141,29 @@ def test_common_tokens_are_looked_up_for_the_best_alone(spark):
         for k in (3, 20):
             one, two = (sorted((x["query_id"], x["rank"], x["doc_id"], x["score"], tuple(x["matched"])) for x in R.bm25(q, d, k, valid, whole=n).collect()) for n in (10**9, 0))
             assert one == two and len(one) > 60
+
+
+def test_claims_are_numbered_alike_whenever_they_are_made(spark):
+    """Paragraphs of one section, whose sentences stand at the same places, in any order of rows."""
+    rows = [(1, "Key Authorities", f"Held {w}. More {w}.", ["[T]"], n) for n, w in enumerate(["z", "a", "m", "b"])] + [(1, "Applicable Law", "[T]", ["[T]"], 1)]
+    kind = "answer_id int, section string, paragraph string, tokens array<string>, n int"
+    want = [f"{head} {w}." for w in ["z", "a", "m", "b"] for head in ("Held", "More")]
+    for order in (rows, rows[::-1]):
+        c = A.claims(spark.createDataFrame(order, kind).repartition(3))
+        assert [r["claim"] for r in c.orderBy("claim_id").collect()] == want and "n" not in c.columns
+    again = A.claims(spark.createDataFrame(rows, kind).drop("n"))
+    assert [r["claim"] for r in again.orderBy("claim_id").collect()][:2] == ["Held a.", "More a."]
+
+
+def test_citations_see_the_resolutions(spark):
+    q = spark.createDataFrame([(1, "q1", "general_legal")], "query_id int, query string, query_type string")
+    results = spark.createDataFrame([(1, 1, 8, "statute", "Act", "6", None, None, "Text here."), (1, 2, 9, "judgment", None, None, "Court", "on x", "Held so.")], RESULT)
+    resolve = lambda p: p.select("query_id", "token", F.concat(F.lit("value "), F.col("doc_id").cast("string")).alias("rendered"), "doc_id", (F.col("doc_id") == 8).alias("verified"))
+
+    def cite(claims, resolutions):
+        c = claims.select("claim_id", F.col("answer_id").alias("query_id"), F.posexplode("tokens").alias("position", "token")).join(resolutions, ["query_id", "token"])
+        return c.select("claim_id", "position", "verified", F.col("rendered").alias("citation"), F.lit("VERIFIED").alias("grounding"), F.lit(False).alias("pending"), F.lit("ok").alias("reason"), "doc_id")
+
+    out = X.executed(q, lambda _: results, resolve, cite)
+    assert {(r["claim"], r["status"], r["citation"]) for r in out["claims"].collect()} == {("Text here.", "VERIFIED", "value 8"), ("Held so.", "UNSUPPORTED", None)}
+    assert out["text"].first()["text"] == "Applicable Law\nText here. value 8\n\nKey Authorities\nHeld so. value 9" and out["resolutions"].count() == 2
