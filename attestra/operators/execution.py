@@ -167,7 +167,7 @@ def executed(
     """A verified answer of every query: tables paragraphs, resolutions, text (rendered and resolved), claims (with status), answers (overall status and counts).
 
     retrieve(queries) gives results as drafts needs them, generate(queries, results) paragraphs, resolve(paragraphs) rows (query_id, token, rendered, ..), cite(claims) or cite(claims, resolutions) the citations of claims. Each may be a
-    caller's own model or store. Paragraphs, resolutions and numbered claims are tables, so each is made once and all that follows sees the same.
+    caller's own model or store. Paragraphs, resolutions and claims are tables, so each is made once and all that follows sees the same.
     """
     paragraphs = stored(generate(queries, retrieve(queries)))
     values = stored(resolve(paragraphs))
@@ -175,7 +175,7 @@ def executed(
     text = rendered(paragraphs).join(tokens, "query_id", "left").select("query_id", F.when(F.col("values").isNull(), F.col("text")).otherwise(A.substituted(F.col("text"), F.col("values"))).alias("text"))
     per = paragraphs.groupBy(F.col("query_id").alias("answer_id"), F.col("title").alias("section"), F.col("paragraph")).agg(F.collect_list("token").alias("tokens"), F.min("n").alias("n"))
     numbered = stored(A.claims(per).withColumn("claim_id", F.concat_ws("|", F.col("answer_id").cast("string"), F.col("claim_id").cast("string"))))
-    claims = verified_claims(numbered, cite(numbered, values) if len(signature(cite).parameters) > 1 else cite(numbered))
+    claims = stored(verified_claims(numbered, cite(numbered, values) if len(signature(cite).parameters) > 1 else cite(numbered)))
     n = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
     counts = claims.groupBy("answer_id").agg(n("VERIFIED"), n("UNCERTAIN"), n("UNSUPPORTED"))
     overall = F.when((F.col("unsupported") > 0) | (F.col("verified") + F.col("uncertain") == 0), "UNSUPPORTED").when(F.col("uncertain") > 0, "UNCERTAIN").otherwise("VERIFIED")
