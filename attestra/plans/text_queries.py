@@ -330,13 +330,18 @@ def _page_corrections(x: str) -> str:
     return x
 
 
+def _thousandths(x: str) -> str:
+    """A double as it is written, rounded to three places, halves up."""
+    return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(20, 18)), 3)"
+
+
 #: Typed pages are those with 24 characters; values stand where they first occur.
 PAGE_FILES = f"""pg AS (SELECT doc_id // 7 AS f, doc_id % 7 + 1 AS page, {SQUEEZE.format("CASE WHEN doc_id % 5 = 0 THEN " + form_sql(RECOGNISED, 'doc_id') + " ELSE x END")} AS raw FROM {DOCS(RECOGNISED)}),
 px AS (SELECT f, page, raw, length(raw) >= {uploads.TYPED} AS typed, {_page_corrections('raw')} AS x FROM pg),
 vs AS (SELECT f, page, 'c' AS kind, unnest(cs) AS v, generate_subscripts(cs, 1) AS i FROM (SELECT f, page, {OCR_CITATIONS} AS cs FROM px) UNION ALL SELECT f, page, 's', unnest(cs), generate_subscripts(cs, 1) FROM (SELECT f, page, {OCR_SECTIONS} AS cs FROM px)),
 vf AS (SELECT f, kind, v, min(page * 1000000 + i) AS pos FROM vs GROUP BY ALL), vl AS (SELECT f, string_agg(v, '|' ORDER BY pos) FILTER (kind = 'c') AS citations, string_agg(v, '|' ORDER BY pos) FILTER (kind = 's') AS sections FROM vf GROUP BY f),
 pf AS (SELECT f, count(*) AS page_count, bool_and(typed) AS all_typed, bool_or(typed) AS some_typed, md5(string_agg(nullif(raw, ''), chr(10) ORDER BY page)) AS raw_digest,
-  round(avg(CASE WHEN raw = '' THEN 0.2 WHEN typed THEN round(least(0.99, 0.72 + least(length(raw), 500) / 2000.0::DOUBLE), 3) ELSE round(least(0.98, 0.5 + least(length(raw), 300) / 1500.0::DOUBLE), 3) END), 3) AS confidence FROM px GROUP BY f)"""
+  round(sum(CAST(1000 * CASE WHEN raw = '' THEN 0.2 WHEN typed THEN {_thousandths('least(0.99, 0.72 + least(length(raw), 500) / 2000.0::DOUBLE)')} ELSE {_thousandths('least(0.98, 0.5 + least(length(raw), 300) / 1500.0::DOUBLE)')} END AS BIGINT)) / count(*)) / 1000 AS confidence FROM px GROUP BY f)"""
 
 
 def _first_of(text: str, rules: list[tuple[str, list[str]]], coded: str = "FALSE") -> str:

@@ -141,12 +141,13 @@ def merged(cleaned: DataFrame, lists: str, value: Callable[[Column], Column] = l
 def files_merged(cleaned: DataFrame) -> DataFrame:
     """A row for each file of cleaned pages: mode, extraction_method, page_count, raw_extracted_text, extracted_text, confidence, citations, sections, parties.
 
-    Texts of pages stand in their order, a line each, without empty ones. Parties are the same if their longest name is. Cleaned pages become a table, of which each list reads its column.
+    Texts of pages stand in their order, a line each, without empty ones. Parties are the same if their longest name is. Confidences are thousandths, so their mean
+    is the same in any order of pages. Cleaned pages become a table, of which each list reads its column.
     """
     cleaned = stored(cleaned)
     kinds = F.collect_set("kind")
     text = lambda c: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("page", c)), lambda x: x[c] != "")), lambda x: x[c]), "\n")
-    of = cleaned.groupBy("path").agg(kinds.alias("kinds"), F.count("*").alias("page_count"), text("raw_text").alias("raw_extracted_text"), text("normalized_text").alias("extracted_text"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    of = cleaned.groupBy("path").agg(kinds.alias("kinds"), F.count("*").alias("page_count"), text("raw_text").alias("raw_extracted_text"), text("normalized_text").alias("extracted_text"), (F.round(F.sum(F.round(F.col("confidence") * 1000).cast("long")) / F.count("*")) / 1000).alias("confidence"))
     only = lambda k: F.col("kinds") == F.array(F.lit(k))
     mode = F.when(only("docx"), "docx_text").when(only("image"), "image_ocr").when(only("typed_pdf"), "typed_pdf").when(only("scanned_pdf"), "scanned_pdf").otherwise("mixed_pdf")
     method = F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("mode"))
