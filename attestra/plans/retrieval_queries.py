@@ -78,8 +78,7 @@ def bm25_valid_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all documents, results of good law only."""
     d = Domain(spark, sf_dir)
     q = d.benchmark_queries().select("query_id", T.tokens(F.col("text")).alias("tokens"))
-    docs = d.document_tokens().join(d.legal_documents().select("doc_id", "current_validity"), "doc_id")
-    return R.bm25(q, docs, 10, valid=F.col("current_validity") == "GOOD_LAW").select("query_id", "doc_id", "score", "rank")
+    return R.bm25(q, d.document_tokens(), 10, valid=F.col("current_validity") == "GOOD_LAW", about=d.legal_documents().select("doc_id", "current_validity")).select("query_id", "doc_id", "score", "rank")
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
