@@ -35,8 +35,7 @@ def corpus(d: Domain) -> DataFrame:
 
 def found(d: Domain, queries: DataFrame) -> DataFrame:
     """The ten best documents of good law, of those that a query's number leaves open: judgments, law, none or all."""
-    docs = d.document_tokens().join(d.legal_documents().select("doc_id", "current_validity"), "doc_id")
-    ranked = R.bm25(queries.select("query_id", T.tokens(F.col("query")).alias("tokens")), docs, 10, valid=F.col("current_validity") == "GOOD_LAW")
+    ranked = R.bm25(queries.select("query_id", T.tokens(F.col("query")).alias("tokens")), d.document_tokens(), 10, valid=F.col("current_validity") == "GOOD_LAW", about=d.legal_documents().select("doc_id", "current_validity"))
     r = ranked.select("query_id", "doc_id", "rank").join(corpus(d).select("doc_id", "doc_type", "act", "section", "court", "issue", "text"), "doc_id")
     i, law = F.col("query_id"), F.col("doc_type") != "judgment"
     return r.where(F.when(i % 9 == 5, False).when(i % 4 == 0, ~law).when(i % 4 == 1, law).otherwise(True))
