@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REPORTER, claim_text, first_sentence, sentences
+from ..tables import stored
 
 def statute_token(act: Column, section: Column) -> Column:
     return F.concat(F.lit("[STATUTE: "), act, F.lit(", Section "), section, F.lit("]"))
@@ -67,8 +68,13 @@ def answer_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = answers.select(F.concat_ws(":", F.lit("section"), "query_id", "section").alias("id"), F.lit(1).alias("level"))
     d = answers.select(F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("id"), F.lit(2).alias("level"))
     nodes = q.union(s).union(d).distinct()
-    at = F.row_number().over(Window.partitionBy("level").orderBy("id")) - 1
-    nodes = nodes.withColumn("y", (at + 0.5) / F.count("*").over(Window.partitionBy("level")))
+    # places by ranges of ids: a level may hold nearly all nodes, and no task may hold a level
+    ranges = stored(nodes.repartitionByRange("level", "id").withColumn("range", F.spark_partition_id()))
+    by, before = Window.partitionBy("level"), Window.partitionBy("level").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("level", "range").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.select("level", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(by).alias("of")))
+    at = F.row_number().over(Window.partitionBy("level", "range").orderBy("id")) - 1
+    nodes = ranges.withColumn("at", at).join(F.broadcast(sizes), ["level", "range"]).select("id", "level", ((F.col("before") + F.col("at") + 0.5) / F.col("of")).alias("y"))
     e1 = answers.select(F.concat(F.lit("query:"), F.col("query_id")).alias("source"), F.concat_ws(":", F.lit("section"), "query_id", "section").alias("target"))
     e2 = answers.select(F.concat_ws(":", F.lit("section"), "query_id", "section").alias("source"), F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("target"))
     return nodes, e1.union(e2).distinct()

@@ -160,3 +160,15 @@ def test_exports_and_uploads(spark):
     pages = uploads.pages(files, pdf=lambda b: ["typed text of more than twenty-four characters", ""], ocr=lambda b: "seen")
     got = {r["path"]: r["mode"] for r in uploads.document_modes(pages).collect()}
     assert got == {"a.pdf": "mixed", "b.png": "scanned"}
+
+
+def test_no_task_holds_a_level_of_the_graph(spark):
+    """Places are those of the order of ids, over ranges of which none holds a level."""
+    a = spark.range(2000).select((F.col("id") % 700).cast("string").alias("query_id"), (F.col("id") % 3).cast("string").alias("section"), (F.col("id") % 900).alias("doc_id"))
+    nodes, _ = A.answer_graph(a)
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(level" in plan and "range" in plan.split("hashpartitioning(level")[1].split(")")[0]
+    rows = nodes.collect()
+    for level in range(3):
+        own = sorted((r["id"], r["y"]) for r in rows if r["level"] == level)
+        assert [y for _, y in own] == [(i + 0.5) / len(own) for i in range(len(own))]
