@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,11 +150,17 @@ def timeline(nodes: DataFrame, limit: int = 15) -> DataFrame:
     return t.withColumn("phase", phase(F.col("index"), F.count("*").over(by)))
 
 
-def retrieved(results: DataFrame, documents: DataFrame, edges: DataFrame, chunks: DataFrame, queries: DataFrame, fallback: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Graph retrieval: (query_id, node, index, phase, depth, chunk_id); queries without anchors get their fallback (query_id, doc_id, chunk_id, rank) as it stands."""
+def retrieved(results: DataFrame, documents: DataFrame, edges: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], queries: DataFrame, fallback: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Graph retrieval: (query_id, node, index, phase, depth, chunk_id); queries without anchors get their fallback (query_id, doc_id, chunk_id, rank) as it stands.
+
+    chunks: those of all documents, or a function that makes those of the documents of a table (doc_id), so that no others are taken apart.
+    """
     start = stored(anchors(results, documents, edges, cases))
     nodes = without_overruled(traversed(start, edges, documents), edges, documents).join(documents.select(F.col("doc_id").alias("node"), "date"), "node")
-    found = best_chunks(timeline(nodes), chunks, queries).select("query_id", "node", "index", "phase", "depth", "chunk_id")
+    nodes = stored(timeline(nodes))
+    if callable(chunks):
+        chunks = chunks(nodes.select(F.col("node").alias("doc_id")).distinct())
+    found = best_chunks(nodes, chunks, queries).select("query_id", "node", "index", "phase", "depth", "chunk_id")
     rest = fallback.join(start.select("query_id").distinct(), "query_id", "left_anti")
     return found.unionByName(rest.select("query_id", F.col("doc_id").alias("node"), (F.col("rank") - 1).alias("index"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("int").alias("depth"), "chunk_id"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..tables import stored
 from .domain import Domain
 from .retrieval_queries import LEXICAL, TOKENS, lexical
 
@@ -64,7 +65,7 @@ def graph_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = lexical(d, 12)
     text = d.table("documents").select("doc_id", "text", F.floor(F.char_length("text") / 2).cast("int").alias("half"))
     halves = F.explode(F.array(F.struct(F.lit(0).alias("chunk_index"), F.expr("substr(text, 1, half)").alias("part")), F.struct(F.lit(1).alias("chunk_index"), F.expr("substr(text, half + 1)").alias("part"))))
-    chunks = text.select("doc_id", halves.alias("c")).select("doc_id", (F.col("doc_id") * 2 + F.col("c.chunk_index")).alias("chunk_id"), "c.chunk_index", T.tokens(F.col("c.part")).alias("tokens"))
+    chunks = lambda of: text.join(stored(of), "doc_id").select("doc_id", halves.alias("c")).select("doc_id", (F.col("doc_id") * 2 + F.col("c.chunk_index")).alias("chunk_id"), "c.chunk_index", T.tokens(F.col("c.part")).alias("tokens"))
     queries = d.benchmark_queries().select("query_id", T.tokens(F.col("text")).alias("tokens"))
     fallback = hits.select("query_id", "doc_id", (F.col("doc_id") * 2).alias("chunk_id"), "rank")
     return G.retrieved(hits, documents(d), d.edges(), chunks, queries, fallback, case_queries(d)).select("query_id", "node", F.col("index").cast("int").alias("index"), "phase", "depth", "chunk_id")
