@@ -16,18 +16,31 @@ DIMENSION = 24
 CACHE_WORDS = 200_000
 
 
-class WordVectors(dict):
-    """word -> bytes of its SHA-256 / 255 - 0.5."""
+class WordVectors:
+    """Words by number, and for each a row: the bytes of its SHA-256 / 255 - 0.5."""
 
     def __init__(self, dimension: int):
-        super().__init__()
         self.at = np.arange(dimension) % 32
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = self[word] = np.frombuffer(sha256(word.encode()).digest(), np.uint8)[self.at] / 255.0 - 0.5
-        return v
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((0, dimension))
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """The rows of words; new ones are hashed together."""
+        if len(self.number) >= CACHE_WORDS:
+            self.number.clear()
+        number = self.number
+        new = [w for w in dict.fromkeys(words) if w not in number]
+        if new:
+            n = len(number)
+            made = np.frombuffer(b"".join([sha256(w.encode()).digest() for w in new]), np.uint8).reshape(-1, 32)[:, self.at] / 255.0 - 0.5
+            if n + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:n], np.zeros((n + len(new) + 1024, len(self.at)))])
+            self.rows[n : n + len(new)] = made
+            number.update(zip(new, range(n, n + len(new))))
+        return self.rows[np.fromiter(map(number.__getitem__, words), np.intp, len(words))]
+
+    def __getitem__(self, word: str) -> np.ndarray:
+        return self.known([word])[0]
 
 
 @cache
@@ -50,7 +63,7 @@ def embedding(text: Column, dimension: int = DIMENSION) -> Column:
             if t is None:
                 return None
             words = t.lower().split()
-            total = np.sum([vectors[w] for w in words], axis=0) if words else np.zeros(dimension)
+            total = vectors.known(words).sum(axis=0) if words else np.zeros(dimension)
             n = np.sqrt((total * total).sum())
             return np.round(total / n, 8) if n else total
 

@@ -85,7 +85,7 @@ def vectors(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSION))
     for i, t in enumerate(texts):
         if ws := t.lower().split():
-            total = np.sum([words[w] for w in ws], axis=0)
+            total = words.known(ws).sum(axis=0)
             n = np.sqrt((total * total).sum())
             out[i] = np.round(total / n, 8) if n else total
     n = np.sqrt((out * out).sum(1, keepdims=True))

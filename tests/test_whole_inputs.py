@@ -76,3 +76,13 @@ def test_days_of_any_year_are_open(spark):
     q = spark.createDataFrame([(1, [1.0, 0.5], True), (2, [1.0, 0.5], False)], "query_id long, vector array<double>, time_sensitive boolean")
     q = q.select("*", F.lit("general_legal").alias("query_type"), F.lit("general").alias("practice_area"), F.to_date(F.lit("1951-06-01")).alias("reference_date"), F.array().cast("array<string>").alias("courts"), F.array().cast("array<string>").alias("numbers"))
     assert sorted((r["query_id"], r["point_id"]) for r in R.dense(q, p, allowed=open_points).collect()) == [(1, 1), (2, 1), (2, 2), (2, 3)]
+
+
+def test_words_keep_their_vectors_when_the_worker_forgets(monkeypatch):
+    from attestra.functions import vectors as V
+
+    monkeypatch.setattr(V, "CACHE_WORDS", 5)
+    words = V.WordVectors(24)
+    for text in ("a b a c", "d e f g h i", "a z", "", "h h b"):
+        one = [[x / 255 - 0.5 for x in hashlib.sha256(w.encode()).digest()[:24]] for w in text.split()]
+        assert words.known(text.split()).tolist() == one
