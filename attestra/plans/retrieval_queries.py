@@ -102,7 +102,8 @@ def qrels(d: Domain) -> DataFrame:
     sizes = [r[0] for r in keyed.select("size").distinct().collect()]
     met = t.select("doc_id", F.explode_outer(F.concat(*[runs(n) for n in sizes] or [F.array().cast("array<struct<size:int,key:bigint>>")])).alias("r")).select("doc_id", "r.size", "r.key")
     found = met.join(F.broadcast(keyed.select("size", "key").distinct()), ["size", "key"], "left_semi").distinct().join(keyed, ["size", "key"]).select("doc_id", "item_id", "item")
-    found = found.join(d.table("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    # a table of known size: few, they meet the texts where these are read
+    found = stored(found).join(d.table("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
     short = b.where("size <= 0").select("item_id", "item")
     if not short.isEmpty():
         found = found.unionByName(t.join(short, F.contains("text", F.col("item"))).select("item_id", "doc_id"))
