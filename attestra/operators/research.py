@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import stored
-from .similarity import containing, frequencies, rarest_first, sharing
+from .similarity import alike, containing, frequencies, rarest_first, sharing
 
 # Names of acts by code, words of a stage, scores.
 CODE_NAMES = {
@@ -111,7 +111,8 @@ def precedent_authorities(cases: DataFrame, judgments: DataFrame) -> DataFrame:
 
     A precedent's score is the share of the query's words that it has, and what court and stage add. Its part without words takes few values, by which
     precedents fall into classes. The two best of the highest classes and what a query's rarest words find give a score that the second place has at least; a further
-    precedent of a class needs so many words that it reaches it, and is met by the rare ones among them.
+    precedent of a class needs so many words that it reaches it, and is met by the rare ones among them. Of precedents that courts bind alike and that hold the same of the queries'
+    words, the two smallest chunk_ids are candidates.
     """
     stage = F.lower(F.coalesce("stage", F.lit("")))
     extra = F.create_map(*[x for k, v in STAGE_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -121,11 +122,12 @@ def precedent_authorities(cases: DataFrame, judgments: DataFrame) -> DataFrame:
     label = judgment_label(F.col("appellant"), F.col("respondent"), F.col("citation"), F.col("doc_id"))
     own = words(F.col("citation"), label, F.col("header"), F.substr("chunk_text", F.lit(1), F.lit(CASE_LEAD)), F.col("court"))
     c = judgments.select("chunk_id", own.alias("own"), F.startswith(F.lower(F.coalesce("court", F.lit(""))), F.lit("supreme court")).alias("apex"), F.coalesce("binding", none).alias("binding"))
-    c = stored(c.withColumn("bail", F.arrays_overlap("own", F.array(*map(F.lit, STAGE_WORDS["bail"])))))
+    c = c.withColumn("bail", F.arrays_overlap("own", F.array(*map(F.lit, STAGE_WORDS["bail"]))))
+    asking = stored(q.select("query", "asked", "stage", "court").distinct())
+    c = alike(c, asking, "chunk_id", ("apex", "binding", "bail"), KEPT)
     # a candidate's classes: what each can add at most for a query that asks for the class
     of_court = F.explode(F.when(F.col("apex"), F.array(F.lit("apex"))).otherwise(F.array_union(F.array(F.lit("any")), F.transform("binding", lambda b: F.concat(F.lit("court:"), b)))))
     classed = stored(c.withColumn("class", of_court))
-    asking = q.select("query", "asked", "stage", "court").distinct()
     ways = [F.struct(F.lit("apex").alias("class"), F.lit(APEX).alias("adds")), F.struct(F.lit("court:All India").alias("class"), F.lit(ALL_INDIA).alias("adds")), F.struct(F.lit("any").alias("class"), F.lit(0.0).alias("adds"))]
     own_court = F.when(F.col("court") != "", F.array(F.struct(F.concat(F.lit("court:"), F.col("court")).alias("class"), F.lit(OWN_COURT).alias("adds"))))
     ways = F.concat(F.array(*ways), F.coalesce(own_court, F.array().cast("array<struct<class:string,adds:double>>")))
@@ -150,7 +152,8 @@ def precedent_authorities(cases: DataFrame, judgments: DataFrame) -> DataFrame:
     later = scored(sharing(wide, kinds, "query", "chunk_id", F.col("share"), ("class", "counts")))
     every = early.unionByName(later).distinct()
     best = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= KEPT)
-    found = q.select("case_id", "query").join(best, "query").join(judgments.select("chunk_id", "doc_id", label.alias("label"), "citation", F.col("chunk_text").alias("passage")), "chunk_id")
+    named = stored(best.join(judgments.select("chunk_id", "doc_id", label.alias("label"), "citation", F.col("chunk_text").alias("passage")), "chunk_id"))
+    found = q.select("case_id", "query").join(named, "query")
     return found.select("case_id", "rank", "score", "doc_id", "chunk_id", "label", "citation", "passage", F.lit(CASE_SAID).alias("message"))
 
 

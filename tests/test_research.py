@@ -105,3 +105,22 @@ def test_claims_are_grounded_as_by_looking_at_everything(spark):
             status = ("UNCERTAIN" if status == "UNVERIFIED" else status) if firsts else "UNVERIFIED" if status == "VERIFIED" else status
             want["LEGAL_POSITION", 0] = ("For A." if synthesis.startswith("Legal") else synthesis, status, firsts, bool(firsts))
         assert got.get(i, {}) == want
+
+
+def test_alike_candidates_are_one(spark):
+    q = spark.createDataFrame([(1, ["bail", "theft"]), (2, ["lease"])], "query int, asked array<string>")
+    rows = [(i, ["bail", f"w{i}"] if i % 2 else ["lease", "theft", f"w{i}"], "a" if i < 50 else "b") for i in range(100)] + [(100, [], "a"), (101, [f"x{n}" for n in range(300)], None), (102, None, None)]
+    c = spark.createDataFrame(rows, "c int, own array<string>, kind string")
+    got = sorted((r.c, r.own, r.kind) for r in S.alike(c, q, "c", ("kind",), 2).collect())
+    one, two = ["bail"], ["lease", "theft"]
+    assert got == [(0, two, "a"), (1, one, "a"), (2, two, "a"), (3, one, "a"), (50, two, "b"), (51, one, "b"), (52, two, "b"), (53, one, "b"), (100, [], "a"), (101, [], None), (102, [], None)]
+
+
+def test_precedents_meet_one_of_many_alike(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "sharing", lambda q, c, *a, **k: seen.append(c.select("chunk_id").distinct().count()) or S.sharing(q, c, *a, **k))
+    judgments = [(1000 + i, 500 + i, f"AIR {i}", "A", "State", "Delhi High Court", None, "bail was granted" if i % 2 else "a lease", ["Delhi High Court"]) for i in range(200)]
+    j = spark.createDataFrame(judgments, "chunk_id long, doc_id long, citation string, appellant string, respondent string, court string, header string, chunk_text string, binding array<string>")
+    c = spark.createDataFrame([(1, ["x"], None, "custody", "bail", "bail", "Delhi High Court")], "case_id int, references array<string>, statutory string, precedent string, query string, stage string, court string")
+    assert [(r.rank, r.chunk_id) for r in R.precedent_authorities(c, j).orderBy("rank").collect()] == [(1, 1001), (2, 1003)]
+    assert seen and max(seen) <= 4
