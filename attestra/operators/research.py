@@ -63,14 +63,15 @@ def statute_authorities(cases: DataFrame, laws: DataFrame) -> DataFrame:
     """case_id, rank, doc_id, chunk_id, label, citation, passage, message: the best section of each reference, in the order of references, two at most a case.
 
     A section scores by its number, its act and shared words, of which 0.4 counts at most; below 1.0 nothing is an authority, so number or act must agree.
-    Where both do, nothing else can be better; else it takes a fifth or a quarter of the query's words, and candidates are met by rare ones.
+    Where both do, nothing else can be better; else it takes a fifth or a quarter of the query's words, and candidates are met by rare ones. Sections of one number and act that
+    hold the same of the queries' words are one candidate, the smallest chunk_id.
     """
     asked = cases.select("case_id", F.posexplode("references").alias("position", "reference"), "statutory").where("reference is not null")
     code, section = reference_parts(F.col("reference"))
     asked = asked.withColumn("query", F.concat_ws(" ", "reference", F.coalesce("statutory", F.lit("")))).withColumns({"code": code, "section": section})
-    q = asked.where("code is not null").select("query", "code", "section").distinct().withColumn("asked", words(F.col("query")))
+    q = stored(asked.where("code is not null").select("query", "code", "section").distinct().withColumn("asked", words(F.col("query"))))
     own = words(F.col("act"), F.col("section"), F.col("header"), F.substr("chunk_text", F.lit(1), F.lit(LAW_LEAD)))
-    c = stored(laws.select("chunk_id", "act", F.upper("section").alias("section"), own.alias("own")))
+    c = alike(laws.select("chunk_id", "act", F.upper("section").alias("section"), own.alias("own")), q, "chunk_id", ("act", "section"))
     ways = acts_of_codes(q.select("code").distinct(), c.select("act").distinct())
     q = stored(q.join(rarest_first(q, frequencies(c), "query"), "query", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>"))))
 
@@ -89,16 +90,16 @@ def statute_authorities(cases: DataFrame, laws: DataFrame) -> DataFrame:
     of_act = rest.join(ways, "code").select("query", "act", "asked", "rare")
     by_act = sharing(of_act, c, "query", "chunk_id", F.lit(LAW_LEAST - SAME_ACT), ("act",))
     best = best.unionByName(scored(by_section.unionByName(by_act).distinct()))
-    found = asked.join(best, "query").join(laws.withColumnRenamed("section", "own_section"), "chunk_id")
-    label = law_label(F.col("act"), F.col("own_section"), F.col("header"), F.col("chunk_id"))
-    cited = F.when((F.col("act") != "") & (F.col("own_section") != ""), F.concat_ws(", Section ", "act", "own_section")).otherwise(F.col("header"))
-    found = found.select("case_id", "position", "doc_id", "chunk_id", label.alias("label"), cited.alias("citation"), F.col("chunk_text").alias("passage"), F.lit(LAW_SAID).alias("message"))
-    return first_ones(found)
+    label = law_label(F.col("act"), F.col("section"), F.col("header"), F.col("chunk_id"))
+    cited = F.when((F.col("act") != "") & (F.col("section") != ""), F.concat_ws(", Section ", "act", "section")).otherwise(F.col("header"))
+    # authorities of distinct queries, which meet cases where these are read
+    named = stored(best.join(laws, "chunk_id").select("query", "doc_id", "chunk_id", label.alias("label"), cited.alias("citation"), F.col("chunk_text").alias("passage")))
+    return first_ones(asked.join(named, "query").select("case_id", "position", "doc_id", "chunk_id", "label", "citation", "passage", F.lit(LAW_SAID).alias("message")))
 
 
 def first_ones(found: DataFrame, limit: int = KEPT) -> DataFrame:
     """found (case_id, position, doc_id, chunk_id, ..), each chunk where it stands first, the first of a case with their rank."""
-    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("case_id", "doc_id", "chunk_id").orderBy("position"))).where("_n = 1").drop("_n")
+    once = found.repartition("case_id").withColumn("_n", F.row_number().over(Window.partitionBy("case_id", "doc_id", "chunk_id").orderBy("position"))).where("_n = 1").drop("_n")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("position"))).where(F.col("rank") <= limit).drop("position")
 
 

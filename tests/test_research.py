@@ -124,3 +124,12 @@ def test_precedents_meet_one_of_many_alike(spark, monkeypatch):
     c = spark.createDataFrame([(1, ["x"], None, "custody", "bail", "bail", "Delhi High Court")], "case_id int, references array<string>, statutory string, precedent string, query string, stage string, court string")
     assert [(r.rank, r.chunk_id) for r in R.precedent_authorities(c, j).orderBy("rank").collect()] == [(1, 1001), (2, 1003)]
     assert seen and max(seen) <= 4
+
+
+def test_statutes_meet_one_of_many_alike(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "sharing", lambda q, c, *a, **k: seen.append(c.count()) or S.sharing(q, c, *a, **k))
+    laws = spark.createDataFrame([(i, i // 2, "Indian Penal Code, 1860", str(i % 3), None, f"text {i}") for i in range(300)], "chunk_id long, doc_id long, act string, section string, header string, chunk_text string")
+    c = spark.createDataFrame([(1, ["IPC 2", "IPC 9"], "theft of penal code"), (2, ["IPC 1"], None)], "case_id int, references array<string>, statutory string")
+    assert sorted((r.case_id, r.rank, r.chunk_id) for r in R.statute_authorities(c, laws).collect()) == [(1, 1, 2), (1, 2, 9), (2, 1, 1)]
+    assert seen and max(seen) <= 20
