@@ -64,7 +64,7 @@ def joined(c: Column) -> Column:
 
 
 def digest(c: Column) -> Column:
-    return F.md5(joined(F.array_sort(c)))
+    return F.md5(joined(F.sort_array(c)))
 
 
 def added(d: Domain, table: str, key: str, forms: list[Form], first: bool = False) -> DataFrame:
@@ -192,9 +192,11 @@ def hypothetical_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.drafts(q).select("conv_id", "turn", "strategy", "quality", F.size("anchors").alias("n_anchors"), F.md5("passage").alias("passage"))
 
 
-def _token_columns(x: Column, i: Column) -> dict[str, Column]:
-    n = T.normalized(x)
-    return {"references": joined(T.reference_tokens(n)), "citations": joined(T.citation_tokens(n)), "tokens": digest(T.tokens(x))}
+def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, citations and tokens of documents; a text is prepared and spaced once for all three."""
+    p = added(Domain(spark, sf_dir), "documents", "doc_id", REFERENCES).select("doc_id", T.prepared(F.col("x")).alias("p"))
+    n = p.withColumn("n", T.spaced(F.col("p"))).withColumns({"r": T.reference_tokens(F.col("n")), "c": T.citation_tokens(F.col("n"))})
+    return n.select("doc_id", joined(F.col("r")).alias("references"), joined(F.col("c")).alias("citations"), digest(T.tokens_of(F.concat("r", "c"), F.col("p"))).alias("tokens"))
 
 
 def _document_tokens(x: Column, i: Column) -> dict[str, Column]:
@@ -233,7 +235,7 @@ moment = lambda: F.when(o() % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")
 QUERIES = {
     f.__name__: f
     for f in [
-        of_documents("token_lists", REFERENCES, _token_columns),
+        token_lists,
         of_rows("section_tokens", "part", ["p_partkey"], lambda: {"result": joined(T.section_reference_tokens(pick(["BNS", "CrPC", "IPC"], p()), number(p())))}),
         of_rows("article_tokens", "part", ["p_partkey"], lambda: {"result": joined(T.article_reference_tokens(number(p())))}),
         of_rows("act_aliases", "part", ["p_partkey"], lambda: {"result": joined(F.array_sort(T.aliases(F.concat_ws(" ", pick(ACTS, p()), "p_name"))))}),
