@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .text import let, numeric_token, squeeze
+from .text import has_any, let, numeric_token, squeeze
 
 # Corrections with their labels, names of codes, citation forms.
 CORRECTIONS = [
@@ -25,6 +25,8 @@ CORRECTIONS = [
     (r"\bA1R\b", "AIR", "air_reporter"),
     (r"(?i)\b0nLine\b", "OnLine", "online_reporter"),
 ]
+#: What a text must hold in lower case, before any correction, for each of them.
+HELD = ["sect", "sect", "secfion", "artlcle", "petltloner", "respondent", "appeliant", "complalnant", "a1r", "0nline"]
 CODES = [
     ("code of criminal procedure", "CrPC"),
     ("constitution of india", "Constitution of India"),
@@ -57,18 +59,22 @@ def matches(text: Column, pattern: str, build) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build)
 
 
+def _start(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+
+
 def _fold(text: Column, steps: list) -> Column:
-    """(text, found) after every step (text -> new text, what is found in it); each step's text is made once."""
-    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
-    for step in steps:
-        state = let(state, _taken(step))
+    """(text, found) after every step (fits: text -> whether there is anything to do, step: text -> new text, what is found in it); each step's text is made once, and none where nothing fits."""
+    state = _start(text)
+    for fits, step in steps:
+        state = let(state, _taken(fits, step))
     return state
 
 
-def _taken(step):
+def _taken(fits, step):
     def run(s: Column) -> Column:
         new, found = step(s["text"])
-        return F.struct(new.alias("text"), F.concat(s["found"], found).alias("found"))
+        return F.when(fits(s["text"]), F.struct(new.alias("text"), F.concat(s["found"], found).alias("found"))).otherwise(s)
 
     return run
 
@@ -82,9 +88,14 @@ def _parts(state: Column) -> tuple[Column, Column]:
 
 
 def corrections(text: Column) -> Column:
-    """(text, found): text with spellings corrected, and the labels of the corrections that fitted."""
-    none = F.array().cast("array<string>")
-    return _fold(text, [lambda t, p=p, to=to, label=label: (F.regexp_replace(t, p, to), F.when(t.rlike(p), F.array(F.lit(label))).otherwise(none)) for p, to, label in CORRECTIONS])
+    """(text, found): text with spellings corrected, and the labels of the corrections that fitted. A pattern is tried only on texts that hold what it needs."""
+
+    def of(low: Column) -> Column:
+        fits = lambda p, held: lambda t: F.contains(low, F.lit(held)) & t.rlike(p)
+        labelled = lambda p, to, label: lambda t: (F.regexp_replace(t, p, to), F.array(F.lit(label)))
+        return _fold(text, [(fits(p, held), labelled(p, to, label)) for (p, to, label), held in zip(CORRECTIONS, HELD)])
+
+    return let(F.lower(text), of)
 
 
 def corrected(text: Column) -> tuple[Column, Column]:
@@ -100,7 +111,10 @@ def _section(name: str, code: str) -> tuple:
 def sections(text: Column) -> Column:
     """(text, found) of with_sections. Texts without a word for section stay as they are."""
     some = text.rlike(r"(?i)u/s|u\.s\.|sec")
-    return F.when(some, _fold(text, [_rewriting(*_section(*c)) for c in CODES])).otherwise(_fold(text, []))
+    # a code's section may be written by its long name in an earlier step
+    held = lambda low, code: lambda t: has_any(low, [n for n, c in CODES if c == code] + [MARK])
+    steps = lambda low: [(held(low, code), _rewriting(*_section(name, code))) for name, code in CODES]
+    return F.when(some, let(F.lower(text), lambda low: _fold(text, steps(low)))).otherwise(_start(text))
 
 
 def with_sections(text: Column) -> tuple[Column, Column]:
@@ -116,7 +130,8 @@ def citations(text: Column) -> Column:
         (SCC, lambda m: F.concat(F.lit("("), g(m, SCC, 1), F.lit(") "), g(m, SCC, 2), F.lit(" SCC "), g(m, SCC, 3))),
         (ONLINE, lambda m: F.concat_ws(" ", g(m, ONLINE, 1), F.lit("SCC OnLine"), F.upper(F.regexp_extract(m, ONLINE, 2)), g(m, ONLINE, 3))),
     ]
-    return _fold(text, [_rewriting(*k) for k in kinds])
+    fits = [lambda t: has_any(t, ["AIR", MARK]), lambda t: has_any(t, ["SCC", MARK]), lambda t: t.rlike(f"(?i)scc|{MARK}")]
+    return _fold(text, [(f, _rewriting(*k)) for f, k in zip(fits, kinds)])
 
 
 def with_citations(text: Column) -> tuple[Column, Column]:
@@ -126,8 +141,10 @@ def with_citations(text: Column) -> tuple[Column, Column]:
 
 def parties_found(text: Column) -> Column:
     """Sides of case names in order, then what stands behind labels, tidied; empty ones left out."""
+    none = F.array().cast("array<string>")
     sides = F.flatten(matches(text, CASE_STYLE, lambda m: F.array(F.regexp_extract(F.concat(m, F.lit(",")), CASE_STYLE, 1), F.regexp_extract(F.concat(m, F.lit(",")), CASE_STYLE, 2))))
-    labelled = F.regexp_extract_all(text, F.lit(PARTY_LABEL), F.lit(1))
+    sides = F.when(has_any(text, ["v.", "vs", "versus"]) & text.rlike(r"\s(?:v\.|vs|versus)"), sides).otherwise(none)
+    labelled = F.when(text.rlike(r"(?i)(?:petitioner|respondent|appellant|complainant)\s*[:.-]"), F.regexp_extract_all(text, F.lit(PARTY_LABEL), F.lit(1))).otherwise(none)
     tidy = lambda p: F.regexp_replace(squeeze(F.replace(p, F.lit(" ,"), F.lit(","))), r"^[ ,.-]+|[ ,.-]+$", "")
     return F.filter(F.transform(F.concat(sides, labelled), tidy), lambda p: p != "")
 
@@ -135,9 +152,9 @@ def parties_found(text: Column) -> Column:
 def normalised(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with normalized_text, citations, sections, parties (clusters), corrections of their recognised text."""
     d = documents.withColumn("_s", corrections(squeeze(F.col(text)))).withColumn("corrections", F.array_distinct("_s.found"))
-    d = d.withColumn("_s", sections(F.regexp_replace("_s.text", r"(?i)\b(vs\.?|versus)\b", "v."))).withColumn("sections", F.array_distinct("_s.found"))
+    d = d.withColumn("_v", F.regexp_replace("_s.text", r"(?i)\b(vs\.?|versus)\b", "v.")).withColumn("_s", sections(F.col("_v"))).withColumn("sections", F.array_distinct("_s.found"))
     d = d.withColumn("_s", citations(F.col("_s.text"))).withColumn("citations", F.array_distinct("_s.found")).withColumn("normalized_text", F.col("_s.text"))
-    return d.withColumn("parties", party_clusters(parties_found(F.col("normalized_text")))).drop("_s")
+    return d.withColumn("parties", party_clusters(parties_found(F.col("normalized_text")))).drop("_s", "_v")
 
 
 def compare_key(value: str) -> str:

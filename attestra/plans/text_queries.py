@@ -204,6 +204,12 @@ def _document_tokens(x: Column, i: Column) -> dict[str, Column]:
     return {"tokens": digest(T.document_tokens(x, pick(ACTS, i), section))}
 
 
+def ocr_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised texts corrected, and the labels of the corrections; a text is corrected once for both."""
+    s = added(Domain(spark, sf_dir), "documents", "doc_id", RECOGNISED).select("doc_id", ocr.corrections(F.col("x")).alias("s"))
+    return s.select("doc_id", F.md5("s.text").alias("text"), joined(F.sort_array(F.array_distinct("s.found"))).alias("labels"))
+
+
 def page_files(d: Domain) -> DataFrame:
     """Documents as pages of files, seven of them each: typed where a page has text enough, else recognised."""
     x = added(d, "documents", "doc_id", RECOGNISED)
@@ -254,7 +260,7 @@ QUERIES = {
         party_names,
         of_documents("ocr_sections", RECOGNISED, lambda x, i: {"result": joined(F.array_sort(ocr.with_sections(x)[1]))}),
         of_documents("ocr_citations", RECOGNISED, lambda x, i: {"result": joined(F.array_sort(ocr.with_citations(x)[1]))}),
-        of_documents("ocr_corrections", RECOGNISED, lambda x, i: {"text": F.md5(ocr.corrected(x)[0]), "labels": joined(F.array_sort(ocr.corrected(x)[1]))}),
+        ocr_corrections,
         of_turns("claim_texts", [["Bail  was granted ."], [" a , b ;c"], ["x"]], lambda x, i: {"result": F.md5(T.claim_text(x))}),
         of_rows("statute_placeholders", "part", ["p_partkey"], lambda: {"result": A.statute_token(F.initcap("p_name"), number(p()))}),
         of_rows("case_placeholders", "supplier", ["s_suppkey"], lambda: {"result": A.case_token(pick(["Supreme Court", "Delhi High Court"], F.col("s_suppkey")), F.concat(F.lit("on "), F.col("s_name")))}),

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from attestra.functions import ocr
 from attestra.functions import text as T
 from attestra.plans import text_queries
 
@@ -20,3 +21,26 @@ def test_token_lists_space_a_text_once(spark):
     texts = ["a  b", " a b ", "a-b c.\td", "(x) - [y]", "é a é", "", "...", "a b", "  ", "a . b", "x\n\ny z"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in d.select(T.spaced(F.col("t"))).collect()] == [re.sub("[^a-z0-9()]+", " ", t).strip(" ") for t in texts]
+
+
+def test_recognised_texts_are_corrected_once(spark):
+    assert plan(text_queries.ocr_corrections(spark, DIR)).count("artlcle\\b") == 2  # whether it fits, and in its place
+
+
+def test_guards_lose_no_correction(spark):
+    texts = ["SECTL0N 3 and SECTION 4, Sectlon", "secfion ARTLCLE", "Respondent: A v. B", "A1R a1r", "0NLINE", "plain", "", None, "u/s 3O crpc, sec 4 Code of Criminal Procedure, Section 5 LPC", "sec. 3\x01 ipc", "AIR 19l0 sc 1O, (2O10) 1 SCC 5, 2010 scc online del 4"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def corrected(t):
+        found = []
+        for p, to, label in ocr.CORRECTIONS:
+            if re.search(p, t):
+                found += [label]
+            t = re.sub(p, to, t)
+        return t, list(dict.fromkeys(found))
+
+    got = [tuple(r) for r in d.select(*ocr.corrected(F.col("t"))).collect()]
+    assert [g for g, t in zip(got, texts) if t is not None] == [corrected(t) for t in texts if t is not None]
+    s = d.select(ocr.with_sections(F.col("t"))[1], ocr.with_citations(F.col("t"))[1]).collect()
+    assert s[8][0] == ["Section 4 CrPC", "Section 30 CrPC", "Section 5 IPC"] and s[10][1] == ["AIR 1910 SC 10", "(2010) 1 SCC 5", "2010 SCC OnLine DEL 4"]
+    assert d.select(ocr.with_sections(F.col("t"))[0]).collect()[9][0] == "Section 3 IPC"
