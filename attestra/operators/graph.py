@@ -168,7 +168,8 @@ def retrieved(results: DataFrame, documents: DataFrame, edges: DataFrame, chunks
 def chains(links: DataFrame) -> DataFrame:
     """(node, last, steps) by following (node, next) to the end; last and steps are null for what runs in a circle.
 
-    Pointers are doubled, so a chain of n links takes log2(n) joins, each of them a table of its own; nodes at their end leave the loop.
+    Pointers are doubled, so a chain of n links takes log2(n) joins, each of them a table of its own; nodes at their end leave the loop. As long as a chain with an end is
+    left, each round ends some of its nodes: where a round ends none, all that is left runs in a circle.
     """
     at = stored(links.select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("steps")))
     n = at.count()
@@ -182,9 +183,10 @@ def chains(links: DataFrame) -> DataFrame:
         ended = moved.where("ended").drop("ended")
         done.append(ended)
         at = moved.where("not ended").drop("ended")
-        if at.isEmpty():
+        left, least = at.agg(F.count("*"), F.min("steps")).first()
+        if not left:
             break
-        if at.agg(F.min("steps")).first()[0] > n:
+        if least > n or ended.isEmpty():
             done.append(at.select("node", F.lit(None).cast(at.schema["last"].dataType).alias("last"), F.lit(None).cast("long").alias("steps")))
             break
     out = done[0]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from attestra.functions import ocr
 from attestra.functions import text as T
-from attestra.plans import text_queries
+from attestra.operators import graph as G
+from attestra.plans import corrective_queries, text_queries
+from attestra.plans.domain import Domain
 
 DIR = "/root/testdata/sf0.001"
 
@@ -44,3 +46,21 @@ def test_guards_lose_no_correction(spark):
     s = d.select(ocr.with_sections(F.col("t"))[1], ocr.with_citations(F.col("t"))[1]).collect()
     assert s[8][0] == ["Section 4 CrPC", "Section 30 CrPC", "Section 5 IPC"] and s[10][1] == ["AIR 1910 SC 10", "(2010) 1 SCC 5", "2010 SCC OnLine DEL 4"]
     assert d.select(ocr.with_sections(F.col("t"))[0]).collect()[9][0] == "Section 3 IPC"
+
+
+def test_circles_end_with_the_longest_chain(spark, monkeypatch):
+    made = []
+    real = G.stored
+    monkeypatch.setattr(G, "stored", lambda df: made.append(1) or real(df))
+    n = 4000
+    links = [(i, i + 1) for i in range(5)] + [(100 + i, 100 + (i + 1) % n) for i in range(n)] + [(9000, 100)]
+    got = {r.node: (r.last, r.steps) for r in G.chains(spark.createDataFrame(links, "node long, next long")).collect()}
+    assert got == {i: (5, 5 - i) for i in range(5)} | {100 + i: (None, None) for i in range(n)} | {9000: (None, None)}
+    assert len(made) <= 6  # log2 of all nodes would be 12 rounds
+
+
+def test_results_of_queries_are_a_table(spark):
+    d = Domain(spark, DIR)
+    assert "Join" not in plan(corrective_queries.results(d))
+    only = spark.createDataFrame([(3,), (5,), (3,), (-1,)], "doc_id long")
+    assert sorted(d.legal_documents(only).collect()) == sorted(d.legal_documents().where("doc_id in (3, 5)").collect())
