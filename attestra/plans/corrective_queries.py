@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corrective as C
+from ..tables import stored
 from .domain import Domain
 from .graph_queries import LD
 from .retrieval_queries import LEXICAL, TOKENS, lexical
@@ -32,23 +33,25 @@ def queries(d: Domain) -> DataFrame:
 
 
 def results(d: Domain) -> DataFrame:
-    """The first eight lexical results of every query, each document one chunk."""
+    """The first eight lexical results of every query, each document one chunk, as a table."""
     law = F.col("doc_type") != "judgment"
-    t = d.legal_documents().select(
+    first = lexical(d, 8).select("query_id", "rank", "doc_id")
+    t = d.legal_documents(first.select("doc_id")).select(
         "doc_id", F.col("doc_id").alias("chunk_id"), "text", F.when(law, F.lit("heading")).alias("header"), F.when(law, F.when(F.col("doc_id") % 2 == 0, "Indian Evidence Act").otherwise("Specific Relief Act")).alias("act"), F.when(law, number("doc_id")).alias("section"),
         F.lit(None).cast("string").alias("citation"), "court", F.when(~law, F.concat(F.lit("Party "), F.col("doc_id").cast("string"))).alias("appellant"), F.when(~law, F.lit("State")).alias("respondent"), "doc_type",
         F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("criminal"))).otherwise(F.array(F.lit("civil"))).alias("practice_areas"), F.when(F.col("doc_id") % 4 == 1, "binding").otherwise("persuasive").alias("authority"),
         F.when(F.col("doc_id") % 4 != 3, F.date_add("date", 100)).alias("embedded_on"), F.date_add("date", 300).alias("amended_on"), "current_validity", (F.col("doc_id") + 1).alias("overruled_by"),
     )
-    return lexical(d, 8).select("query_id", "rank", "doc_id").join(t, "doc_id")
+    return stored(first.join(t, "doc_id"))
 
 
 def found(d: Domain) -> DataFrame:
-    law = d.legal_documents().where("doc_type <> 'judgment'")
+    met = results(d)
+    law = stored(d.legal_documents(met.select("doc_id")).where("doc_type <> 'judgment'").select("doc_id", "date"))
     statutes = law.select("doc_id", (F.col("doc_id") % 7 != 0).alias("in_force"), (F.col("doc_id") + 2).alias("replaced_by"))
     sections = law.where("doc_id % 9 <> 0").select("doc_id", number("doc_id").alias("section"), F.lit("new text").alias("section_text"), F.when(F.col("doc_id") % 4 < 3, F.concat(F.lit("BSA "), number("doc_id"))).alias("new_section"))
     amendments = law.where("doc_id % 3 = 0").select("doc_id", number("doc_id").alias("section"), F.when(F.col("doc_id") % 2 == 0, F.date_add("date", 200)).alias("effective_on"), F.date_add("date", 50).alias("amended_on"))
-    return C.temporal_findings(results(d), queries(d), statutes, sections, amendments)
+    return C.temporal_findings(met, queries(d), statutes, sections, amendments)
 
 
 def temporal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
