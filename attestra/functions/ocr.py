@@ -110,11 +110,11 @@ def _section(name: str, code: str) -> tuple:
 
 def sections(text: Column) -> Column:
     """(text, found) of with_sections. Texts without a word for section stay as they are."""
-    some = text.rlike(r"(?i)u/s|u\.s\.|sec")
+    some = lambda low: has_any(low, ["u/s", "u.s.", "sec"])
     # a code's section may be written by its long name in an earlier step
     held = lambda low, code: lambda t: has_any(low, [n for n, c in CODES if c == code] + [MARK])
     steps = lambda low: [(held(low, code), _rewriting(*_section(name, code))) for name, code in CODES]
-    return F.when(some, let(F.lower(text), lambda low: _fold(text, steps(low)))).otherwise(_start(text))
+    return let(F.lower(text), lambda low: F.when(some(low), _fold(text, steps(low))).otherwise(_start(text)))
 
 
 def with_sections(text: Column) -> tuple[Column, Column]:
