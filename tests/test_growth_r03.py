@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import ocr
 from attestra.functions import text as T
+from attestra.operators import citations as C
 from attestra.operators import graph as G
 from attestra.plans import corrective_queries, text_queries
 from attestra.plans.domain import Domain
@@ -72,3 +73,16 @@ def test_pages_look_for_sections_without_a_pattern(spark):
     out = d.select(ocr.sections(F.col("t")).alias("s"))
     assert "u/s|u" not in plan(out)
     assert [list(r.s.found) for r in out.collect()] == [["Section 30 CrPC"], ["Section 4 BNS"], []]
+
+
+def test_placeholders_meet_one_of_many_alike(spark, monkeypatch):
+    seen = []
+    real = C.sharing
+    monkeypatch.setattr(C, "sharing", lambda q, c, *a, **k: seen.append(c.count()) or real(q, c, *a, **k))
+    n = 120
+    documents = spark.createDataFrame([(i, "statute" if i % 2 else "judgment", "Delhi High Court", None, f"AIR {i}", "A", "State", ["criminal"], "GOOD_LAW", "body") for i in range(n)], "doc_id long, doc_type string, court string, date date, citation string, appellant string, respondent string, practice_areas array<string>, current_validity string, body string")
+    chunks = spark.createDataFrame([(i, i, 0, f"alpha bravo text{i}", "heading", "penal act" if i % 2 else None, "5" if i % 2 else None, True, "GOOD_LAW", None) for i in range(n)], "doc_id long, chunk_id long, chunk_index int, chunk_text string, header string, act string, section string, in_force boolean, chunk_validity string, chunk_citation string")
+    p = spark.createDataFrame([(1, "STATUTE", "penal act section 5", None, None), (2, "CITE", "the high court on alpha bravo", None, None)], "placeholder_id int, kind string, description string, doc_id long, chunk_id long")
+    got = {r.placeholder_id: (r.status, r.doc_id, r.chunk_id) for r in C.resolved_placeholders(p, documents, chunks).collect()}
+    assert got == {1: ("VERIFIED", 1, 1), 2: ("VERIFIED", 0, 0)}
+    assert seen and max(seen) == 1
